@@ -109,15 +109,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of the texts in ``data``, and for each text the index of its first word.
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of the texts in ``data`` starts and ends, and for each text the index of its first word.
 
-    A word is a run of ASCII letters, digits, ``_`` and characters beyond ASCII.  The hash of a run is
-    a difference of prefix sums of byte times power, so all words of a block cost a few array passes.
+    A word is a run of ASCII letters, digits, ``_`` and characters beyond ASCII.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = _WORD[data]
     first = np.zeros(n + 1, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
@@ -131,11 +130,26 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[:-1] = inside[1:]
     after &= ~first[1:]
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+class RunHashes:
+    """Hashes of runs of bytes: differences of prefix sums of byte times power, so all runs cost a few array passes."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash for each run."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the texts in ``data``, and for each text the index of its first word."""
+    starts, ends, first = word_places(data, offsets)
+    return RunHashes(data).of(starts, ends), first
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

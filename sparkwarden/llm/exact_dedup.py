@@ -37,8 +37,8 @@ BROADCAST_ROWS = 500_000
 
 
 def fingerprints(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Per row: id, code points of the text, and fingerprint, length and sha256 of its normalised bytes."""
-    schema = f"doc_id {docs.schema[id_column].dataType.simpleString()}, n_points bigint, fp bigint, sha string"
+    """Per row: id, code points of the text, fingerprint and sha256 of its normalised bytes, and a hash of the raw text."""
+    schema = f"doc_id {docs.schema[id_column].dataType.simpleString()}, n_points bigint, fp bigint, sha string, row bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,9 +50,9 @@ def fingerprints(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                     points.append(len(t))
                     fps.append(xxhash.xxh3_64_intdigest(raw))
                     shas.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(shas, pa.string())], names=["doc_id", "n_points", "fp", "sha"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(shas, pa.string()), batch.column(2)], names=["doc_id", "n_points", "fp", "sha", "row"])
 
-    return docs.select(F.col(id_column).alias("doc_id"), text).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("doc_id"), text, F.xxhash64(text).alias("row")).mapInArrow(run, schema)
 
 
 def _filter_rows(fps: np.ndarray) -> pa.RecordBatch:
@@ -126,7 +126,7 @@ def merge_filters(filters: DataFrame, at_least: int = 2) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.  See the module's text for the method."""
+    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256, row (a hash of the raw text).  See the module's text for the method."""
     prints = cut(fingerprints(docs, id_column, text))
     many = cut(merge_filters(partition_filters(prints)))
     # classes of the rows whose fingerprint counts more than one, aggregated before any shuffle of single rows
@@ -147,6 +147,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         F.coalesce("size", F.lit(1).cast("bigint")).alias("group_size"),
         (single | ((F.col("n_points") == F.col("keep_points")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "row",
     )
 
 
@@ -168,7 +169,7 @@ def verify(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the group of equal texts that it belongs to."""
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
 #: The same result in DuckDB's SQL.

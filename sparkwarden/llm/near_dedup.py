@@ -223,7 +223,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id (the least doc_id of its class), n_links, class_size, kept."""
+    """Per row of docs (doc_id, text): doc_id, text_hash, class_id (the least doc_id of its class), n_links, class_size, kept, and label (the class; null without words)."""
     bands, rows = choose_bands(THRESHOLD, RECALL, HASHES)
     prints = cut(signatures(docs, bands, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first")
@@ -247,7 +247,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     own = classes.select("key", "doc_id", "copies").join(links, "key", "left").join(labels, "key", "left")
     own = cut(own.select("key", "copies", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "key").alias("label")))
     names = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = own.join(names, "label").select("key", "class_id", "n_links", "class_size")
+    named = own.join(names, "label").select("key", "label", "class_id", "n_links", "class_size")
     joined = prints.select("doc_id", "text_hash", "key").join(named, "key", "left")
     lone = F.col("key").isNull()
     return joined.select(
@@ -257,6 +257,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
         F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"),
         (lone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        "label",
     )
 
 

@@ -7,7 +7,12 @@ import importlib
 #: Module of each operator's query.
 _MODULES = {
     "op1_bpe_codec": "bpe",
+    "op2_url_filter": "url_filter",
+    "op3_toxicity": "toxicity",
+    "op4_secret_scan": "secrets",
+    "op5_language_id": "langid",
     "op6_ngram_jaccard_join": "near_dedup",
+    "op7_quality": "quality",
     "op8_exact_dedup": "exact_dedup",
     "op9_media_columns": "media",
     "op10_source_mix": "mixing",
