@@ -27,7 +27,7 @@ from sparkwarden.llm.common import blocks, held_out, table, text_column
 SAMPLE_ROWS = 400
 CENTROIDS = 4
 BINS = 1 << 13
-MARGIN = 0.25
+MARGIN = 0.3
 UNKNOWN = "und"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
