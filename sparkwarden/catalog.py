@@ -10,6 +10,13 @@ MODULES = (
     "sparkwarden.operators.history",
     "sparkwarden.operators.projections",
     "sparkwarden.operators.relational",
+    "sparkwarden.operators.spatial",
+    "sparkwarden.operators.policy",
+    "sparkwarden.operators.routing",
+    "sparkwarden.operators.risk",
+    "sparkwarden.plans.chartspec",
+    "sparkwarden.sources.landed",
+    "sparkwarden.streaming.events",
 )
 
 
