@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import blocks, cut, mix, shingle_hashes, table, text_column, word_hashes
+from sparkwarden.llm.common import blocks, cut, map_texts, mix, shingle_hashes, table, text_column, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), lists], names=["doc_id", "text_hash", "key", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
+    return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, schema)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 sets = pa.array([s.tobytes() for s in _sets(text_column(part.column(3)))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], sets], names=["key", "copies", "buckets", "shingles"])
 
-    return docs.select("key", "copies", "buckets", "text").mapInArrow(run, "key binary, copies bigint, buckets array<struct<bucket: bigint, n: bigint>>, shingles binary")
+    return map_texts(docs.select("key", "copies", "buckets", "text"), run, "key binary, copies bigint, buckets array<struct<bucket: bigint, n: bigint>>, shingles binary")
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -197,7 +197,10 @@ def verify_buckets(members: DataFrame) -> DataFrame:
                     if len(rows) > 1:
                         yield work(at, rows)
                     at, rows = place, []
-                rows.append((lists[4][k].as_py(), lists[5][k].as_py(), frozenset(lists[6][k].as_py()), np.frombuffer(lists[7][k].as_buffer(), np.uint64).copy(), lists[3][k].as_py()))
+                key = lists[4][k].as_py()
+                if rows and rows[-1][0] == key:  # the first document of a class may be a repeated row
+                    continue
+                rows.append((key, lists[5][k].as_py(), frozenset(lists[6][k].as_py()), np.frombuffer(lists[7][k].as_buffer(), np.uint64).copy(), lists[3][k].as_py()))
         if len(rows) > 1:
             yield work(at, rows)
 
