@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; longer single texts are looked at alone.
 BLOCK_BYTES = 1 << 20
+#: Rows with texts that go to a Python worker together.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` over rows that hold whole texts.
+
+    Batches have ``BATCH_ROWS`` rows at most instead of Spark's ten thousand, as a batch lies in memory several
+    times (JVM, Arrow, Python).  The setting is the session's.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def held_out(doc_id: str, folds: int, fold: int):
     """Whether crc32 of the id as text falls into ``fold`` of ``folds``; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))

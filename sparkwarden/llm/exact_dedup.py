@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import cut, table, text_column
+from sparkwarden.llm.common import cut, map_texts, table, text_column
 
 #: Fixed value: the characters that don't matter.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                     shas.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(shas, pa.string()), batch.column(2)], names=["doc_id", "n_points", "fp", "sha", "row"])
 
-    return docs.select(F.col(id_column).alias("doc_id"), text, F.xxhash64(text).alias("row")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(id_column).alias("doc_id"), text, F.xxhash64(text).alias("row")), run, schema)
 
 
 def _filter_rows(fps: np.ndarray) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import blocks, held_out, table, text_column
+from sparkwarden.llm.common import blocks, held_out, map_texts, table, text_column
 
 #: Labelled texts per language that the model is fitted on, about.
 SAMPLE_ROWS = 400
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame) -> Model | None:
                 yield pa.RecordBatch.from_arrays(rows, names=["lang", "key", "bins", "sizes"])
 
     kind = labelled.schema["key"].dataType.simpleString()
-    found = sample.select("text", "lang", "key").mapInArrow(vectors, f"lang string, key {kind}, bins binary, sizes binary").collect()
+    found = map_texts(sample.select("text", "lang", "key"), vectors, f"lang string, key {kind}, bins binary, sizes binary").collect()
     found.sort(key=lambda r: (r["lang"], r["key"] is None, r["key"], r["bins"]))
     if not found:
         return None
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...], tex
                 far = ~kept | (1 - cos > model.radius[best])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score), pa.array(far)], names=[*columns, "lang_pred", "score", "rejected"])
 
-    return docs.select(*columns, text, letters.alias("_letters")).mapInArrow(run, schema)
+    return map_texts(docs.select(*columns, text, letters.alias("_letters")), run, schema)
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model | None:

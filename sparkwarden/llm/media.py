@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.llm.common import table, text_column
+from sparkwarden.llm.common import map_texts, table, text_column
 
 #: Fixed values of the format: the order in which a block's coefficients are stored.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -278,7 +278,7 @@ def store_texts(docs: DataFrame, column: str = "text", id_column: str = "doc_id"
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return map_texts(kept, run, schema)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import bounded_sample, held_out, table, text_column
+from sparkwarden.llm.common import bounded_sample, held_out, map_texts, table, text_column
 
 DICTIONARY_ROWS = 1500
 DICTIONARY_BYTES = 96 << 10
@@ -74,7 +74,7 @@ def _with_differences(rows: DataFrame, columns: tuple[str, ...], good: bytes, ba
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(differences(text_column(part.column(n)).to_pylist(), good, bad))], names=[*columns, "difference"])
 
-    return rows.select(*columns, "text").mapInArrow(run, schema)
+    return map_texts(rows.select(*columns, "text"), run, schema)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

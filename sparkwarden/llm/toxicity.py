@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import RunHashes, blocks, bounded_sample, held_out, mix, table, text_column, word_places
+from sparkwarden.llm.common import RunHashes, blocks, bounded_sample, held_out, map_texts, mix, table, text_column, word_places
 
 SAMPLE_ROWS = 12_000
 EPOCHS = 4
@@ -99,7 +99,7 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
 
     ordered = sample.select("text", F.col("label").cast("int").alias("label"), "key").repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "text")
-    found = ordered.select("text", "label").mapInArrow(run, "at bigint, w double").collect()
+    found = map_texts(ordered.select("text", "label"), run, "at bigint, w double").collect()
     return np.array([r["at"] for r in found], np.int64), np.array([r["w"] for r in found])
 
 
@@ -121,7 +121,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: tuple[
             total = np.concatenate(total) if total else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*columns, "score"])
 
-    return docs.select(*columns, text).mapInArrow(run, schema)
+    return map_texts(docs.select(*columns, text), run, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
