@@ -18,7 +18,7 @@ from sparkwarden.functions.rng import uniform, uniform_sql
 from sparkwarden.plans.registry import query
 from sparkwarden.sources.tables import POINTS_SQL, STORES, points, stores, table
 
-#: Minutes of a day in the field, of a stop, and per metre; stops of a region; stops of a route at most.
+#: Minutes of a day in the field, of a stop, and per metre; stops of a region, about; stops of a route at most.
 DAY, SERVICE, PACE, REGION, LONGEST = 480.0, 20.0, 0.2, 40, 40
 
 
@@ -249,7 +249,10 @@ def team_orienteering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("region", "budget", "teams", "day", "stops", "status", F.round("exact", 6).alias("exact"), F.round("heuristic", 6).alias("heuristic"), F.round(100 * F.try_divide(F.col("exact") - F.col("heuristic"), F.col("heuristic")), 4).alias("gain_pct"))
 
 
-@query("rt10_horizon")
+@query(
+    "rt10_horizon",
+    f"WITH {POINTS_SQL}, {_INSTANCE}, h0 AS (SELECT * FROM (SELECT region, id, 0 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) DESC, id) AS place FROM inst) WHERE place <= 4), h1 AS (SELECT * FROM (SELECT region, id, 1 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '1', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '1', 'id')}) DESC, id) AS place FROM (SELECT * FROM inst WHERE id NOT IN (SELECT id FROM h0))) WHERE place <= 4), h2 AS (SELECT * FROM (SELECT region, id, 2 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '2', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '2', 'id')}) DESC, id) AS place FROM (SELECT * FROM inst WHERE id NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1))) WHERE place <= 4) SELECT region, id, cycle, round(score, 6) AS score, place, (place - 1) % 2 + 1 AS team FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)",
+)
 def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three monthly cycles per region, four stops each, no stop twice: the visited go by an anti join (RT10, RT11)."""
     left, done = instance(spark, sf_dir), None
@@ -387,7 +390,10 @@ def cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_lines(scenarios(plan_totals(spark, sf_dir))).select("plan", "scenario", "stops", F.round(total, 2).alias("total"), F.round(total / F.col("stops"), 4).alias("per_check"), (116 * F.col("stops")).alias("top_down_low"), (400 * F.col("stops")).alias("top_down_high"))
 
 
-@query("cv5_cost_sensitivity")
+_CASES = "par(parameter, side, " + ", ".join(COSTS) + ") AS (VALUES " + ", ".join([f"('{n}', '{e}', " + ", ".join(f"{(v[k] if m == n else v[1])}::DOUBLE" for m, v in COSTS.items()) + ")" for n in COSTS for k, e in ((0, "low"), (2, "high"))]) + ")"
+
+
+@query("cv5_cost_sensitivity", f"WITH {_LINES.replace(_PARAMS, _CASES)}, t AS (SELECT plan, parameter, side, labor + mileage + data + training + overhead AS total FROM lines) SELECT plan, parameter, round(max(CASE WHEN side = 'low' THEN total END), 2) AS low, round(max(CASE WHEN side = 'high' THEN total END), 2) AS high, round(max(CASE WHEN side = 'high' THEN total END) - max(CASE WHEN side = 'low' THEN total END), 2) AS swing FROM t GROUP BY ALL")
 def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each parameter at its low and high, all others at base: the swing of the total, largest first (CV5)."""
     cases = [("base", "base")] + [(name, end) for name in COSTS for end in ("low", "high")]

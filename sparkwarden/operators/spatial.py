@@ -194,3 +194,35 @@ def hotspot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = pts.join(dbscan(pts, 20.0, 4), "id").where("cluster >= 0")
     h = c.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("label").alias("total"), F.round(F.avg("label"), 6).alias("mean"), F.countDistinct("label").alias("kinds"), F.round(F.avg("x"), 4).alias("cx"), F.round(F.avg("y"), 4).alias("cy"))
     return h.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "cluster")))  # one row per cluster
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, id, minutes) from each source to all nodes that it reaches: edges (a, b, w) are relaxed until nothing gets shorter.
+
+    Only nodes that got nearer in a round send on, so a round moves the frontier alone.
+    """
+    edges = settled(edges)
+    best = settled(sources.select(F.col("id").alias("src"), "id", F.lit(0.0).alias("minutes")))
+    front = best
+    while not front.isEmpty():
+        tried = front.join(edges, F.col("id") == F.col("a")).groupBy("src", F.col("b").alias("id")).agg(F.min(F.col("minutes") + F.col("w")).alias("new"))
+        front = settled(tried.join(best, ["src", "id"], "left").where(F.col("minutes").isNull() | (F.col("new") < F.col("minutes") - 1e-9)).select("src", "id", F.col("new").alias("minutes")))
+        best = settled(best.unionByName(front).groupBy("src", "id").agg(F.min("minutes").alias("minutes")))
+    return best
+
+
+@query(
+    "jn15_network_minutes",
+    f"""WITH RECURSIVE {POINTS_SQL}, e AS (SELECT a.id AS a, b.id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) * 0.2 AS w FROM points a JOIN points b ON a.id <> b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 40),
+ s AS (SELECT min(id) AS id FROM points GROUP BY label), sp(src, id, d) USING KEY (src, id) AS (SELECT id, id, 0.0::DOUBLE FROM s UNION SELECT n.src, n.id, n.d FROM (SELECT sp.src, e.b AS id, min(sp.d + e.w) AS d FROM sp JOIN e ON e.a = sp.id GROUP BY sp.src, e.b) n LEFT JOIN recurring.sp k ON k.src = n.src AND k.id = n.id WHERE k.d IS NULL OR n.d < k.d - 1e-9)
+ SELECT s.id AS src, p.id, round(coalesce(sp.d, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) * 0.2 * 1.35), 5) AS minutes FROM s JOIN points q ON q.id = s.id CROSS JOIN points p LEFT JOIN sp ON sp.src = s.id AND sp.id = p.id WHERE p.label = q.label""",
+)
+def network_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes along a network of short legs from each label's first point to its others; straight lines where there is no way (JN15)."""
+    pts = points(spark, sf_dir)
+    pairs = within_distance(pts.select("id", "x", "y"), as_right(pts), 40.0).where("id <> rid")
+    first = pts.groupBy("label").agg(F.min("id").alias("id"))
+    paths = shortest_paths(pairs.select(F.col("id").alias("a"), F.col("rid").alias("b"), (F.col("d") * 0.2).alias("w")), first)
+    start = pts.join(first, ["label", "id"]).select("label", F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    straight = F.sqrt(F.pow(F.col("x") - F.col("sx"), F.lit(2)) + F.pow(F.col("y") - F.col("sy"), F.lit(2))) * 0.2 * 1.35
+    return pts.join(F.broadcast(start), "label").join(paths, ["src", "id"], "left").select("src", "id", F.round(F.coalesce("minutes", straight), 5).alias("minutes"))
