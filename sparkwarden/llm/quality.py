@@ -1,8 +1,10 @@
 """Operator 7: quality by compression.
 
-Two zstandard dictionaries are built, from texts labelled good and bad.  A text is compressed with each; the
-difference of the sizes over their sum says which it resembles.  A logistic curve, fitted on labelled texts that
-are in neither dictionary, turns the difference into the probability of label 1.
+Two zstandard dictionaries are built, of texts labelled good and of texts labelled bad: each holds the ends of its texts.
+A text is compressed with each; the difference of the sizes over their sum says which it resembles.  A logistic curve,
+fitted on labelled texts that are in neither dictionary, turns the difference into the probability of label 1.  The curve
+also sees how far the text compresses at all (its logarithm and the square of that), as text that repeats
+itself and text that is noise resemble neither dictionary.  ``SMOOTHING`` bytes draw very short texts to the middle.
 
 Both fits use bounded samples: ``DICTIONARY_ROWS`` texts per label and ``CURVE_ROWS`` texts for the curve, chosen by
 hash.  Scoring compresses every text as a whole.  Null and empty texts have a difference of 0.  If a label has no
@@ -23,71 +25,75 @@ from pyspark.sql import functions as F
 from sparkwarden.llm.common import bounded_sample, held_out, map_texts, table, text_column
 
 DICTIONARY_ROWS = 1500
-DICTIONARY_BYTES = 96 << 10
+DICTIONARY_BYTES = 1 << 20
 CURVE_ROWS = 6000
 LEVEL = 3
+SMOOTHING = 64
+INPUTS = ("difference", "_size", "_size * _size")
 
 
 @dataclass
 class Model:
-    """The dictionaries (empty where there was nothing to learn from) and the curve over the difference."""
+    """The dictionaries (empty where there was nothing to learn from), and the curve's slopes over INPUTS and its offset."""
 
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, ...]
     offset: float
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary trained on texts; of few texts their own bytes serve."""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(texts)[-DICTIONARY_BYTES:]
+    """The ends of all texts, as long as they fit."""
+    each = max(64, DICTIONARY_BYTES // max(len(texts), 1))
+    return b"".join(t[-each:] for t in texts)[-DICTIONARY_BYTES:]
 
 
-def differences(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
-    """Per text (size with the bad dictionary - size with the good one) / sum of both."""
-    out = np.zeros(len(texts))
+def compressed(texts: list[str], good: bytes, bad: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the difference of its sizes with the bad and the good dictionary over their sum, and the logarithm of
+    their mean over its own size."""
+    difference, size = np.zeros(len(texts)), np.zeros(len(texts))
     if not good or not bad:
-        return out
+        return difference, size
     tools = []
     for d in (good, bad):
-        packed = zstandard.ZstdCompressionDict(d)
+        packed = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packed.precompute_compress(level=LEVEL)
         tools.append(zstandard.ZstdCompressor(dict_data=packed, write_content_size=False, write_checksum=False, write_dict_id=False))
     for k, t in enumerate(texts):
         if t:
             raw = t.encode("utf-8", "replace")
             a, b = len(tools[0].compress(raw)), len(tools[1].compress(raw))
-            out[k] = (b - a) / (a + b)
-    return out
+            difference[k] = (b - a) / (a + b + SMOOTHING)
+            size[k] = np.log((a + b + 2 * SMOOTHING) / (2 * (len(raw) + SMOOTHING)))
+    return difference, size
 
 
 def _with_differences(rows: DataFrame, columns: tuple[str, ...], good: bytes, bad: bytes) -> DataFrame:
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), "difference double"])
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), "difference double, _size double"])
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(differences(text_column(part.column(n)).to_pylist(), good, bad))], names=[*columns, "difference"])
+                found = compressed(text_column(part.column(n)).to_pylist(), good, bad)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *map(pa.array, found)], names=[*columns, "difference", "_size"])
 
     return map_texts(rows.select(*columns, "text"), run, schema)
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of least loss, by Newton's method, with a small ridge."""
-    scale = x.std() or 1.0
-    a, w = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(2)
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and offset of the logistic curve of least loss, by Newton's method, with a small ridge."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    a, w = np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-3 * np.eye(2), a.T @ (p - y) + 1e-3 * w)
+        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-2 * np.eye(len(w)), a.T @ (p - y) + 1e-2 * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    slopes = w[:-1] / scale
+    return tuple(map(float, slopes)), float(w[-1] - slopes @ mean)
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -100,15 +106,18 @@ def fit(labelled: DataFrame) -> Model:
         texts = [r["text"].encode("utf-8", "replace") for r in sorted(rows, key=lambda r: (r["key"] is None, r["key"], r["text"] or "")) if r["text"]]
         packs.append(_dictionary(texts) if texts else b"")
     rows = _with_differences(bounded_sample(known.where(~half), CURVE_ROWS, "key"), ("label",), *packs).collect()
-    x, y = np.array([r["difference"] for r in rows]), np.array([r["label"] for r in rows], float)
-    order = np.lexsort((y, x))
-    return Model(*packs, *(_curve(x[order], y[order]) if len(x) else (0.0, 0.0)))
+    rows.sort(key=lambda r: (r["difference"], r["_size"], r["label"]))  # so that sums don't depend on partitions
+    x, y = np.array([[r["difference"], r["_size"], r["_size"] ** 2] for r in rows]), np.array([r["label"] for r in rows], float)
+    return Model(*packs, *(_curve(x, y) if len(x) else ((0.0,) * len(INPUTS), 0.0)))
 
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...], text: str = "text") -> DataFrame:
     """``columns`` of each row, its difference and its score from 0 to 1."""
     rows = _with_differences(docs.select(*columns, F.col(text).alias("text")), columns, model.good, model.bad)
-    return rows.withColumn("score", 1 / (1 + F.exp(-(F.col("difference") * model.slope + model.offset))))
+    total = F.lit(model.offset)
+    for slope, x in zip(model.slopes, INPUTS, strict=True):
+        total = total + slope * F.expr(x)
+    return rows.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))))).drop("_size")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
