@@ -16,6 +16,7 @@ MODULES = (
     "sparkwarden.operators.risk",
     "sparkwarden.plans.chartspec",
     "sparkwarden.sources.landed",
+    "sparkwarden.sources.reference",
     "sparkwarden.streaming.events",
 )
 
