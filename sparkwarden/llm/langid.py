@@ -53,9 +53,9 @@ def count_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def gram_rows(texts: pa.Array) -> Iterator[np.ndarray]:
     """Count matrices of a few hundred texts at a time, in order."""
-    for _, data, offsets in blocks(pc.utf8_lower(texts), 1 << 19):
-        for at in range(0, len(offsets) - 1, 256):
-            some = offsets[at : at + 257]
+    for _, data, offsets in blocks(pc.utf8_lower(texts)):
+        for at in range(0, len(offsets) - 1, 128):
+            some = offsets[at : at + 129]
             yield count_grams(data[some[0] : some[-1]], some - some[0])
 
 

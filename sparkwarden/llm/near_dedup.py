@@ -131,7 +131,7 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     shared = np.bincount(number) > 1  # a shingle of one class alone is in no intersection
     keep = shared[number]
     number, owner = (np.cumsum(shared) - 1)[number[keep]], owner[keep]
-    out, wide = np.zeros((len(left), len(right)), np.float32), 4096
+    out, wide = np.zeros((len(left), len(right)), np.float32), 1024
     for lo in range(0, int(shared.sum()), wide):
         a, b = np.searchsorted(number, [lo, lo + wide])
         m = np.zeros((len(left) + len(right), wide), np.float32)
