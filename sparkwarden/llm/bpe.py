@@ -31,7 +31,7 @@ from sparkwarden.llm.common import map_texts, table, text_column
 #: Fixed value: the pre-tokenizer's pattern, as the vocabulary's publisher states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pretokens that a worker keeps encoded; when the store is full it is emptied.
-STORE = 100_000
+STORE = 150_000
 #: The same pattern for Python's own, faster matcher; it differs where a text holds digits that are not decimal,
 #: separators U+001C to U+001F or letters of later Unicode versions, so it serves texts of these characters alone.
 _QUICK = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")

@@ -35,8 +35,8 @@ SHARD_SLOTS = 4096
 CHUNK_ROWS = 500
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Rows (16 bytes each) up to which the table of copies is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows (some 660 bytes each once hashed) up to which the table of copies is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:

@@ -38,8 +38,8 @@ RECALL = 0.9999
 HASHES = 96
 #: Classes of a block; a pair of blocks is one piece of work.
 BLOCK = 256
-#: Rows (about 100 bytes each) up to which the table of classes to verify is broadcast to the scan of texts; beyond, texts are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows (some 400 bytes each once hashed) up to which the table of classes to verify is broadcast to the scan of texts; beyond, texts are joined by shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def choose_bands(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
