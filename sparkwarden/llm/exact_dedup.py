@@ -137,7 +137,10 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     else:
         classes = prints.groupBy("fp", "sha").agg(*best).join(many, "fp", "left_semi")
     classes = cut(classes.select("fp", "sha", "n", (-F.col("best.d")).alias("keep_id"), F.col("best.p").alias("keep_points")))
-    verified = verify(docs, classes.select("fp", "sha", "n"), text)
+    small = classes.count() <= BROADCAST_ROWS
+    routed = prints.join(F.broadcast(classes.select("fp", "sha")) if small else classes.select("fp", "sha"), ["fp", "sha"], "left_semi")
+    routed = cut(routed.select("row").distinct())
+    verified = verify(docs, classes.select("fp", "sha", "n"), routed, text)
     classes = classes.join(verified, ["fp", "sha"]).withColumnRenamed("n", "size")
     joined = prints.join(classes, ["fp", "sha"], "left")
     single = F.col("size").isNull()
@@ -151,16 +154,16 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     )
 
 
-def verify(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
+def verify(docs: DataFrame, classes: DataFrame, routed: DataFrame, text: str) -> DataFrame:
     """The classes of ``classes`` (fp, sha, n) whose rows all hold the same bytes.
 
-    Texts whose digest begins a class are grouped by their whole normalised text.  Partial aggregation
-    leaves one row per text and task before the shuffle.  A class that held different bytes raises.
+    ``routed`` has the hashes of the raw texts behind the classes; no other text is normalised again.  The normalised
+    texts are grouped as a whole.  Partial aggregation leaves one row per text and task before the shuffle.
+    A class that held different bytes raises.
     """
-    norm = F.translate(F.coalesce(F.col(text), F.lit("")), BLANKS.decode(), "")
-    texts = docs.select(norm.alias("norm")).withColumn("sha", F.sha2(F.encode("norm", "utf-8"), 256))
-    if classes.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(classes.select("sha")), "sha", "left_semi")
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("raw"), F.xxhash64(text).alias("row"))
+    texts = texts.join(F.broadcast(routed) if routed.count() <= BROADCAST_ROWS else routed, "row", "left_semi")
+    texts = texts.select(F.translate("raw", BLANKS.decode(), "").alias("norm")).withColumn("sha", F.sha2(F.encode("norm", "utf-8"), 256))
     groups = texts.groupBy("sha", "norm").agg(F.count("*").alias("m"))
     found = groups.join(classes, "sha", "inner").groupBy("fp", "sha", "n").agg(F.count("*").alias("texts"), F.sum("m").alias("rows"))
     wrong = F.raise_error(F.concat(F.lit("different texts share a sha256: "), F.col("sha"))).cast("boolean")
