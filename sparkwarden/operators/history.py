@@ -6,7 +6,7 @@ of the same day are treated alike.  Days since an event count from the cutoff, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import name_key
@@ -23,20 +23,28 @@ def before(days: int | None = None, key: str = "entity", day: str = "dn"):
     return Window.partitionBy(key).orderBy(day).rangeBetween(start, -LAG)
 
 
-def history_columns() -> dict[str, Column]:
-    """Counts, trailing counts and days since, as of the cutoff."""
+def daily_history(log: DataFrame) -> DataFrame:
+    """Per entity and day: counts, trailing counts and days since, as of the day's cutoff.
+
+    All records of a day are alike, so the windows run over daily totals: an entity has a row per day at most, however
+    many records it has, and a hot entity's records are summed before the shuffle.
+    """
+    daily = log.groupBy("entity", "dn").agg(F.count("y").alias("_n"), F.sum("y").alias("_v"))
     past, cutoff = before(), F.col("dn") - LAG
     since = lambda last: F.coalesce(F.least(cutoff - last, F.lit(NEVER)), F.lit(NEVER)).cast("int")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return {
-        "n_prior_checks": F.count("y").over(past),
-        "n_prior_viol": zero(F.sum("y").over(past)),
-        "viol_12m": zero(F.sum("y").over(before(YEAR))),
-        "viol_24m": zero(F.sum("y").over(before(2 * YEAR))),
-        "viol_36m": zero(F.sum("y").over(before(3 * YEAR))),
-        "days_since_check": since(F.max("dn").over(past)),
-        "days_since_viol": since(F.max(F.when(F.col("y") == 1, F.col("dn"))).over(past)),
-    }
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint")
+    return daily.select(
+        "entity",
+        "dn",
+        total("_n", past).alias("n_prior_checks"),
+        total("_v", past).alias("n_prior_viol"),
+        *[total("_v", before(k * YEAR)).alias(f"viol_{12 * k}m") for k in (1, 2, 3)],
+        since(F.max("dn").over(past)).alias("days_since_check"),
+        since(F.max(F.when(F.col("_v") > 0, F.col("dn"))).over(past)).alias("days_since_viol"),
+    )
+
+
+FEATURES = ("n_prior_checks", "n_prior_viol", "viol_12m", "viol_24m", "viol_36m", "days_since_check", "days_since_viol")
 
 
 HISTORY = f"""hist AS (SELECT entity, dn, day, fy, y, up, part, orderkey, line,
@@ -51,13 +59,16 @@ HISTORY = f"""hist AS (SELECT entity, dn, day, fy, y, up, part, orderkey, line,
 
 @query("wn1_history_features", f"WITH {CHECKS}, {HISTORY} SELECT entity, dn, y, n_prior_checks, n_prior_viol, viol_12m, viol_24m, viol_36m, days_since_check, days_since_viol FROM hist")
 def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lag-guarded history of each undercover check (one shuffle by entity, one sort)."""
-    return with_history(checks(spark, sf_dir).where("up")).select("entity", "dn", "y", *history_columns())
+    """Lag-guarded history of each undercover check."""
+    return with_history(checks(spark, sf_dir).where("up").select("entity", "dn", "y")).select("entity", "dn", "y", *FEATURES)
 
 
 def with_history(log: DataFrame) -> DataFrame:
-    """log (entity, dn, y) with the history columns."""
-    return log.withColumns(history_columns())
+    """log (entity, dn, y) with the columns of its days' history; rows without an entity have none.
+
+    The join back is on entity and day; adaptive execution splits a hot entity's rows.
+    """
+    return log.join(daily_history(log), ["entity", "dn"], "left")
 
 
 @query(
