@@ -300,7 +300,8 @@ def _run_policy(name: str, p, h, det, v36, budget: int, cycles: int, rng, respon
         elif name in ("prize_top_fixed", "prize_at_most_once"):
             score = np.where(seen, -1, prize) if name == "prize_at_most_once" else prize
         else:
-            score = h * rng.beta(KAPPA * p, KAPPA * (1 - p)) + LAMBDA * det
+            kappa = response.get("kappa", KAPPA)
+            score = h * rng.beta(kappa * p, kappa * (1 - p)) + LAMBDA * det
             if name == "thompson_prize_random":
                 first = rng.choice(n, min(quota, n), replace=False)
         order = np.argsort(-score, kind="stable")
@@ -316,8 +317,8 @@ def _simulate(keys: list[str]):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         at = dict(zip(keys, key, strict=True))
         rows = rows.sort_values("store")
-        rng = np.random.default_rng([SEED, int(at["sim"]), int(at["tract"]), POLICIES.index(at["policy"]), int(at["delta"] * 100)])
-        response = {"delta": at["delta"], "memory": 3, "rho": at["rho"], "window": 6, "gamma": at["gamma"]}
+        rng = np.random.default_rng([SEED, int(at["sim"]), int(at["tract"]), POLICIES.index(at["policy"]), int(at["delta"] * 100), int(at["kappa"])])
+        response = {"delta": at["delta"], "memory": 3, "rho": at["rho"], "window": 6, "gamma": at["gamma"], "kappa": at["kappa"]}
         out = _run_policy(at["policy"], *(rows[c].to_numpy(float) for c in ("p", "h", "det", "v36")), 4, 12, rng, response)
         return pd.DataFrame([{**at, **out}])
 
@@ -327,12 +328,12 @@ def _simulate(keys: list[str]):
 @query("sm3_policy_simulation")
 def policy_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential policies under deterrence: each (tract, policy, response, simulation) is a group of its own (SM2 to SM4, PL4)."""
-    keys = ["tract", "policy", "delta", "rho", "gamma", "sim"]
+    keys = ["tract", "policy", "delta", "rho", "gamma", "kappa", "sim"]
     s = stores(spark, sf_dir).select("store", "tract", "p", "h", "det", "v36")
-    grid = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(r).alias("rho"), F.lit(g).alias("gamma")) for d, r, g in ((0.0, 0.0, 0.0), (0.5, 0.6, 0.5))])
+    grid = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(r).alias("rho"), F.lit(g).alias("gamma"), F.lit(k).alias("kappa")) for d, r, g, k in ((0.0, 0.0, 0.0, KAPPA), (0.5, 0.6, 0.5, KAPPA), (0.5, 0.6, 0.5, 20.0))])
     rows = replicates(s.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).withColumn("g", F.explode(grid)).select("*", "g.*").drop("g"), 2)
-    out = rows.groupBy(*keys).applyInPandas(_simulate(keys), "tract int, policy string, delta double, rho double, gamma double, sim int, found double, exposure double, distinct_stores long")
-    return out.groupBy("policy", "delta", "rho", "gamma").agg(F.round(F.avg("found"), 5).alias("found"), F.round(F.percentile("found", 0.025), 5).alias("lo"), F.round(F.percentile("found", 0.975), 5).alias("hi"), F.round(F.avg("exposure"), 6).alias("exposure"), F.sum("distinct_stores").alias("distinct_stores"))
+    out = rows.groupBy(*keys).applyInPandas(_simulate(keys), "tract int, policy string, delta double, rho double, gamma double, kappa double, sim int, found double, exposure double, distinct_stores long")
+    return out.groupBy("policy", "delta", "rho", "gamma", "kappa").agg(F.round(F.avg("found"), 5).alias("found"), F.round(F.percentile("found", 0.025), 5).alias("lo"), F.round(F.percentile("found", 0.975), 5).alias("hi"), F.round(F.avg("exposure"), 6).alias("exposure"), F.sum("distinct_stores").alias("distinct_stores"))
 
 
 def _year(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -51,6 +51,13 @@ def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("fy").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("rate")).withColumn("test", F.col("fy") == 2001)
 
 
+@query("fl6_scope_filter", f"WITH {STORES} SELECT CASE WHEN tract < 5 THEN 'city' ELSE 'postal' END AS scope, count(*) AS n, count(DISTINCT location) AS locations FROM stores WHERE tract < 12 GROUP BY 1")
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores inside the city and in its postal area."""
+    inside = stores(spark, sf_dir).where("tract < 12")
+    return inside.groupBy(F.when(F.col("tract") < 5, "city").otherwise("postal").alias("scope")).agg(F.count("*").alias("n"), F.countDistinct("location").alias("locations"))
+
+
 @query("fl7_group_filter", f"WITH {STORES} SELECT location, count(DISTINCT segment) AS n_segments, count(*) AS n FROM stores GROUP BY location HAVING count(DISTINCT segment) > 1")
 def group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations with licences of more than one kind."""
