@@ -32,6 +32,8 @@ from sparkwarden.llm.common import map_texts, table, text_column
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pretokens that a worker keeps encoded; when the store is full it is emptied.
 STORE = 150_000
+#: Judged pairs of tokens that a worker keeps, likewise.
+PAIRS = 100_000
 #: The same pattern for Python's own, faster matcher; it differs where a text holds digits that are not decimal,
 #: separators U+001C to U+001F or letters of later Unicode versions, so it serves texts of these characters alone.
 _QUICK = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
@@ -99,8 +101,8 @@ class Codec:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.as_text = _Store(self._learn)
         self.as_ids = _Store(lambda w: np.array(self.encode_word(w.encode()), np.int32).tobytes())
+        self.names = [str(i) for i in range(size)]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b by rank ends in a, b."""
@@ -120,7 +122,7 @@ class Codec:
                 limit, right = rank[right] + 1, parts[right][0]
             else:
                 break
-        if len(self.pairs) > STORE:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[a, b] = fits
         return fits
@@ -179,13 +181,6 @@ class Codec:
                 break
         return fits and self._reached(a) and self._reached(b)
 
-    def _learn(self, word: str) -> str:
-        ids = self.encode_word(word.encode())
-        if len(self.as_ids) >= STORE:
-            self.as_ids.clear()
-        self.as_ids[word] = np.array(ids, np.int32).tobytes()
-        return ",".join(map(str, ids))
-
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids of a whole text, as an array and joined by commas."""
         joined, raw = [], []
@@ -197,8 +192,9 @@ class Codec:
             elif part:
                 pattern = self.pattern if _OTHER.search(part) else _QUICK
                 for words in self._words(pattern, part):
-                    joined.append(",".join(map(self.as_text.__getitem__, words)))
-                    raw.append(b"".join(map(self.as_ids.__getitem__, words)))
+                    some = b"".join(map(self.as_ids.__getitem__, words))
+                    raw.append(some)
+                    joined.append(",".join(map(self.names.__getitem__, np.frombuffer(some, np.int32).tolist())))
         return np.frombuffer(b"".join(raw), np.int32), ",".join(joined)
 
     @staticmethod
