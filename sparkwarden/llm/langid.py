@@ -3,8 +3,10 @@
 A text's vector counts its hashed byte bigrams and trigrams (lower case; digits, punctuation and blanks are one
 blank), damped by a square root, times inverse document frequency, scaled to length one.  Each language has
 several centroids, found by spherical k-means within its sample.  A text gets the language of the centroid with
-the highest cosine, and is rejected if it lies farther from it than the language's radius: the largest distance
-of a sampled text of that language, plus a margin.
+the highest cosine, and is rejected if it lies farther from it than the language's radius for texts of its length.
+Few grams lie far from any centroid, so each class of lengths has its own radius.  It comes from the distances of the
+sampled texts and of their beginnings, cut to each length: of these cosines a low quantile times ``SLACK`` is the
+least that is accepted.  So no radius reaches 1, and one odd text does not open its language.
 
 The model is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled texts per language, chosen by hash.
 Null texts and texts without a letter are ``und`` with score 0.  Without labelled rows every text is ``und``.
@@ -27,7 +29,11 @@ from sparkwarden.llm.common import blocks, held_out, map_texts, table, text_colu
 SAMPLE_ROWS = 400
 CENTROIDS = 4
 BINS = 1 << 13
-MARGIN = 0.3
+#: Least numbers of grams of the length classes but the first, and bytes of the beginnings that stand for those that are short.
+LENGTHS = (24, 64, 128, 256, 512)
+PIECES = (10, 24, 50, 100, 200)
+#: The quantile of a class's distances, and the share of that text's cosine that is still accepted.
+QUANTILE, SLACK = 0.99, 0.7
 UNKNOWN = "und"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -51,9 +57,16 @@ def count_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(np.concatenate(at), minlength=n * BINS).reshape(n, BINS).astype(np.float32)
 
 
+def beginnings(texts: pa.Array, size: int) -> tuple[pa.Array, np.ndarray]:
+    """The first bytes of the longer texts, lower case, and where these texts stand."""
+    raw = pc.utf8_lower(texts).cast(pa.binary())
+    at = np.flatnonzero(pc.greater(pc.binary_length(raw), size).to_numpy(zero_copy_only=False))
+    return pc.binary_slice(raw.take(pa.array(at)), 0, size), at
+
+
 def gram_rows(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Count matrices of a few hundred texts at a time, in order."""
-    for _, data, offsets in blocks(pc.utf8_lower(texts)):
+    """Count matrices of a few hundred texts at a time, in order; binary texts are lower case already."""
+    for _, data, offsets in blocks(texts if pa.types.is_binary(texts.type) else pc.utf8_lower(texts)):
         for at in range(0, len(offsets) - 1, 128):
             some = offsets[at : at + 129]
             yield count_grams(data[some[0] : some[-1]], some - some[0])
@@ -61,7 +74,7 @@ def gram_rows(texts: pa.Array) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """Centroids as rows; ``of`` has the language of each, ``radius`` its largest distance."""
+    """Centroids as rows; ``of`` has the language of each, ``radius`` its largest distance by length class."""
 
     langs: list[str]
     idf: np.ndarray
@@ -75,6 +88,23 @@ class Model:
         best = cos.argmax(axis=1)
         return best, cos[np.arange(len(best)), best]
 
+    def judge(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest centroid, its cosine, and whether it is too far for texts of this length."""
+        best, cos = self.nearest(counts)
+        return best, cos, 1 - cos > self.radius[best, length_class(counts)]
+
+
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """The length class of each row of counts."""
+    return np.searchsorted(LENGTHS, counts.sum(axis=1), side="right")
+
+
+def radii(distances: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The radius of each length class; a shorter class's is at least a longer one's, and an empty class has its neighbour's."""
+    found = [1 - SLACK * (1 - np.quantile(distances[classes == c], QUANTILE)) if (classes == c).any() else np.nan for c in range(len(LENGTHS) + 1)]
+    longer = np.fmax.accumulate(found[::-1])[::-1]
+    return np.where(np.isnan(longer), np.nanmin(longer), longer)
+
 
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; rows of zeros stay."""
@@ -92,6 +122,14 @@ def clusters(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def dense(rows: list) -> np.ndarray:
+    """The count matrix of collected rows."""
+    counts = np.zeros((len(rows), BINS), np.float32)
+    for row, r in zip(counts, rows, strict=True):
+        row[np.frombuffer(r["bins"], np.uint16)] = np.frombuffer(r["sizes"], np.uint32)
+    return counts
+
+
 def fit(labelled: DataFrame) -> Model | None:
     """A model from labelled (text, lang, key); key is what the sample is chosen by."""
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -103,33 +141,42 @@ def fit(labelled: DataFrame) -> Model | None:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bins, sizes = [], []
-                for m in gram_rows(text_column(batch.column(0))):
-                    for c in m:
-                        at = np.flatnonzero(c)
-                        bins.append(at.astype(np.uint16).tobytes())
-                        sizes.append(c[at].astype(np.uint32).tobytes())
-                rows = [batch.column(1), batch.column(2), pa.array(bins, pa.binary()), pa.array(sizes, pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, names=["lang", "key", "bins", "sizes"])
+                texts = text_column(batch.column(0))
+                for piece, (some, own) in enumerate([(texts, np.arange(len(texts))), *(beginnings(texts, size) for size in PIECES)]):
+                    bins, sizes = [], []
+                    for m in gram_rows(some):
+                        for c in m:
+                            at = np.flatnonzero(c)
+                            bins.append(at.astype(np.uint16).tobytes())
+                            sizes.append(c[at].astype(np.uint32).tobytes())
+                    own = pa.array(own)
+                    rows = [batch.column(1).take(own), batch.column(2).take(own), pa.array(np.full(len(own), piece, np.int32)), pa.array(bins, pa.binary()), pa.array(sizes, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(rows, names=["lang", "key", "piece", "bins", "sizes"])
 
     kind = labelled.schema["key"].dataType.simpleString()
-    found = map_texts(sample.select("text", "lang", "key"), vectors, f"lang string, key {kind}, bins binary, sizes binary").collect()
+    found = map_texts(sample.select("text", "lang", "key"), vectors, f"lang string, key {kind}, piece int, bins binary, sizes binary").collect()
     found.sort(key=lambda r: (r["lang"], r["key"] is None, r["key"], r["bins"]))
     if not found:
         return None
-    counts_of = np.zeros((len(found), BINS), np.float32)
-    for row, r in zip(counts_of, found, strict=True):
-        row[np.frombuffer(r["bins"], np.uint16)] = np.frombuffer(r["sizes"], np.uint32)
+    pieces, found = [r for r in found if r["piece"]], [r for r in found if not r["piece"]]
+    counts_of = dense(found)
     idf = (np.log((1 + len(found)) / (1 + (counts_of > 0).sum(axis=0))) + 0.2).astype(np.float32)
     rows, labels = unit(np.sqrt(counts_of) * idf), np.array([r["lang"] for r in found])
     langs = sorted(set(labels.tolist()))
+    piece_langs, classes = np.array([r["lang"] for r in pieces]), length_class(counts_of)
     centres, of, radius = [], [], []
     for k, lang in enumerate(langs):
         own = rows[labels == lang]
         made = clusters(own, CENTROIDS)
         centres.append(made)
         of += [k] * len(made)
-        radius += [float(1 - (own @ made.T).max(axis=1).min()) + MARGIN] * len(made)
+        distances, lengths = [1 - (own @ made.T).max(axis=1)], [classes[labels == lang]]
+        short = np.flatnonzero(piece_langs == lang)
+        for at in range(0, len(short), 256):
+            counts_at = dense([pieces[i] for i in short[at : at + 256]])
+            distances.append(1 - (unit(np.sqrt(counts_at) * idf) @ made.T).max(axis=1))
+            lengths.append(length_class(counts_at))
+        radius += [radii(np.concatenate(distances), np.concatenate(lengths))] * len(made)
     return Model(langs, idf, np.vstack(centres).astype(np.float32), np.array(of), np.array(radius))
 
 
@@ -146,10 +193,10 @@ def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...], tex
             size = batch.num_rows
             lang, score, far = np.full(size, UNKNOWN, object), np.zeros(size), np.ones(size, bool)
             if model is not None and size:
-                best, cos = map(np.concatenate, zip(*[model.nearest(m) for m in gram_rows(text_column(batch.column(n)))], strict=True))
+                best, cos, far = map(np.concatenate, zip(*[model.judge(m) for m in gram_rows(text_column(batch.column(n)))], strict=True))
                 score = np.where(kept, np.clip(cos, 0, 1).astype(float), 0)
                 lang = np.where(kept, np.array(model.langs, object)[model.of[best]], UNKNOWN)
-                far = ~kept | (1 - cos > model.radius[best])
+                far |= ~kept
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score), pa.array(far)], names=[*columns, "lang_pred", "score", "rejected"])
 
     return map_texts(docs.select(*columns, text, letters.alias("_letters")), run, schema)

@@ -1,5 +1,6 @@
 """The text operators against brute force, on small tables with nulls, blanks, ties, repeats and clashing columns."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -198,6 +199,35 @@ def test_language_rejects_what_is_far(spark):
     assert langid.identify(far, model, ("doc_id",)).first().rejected
 
 
+FOREIGN = {
+    "ru": "Вчера вечером мы долго гуляли по городу и говорили о книгах, которые читали в детстве. Потом пошёл сильный дождь.",
+    "zh": "昨天晚上我们在城里走了很久,谈论我们小时候读过的书。后来下起了大雨,大家都跑回家了。",
+    "pl": "Wczoraj wieczorem długo spacerowaliśmy po mieście i rozmawialiśmy o książkach, które czytaliśmy w dzieciństwie.",
+    "fi": "Eilen illalla kävelimme pitkään kaupungilla ja puhuimme kirjoista, joita luimme lapsina. Sitten alkoi sataa kovaa.",
+    "letters": "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(600)),
+    "noise": base64.b64encode(random.Random(2).randbytes(450)).decode(),
+}
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_learned_radius_rejects_foreign_texts_and_noise_but_not_short_ones(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    model = langid.learn(docs)
+    assert (model.radius < 1).all()
+    far = spark.createDataFrame(list(FOREIGN.items()), "doc_id string, text string")
+    assert {r.doc_id: r.rejected for r in langid.identify(far, model, ("doc_id",)).collect()} == dict.fromkeys(FOREIGN, True)
+    rows = langid.identify(docs, model, ("doc_id", "n_chars")).where(common.held_out("doc_id", 3, 1)).collect()
+    assert np.mean([r.rejected for r in rows]) < 0.002
+    assert sum(r.rejected for r in rows if r.n_chars < 120) <= 1
+
+
+def test_one_odd_text_does_not_open_its_language(spark):
+    rows = [(words(60, i), "en", i) for i in range(300)]
+    kinds = "text string, lang string, key int"
+    plain, odd = (langid.fit(spark.createDataFrame(r, kinds)) for r in (rows, [*rows, (FOREIGN["ru"], "en", 300)]))
+    assert odd.radius[:, -1].max() < plain.radius[:, -1].max() + 0.1
+
+
 def test_gram_counts_agree_with_a_loop():
     texts = ["ab cd", "", "é1", "a"]
     raw = [t.encode() for t in texts]
