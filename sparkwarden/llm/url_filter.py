@@ -5,10 +5,13 @@ Rules label the urls that they fit.  For all others the tree of their host judge
 1. A path's variable segments become wildcards: numbers, hexadecimal and mixed identifiers by their form, and
    the children of a node with many children that are hardly ever seen twice.  Levels below ``DEPTH`` fold into ``{**}``.
 2. Branches of a host that differ in one level alone are merged if their labels agree statistically: each one's
-   share of blocked urls lies within two standard errors of the merged share.  A branch without labels gives no
-   evidence and stays alone.
+   share of blocked urls lies within two standard errors of the merged share.  A branch without labels joins two
+   or more such branches if its subtree has their shape: the template's share of the branch's urls is theirs, within
+   two standard errors.
 3. A template's purity is its share of blocked urls among labelled ones, smoothed towards the share of all urls.
-   Templates with enough labelled urls and a high purity are rejected.
+   One without labels that joins no others has the purity of the nearest node above it that has labels.  Templates
+   with enough labelled urls and a high purity are rejected; where all labels are inherited, they must be of two
+   branches at least.  A host without any labelled url has the share of all urls.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule and are allowed.  Repeated rows are judged
 alike.  Work on paths runs once per host and form of path, not per url.
@@ -69,9 +72,10 @@ def path_form(path: Column) -> Column:
 
 
 def templates(forms: DataFrame) -> DataFrame:
-    """(host, form, n, labelled, blocked), form an array, to host, form, template, purity, support.
+    """(host, form, n, labelled, blocked), form an array, to host, form, template, support, bad, enough.
 
-    Purity and support are those of the merged template; ``prior`` is pooled over all rows.
+    Support and bad count the labelled and the blocked urls of the merged template, or of the node above that an
+    unlabelled one inherits from; enough is false if they are inherited from a single branch.
     """
     nodes = forms.select("host", "form", "n", F.posexplode("form").alias("level", "segment"))
     nodes = nodes.withColumn("parent", F.expr("slice(form, 1, level)"))
@@ -80,21 +84,41 @@ def templates(forms: DataFrame) -> DataFrame:
     named = nodes.join(wide, ["host", "parent"], "left").withColumn("segment", F.when(F.col("wide"), "{*}").otherwise(F.col("segment")))
     named = named.groupBy("host", "form").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "segment"))), lambda s: s["segment"]).alias("template"))
     full = forms.join(named, ["host", "form"], "left").withColumn("template", F.coalesce("template", F.array().cast("array<string>")))
-    sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     alone = full.groupBy("host", "template").agg(*sums)
-    # branches that differ in one level, and have labels
-    masks = alone.where("labelled > 0 AND size(template) > 0").select("*", F.explode(F.sequence(F.lit(0), F.size("template") - 1)).alias("level"))
-    masks = masks.withColumn("mask", F.expr("transform(template, (s, i) -> if(i = level, '{|}', s))"))
-    pooled = masks.groupBy("host", "mask").agg(F.count("*").alias("branches"), F.sum("labelled").alias("pool_labelled"), F.sum("blocked").alias("pool_blocked")).where("branches > 1")
-    share = F.col("pool_blocked") / F.col("pool_labelled")
+    # every level of a template: the branch that it is in there, and what share of the branch's urls it has
+    levels = alone.where("size(template) > 0").select("*", F.explode(F.sequence(F.lit(0), F.size("template") - 1)).alias("level"))
+    levels = levels.withColumn("branch", F.expr("slice(template, 1, level + 1)"))
+    branches = levels.groupBy("host", "branch").agg(F.sum("n").alias("branch_n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    # branches that differ in one level
+    masks = levels.withColumn("mask", F.expr("transform(template, (s, i) -> if(i = level, '{|}', s))"))
+    masks = masks.join(branches.select("host", "branch", "branch_n"), ["host", "branch"])
+    known = F.col("labelled") > 0
+    pools = [F.count_if(known).alias("sources"), F.sum("labelled").alias("pool_labelled"), F.sum("blocked").alias("pool_blocked")]
+    shape = [F.sum(F.when(known, F.col(c))).alias(f"pool_{c}") for c in ("n", "branch_n")]
+    pooled = masks.groupBy("host", "mask").agg(*pools, *shape).where("sources > 1")
+    share, part = F.col("pool_blocked") / F.col("pool_labelled"), (F.col("pool_n") + 1) / (F.col("pool_branch_n") + 2)
     near = F.abs(F.col("blocked") / F.col("labelled") - share) <= 2 * F.sqrt(share * (1 - share) / F.col("labelled")) + 0.02
-    alike = masks.join(pooled, ["host", "mask"]).where(near)
-    merged = alike.groupBy("host", "mask").agg(F.count("*").alias("branches"), F.sum("labelled").alias("pool_labelled"), F.sum("blocked").alias("pool_blocked")).where("branches > 1")
-    best = alike.select("host", "template", "mask").join(merged, ["host", "mask"]).groupBy("host", "template").agg(F.max(F.struct("pool_labelled", "mask", "pool_blocked")).alias("best"))
+    shaped = F.abs(F.col("n") / F.col("branch_n") - part) <= 2 * F.sqrt(part * (1 - part) / F.col("branch_n")) + 0.02
+    alike = masks.join(pooled, ["host", "mask"]).where(F.when(known, near).otherwise(shaped)).select(*masks.columns)
+    merged = alike.groupBy("host", "mask").agg(*pools).where("sources > 1")
+    best = alike.select("host", "template", "mask").join(merged, ["host", "mask"]).groupBy("host", "template").agg(F.max(F.struct("pool_labelled", "mask", "pool_blocked", "sources")).alias("best"))
     judged = alone.join(best, ["host", "template"], "left").select(
-        "host", "template", F.coalesce("best.mask", "template").alias("merged"), F.coalesce("best.pool_labelled", "labelled").alias("support"), F.coalesce("best.pool_blocked", "blocked").alias("bad")
-    )
-    return full.select("host", "form", "template").join(judged, ["host", "template"]).select("host", "form", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "support", "bad")
+        "host", "template", F.coalesce("best.mask", "template").alias("merged"), F.coalesce("best.pool_labelled", "labelled").alias("support"), F.coalesce("best.pool_blocked", "blocked").alias("bad"),
+        F.coalesce("best.sources", known.cast("bigint")).alias("sources"),
+    )
+    # what is left without labels inherits from the nearest node above
+    nodes = branches.where(known).groupBy("host", F.expr("slice(branch, 1, size(branch) - 1)").alias("node")).agg(*pools)
+    bare = judged.where("support = 0 AND size(template) > 0").select("host", "template", F.explode(F.sequence(F.lit(0), F.size("template") - 1)).alias("depth"))
+    above = bare.withColumn("node", F.expr("slice(template, 1, depth)")).join(nodes, ["host", "node"])
+    above = above.groupBy("host", "template").agg(F.max(F.struct("depth", "pool_labelled", "pool_blocked", "sources")).alias("above"))
+    judged = judged.join(above, ["host", "template"], "left").select(
+        "host", "template", "merged", F.coalesce("above.pool_labelled", "support").alias("support"), F.coalesce("above.pool_blocked", "bad").alias("bad"),
+        F.when(F.col("above").isNotNull(), F.col("above.sources")).otherwise(F.col("sources")).alias("sources"), (F.col("support") > 0).alias("own"),
+    )
+    template = F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template")
+    enough = (F.col("own") | (F.col("sources") > 1)).alias("enough")
+    return full.select("host", "form", "template").join(judged, ["host", "template"]).select("host", "form", template, "support", "bad", enough)
 
 
 def filter_urls(pages: DataFrame, url: str = "url", columns: tuple[str, ...] = ("page_id",), rules=RULES) -> DataFrame:
@@ -107,7 +131,7 @@ def filter_urls(pages: DataFrame, url: str = "url", columns: tuple[str, ...] = (
     prior = forms.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("p")).first()["p"]
     prior = 0.5 if prior is None else float(prior)
     purity = (F.col("bad") + SMOOTHING * prior) / (F.col("support") + SMOOTHING)
-    judged = cut(templates(forms).select("host", "form", "template", purity.alias("purity"), ((F.col("support") >= SUPPORT) & (purity >= PURITY)).alias("reject")))
+    judged = cut(templates(forms).select("host", "form", "template", purity.alias("purity"), (F.col("enough") & (F.col("support") >= SUPPORT) & (purity >= PURITY)).alias("reject")))
     side = F.broadcast(judged) if judged.count() <= BROADCAST_ROWS else judged
     own = F.coalesce("says", F.when(F.col("reject"), "block").otherwise("allow"))
     return base.join(side, ["host", "form"], "left").select(*columns, "host", "path", "rule", own.alias("verdict"), "template", "purity")

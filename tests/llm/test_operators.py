@@ -132,6 +132,23 @@ def test_url_templates_reject_by_purity(spark):
     assert got["http://shop.org/bad/59"] == "block" and got["http://shop.org/good/59/"] == "allow" and got["http://other.org/bad/1"] == "allow"
 
 
+def test_unlabelled_url_branches_are_judged_by_those_of_their_shape(spark):
+    rules = [("net", "/es/", "block"), ("net", "/fr/", "block"), ("net", "/ok/", "allow"), ("net", "/fine/", "allow")]
+    own = {
+        "a.net": ["es", "fr", "en"],  # two blocked branches of one shape: the third is alike
+        "b.net": ["es", "en"],  # a single branch is no evidence for another
+        "c.net": ["es", "fr", "ok", "fine", "en"],  # branches that disagree
+        "d.org": ["es", "en"],  # no labels
+    }
+    urls = [f"http://{h}/{b}/{i}" for h, names in own.items() for b in names for i in range(30)]
+    urls += [f"http://c.net/{b}/view/x{k}.html" for b in ("es", "fr", "de") for k in range(4) for _ in range(8)]  # of another shape than /ok/ and /fine/
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {urls[r.page_id]: (r.verdict, r.rule, r.template, r.purity) for r in url_filter.filter_urls(pages, rules=rules).collect()}
+    assert got["http://a.net/en/7"][:3] == ("block", None, "/{|}/{n}") and got["http://a.net/en/7"][3] > 0.8
+    assert [got[f"http://{h}/en/7"][0] for h in ("b.net", "c.net", "d.org")] == ["allow"] * 3
+    assert got["http://c.net/de/view/x1.html"][0] == "block" and got["http://c.net/ok/3"][0] == "allow"
+
+
 def test_url_query_has_all_pages(spark):
     df = queries()["op2_url_filter"](spark, DATA)
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
