@@ -274,66 +274,116 @@ def thompson_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("tract").agg(F.count("*").alias("checks"), F.sum("hit1").alias("seen_before"), F.round(F.sum("p"), 5).alias("expected"))
 
 
-POLICIES = ("random", "prior_violators_first", "risk_top_fixed", "prize_top_fixed", "prize_at_most_once", "thompson_prize", "thompson_prize_random")
+POLICIES = ("random", "prior_violators_first", "risk_top_fixed", "prize_top_fixed", "prize_at_most_once", "thompson_prize", "thompson_prize_random", "status_quo_followup", "thompson_prize_random_at_most_once")
+#: Responses (delta, rho, gamma) and prior strengths of the studies: all policies, and two by prior strength.
+_RESPONSES = ((0.0, 0.0, 0.0), (0.25, 0.0, 0.0), (0.0, 0.5, 0.0), (0.0, 0.9, 0.0), (0.25, 0.5, 0.0), (0.5, 0.6, 0.5))
+_KAPPAS = (2.0, 5.0, 10.0, 20.0, 100.0)
+_STUDIES = (
+    *(("policies", name, *how, KAPPA) for name in POLICIES for how in _RESPONSES),
+    *(("policies", name, 0.5, 0.6, 0.5, 20.0) for name in POLICIES),
+    *(("kappa", name, *how, kappa) for name in ("thompson_prize_random", "thompson_prize_random_at_most_once") for how in ((0.0, 0.0, 0.0), (0.25, 0.5, 0.0)) for kappa in _KAPPAS),
+)
+#: Cells (simulation, store) that a worker holds at a time.
+_CELLS = 500_000
 
 
-def _run_policy(name: str, p, h, det, v36, budget: int, cycles: int, rng, response: dict) -> dict:
-    """Cycles of one policy in one tract: selection, hits by the effective risk, and memory of who was checked."""
-    n, b = len(p), min(budget, len(p))
-    seen, last, found, exposure = np.zeros(n, bool), [], 0, 0.0
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    """Where the k highest of each row are, in any order."""
+    k = min(k, score.shape[1])
+    return np.argpartition(-score, k - 1, axis=1)[:, :k] if k else np.zeros((len(score), 0), int)
+
+
+def _run_policies(name: str, p, h, det, v36, budget: int, cycles: int, rng, response: dict, sims: int, days_since=None) -> dict:
+    """Cycles of one policy in one tract: selection, hits by the effective risk, and memory of who was checked.
+
+    A row per simulation and a column per cycle: hits, the sum of the effective risks, and stores checked for the first time.
+    """
+    n, b, each = len(p), min(budget, len(p)), np.arange(sims)[:, None]
     prize, quota = h * p + LAMBDA * det, max(1, round(0.2 * b))
-    for _ in range(cycles):
-        eff = p.copy()
-        for past in last[-response["memory"] :]:
-            eff[past] *= 1 - response["delta"]
-        recent = last[-response["window"] :]
+    seen, own, freq = np.zeros((sims, n), bool), np.zeros((sims, n), np.int8), np.zeros((sims, n), np.int8)
+    last, out = [], {k: np.zeros((sims, cycles)) for k in ("found", "exposure", "fresh")}
+    fixed = {"risk_top_fixed": p, "prize_top_fixed": prize, "prize_at_most_once": prize}.get(name)
+    order = None if fixed is None else np.argsort(-fixed, kind="stable")
+    kappa = response.get("kappa", KAPPA)
+    due = None if days_since is None else (v36 >= 1) & (days_since >= 180)
+    for c in range(cycles):
+        eff = p * (1 - response["delta"]) ** own
+        recent = min(c, response["window"])
         if recent:
-            freq = np.bincount(np.concatenate(recent), minlength=n)
-            eff = eff * (1 - response["rho"] * freq / len(recent)) * (1 - response["gamma"] * (freq > 0).mean())
-        first = np.zeros(0, int)
+            eff = eff * (1 - response["rho"] * freq / recent) * (1 - response["gamma"] * (freq > 0).mean(axis=1, keepdims=True))
         if name == "random":
-            score = rng.random(n)
+            chosen = _top(rng.random((sims, n)), b)
         elif name == "prior_violators_first":
-            score = v36 + 1e-3 * rng.random(n)
-        elif name == "risk_top_fixed":
-            score = p
-        elif name in ("prize_top_fixed", "prize_at_most_once"):
-            score = np.where(seen, -1, prize) if name == "prize_at_most_once" else prize
+            chosen = _top(v36 + 1e-3 * rng.random((sims, n)), b)
+        elif name == "status_quo_followup":
+            chosen = _top(np.where(due, 1000 + days_since / 10, 0.0) + rng.random((sims, n)), b)
+        elif order is not None:
+            start = c * b if name == "prize_at_most_once" else 0
+            chosen = np.tile(order[start : start + b], (sims, 1))
         else:
-            kappa = response.get("kappa", KAPPA)
-            score = h * rng.beta(kappa * p, kappa * (1 - p)) + LAMBDA * det
-            if name == "thompson_prize_random":
-                first = rng.choice(n, min(quota, n), replace=False)
-        order = np.argsort(-score, kind="stable")
-        chosen = np.concatenate([first, order[~np.isin(order, first)][: b - len(first)]])
-        found += int((rng.random(len(chosen)) < eff[chosen]).sum())
-        exposure += float(eff.mean())
-        seen[chosen] = True
+            score = h * rng.beta(kappa * p, kappa * (1 - p), (sims, n)) + LAMBDA * det
+            if name == "thompson_prize_random_at_most_once":
+                score[seen] = -1
+            first = _top(rng.random((sims, n)), 0 if name == "thompson_prize" else min(quota, n))
+            score[each, first] = -np.inf
+            chosen = np.hstack([first, _top(score, b - first.shape[1])])
+        out["found"][:, c] = (rng.random(chosen.shape) < eff[each, chosen]).sum(axis=1)
+        out["exposure"][:, c] = eff.sum(axis=1)
+        out["fresh"][:, c] = (~seen[each, chosen]).sum(axis=1)
+        seen[each, chosen] = True
         last.append(chosen)
-    return {"found": found / cycles, "exposure": exposure / cycles, "distinct_stores": int(seen.sum())}
+        for counts, length in ((own, response["memory"]), (freq, response["window"])):
+            counts[each, chosen] += 1
+            if len(last) > length:
+                counts[each, last[-length - 1]] -= 1
+    return out
+
 
+def _run_policy(name: str, p, h, det, v36, budget: int, cycles: int, rng, response: dict) -> dict:
+    """One simulation of a policy in one tract: means over its cycles, and the stores that were checked."""
+    out = _run_policies(name, p, h, det, v36, budget, cycles, rng, response, 1)
+    return {"found": out["found"].mean(), "exposure": out["exposure"].mean() / len(p), "distinct_stores": int(out["fresh"].sum())}
 
-def _simulate(keys: list[str]):
+
+_KEYS = ["study", "policy", "delta", "rho", "gamma", "kappa"]
+
+
+def _simulate(sims: dict, cycles: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = dict(zip(keys, key, strict=True))
+        at = dict(zip(["tract", *_KEYS], key, strict=True))
         rows = rows.sort_values("store")
-        rng = np.random.default_rng([SEED, int(at["sim"]), int(at["tract"]), POLICIES.index(at["policy"]), int(at["delta"] * 100), int(at["kappa"])])
+        rng = np.random.default_rng([SEED, int(at["tract"]), POLICIES.index(at["policy"]), *(int(at[k] * 100) for k in ("delta", "rho", "gamma", "kappa")), len(at["study"])])
         response = {"delta": at["delta"], "memory": 3, "rho": at["rho"], "window": 6, "gamma": at["gamma"], "kappa": at["kappa"]}
-        out = _run_policy(at["policy"], *(rows[c].to_numpy(float) for c in ("p", "h", "det", "v36")), 4, 12, rng, response)
-        return pd.DataFrame([{**at, **out}])
+        p, h, det, v36, days = (rows[c].to_numpy(float) for c in ("p", "h", "det", "v36", "days_since"))
+        n, most, parts = sims[at["study"]], max(1, _CELLS // len(p)), []
+        for start in range(0, n, most):
+            parts.append(_run_policies(at["policy"], p, h, det, v36, 4, cycles, rng, response, min(most, n - start), days))
+        out = {k: list(np.vstack([x[k] for x in parts])) for k in parts[0]}
+        return pd.DataFrame({**at, "sim": np.arange(n), "stores": len(p), **out})
 
     return run
 
 
 @query("sm3_policy_simulation")
-def policy_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential policies under deterrence: each (tract, policy, response, simulation) is a group of its own (SM2 to SM4, PL4)."""
-    keys = ["tract", "policy", "delta", "rho", "gamma", "kappa", "sim"]
-    s = stores(spark, sf_dir).select("store", "tract", "p", "h", "det", "v36")
-    grid = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(r).alias("rho"), F.lit(g).alias("gamma"), F.lit(k).alias("kappa")) for d, r, g, k in ((0.0, 0.0, 0.0, KAPPA), (0.5, 0.6, 0.5, KAPPA), (0.5, 0.6, 0.5, 20.0))])
-    rows = replicates(s.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).withColumn("g", F.explode(grid)).select("*", "g.*").drop("g"), 2)
-    out = rows.groupBy(*keys).applyInPandas(_simulate(keys), "tract int, policy string, delta double, rho double, gamma double, kappa double, sim int, found double, exposure double, distinct_stores long")
-    return out.groupBy("policy", "delta", "rho", "gamma", "kappa").agg(F.round(F.avg("found"), 5).alias("found"), F.round(F.percentile("found", 0.025), 5).alias("lo"), F.round(F.percentile("found", 0.975), 5).alias("hi"), F.round(F.avg("exposure"), 6).alias("exposure"), F.sum("distinct_stores").alias("distinct_stores"))
+def policy_simulation(spark: SparkSession, sf_dir: str, n_sims: int = 100, kappa_sims: int = 60, cycles: int = 36) -> DataFrame:
+    """Sequential policies under deterrence: each (tract, policy, response) is a group that holds all its simulations (SM2 to SM4, PL4).
+
+    Tracts are summed within a simulation; found, exposure and distinct_stores are means over simulations, lo and hi percentiles.
+    """
+    s = stores(spark, sf_dir).select("store", "tract", "p", "h", "det", "v36", "days_since")
+    grid = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(_KEYS, row, strict=True)]) for row in _STUDIES])
+    rows = s.withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
+    kinds = "tract int, study string, policy string, delta double, rho double, gamma double, kappa double, sim int, stores long, found array<double>, exposure array<double>, fresh array<double>"
+    out = rows.groupBy("tract", *_KEYS).applyInPandas(_simulate({"policies": n_sims, "kappa": kappa_sims}, cycles), kinds)
+    each = [F.sum(F.col(k)[c]).alias(f"{k}_{c}") for k in ("found", "exposure") for c in range(cycles)]
+    per = out.groupBy(*_KEYS, "sim").agg(F.sum("stores").alias("stores"), F.sum(F.aggregate("fresh", F.lit(0.0), lambda x, y: x + y)).alias("distinct"), *each)
+    mean = lambda k: sum((F.col(f"{k}_{c}") for c in range(1, cycles)), F.col(f"{k}_0")) / cycles
+    per = per.withColumn("found", mean("found")).withColumn("exposure", mean("exposure") / F.col("stores"))
+    by_cycle = lambda k, name, unit: F.array(*[F.round(F.avg(F.col(f"{k}_{c}") / unit), 6) for c in range(cycles)]).alias(name)
+    return per.groupBy(*_KEYS).agg(
+        F.count("*").alias("sims"), F.round(F.avg("found"), 5).alias("found"), F.round(F.percentile("found", 0.025), 5).alias("lo"), F.round(F.percentile("found", 0.975), 5).alias("hi"),
+        F.round(F.avg("exposure"), 6).alias("exposure"), F.round(F.avg("distinct"), 5).alias("distinct_stores"), by_cycle("found", "found_by_cycle", F.lit(1.0)), by_cycle("exposure", "exposure_by_cycle", F.col("stores")),
+    )
 
 
 def _year(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
