@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, common, exact_dedup, langid, media, mixing, near_dedup, quality, secrets, toxicity, url_filter
+from sparkwarden.llm import bpe, common, exact_dedup, langid, mixing, near_dedup, quality, secrets, toxicity, url_filter
 from sparkwarden.llm.queries import oracle_sql, queries
 from tests.conftest import DATA, same
 
@@ -397,47 +397,6 @@ def test_a_digest_with_two_texts_raises(spark, docs):
         exact_dedup.verify(docs, rows, prints.select("row").distinct(), "text").collect()
 
 
-# --- 9 ---------------------------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("n", [64, 128, 640, 64 * 65, 64 * 200])
-def test_media_round_trip(n):
-    payload = bytes(random.Random(n).getrandbits(8) for _ in range(n - 64)) + bytes(range(192, 256))
-    jpeg = media.encode(payload)
-    info = media.parse(jpeg)
-    coefficients = media.decode_scan(info)
-    raw, ends = media._segments(info["scan"])
-    assert media.payload_of(info, coefficients) == payload
-    assert (media._decode_any(info, raw, ends, len(coefficients)) == coefficients).all()
-    assert info["width"] % 8 == info["height"] % 8 == 0
-
-
-def test_media_reads_other_writers_tables():
-    """A scan with runs of zeros, end-of-block codes and DC differences, written by hand."""
-    dc, ac = {0: "0", 3: "10", 2: "110"}, {0x00: "0", 0x12: "10", 0xF0: "110"}
-    bits = dc[3] + "101" + ac[0x12] + "11" + ac[0xF0] + ac[0x00] + dc[2] + "00" + ac[0x00]
-    bits += "1" * (-len(bits) % 8)
-    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
-    info = {"width": 16, "height": 8, "restart": 0, "dc": {0: (bytes([1, 1, 1] + [0] * 13), bytes([0, 3, 2]))}, "ac": {0: (bytes([1, 1, 1] + [0] * 13), bytes([0x00, 0x12, 0xF0]))}, "dc_id": 0, "ac_id": 0, "scan": scan, "quant": {0: np.full(64, 8)}, "table": 0}
-    out = media.decode_scan(info)
-    assert out[0, 0] == 5 and out[0, 2] == 3 and out[1, 0] == 2 and np.count_nonzero(out) == 3
-
-
-def test_media_of_odd_texts(spark, docs, none):
-    rows = media.store_texts(docs).collect()
-    wanted = collections.Counter()
-    for _, t in odd_texts():
-        raw = (t or "").encode()
-        pad = raw + bytes(-len(raw) % 64 if raw else 64)
-        wanted[len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:])] += 1
-    assert collections.Counter((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == wanted
-    assert all(hashlib.sha256(r.media).hexdigest() == r.media_sha256 and len(r.media) == r.media_bytes for r in rows)
-    assert len({(r.media_sha256, r.feature) for r in rows if r.n_bytes == 0}) == 1
-    assert media.store_texts(none).count() == 0
-    with pytest.raises(ValueError):
-        media.parse(b"GIF89a")
-
-
 # --- 10 --------------------------------------------------------------------------------------
 
 
