@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 18
 #: Rows with texts that go to a Python worker together.
 BATCH_ROWS = 1000
+#: Bytes of text in a sample that a classifier is fitted on, about.
+SAMPLE_BYTES = 64 << 20
+#: A key is heavy if more than one row in so many has it.
+HEAVY = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a fixed one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of this machine if Spark runs
+    on it alone (tests), else an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file:///tmp/sparkwarden-checkpoints"
+    if found:
+        return found
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/sparkwarden-checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,17 +64,39 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
-    """At most about ``rows`` rows, chosen by a hash of ``columns``; the share follows from a full count.
+def bounded_sample(df: DataFrame, rows: int, text: str = "text", most: int = SAMPLE_BYTES) -> DataFrame:
+    """At most about ``rows`` rows and ``most`` bytes of text, chosen by a hash of all columns; the shares follow from full sums.
 
-    Used only to fit classifiers, where a documented bound is wanted.  The choice depends on the rows
-    alone, so reruns and other partitionings choose the same.
+    Used only to fit classifiers, where a documented bound is wanted.  The choice depends on the rows alone, so reruns
+    and other partitionings choose the same.  Equal rows count once, so that a row repeated without end takes one place;
+    a text of more than a 64th of ``most`` is not learnt from.
     """
-    total = df.count()
-    if total <= rows:
-        return df
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1 << 20))
-    return df.where(bucket < int(rows / total * (1 << 20)))
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    short = df.where(size <= most // 64)
+    known = short.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
+    share = min(1.0, rows / max(known["n"], 1), most / max(known["b"] or 0, 1))
+    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    return short.where(bucket < int(share * (1 << 20))).dropDuplicates()
+
+
+def join_heavy(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where a row of ``side`` (unique by keys) says in ``weight`` how many of the ``total`` rows it meets.
+
+    Keys that meet more than one row in ``HEAVY`` are at most ``HEAVY``, so that they are broadcast whatever the size;
+    what is left is joined by shuffle without any hot key.  ``how`` is inner or left; rows with a null key go along
+    with the broadcast part.
+    """
+    least = max(1, total // HEAVY)
+    heavy = side.where(F.col(weight) > least)
+    lone = F.lit(False)
+    for k in keys:
+        lone = lone | F.col(k).isNull()
+    hot = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_semi").join(F.broadcast(heavy), keys)
+    rest = rows.where(~lone).join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.where(F.col(weight) <= least), keys, how)
+    out = hot.select(*rest.columns).unionByName(rest)
+    if how == "left":
+        out = out.unionByName(rows.where(lone), allowMissingColumns=True)
+    return out
 
 
 def text_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -3,21 +3,25 @@
 Each source is a stream of its documents' words, cut into blocks of ``block_words`` words (the last may be
 shorter).  The mix is a list of slots, dealt to output shards; a slot takes one block.  How many slots of a shard
 go to each source is a multinomial draw, conditioned on the totals that the targets ask for, so the mix has the
-weights as a whole and each shard has them up to chance.  The j-th slot of a source takes the block at place
-j mod n of a pseudorandom permutation of the source's n blocks (a Feistel network, walked until it lands inside):
-each block is taken floor or ceil of slots/n times, and nothing is stored but a key.  Documents are joined with
-taken blocks by block index.
+weights as a whole and each shard has them up to chance.  Shards lie in strata of ``STRATUM`` slots, among which each
+source's slots are dealt evenly, so that the numbers a draw works with stay bounded whatever the size of the mix.
+The j-th slot of a source takes the block at place j mod n of a pseudorandom permutation of the source's n blocks (a
+Feistel network, walked until it lands inside): each block is taken floor or ceil of slots/n times, and nothing is stored
+but a key.  Documents are joined with taken blocks by block index.
 
 Targets: sources in order of their names by code point, null last, weigh 1, 2, 3 and so on in turn; a target stops
 at 3 times its source's size and the excess goes to the others by weight.  If every target stops, the mix is
 smaller than the corpus.
 
-Sizes are counts of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts have size 0 and nothing is taken of them.
-Rows with the same id are counted as they come: their order within the stream is that of id, text hash, size.
+Cases: sizes are counts of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts have size 0 and nothing is taken of them.  A
+text of any length is a run of blocks, joined block by block.  Rows with the same id are counted as they come: their order
+within the stream is that of id, text hash, size.  An empty table gives an empty result.  Other columns, of
+whatever names, are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +33,17 @@ from sparkwarden.llm.common import cut, mix, table
 
 #: Words of a block.
 BLOCK_WORDS = 64
-#: Slots of an output shard.
+#: Slots of an output shard, and of a stratum of shards: the sampler of draws takes less than 10^9.
 SHARD_SLOTS = 4096
+STRATUM = 1 << 28
 #: Rows of a source that one window task orders.
 CHUNK_ROWS = 500
+#: Chunks whose sums one window task orders.
+RUN_CHUNKS = 1000
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Rows (some 660 bytes each once hashed) up to which the table of copies is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 300_000
+#: Rows up to which the table of copies is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -62,23 +69,45 @@ def slot_counts(sizes: list[int], targets: list[float], block_words: int) -> tup
     return n_blocks, [min(MOST * n, round(t / s * n)) if s else 0 for s, t, n in zip(sizes, targets, n_blocks, strict=True)]
 
 
-def shard_draw(slots: np.ndarray, shard: int, shards: int, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def strata_of(slots: list[int]) -> int:
+    """How many strata the slots are dealt to."""
+    return max(1, -(-sum(slots) // STRATUM))
+
+
+def shards_of(slots: list[int], shard_slots: int) -> int:
+    """Output shards of a stratum."""
+    strata = strata_of(slots)
+    return max(1, -(-sum(-(-s // strata) for s in slots) // shard_slots))
+
+
+@functools.lru_cache(maxsize=4096)
+def _split(have: tuple[int, ...], lo: int, hi: int, stratum: int, shards: int, total: int, seed: int) -> tuple[int, ...]:
+    """Slots of the left half of a run of shards that has ``have`` slots of each source."""
+    mid = (lo + hi) // 2
+    rng = np.random.default_rng([seed, stratum, lo, hi])
+    return tuple(rng.multivariate_hypergeometric(have, mid * total // shards - lo * total // shards, method="marginals").tolist())
+
+
+def shard_draw(slots: list[int], shard: int, shard_slots: int, seed: int) -> tuple[list[int], list[int]]:
     """For one output shard: the number of its slots for each source, and where each source's slots begin.
 
-    Draws are multinomial under the condition that the totals over all shards are ``slots``.  The shards are halved
-    again and again; each half is drawn from its parent's counts with a seed of its own, so a shard follows
-    one path from the root and no task needs another's draws.
+    A stratum has its even share of each source's slots.  Within it draws are multinomial under the condition that the
+    totals over its shards are that share.  The shards are halved again and again; each half is drawn from its parent's
+    counts with a seed of its own, so a shard follows one path from the root and no task needs another's draws.
     """
-    lo, hi, have, begin = 0, shards, slots.astype(np.int64), np.zeros(len(slots), np.int64)
+    strata, shards = strata_of(slots), shards_of(slots, shard_slots)
+    stratum, shard = divmod(shard, shards)
+    begin = [s * stratum // strata for s in slots]
+    have = tuple(s * (stratum + 1) // strata - b for s, b in zip(slots, begin, strict=True))
+    lo, hi, total = 0, shards, sum(have)
     while hi - lo > 1:
-        mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(have, (mid - lo) * shard_slots, method="marginals")
+        mid, left = (lo + hi) // 2, _split(have, lo, hi, stratum, shards, total, seed)
         if shard < mid:
             hi, have = mid, left
         else:
-            lo, have, begin = mid, have - left, begin + left
-    return have, begin
+            lo, begin = mid, [b + x for b, x in zip(begin, left, strict=True)]
+            have = tuple(h - x for h, x in zip(have, left, strict=True))
+    return list(have), begin
 
 
 def permuted(turn: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -117,29 +146,29 @@ def mix_sources(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS,
         [(r["source"], i, r["size"], targets[i], -(-r["rows"] // CHUNK_ROWS)) for i, r in enumerate(sources)], f"source {sizes.schema['source'].dataType.simpleString()}, src int, source_size bigint, target double, chunks bigint"
     )
     rows = sizes.alias("d").join(F.broadcast(known).alias("k"), F.expr("d.source <=> k.source")).select("d.*", "src", "source_size", "target", F.expr("pmod(row, chunks)").alias("chunk"))
-    # where each row's words begin in its source's stream: sums over chunks, then within each chunk
-    chunks = rows.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
-    chunks = chunks.select("src", "chunk", F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("chunk_at"))
-    within = F.coalesce(F.sum("size").over(Window.partitionBy("src", "chunk").orderBy("doc_id", "row", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("within", within).join(chunks, ["src", "chunk"]).withColumn("at", F.col("within") + F.col("chunk_at"))
+    # where each row's words begin in its source's stream: sums over runs of chunks, then over chunks, then within each chunk
+    before = lambda x, *keys, by: F.coalesce(F.sum(x).over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = rows.groupBy("src", "chunk").agg(F.sum("size").alias("words")).withColumn("run", F.expr(f"chunk div {RUN_CHUNKS}"))
+    runs = chunks.groupBy("src", "run").agg(F.sum("words").alias("run_words")).select("src", "run", before("run_words", "src", by=["run"]).alias("run_at"))
+    chunks = chunks.join(runs, ["src", "run"]).select("src", "chunk", (F.col("run_at") + before("words", "src", "run", by=["chunk"])).alias("chunk_at"))
+    placed = rows.withColumn("within", before("size", "src", "chunk", by=["doc_id", "row", "size"])).join(chunks, ["src", "chunk"]).withColumn("at", F.col("within") + F.col("chunk_at"))
     kept = ["doc_id", "row", "source", "size", "source_size", "target"]
     pieces = placed.where("size > 0").select(*kept, "src", "at", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")).alias("block"))
     overlap = F.expr(f"least(at + size, (block + 1) * {block_words}) - greatest(at, block * {block_words})")
-    taken = pieces.withColumn("words", overlap).join(taken_blocks(spark, n_blocks, slots, shard_slots, seed), ["src", "block"], "left")
+    # both sides grow with the corpus, and their rows are so short that a planner takes them for small: never broadcast
+    taken = pieces.withColumn("words", overlap).join(taken_blocks(spark, n_blocks, slots, shard_slots, seed).hint("merge"), ["src", "block"], "left")
     taken = taken.groupBy(*kept, "src", "at").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("bigint").alias("taken"))
     return taken.select(*kept, "taken").unionByName(placed.where("size = 0").select(*kept, F.lit(0).cast("bigint").alias("taken")))
 
 
 def taken_blocks(spark: SparkSession, n_blocks: list[int], slots: list[int], shard_slots: int, seed: int) -> DataFrame:
     """(src, block, times): how often the mix takes each block; the work is dealt by output shard."""
-    total = sum(slots)
-    shards = max(1, -(-total // shard_slots))
-    counts = np.array(slots, np.int64)
+    shards = strata_of(slots) * shards_of(slots, shard_slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                have, begin = shard_draw(counts, shard, shards, shard_slots, seed)
+                have, begin = shard_draw(slots, shard, shard_slots, seed)
                 src, block = [], []
                 for i in np.flatnonzero(have):
                     turn = (begin[i] + np.arange(have[i])) % n_blocks[i]

@@ -102,10 +102,10 @@ def fit(labelled: DataFrame) -> Model:
     half = F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2)) == 0
     packs = []
     for y in (1, 0):
-        rows = bounded_sample(known.where(half & (F.col("label") == y)), DICTIONARY_ROWS, "key").select("key", "text").collect()
+        rows = bounded_sample(known.where(half & (F.col("label") == y)), DICTIONARY_ROWS).select("key", "text").collect()
         texts = [r["text"].encode("utf-8", "replace") for r in sorted(rows, key=lambda r: (r["key"] is None, r["key"], r["text"] or "")) if r["text"]]
         packs.append(_dictionary(texts) if texts else b"")
-    rows = _with_differences(bounded_sample(known.where(~half), CURVE_ROWS, "key"), ("label",), *packs).collect()
+    rows = _with_differences(bounded_sample(known.where(~half), CURVE_ROWS), ("label",), *packs).collect()
     rows.sort(key=lambda r: (r["difference"], r["_size"], r["label"]))  # so that sums don't depend on partitions
     x, y = np.array([[r["difference"], r["_size"], r["_size"] ** 2] for r in rows]), np.array([r["label"] for r in rows], float)
     return Model(*packs, *(_curve(x, y) if len(x) else ((0.0,) * len(INPUTS), 0.0)))

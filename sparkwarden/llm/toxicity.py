@@ -5,9 +5,13 @@ word between them (lower case, punctuation apart), hashed to ``BINS`` coordinate
 learning rate, and the L1 term leaves most weights at zero: what goes to the tasks is a short list of
 coordinates and weights.
 
-The model is fitted on a bounded sample: at most about ``SAMPLE_ROWS`` labelled texts, chosen by hash, taken in
-hash order by one task, ``EPOCHS`` times.  Scoring covers every text as a whole; null and empty texts have
-the score of the bias alone.  Repeated labels of a document count as they come; null labels are passed over.
+The model is fitted on a bounded sample: at most about ``SAMPLE_ROWS`` labelled texts and 64 MB of them, chosen by hash,
+taken in hash order by one task, ``EPOCHS`` times.
+
+Cases: scoring covers every text as a whole, whatever its length; null and empty texts have the score of the bias
+alone.  Equal rows (id, text and label) are learnt once and scored each; a document with two labels is learnt with both;
+null labels are passed over, null texts are learnt as empty.  Without labels every score is 1/2.  A score of exactly 1/2
+counts as toxic.  An empty table gives an empty one.  Other columns, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -79,7 +83,7 @@ class Ftrl:
 
 def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights from labelled (text, label, key)."""
-    sample = bounded_sample(labelled.where("label IS NOT NULL"), SAMPLE_ROWS, "key")
+    sample = bounded_sample(labelled.where("label IS NOT NULL").select("text", F.col("label").cast("int").alias("label"), "key"), SAMPLE_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -98,7 +102,7 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at, w = model.sparse()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
 
-    ordered = sample.select("text", F.col("label").cast("int").alias("label"), "key").repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "text")
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "text", "label")
     found = map_texts(ordered.select("text", "label"), run, "at bigint, w double").collect()
     return np.array([r["at"] for r in found], np.int64), np.array([r["w"] for r in found])
 
