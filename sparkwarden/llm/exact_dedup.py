@@ -1,23 +1,30 @@
 """Operator 8: exact duplicates by counting quotient filters.
 
 1. Each text is normalised (characters of ``[\\x20\\x09-\\x0D]`` deleted) and fingerprinted with 64 bits.
-2. Each partition builds a counting quotient filter of its fingerprints: the high bits are the quotient, the low
-   bits the remainder, and each slot counts.  A filter is kept as runs of sorted remainders, a row per block of
-   quotients, so that filters merge without loss: equal remainders of a quotient add their counts.
-3. Blocks of all partitions are merged.  A fingerprint that counts more than one goes on, all others are unique.
+2. Each partition builds counting quotient filters of its fingerprints, one for each block (the first bits of the
+   fingerprint).  The next bits are the quotient, the slot where a fingerprint would like to be; the rest is the
+   remainder, which a slot stores.  Remainders of a quotient form a sorted run, pushed to the right where slots are taken.
+   Three bits tell what is where: ``occupied`` (a quotient has a run), ``runend`` (a slot ends its run), ``digit`` (a slot is
+   no remainder, but a digit, in the base of a remainder's range, of how often the one before it counts beyond once).
+3. Filters of all partitions are merged block by block without loss: their sorted remainders are laid together and counts
+   of equal ones added.  A fingerprint that counts more than one goes on, all others are unique.
 4. The rows behind such fingerprints are verified by their bytes: the whole normalised texts are grouped, with
    partial aggregation, so that a group's copies collapse on the side of the reader.
 
-Null texts count as empty, and empty texts are equal to each other and to texts of white space.  Among equal
-texts the one with the most code points stays, then the smallest doc_id; a null doc_id comes last.  Repeated rows
-(same id, same text) are one group whose rows all count; as they can't be told apart, all of them carry
-``kept`` if their id and length win.  Extra columns are passed by.
+Cases: null texts count as empty, and empty texts are equal to each other and to texts of white space.  Texts of any
+length are read whole.  Among equal texts the one with the most code points stays, then the smallest id (of any type that
+can be ordered); a null id comes last.  Repeated rows (same id, same text) are one group whose rows all count; as they
+can't be told apart, all of them carry ``kept`` if their id and length win.  An empty table gives an empty result.
+Other columns, of whatever names, are passed by.  A group with a large share of all rows is one row before any
+shuffle, and is joined back by a broadcast of the few such groups.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import cut, map_texts, table, text_column
+from sparkwarden.llm.common import cut, join_heavy, map_texts, table, text_column
 
 #: Fixed value: the characters that don't matter.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
-#: Bits of a fingerprint that choose the block of a filter; the next 16 end the quotient, the rest is the remainder.
+#: Bits of a fingerprint that choose the block; of the others a filter takes as many for the quotient as it needs.
 BLOCK_BITS = 12
-LOW_BITS = 36
+#: Fingerprints that a task holds before it writes its filters and begins new ones.
+HELD = 4_000_000
+#: Share of a filter's quotients that have a fingerprint, on average.
+LOAD = 0.75
 #: Rows of a table of fingerprints or digests (some 100 bytes each) up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -55,72 +65,140 @@ def fingerprints(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return map_texts(docs.select(F.col(id_column).alias("doc_id"), text, F.xxhash64(text).alias("row")), run, schema)
 
 
+@dataclass
+class Filter:
+    """A counting quotient filter of one block."""
+
+    quotient_bits: int
+    occupied: np.ndarray
+    runend: np.ndarray
+    digit: np.ndarray
+    slots: np.ndarray
+
+    @property
+    def remainder_bits(self) -> int:
+        return 64 - BLOCK_BITS - self.quotient_bits
+
+    @classmethod
+    def of(cls, fps: np.ndarray, counts: np.ndarray) -> Filter:
+        """From sorted fingerprints of one block and their counts."""
+        q = max(1, math.ceil(math.log2(max(len(fps), 2) / LOAD)))
+        r = 64 - BLOCK_BITS - q
+        mask = np.uint64((1 << r) - 1)
+        quotient = (fps >> np.uint64(r)).astype(np.int64) & ((1 << q) - 1)
+        # what each slot will hold, in order: a remainder, then the digits of its count less one
+        more = counts.astype(np.uint64) - np.uint64(1)
+        of, step = [np.arange(len(fps))], [np.zeros(len(fps), np.int64)]
+        value, level = [fps & mask], 1
+        while (some := np.flatnonzero(more)).size:
+            of.append(some)
+            step.append(np.full(len(some), level))
+            value.append(more[some] & mask)
+            more, level = more >> np.uint64(r), level + 1
+        of, step, value = np.concatenate(of), np.concatenate(step), np.concatenate(value)
+        order = np.lexsort((step, of))
+        of, step, value = of[order], step[order], value[order]
+        home = quotient[of]
+        # a slot is its quotient's own, or the next one that is free
+        at = np.arange(len(of)) + np.maximum.accumulate(home - np.arange(len(of)))
+        size = max(1 << q, int(at[-1]) + 1)
+        occupied, runend, digit, slots = np.zeros(1 << q, bool), np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, np.uint64)
+        occupied[quotient] = True
+        runend[at[np.flatnonzero(np.r_[home[1:] != home[:-1], True])]] = True
+        digit[at] = step > 0
+        slots[at] = value
+        return cls(q, occupied, runend, digit, slots)
+
+    def items(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted fingerprints and their counts."""
+        quotient, end = np.flatnonzero(self.occupied), np.flatnonzero(self.runend)
+        start = np.maximum(quotient, np.r_[0, end[:-1] + 1])
+        sizes = end - start + 1
+        at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        digit, value = self.digit[at], self.slots[at]
+        first = np.flatnonzero(~digit)
+        r = np.uint64(self.remainder_bits)
+        high = np.uint64(block) << np.uint64(64 - BLOCK_BITS)
+        fps = high | np.repeat(quotient, sizes)[first].astype(np.uint64) << r | value[first]
+        counts = np.ones(len(first), np.int64)
+        if digit.any():
+            own = np.cumsum(~digit) - 1
+            level = np.arange(len(at)) - first[own] - 1
+            np.add.at(counts, own[digit], (value[digit] << (r * level[digit].astype(np.uint64))).astype(np.int64))
+        return fps, counts
+
+    def packed(self) -> tuple[int, int, bytes, bytes, bytes, bytes]:
+        """Quotient bits, number of slots, the three rows of bits, and the slots in as many whole bytes as a remainder needs."""
+        wide = -(-self.remainder_bits // 8)
+        slots = np.ascontiguousarray(self.slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+        return self.quotient_bits, len(self.slots), *(np.packbits(x).tobytes() for x in (self.occupied, self.runend, self.digit)), slots
+
+    @classmethod
+    def unpacked(cls, quotient_bits: int, n: int, occupied: bytes, runend: bytes, digit: bytes, slots: bytes) -> Filter:
+        bits = lambda raw, k: np.unpackbits(np.frombuffer(raw, np.uint8), count=k).astype(bool)
+        wide = -(-(64 - BLOCK_BITS - quotient_bits) // 8)
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :wide] = np.frombuffer(slots, np.uint8).reshape(n, wide)
+        return cls(quotient_bits, bits(occupied, 1 << quotient_bits), bits(runend, n), bits(digit, n), full.view("<u8").ravel().astype(np.uint64))
+
+
+_FILTER = "block int, quotient_bits int, n int, occupied binary, runend binary, digit binary, slots binary"
+_FILTER_NAMES = [c.split()[0] for c in _FILTER.split(", ")]
+
+
 def _filter_rows(fps: np.ndarray) -> pa.RecordBatch:
-    """A filter as rows: block, quotients and sorted remainders of its slots, counts."""
+    """The filters of some fingerprints, one row for each block."""
     found, counts = np.unique(fps, return_counts=True)
     block = (found >> np.uint64(64 - BLOCK_BITS)).astype(np.int32)
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    ends = np.r_[starts[1:], len(block)]
-    quotient = ((found >> np.uint64(LOW_BITS)) & np.uint64((1 << 16) - 1)).astype(np.uint16)
-    remainder = (found & np.uint64((1 << LOW_BITS) - 1)).astype("<u8")
-    rem = remainder.view(np.uint8).reshape(-1, 8)[:, : -(-LOW_BITS // 8)]
-    slots = counts.astype(np.uint32)
-    some = list(zip(starts, ends, strict=True))
-    columns = [pa.array([np.ascontiguousarray(x[a:b]).tobytes() for a, b in some], pa.binary()) for x in (quotient, rem, slots)]
-    return pa.RecordBatch.from_arrays([pa.array(block[starts]), *columns], names=["block", "quotients", "remainders", "counts"])
-
-
-def _fingerprints_of(block: int, quotients: bytes, remainders: bytes) -> np.ndarray:
-    q, width = np.frombuffer(quotients, np.uint16).astype(np.uint64), -(-LOW_BITS // 8)
-    rem = np.zeros((len(q), 8), np.uint8)
-    rem[:, :width] = np.frombuffer(remainders, np.uint8).reshape(-1, width)
-    return (np.uint64(block) << np.uint64(64 - BLOCK_BITS)) | (q << np.uint64(LOW_BITS)) | rem.view("<u8").ravel()
+    rows = [(int(block[a]), *Filter.of(found[a:b], counts[a:b]).packed()) for a, b in zip(starts, np.r_[starts[1:], len(block)], strict=True)]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_FILTER_NAMES)
 
 
 def partition_filters(prints: DataFrame) -> DataFrame:
-    """One counting quotient filter per partition, in a row per block.  A full store is written out and begun anew."""
+    """Counting quotient filters of each partition, a row for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, held = [], 0
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            store.append(fps)
-            held += len(fps)
-            if held >= 4_000_000:
+            store.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            held += len(store[-1])
+            if held >= HELD:
                 yield _filter_rows(np.concatenate(store))
                 store, held = [], 0
         if held:
             yield _filter_rows(np.concatenate(store))
 
-    return prints.select("fp").mapInArrow(run, "block int, quotients binary, remainders binary, counts binary")
+    return prints.select("fp").mapInArrow(run, _FILTER)
 
 
 def merge_filters(filters: DataFrame, at_least: int = 2) -> DataFrame:
     """Merge the filters of all partitions: (fp, n) of each fingerprint that counts ``at_least``.
 
-    Blocks are dealt by their number, which is part of a hash: they are even, and a group of copies is one slot.
+    Blocks are dealt by their number, which is part of a hash: they are even, and a group of copies is one remainder.
     """
 
+    def merged(block: int, parts: list[Filter]) -> pa.RecordBatch:
+        fps, counts = map(np.concatenate, zip(*(f.items(block) for f in parts), strict=True))
+        order = np.argsort(fps, kind="stable")  # a merge of sorted runs
+        fps, counts = fps[order], counts[order]
+        starts = np.flatnonzero(np.r_[True, fps[1:] != fps[:-1]])
+        total = np.add.reduceat(counts, starts)
+        many = total >= at_least
+        return pa.RecordBatch.from_arrays([pa.array(fps[starts][many].view(np.int64)), pa.array(total[many])], names=["fp", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by block
-        def out(block: int, parts: list) -> pa.RecordBatch:
-            fps = np.concatenate([_fingerprints_of(block, q, r) for q, r, _ in parts])
-            counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in parts]).astype(np.int64)
-            found, where = np.unique(fps, return_inverse=True)
-            total = np.bincount(where, counts).astype(np.int64)
-            many = total >= at_least
-            return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(total[many])], names=["fp", "n"])
-
-        block, parts = None, []
+        block, parts = None, []  # rows come sorted by block
         for batch in batches:
-            for b, q, r, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for b, *packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if b != block and parts:
-                    yield out(block, parts)
+                    yield merged(block, parts)
                     parts = []
                 block = b
-                parts.append((q, r, c))
+                parts.append(Filter.unpacked(*packed))
         if parts:
-            yield out(block, parts)
+            yield merged(block, parts)
 
     return filters.repartition("block").sortWithinPartitions("block").mapInArrow(run, "fp bigint, n bigint")
 
@@ -130,19 +208,20 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     prints = cut(fingerprints(docs, id_column, text))
     many = cut(merge_filters(partition_filters(prints)))
     # classes of the rows whose fingerprint counts more than one, aggregated before any shuffle of single rows
-    order = F.struct(F.col("n_points").alias("p"), F.col("doc_id").isNotNull().alias("k"), (-F.col("doc_id")).alias("d"))
-    best = [F.max(order).alias("best"), F.count("*").alias("n")]
+    first = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"))).alias("first")
+    best = [first, F.count("*").alias("n")]
     if many.count() <= BROADCAST_ROWS:
         classes = prints.join(F.broadcast(many), "fp", "left_semi").groupBy("fp", "sha").agg(*best)
     else:
         classes = prints.groupBy("fp", "sha").agg(*best).join(many, "fp", "left_semi")
-    classes = cut(classes.select("fp", "sha", "n", (-F.col("best.d")).alias("keep_id"), F.col("best.p").alias("keep_points")))
-    small = classes.count() <= BROADCAST_ROWS
-    routed = prints.join(F.broadcast(classes.select("fp", "sha")) if small else classes.select("fp", "sha"), ["fp", "sha"], "left_semi")
+    classes = cut(classes.select("fp", "sha", "n", F.col("first.d").alias("keep_id"), (-F.col("first.p")).alias("keep_points")))
+    total, number = prints.count(), classes.count()
+    named = classes.select("fp", "sha", F.lit(True).alias("named"), "n")
+    routed = prints.join(F.broadcast(named), ["fp", "sha"]) if number <= BROADCAST_ROWS else join_heavy(prints, named, ["fp", "sha"], "n", total)
     routed = cut(routed.select("row").distinct())
     verified = verify(docs, classes.select("fp", "sha", "n"), routed, text)
-    classes = classes.join(verified, ["fp", "sha"]).withColumnRenamed("n", "size")
-    joined = prints.join(classes, ["fp", "sha"], "left")
+    classes = cut(classes.join(verified, ["fp", "sha"]).withColumnRenamed("n", "size"))
+    joined = prints.join(F.broadcast(classes), ["fp", "sha"], "left") if number <= BROADCAST_ROWS else join_heavy(prints, classes, ["fp", "sha"], "size", total, "left")
     single = F.col("size").isNull()
     return joined.select(
         "doc_id",

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import bpe, common, exact_dedup, langid, mixing, near_dedup, quality, secrets, toxicity, url_filter
@@ -390,6 +391,55 @@ def test_filters_merge_without_loss(spark):
     assert got == {f: n for f, n in collections.Counter(many).items() if n > 1}
 
 
+@pytest.mark.parametrize("n, most", [(1, 1), (1, 10**12), (2, 3), (500, 1), (500, 2), (3000, 300), (40, 1 << 45)])
+def test_a_filter_keeps_fingerprints_and_counts(n, most):
+    rng = random.Random(n + most)
+    block = 0xABC
+    # clustered quotients, so that runs push each other to the right
+    fps = sorted({(block << 52) | rng.choice([rng.getrandbits(52), rng.getrandbits(44), (1 << 52) - 1 - rng.getrandbits(3)]) for _ in range(n)})
+    counts = [rng.randint(1, most) if rng.random() < 0.5 else 1 for _ in fps]
+    made = exact_dedup.Filter.of(np.array(fps, np.uint64), np.array(counts))
+    back = exact_dedup.Filter.unpacked(*made.packed())
+    for own in (made, back):
+        got, times = own.items(block)
+        assert got.tolist() == fps and times.tolist() == counts
+    # what the three rows of bits mean
+    r = back.remainder_bits
+    by_quotient = collections.defaultdict(list)
+    for f, c in zip(fps, counts, strict=True):
+        by_quotient[(f >> r) & ((1 << back.quotient_bits) - 1)].append((f & ((1 << r) - 1), c))
+    assert np.flatnonzero(back.occupied).tolist() == sorted(by_quotient) and back.runend.sum() == len(by_quotient)
+    free = 0
+    for q in sorted(by_quotient):
+        at = max(q, free)
+        for k, (remainder, c) in enumerate(by_quotient[q]):
+            assert back.slots[at] == remainder and not back.digit[at]
+            left, at = c - 1, at + 1
+            while left:
+                assert back.digit[at] and back.slots[at] == left % (1 << r) and not back.runend[at - 1]
+                left, at = left >> r, at + 1
+            assert back.runend[at - 1] == (k == len(by_quotient[q]) - 1)
+        free = at
+
+
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_exact_groups_by_shuffle_or_broadcast_and_with_string_ids(spark, docs, monkeypatch, rows):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "HEAVY", 5)
+    named = docs.withColumn("doc_id", F.concat(F.lit("id"), F.format_string("%03d", "doc_id"))).withColumn("doc_id", F.when(F.col("doc_id") != "idnull", F.col("doc_id")))
+    got = sorted(map(str, exact_dedup.exact_groups(named).drop("row").collect()))
+    groups = collections.defaultdict(list)
+    texts = [(None if i is None else f"id{i:03d}", t or "") for i, t in odd_texts()]
+    for i, t in texts:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i is None, i or "", i))
+    wanted = []
+    for i, t in texts:
+        own = groups[re.sub(r"[\x20\x09-\x0D]", "", t)]
+        best = min(own, key=lambda x: x[:3])
+        wanted.append(str(Row(doc_id=i, keep_id=best[3], group_size=len(own), kept=(-len(t), i) == (best[0], best[3]), text_sha256=hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t).encode()).hexdigest())))
+    assert got == sorted(wanted)
+
+
 def test_a_digest_with_two_texts_raises(spark, docs):
     prints = exact_dedup.fingerprints(docs, "doc_id", "text").where("doc_id IN (4, 5)")
     rows = prints.groupBy("fp", "sha").agg((F.count("*") + 1).alias("n"))
@@ -412,14 +462,62 @@ def test_permutations_are_permutations():
         assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
-def test_shard_draws_add_up():
-    slots, shards = np.array([1000, 10, 0, 3333]), -(-4343 // 100)
-    draws = [mixing.shard_draw(slots, k, shards, 100, 1) for k in range(shards)]
-    assert sum(d[0] for d in draws).tolist() == slots.tolist()
+@pytest.mark.parametrize("stratum", [1 << 28, 700])
+def test_shard_draws_add_up(monkeypatch, stratum):
+    monkeypatch.setattr(mixing, "STRATUM", stratum)
+    mixing._split.cache_clear()
+    slots = [1000, 10, 0, 3333]
+    n = mixing.strata_of(slots) * mixing.shards_of(slots, 100)
+    draws = [mixing.shard_draw(slots, k, 100, 1) for k in range(n)]
+    assert np.sum([d[0] for d in draws], axis=0).tolist() == slots
     run = np.zeros(4, int)
     for have, begin in draws:
-        assert (begin == run).all()
+        assert begin == run.tolist() and sum(have) <= 101
         run += have
+    shares = [d[0][3] / max(sum(d[0]), 1) for d in draws]
+    assert len(set(shares)) > 5 and abs(np.mean(shares) - 3333 / 4343) < 0.03  # drawn, not dealt
+
+
+def test_draws_of_a_mix_of_a_trillion_slots():
+    slots = [600_000_000_000, 3, 400_000_000_000]
+    strata, shards = mixing.strata_of(slots), mixing.shards_of(slots, mixing.SHARD_SLOTS)
+    for k in (0, strata * shards // 2, strata * shards - 1):
+        have, begin = mixing.shard_draw(slots, k, mixing.SHARD_SLOTS, 7)
+        assert abs(sum(have) - mixing.SHARD_SLOTS) <= 1 and abs(have[0] / sum(have) - 0.6) < 0.05
+        assert all(0 <= b <= s for b, s in zip(begin, slots, strict=True))
+    have, begin = mixing.shard_draw(slots, strata * shards - 1, mixing.SHARD_SLOTS, 7)
+    assert [b + h for b, h in zip(begin, have, strict=True)] == slots
+    assert mixing.permuted(np.array([0, 10**12 - 1]), 10**12, 3).max() < 10**12
+
+
+def test_taken_blocks_follow_the_permutations(spark):
+    n_blocks, slots = [50, 7, 0], [120, 3, 0]
+    got = {(r.src, r.block): r.times for r in mixing.taken_blocks(spark, n_blocks, slots, 16, 7).collect()}
+    wanted = collections.Counter()
+    for i, (n, s) in enumerate(zip(n_blocks, slots, strict=True)):
+        for j in range(s):
+            wanted[i, int(mixing.permuted(np.array([j % n]), n, i + 1)[0])] += 1
+    assert got == wanted
+
+
+def test_words_taken_equal_a_loop_over_blocks(spark):
+    rows = [(i, words(1 + (i * 37) % 150, i), f"s{i % 2}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.row, r.source, r.size, r.taken) for r in mixing.mix_sources(df, block_words=10, shard_slots=8).collect()}
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("h")).collect()}
+    for i, name in enumerate(["s0", "s1"]):
+        own = [d for d, _, s in rows if s == name]
+        chunks = -(-len(own) // mixing.CHUNK_ROWS)
+        own.sort(key=lambda d: (hashes[d] % chunks, d))
+        sizes = [got[d][2] for d in own]
+        total = [sum(g[2] for g in got.values() if g[1] == s) for s in ("s0", "s1")]
+        n_blocks, slots = mixing.slot_counts(total, mixing.water_fill(total, [1, 2]), 10)
+        times = collections.Counter(int(mixing.permuted(np.array([j % n_blocks[i]]), n_blocks[i], i + 1)[0]) for j in range(slots[i]))
+        stream = [d for d, n in zip(own, sizes, strict=True) for _ in range(n)]
+        taken = collections.Counter()
+        for at, d in enumerate(stream):
+            taken[d] += times[at // 10]
+        assert {d: taken[d] for d in own} == {d: got[d][3] for d in own}
 
 
 def test_mix_meets_its_contract(spark, docs, none):
