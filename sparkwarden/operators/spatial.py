@@ -6,13 +6,12 @@ neighbour cells, so Spark shuffles on cells and no pair farther than two cells i
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import similarity
 from sparkwarden.plans.registry import query
+from sparkwarden.sources.shared import forget, settled
 from sparkwarden.sources.tables import POINTS_SQL, points, table
 
 
@@ -137,15 +136,6 @@ def hexbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).groupBy(lattice.alias("lattice"), col.alias("col"), row.alias("row")).agg(F.count("*").alias("n"), F.sum("label").alias("total"), F.round(F.avg("label"), 6).alias("mean"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share and read again, so that lineage ends."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sparkwarden-checkpoints"
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, label): the least id of each node's component; edges (a, b) stand in both directions.
 

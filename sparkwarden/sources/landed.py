@@ -5,13 +5,12 @@ The queries first land files that Spark derives from the tables in the folder th
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import location_key, zip5
 from sparkwarden.plans.registry import query
+from sparkwarden.sources.shared import shared_path
 from sparkwarden.sources.tables import CHECKS, LICENCES, POINTS_SQL, checks, licences, points, table
 
 _ADDR = "trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(street)), '\\s+', ' ', 'g'), '[.,]', '', 'g'), '\\s+', ' ', 'g')) || '|' || nullif(regexp_extract(zip, '([0-9]{5})', 1), '')"
@@ -19,8 +18,7 @@ _ADDR = "trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(street)),
 
 def landing(spark: SparkSession) -> str:
     """A new folder for landed files, shared by all executors."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sparkwarden-checkpoints"
-    return f"{folder.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    return shared_path(spark, "landed")
 
 
 def read_licences(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,6 @@ Each query reads the events table as a file stream, runs all that is there (``av
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkwarden.plans.registry import query
+from sparkwarden.sources.shared import shared_path
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,8 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it wrote, from the folder that all executors share."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sparkwarden-checkpoints").rstrip("/")
-    name = uuid.uuid4().hex
-    path, state = f"{folder}/stream-{name}", f"{folder}/stream-{name}-state"
+    path = shared_path(spark, "stream")
+    state = f"{path}-state"
     if mode == "append":
         df.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(df.schema).parquet(path)
