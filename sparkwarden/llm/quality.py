@@ -1,14 +1,19 @@
 """Operator 7: quality by compression.
 
-Two zstandard dictionaries are built, of texts labelled good and of texts labelled bad: each holds the ends of its texts.
-A text is compressed with each; the difference of the sizes over their sum says which it resembles.  A logistic curve,
-fitted on labelled texts that are in neither dictionary, turns the difference into the probability of label 1.  The curve
-also sees how far the text compresses at all (its logarithm and the square of that), as text that repeats
-itself and text that is noise resemble neither dictionary.  ``SMOOTHING`` bytes draw very short texts to the middle.
-
-Both fits use bounded samples: ``DICTIONARY_ROWS`` texts per label and ``CURVE_ROWS`` texts for the curve, chosen by
-hash.  Scoring compresses every text as a whole.  Null and empty texts have a difference of 0.  If a label has no
-texts to learn from, the score is the share of label 1 (1/2 without labels).
+Two zstandard dictionaries are built, one of texts labelled good and one of texts labelled bad: whole texts in hash order,
+equally many bytes of each label.  A text is compressed with each; the difference of the two sizes, normalised by the
+text's own size, says which it resembles.  A logistic curve over that difference alone, fitted on labelled texts that are
+in neither dictionary, turns it into the probability of label 1.  ``SMOOTHING`` bytes draw very short texts to the middle.
+
+Both fits use bounded samples, chosen by hash: at most about ``DICTIONARY_ROWS`` texts and ``DICTIONARY_SAMPLE`` bytes per
+label, of which whole texts go into a dictionary as long as they fit into ``DICTIONARY_BYTES``, and ``CURVE_ROWS`` texts
+(64 MB at most) for the curve.
+
+Cases: scoring compresses every text as a whole, whatever its length.  Null and empty texts have a difference of 0 and
+the score that the curve has there.  If a label has no texts to learn from, the score is the share of label 1 (1/2 without
+labels).  Equal rows (key, text and label) are learnt once and scored each; null labels are passed over, null texts are not
+learnt from.  A score of exactly 0.7 counts as good.  An empty table gives an empty one.  Other columns, of whatever
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,100 +29,103 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm.common import bounded_sample, held_out, map_texts, table, text_column
 
-DICTIONARY_ROWS = 1500
+DICTIONARY_ROWS = 3000
 DICTIONARY_BYTES = 1 << 20
+DICTIONARY_SAMPLE = 4 << 20
 CURVE_ROWS = 6000
-LEVEL = 3
+LEVEL = 9
 SMOOTHING = 64
-INPUTS = ("difference", "_size", "_size * _size")
 
 
 @dataclass
 class Model:
-    """The dictionaries (empty where there was nothing to learn from), and the curve's slopes over INPUTS and its offset."""
+    """The dictionaries (empty where there was nothing to learn from), and the curve's slope and offset."""
 
     good: bytes
     bad: bytes
-    slopes: tuple[float, ...]
+    slope: float
     offset: float
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """The ends of all texts, as long as they fit."""
-    each = max(64, DICTIONARY_BYTES // max(len(texts), 1))
-    return b"".join(t[-each:] for t in texts)[-DICTIONARY_BYTES:]
+def _whole_texts(texts: list[bytes], most: int) -> bytes:
+    """Whole texts, in order, as long as they fit."""
+    out, size = [], 0
+    for t in texts:
+        if size + len(t) <= most:
+            out.append(t)
+            size += len(t)
+    return b"".join(out)
 
 
-def compressed(texts: list[str], good: bytes, bad: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the difference of its sizes with the bad and the good dictionary over their sum, and the logarithm of
-    their mean over its own size."""
-    difference, size = np.zeros(len(texts)), np.zeros(len(texts))
+def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
+    """The texts of both dictionaries, of nearly equal size; empty ones if a label has none."""
+    most = min(sum(map(len, good)), sum(map(len, bad)), DICTIONARY_BYTES)
+    return _whole_texts(good, most), _whole_texts(bad, most)
+
+
+def differences(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
+    """Per text: size with the bad dictionary less size with the good one, over its own size."""
+    out = np.zeros(len(texts))
     if not good or not bad:
-        return difference, size
+        return out
     tools = []
     for d in (good, bad):
         packed = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packed.precompute_compress(level=LEVEL)
         tools.append(zstandard.ZstdCompressor(dict_data=packed, write_content_size=False, write_checksum=False, write_dict_id=False))
     for k, t in enumerate(texts):
-        if t:
-            raw = t.encode("utf-8", "replace")
-            a, b = len(tools[0].compress(raw)), len(tools[1].compress(raw))
-            difference[k] = (b - a) / (a + b + SMOOTHING)
-            size[k] = np.log((a + b + 2 * SMOOTHING) / (2 * (len(raw) + SMOOTHING)))
-    return difference, size
+        raw = t.encode("utf-8", "replace")
+        if raw:
+            out[k] = (len(tools[1].compress(raw)) - len(tools[0].compress(raw))) / (len(raw) + SMOOTHING)
+    return out
 
 
 def _with_differences(rows: DataFrame, columns: tuple[str, ...], good: bytes, bad: bytes) -> DataFrame:
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), "difference double, _size double"])
+    """``columns`` and the difference of each row; rows ends in a column ``text``."""
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), "difference double"])
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = compressed(text_column(part.column(n)).to_pylist(), good, bad)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], *map(pa.array, found)], names=[*columns, "difference", "_size"])
+            found = differences(text_column(batch.column(n)).to_pylist(), good, bad)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found)], names=[*columns, "difference"])
 
-    return map_texts(rows.select(*columns, "text"), run, schema)
+    return map_texts(rows, run, schema)
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
-    """Slopes and offset of the logistic curve of least loss, by Newton's method, with a small ridge."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a, w = np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of least loss, by Newton's method, with a small ridge."""
+    scale = x.std() + 1e-9
+    a, w = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-2 * np.eye(len(w)), a.T @ (p - y) + 1e-2 * w)
+        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-2 * np.eye(2), a.T @ (p - y) + 1e-2 * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    slopes = w[:-1] / scale
-    return tuple(map(float, slopes)), float(w[-1] - slopes @ mean)
+    return float(w[0] / scale), float(w[1])
 
 
 def fit(labelled: DataFrame) -> Model:
     """A model from labelled (text, label, key).  Half of the rows, by hash, are for the dictionaries, half for the curve."""
     known = labelled.where("label IS NOT NULL").select("text", F.col("label").cast("int").alias("label"), "key")
-    half = F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2)) == 0
+    half = F.pmod(F.xxhash64("key", "text", F.lit("half")), F.lit(2)) == 0
     packs = []
     for y in (1, 0):
-        rows = bounded_sample(known.where(half & (F.col("label") == y)), DICTIONARY_ROWS).select("key", "text").collect()
-        texts = [r["text"].encode("utf-8", "replace") for r in sorted(rows, key=lambda r: (r["key"] is None, r["key"], r["text"] or "")) if r["text"]]
-        packs.append(_dictionary(texts) if texts else b"")
-    rows = _with_differences(bounded_sample(known.where(~half), CURVE_ROWS), ("label",), *packs).collect()
-    rows.sort(key=lambda r: (r["difference"], r["_size"], r["label"]))  # so that sums don't depend on partitions
-    x, y = np.array([[r["difference"], r["_size"], r["_size"] ** 2] for r in rows]), np.array([r["label"] for r in rows], float)
-    return Model(*packs, *(_curve(x, y) if len(x) else ((0.0,) * len(INPUTS), 0.0)))
+        rows = bounded_sample(known.where(half & (F.col("label") == y)), DICTIONARY_ROWS, most=DICTIONARY_SAMPLE)
+        packs.append([r["text"].encode("utf-8", "replace") for r in rows.where("text != ''").select("text", F.xxhash64("key", "text").alias("h")).orderBy("h", "text").collect()])
+    good, bad = dictionaries(*packs)
+    rows = _with_differences(bounded_sample(known.where(~half), CURVE_ROWS).select("label", "text"), ("label",), good, bad).collect()
+    rows.sort(key=lambda r: (r["difference"], r["label"]))  # so that sums don't depend on partitions
+    x, y = np.array([r["difference"] for r in rows]), np.array([r["label"] for r in rows], float)
+    return Model(good, bad, *(curve(x, y) if len(x) else (0.0, 0.0)))
 
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...], text: str = "text") -> DataFrame:
     """``columns`` of each row, its difference and its score from 0 to 1."""
-    rows = _with_differences(docs.select(*columns, F.col(text).alias("text")), columns, model.good, model.bad)
-    total = F.lit(model.offset)
-    for slope, x in zip(model.slopes, INPUTS, strict=True):
-        total = total + slope * F.expr(x)
-    return rows.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))))).drop("_size")
+    rows = _with_differences(docs.select(*columns, F.col(text).alias("_text")), columns, model.good, model.bad)
+    total = F.lit(model.slope) * F.col("difference") + model.offset
+    return rows.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0)))))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,16 +254,61 @@ def test_gram_counts_agree_with_a_loop():
     assert (got[0] == one[0]).all() and got[1].sum() == 0 and got[3].sum() == 0 and got[0].sum() == 4 + 3
 
 
-def test_quality_separates_and_handles_odd_texts(spark, docs, none):
+def quality_rows(n):
     rng = random.Random(3)
-    rows = [(i, words(80, i) if i % 3 else "".join(rng.choice("#$%&*@!~") for _ in range(300)), int(i % 3 > 0)) for i in range(600)]
+    return [(i, words(80, i) if i % 3 else "".join(rng.choice("#$%&*@!~") for _ in range(300)), int(i % 3 > 0)) for i in range(n)]
+
+
+def test_quality_separates_and_handles_odd_texts(spark, docs, none):
+    rows = quality_rows(600)
     df = spark.createDataFrame(rows, "key int, text string, label int")
     model = quality.fit(df.where("key < 400"))
     scored = {r.key: r.score for r in quality.score(df.where("key >= 400"), model, ("key",)).collect()}
     assert np.mean([(scored[i] >= 0.7) == bool(y) for i, _, y in rows[400:]]) > 0.97
-    assert all(0 <= r.score <= 1 for r in quality.score(docs, model, ("doc_id", "size")).collect())
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, model, ("doc_id", "size", "score")).drop("score").withColumn("score", F.lit(0.5)).collect())
+    assert quality.score(none, model, ("doc_id",)).count() == 0
     empty = quality.fit(none.select("text", F.lit(1).alias("label"), "key"))
     assert {r.score for r in quality.score(docs, empty, ("doc_id",)).collect()} == {0.5}
+    assert {r.score for r in quality.score(none, empty, ("doc_id",)).collect()} == set()
+    null = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
+    at_zero = 1 / (1 + np.exp(-model.offset))
+    assert [r.score for r in quality.score(null, model, ("doc_id",)).collect()] == pytest.approx([at_zero] * 2)
+
+
+def test_quality_equals_a_plain_restatement(spark):
+    import zstandard
+
+    rows = quality_rows(200) + [(900, None, 1), (901, "odd", None), (5, words(80, 5), 1)]  # null text, null label, a repeated row
+    df = spark.createDataFrame(rows, "key int, text string, label int").repartition(3)
+    model = quality.fit(df)
+    tables = []
+    for raw in (model.good, model.bad):
+        tables.append(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False))
+    texts = {t.encode() for _, t, y in rows if t and y is not None}
+    for raw, y in ((model.good, 1), (model.bad, 0)):  # dictionaries are whole texts of their label
+        own = {t.encode() for _, t, label in rows if t and label == y}
+        held = [t for t in own if t in raw]
+        assert held and sum(map(len, held)) == len(raw) and not any(t in raw for t in texts - own)
+    assert 0.8 < len(model.good) / len(model.bad) < 1.25
+    for r in quality.score(df, model, ("key", "text")).collect():
+        raw = (r.text or "").encode()
+        want = (len(tables[1].compress(raw)) - len(tables[0].compress(raw))) / (len(raw) + quality.SMOOTHING) if raw else 0.0
+        assert r.difference == pytest.approx(want, abs=0.02)  # a digested dictionary may match a little otherwise
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * r.difference + model.offset))))
+
+
+def test_quality_curve_is_of_least_loss():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(3 * x - 1)))).astype(float)
+    loss = lambda s, o: np.mean(np.log1p(np.exp(-(2 * y - 1) * (s * x + o))))
+    s, o = quality.curve(x, y)
+    assert all(loss(s, o) <= loss(s + a, o + b) + 1e-5 for a in (-0.1, 0, 0.1) for b in (-0.1, 0, 0.1))
+
+
+def test_quality_of_held_out_documents(spark):
+    rows = queries()["op7_quality"](spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("quality IS NOT NULL").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.97
 
 
 # --- 4 ---------------------------------------------------------------------------------------
