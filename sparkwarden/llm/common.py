@@ -6,7 +6,6 @@ Arrow column at once, a few megabytes at a time, so that no loop runs per charac
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.sources.shared import forget, shared_path  # noqa: F401
+
 #: Bytes of text that a task looks at together; longer single texts are looked at alone.
 BLOCK_BYTES = 1 << 18
 #: Rows with texts that go to a Python worker together.
@@ -30,23 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of this machine if Spark runs
-    on it alone (tests), else an error, as executors would not see each other's files."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file:///tmp/sparkwarden-checkpoints"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here and every executor sees the files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.option("compression", "lz4").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_texts(df: DataFrame, run, schema: str) -> DataFrame:

@@ -5,16 +5,20 @@
 2. MinHash signatures are cut into bands.  Rows per band and bands are chosen for the target recall at the
    threshold.  Classes are shuffled on band hashes.  Buckets with the same members as another bucket go: they
    hold the same pairs.
-3. Buckets are split into blocks of classes, and each pair of blocks is one piece of work, so a bucket of any size
-   is spread over many tasks.  Within it pairs are verified on their full shingle sets, by one product of incidence
-   matrices; a pair that several buckets hold counts in the first of them only.  What leaves the task is not
-   the pairs but each class's number of links, and a spanning forest of them.
+3. Sets of a bucket lie in levels of size, a factor ``STEP`` each; only sets of the same or of neighbouring levels can reach
+   the threshold.  Levels are cut into blocks that are bounded in classes and in shingles, and each pair of blocks is one
+   piece of work, so a bucket of any size is spread over many tasks.  Within it pairs are verified on their full shingle
+   sets, by one product of incidence matrices; a pair that several buckets hold counts in the first of them only.  What
+   leaves the task is not the pairs but each class's number of links, and a spanning forest of them.
 4. Connected components of the forests give the classes of near copies.
 
-Texts of one to four words have their whole run of words as one shingle.  Texts without words (null and empty
-ones too) have an empty set: they are linked to nothing and stay classes of their own.  Exact copies and repeated
-rows are linked to each other: ``n_links`` counts all other rows whose Jaccard similarity is the threshold or more.
-A null doc_id is kept; it is a class's name only if no other id is there.  Extra columns are passed by.
+Cases: texts of one to four words have their whole run of words as one shingle.  Texts without words (null and empty
+ones too) have an empty set: they are linked to nothing and stay classes of their own.  Texts of any length are read and
+compared whole.  Exact copies and repeated rows are linked to each other: ``n_links`` counts all other rows whose Jaccard
+similarity is the threshold or more.  Ids may be of any type that can be ordered.  A null doc_id is kept; it is a class's
+name only if no other id is there.  An empty table gives an empty result.  Extra columns, of whatever names, are passed
+by.  A class with a large share of all rows is one row before any shuffle, and is joined back by a broadcast of the few
+such classes.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import blocks, cut, map_texts, mix, shingle_hashes, table, text_column, word_hashes
+from sparkwarden.llm.common import blocks, cut, forget, join_heavy, map_texts, mix, shingle_hashes, table, text_column, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -36,10 +40,13 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Hash functions at most.
 HASHES = 96
-#: Classes of a block; a pair of blocks is one piece of work.
-BLOCK = 256
+#: Classes and shingles of a block, on average; a pair of blocks is one piece of work.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 19
+#: Sets in levels two apart differ in size by more than this factor, which must be above 1 / THRESHOLD.
+STEP = 1.26
 #: Rows (some 400 bytes each once hashed) up to which the table of classes to verify is broadcast to the scan of texts; beyond, texts are joined by shuffle.
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS = 100_000
 
 
 def choose_bands(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -89,35 +96,37 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text) to doc_id, text_hash, key (null without words), bands."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, key binary, bands array<bigint>"
+    """(doc_id, text) to doc_id, text_hash, key (null without words), size of the set, bands."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, key binary, size bigint, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found, counts = [], [], [0]
+            keys, sizes, found, counts = [], [], [], [0]
             for s in _sets(text_column(batch.column(1))):
                 keys.append(_key(s) if len(s) else None)
+                sizes.append(len(s))
                 if len(s):
                     found.append(band_hashes(s, bands, rows))
                 counts.append(bands * bool(len(s)))
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), lists], names=["doc_id", "text_hash", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "text_hash", "key", "size", "bands"])
 
     return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, schema)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(key, copies, buckets, text) to key, copies, buckets and the set as 8-byte hashes."""
+    """(key, copies, level, buckets, text) to key, copies, level, buckets and the set as 8-byte hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = pa.array([s.tobytes() for s in _sets(text_column(part.column(3)))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], sets], names=["key", "copies", "buckets", "shingles"])
+                sets = pa.array([s.tobytes() for s in _sets(text_column(part.column(4)))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], sets], names=["key", "copies", "level", "buckets", "shingles"])
 
-    return map_texts(docs.select("key", "copies", "buckets", "text"), run, "key binary, copies bigint, buckets array<struct<bucket: bigint, n: bigint>>, shingles binary")
+    columns = docs.select("key", "copies", "level", "buckets", "text")
+    return map_texts(columns, run, f"key binary, copies bigint, level int, buckets {docs.schema['buckets'].dataType.simpleString()}, shingles binary")
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -140,6 +149,23 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
+def _met_before(left: list[np.ndarray], right: list[np.ndarray], bucket: int) -> np.ndarray:
+    """Which pairs share a bucket before this one."""
+    ids = np.unique(np.concatenate([*left, *right]))
+    ids = ids[ids < bucket]
+    if not len(ids):
+        return np.zeros((len(left), len(right)), bool)
+
+    def incidence(rows: list[np.ndarray]) -> np.ndarray:
+        m = np.zeros((len(rows), len(ids)), np.float32)
+        flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        some = flat < bucket
+        m[owner[some], np.searchsorted(ids, flat[some])] = 1
+        return m
+
+    return incidence(left) @ incidence(right).T > 0
+
+
 def _links(rows: list[tuple], other: list[tuple], bucket: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Which rows of a block are linked to which of another, in this bucket before any other that they share."""
     a, b = [r[3] for r in rows], [r[3] for r in other]
@@ -148,9 +174,9 @@ def _links(rows: list[tuple], other: list[tuple], bucket: int, same: bool) -> tu
     near = both >= THRESHOLD * total - 1e-6
     if same:
         near &= np.tri(len(a), k=-1, dtype=bool)
-    i, j = np.nonzero(near)
-    first = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if min(rows[x][2] & other[y][2]) == bucket]
-    return i[first], j[first]
+    if near.any():
+        near &= ~_met_before([r[2] for r in rows], [r[2] for r in other], bucket)
+    return np.nonzero(near)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -200,7 +226,7 @@ def verify_buckets(members: DataFrame) -> DataFrame:
                 key = lists[4][k].as_py()
                 if rows and rows[-1][0] == key:  # the first document of a class may be a repeated row
                     continue
-                rows.append((key, lists[5][k].as_py(), frozenset(lists[6][k].as_py()), np.frombuffer(lists[7][k].as_buffer(), np.uint64).copy(), lists[3][k].as_py()))
+                rows.append((key, lists[5][k].as_py(), lists[6][k].values.to_numpy(), np.frombuffer(lists[7][k].as_buffer(), np.uint64).copy(), lists[3][k].as_py()))
         if len(rows) > 1:
             yield work(at, rows)
 
@@ -220,29 +246,46 @@ def components(edges: DataFrame) -> DataFrame:
         low = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
         jump = low.join(labels.selectExpr("u AS m", "l AS k"), "m", "left").select("u", "l", F.least("m", "k").alias("m"))
         new = cut(jump)
-        if not new.where("m != l").limit(1).count():
+        if new.where("m != l").isEmpty():
+            forget(new, both)
             return labels.selectExpr("u AS key", "l AS label")
+        forget(labels)
         labels = new.selectExpr("u", "m AS l")
 
 
+def bucket_levels(banded: DataFrame) -> DataFrame:
+    """(key, level, size, bucket) to bucket and its levels (level, parts), where two classes or more may be linked.
+
+    A bucket with the same members as another goes.  A level is cut into parts by its classes and their shingles.
+    """
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    by_level = banded.groupBy("bucket", "level").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s"), parts)
+    buckets = by_level.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array_sort(F.collect_list(F.struct("level", "parts"))).alias("levels")).where("n > 1")
+    return buckets.groupBy("n", "s").agg(F.min(F.struct("bucket", "levels")).alias("b")).select("b.*")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text_hash, class_id (the least doc_id of its class), n_links, class_size, kept, and label (the class; null without words)."""
     bands, rows = choose_bands(THRESHOLD, RECALL, HASHES)
     prints = cut(signatures(docs, bands, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first")
-    classes = prints.where("key IS NOT NULL").groupBy("key").agg(first, F.count("*").alias("copies"), F.min("bands").alias("bands"))
-    classes = cut(classes.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "copies", "bands"))
-    banded = classes.select("key", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s")).where("n > 1")
-    buckets = buckets.groupBy("n", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    held = banded.join(buckets, "bucket").groupBy("key").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))
-    held = cut(held.join(classes.select("key", "doc_id", "text_hash", "copies"), "key"))
+    classes = prints.where("key IS NOT NULL").groupBy("key").agg(first, F.count("*").alias("copies"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    level = F.floor(F.log(F.col("size")) / F.log(F.lit(STEP))).cast("int").alias("level")
+    classes = cut(classes.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "copies", "size", level, "bands"))
+    banded = classes.select("key", "level", "size", F.explode("bands").alias("bucket"))
+    held = banded.join(bucket_levels(banded), "bucket")
+    # the blocks of a bucket that a class meets: those of its own level and of the two beside it
+    met = F.expr("filter(levels, l -> abs(l.level - level) <= 1)")
+    held = held.select("key", F.struct("bucket", met.alias("levels")).alias("b")).groupBy("key").agg(F.collect_list("b").alias("buckets"))
+    held = cut(held.join(classes.select("key", "doc_id", "text_hash", "copies", "level"), "key"))
     # the texts of these classes alone
     side = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     texts = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("h")).join(side.alias("s"), F.expr("h = text_hash AND id <=> doc_id"))
-    members = shingle_sets(texts).withColumn("bucket_ids", F.col("buckets.bucket")).select("key", "copies", "shingles", "bucket_ids", F.inline("buckets"))
-    members = members.withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    members = members.withColumn("other", F.explode(F.expr("sequence(0, cast(parts AS int) - 1)")))
+    members = shingle_sets(texts).withColumn("bucket_ids", F.col("buckets.bucket")).select("key", "copies", "level", "shingles", "bucket_ids", F.inline("buckets"))
+    part = F.expr("pmod(xxhash64(key), element_at(filter(levels, l -> l.level = level), 1).parts)")
+    number = "cast(l.level as bigint) * 1048576"
+    members = members.withColumn("blk", F.expr("cast(level as bigint) * 1048576") + part)
+    members = members.withColumn("other", F.explode(F.expr(f"flatten(transform(levels, l -> transform(sequence(0, l.parts - 1), j -> {number} + j)))")))
     members = members.withColumn("p", F.least("blk", "other")).withColumn("q", F.greatest("blk", "other"))
     found = cut(verify_buckets(members.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "key")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
@@ -250,8 +293,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     own = classes.select("key", "doc_id", "copies").join(links, "key", "left").join(labels, "key", "left")
     own = cut(own.select("key", "copies", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "key").alias("label")))
     names = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = own.join(names, "label").select("key", "label", "class_id", "n_links", "class_size")
-    joined = prints.select("doc_id", "text_hash", "key").join(named, "key", "left")
+    named = cut(own.join(names, "label").select("key", "copies", "label", "class_id", "n_links", "class_size"))
+    rows_of = prints.select("doc_id", "text_hash", "key")
+    joined = join_heavy(rows_of, named, ["key"], "copies", prints.count(), "left")  # rows without words have no key and meet none
     lone = F.col("key").isNull()
     return joined.select(
         "doc_id",

@@ -435,9 +435,11 @@ def plain_classes(rows, threshold=0.8):
     return [find(a) for a in range(len(rows))], links
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_near_classes_equal_brute_force(spark, docs, none, monkeypatch, block):
+@pytest.mark.parametrize("block, shingles, heavy", [(1024, 1 << 19, 2000), (3, 1 << 19, 5), (1000, 150, 1)])
+def test_near_classes_equal_brute_force(spark, docs, none, monkeypatch, block, shingles, heavy):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     rng = random.Random(2)
     base, rows = words(60, 50).split(), odd_texts()[:-2]
     for k in range(25):  # a group of near copies with few changes each
@@ -445,6 +447,8 @@ def test_near_classes_equal_brute_force(spark, docs, none, monkeypatch, block):
         for _ in range(k % 4):
             own[rng.randrange(60)] = f"new{k}"
         rows.append((100 + k, " ".join(own)))
+    for k in range(30):  # beginnings of a text: sizes at and around the factor that the threshold allows
+        rows.append((200 + k, " ".join(words(100, 51).split()[: 104 - k])))
     root, links = plain_classes(rows)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, key string, label string")
     got = {r.doc_id: r for r in near_dedup.near_classes(df).collect()}
