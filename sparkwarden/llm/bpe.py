@@ -8,8 +8,9 @@ Places that proved dead are marked, so no place is tried twice.  The result is w
 Two tokens a, b are compatible if merging the bytes of a+b by rank ends in exactly a, b.  The table is filled
 on demand by undoing merges along the seam.
 
-Texts: null counts as empty and gives no ids; texts of any length are encoded whole.  Repeated rows give
-repeated results; other columns of the input are passed by.
+Cases: null counts as empty and gives no ids.  Texts and pretokens of any length are encoded whole: matches are listed
+for ``WINDOW`` bytes at a time, the walk keeps some bytes for each token, and only short pretokens are stored.  Repeated
+rows give repeated results; an empty table gives an empty one; other columns, of whatever names, are passed by.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from sparkwarden.llm.common import map_texts, table, text_column
 
 #: Fixed value: the pre-tokenizer's pattern, as the vocabulary's publisher states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pretokens that a worker keeps encoded; when the store is full it is emptied.
-STORE = 150_000
+#: Pretokens that a worker keeps encoded, and letters of one at most; when the store is full it is emptied.
+STORE, STORED_LETTERS = 150_000, 64
+#: Bytes of a long pretoken whose matches are listed together.
+WINDOW = 1 << 14
 #: Judged pairs of tokens that a worker keeps, likewise.
 PAIRS = 100_000
 #: The same pattern for Python's own, faster matcher; it differs where a text holds digits that are not decimal,
@@ -55,9 +58,11 @@ class _Store(dict):
         self.make, self.limit = make, STORE
 
     def __missing__(self, word: str):
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = made = self.make(word)
+        made = self.make(word)
+        if len(word) <= STORED_LETTERS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = made
         return made
 
 
@@ -91,6 +96,7 @@ class Codec:
                 trie.add_word(raw.decode("latin-1"), i)
         trie.make_automaton()
         self.trie, self.sizes = trie, [len(raw) for raw in self.bytes_of]
+        self.longest = max(self.sizes)
         # decoding: all token bytes one after another, and where each starts
         self.offsets = np.zeros(size + 1, np.int64)
         tokens = [*self.bytes_of]
@@ -132,16 +138,17 @@ class Codec:
         if (whole := self.id_of.get(raw)) is not None and self._reached(whole):
             return [whole]
         end, sizes, pairs = len(raw), self.sizes, self.pairs
-        # all tokens that start at each place, shorter ones first: the matches come in the order of their ends
-        starts: list[list[int]] = [[] for _ in range(end)]
-        for last, token in self.trie.iter(raw.decode("latin-1")):
-            starts[last + 1 - sizes[token]].append(token)
+        word = raw.decode("latin-1")
+        starts = self._matches_within(word, 0, end).__getitem__ if end <= WINDOW else self._matches(word)
+        # for each token of the walk how many of the matches at its place are still untried
         out: list[int] = []
-        left, at, alive = [starts[0][:]], 0, bytearray(b"\1") * (end + 1)
+        at, alive, tokens = 0, bytearray(b"\1") * (end + 1), starts(0)
+        left = [len(tokens)]
         while True:
             some = left[-1]
             while some:
-                token = some.pop()
+                some -= 1
+                token = tokens[some]
                 if alive[at + sizes[token]]:
                     if not out:
                         break
@@ -154,12 +161,38 @@ class Codec:
                 alive[at] = 0
                 left.pop()
                 at -= sizes[out.pop()]
+                tokens = starts(at)
                 continue
+            left[-1] = some
             out.append(token)
             at += sizes[token]
             if at == end:
                 return out
-            left.append(starts[at][:])
+            tokens = starts(at)
+            left.append(len(tokens))
+
+    def _matches_within(self, word: str, lo: int, hi: int) -> list[list[int]]:
+        """All tokens that start at each place from lo to hi, shorter ones first: they come in the order of their ends."""
+        sizes, found = self.sizes, [[] for _ in range(hi - lo)]
+        for last, token in self.trie.iter(word, lo, min(hi + self.longest, len(word))):
+            first = last + 1 - sizes[token]
+            if first < hi:
+                found[first - lo].append(token)
+        return found
+
+    def _matches(self, word: str):
+        """A function of a place of a long pretoken to the tokens that start there, which holds three windows at most."""
+        windows: dict[int, list[list[int]]] = {}
+
+        def at(place: int) -> list[int]:
+            w, k = divmod(place, WINDOW)
+            if w not in windows:
+                if len(windows) > 2:  # a step back may need the window before
+                    del windows[max(windows, key=lambda v: abs(v - w))]
+                windows[w] = self._matches_within(word, w * WINDOW, min((w + 1) * WINDOW, len(word)))
+            return windows[w][k]
+
+        return at
 
     @functools.lru_cache(maxsize=None)  # noqa: B019  one entry for a vocabulary item at most
     def _reached(self, token: int) -> bool:
@@ -235,23 +268,26 @@ def codec(path: str) -> Codec:
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where the installed public vocabularies lie."""
+    """A path as it is; of a bare name the place among the public vocabularies installed where this runs."""
+    if "/" in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",), text: str = "text", store: int = STORE) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", columns: tuple[str, ...] = ("doc_id",), text: str = "text", store: int = STORE) -> DataFrame:
     """``columns`` of each document, its token ids and digests of the ids and of the decoded text.
 
     Result columns: columns..., n_tokens, ids_sha256, decoded_sha256, ids (array of int).  Null texts count as empty.
+    ``vocabulary``: a path, or the name of a public vocabulary, which each task looks up where it runs.
     ``store``: pretokens that a worker keeps encoded, some 200 bytes each; more cost memory and save time.
     """
     kept = docs.select(*columns, text)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", "ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(vocabulary_path(vocabulary))
         own.as_ids.limit = store
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -276,4 +312,4 @@ def encode_documents(docs: DataFrame, path: str, columns: tuple[str, ...] = ("do
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded again."""
     docs = table(spark, sf_dir, "documents")
-    return encode_documents(docs, vocabulary_path(), store=400_000).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_documents(docs, store=400_000).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

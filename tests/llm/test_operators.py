@@ -86,6 +86,24 @@ def test_bpe_long_word_is_linear_and_exact():
     assert bpe.codec(bpe.vocabulary_path()).encode(text)[0].tolist() == tokenizer().encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_of_a_megabyte_word_takes_bounded_memory_and_windows_change_nothing(monkeypatch):
+    import tracemalloc
+
+    own, rng = bpe.codec(bpe.vocabulary_path()), random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß日") for _ in range(300_000))
+    own.encode_word(text.encode())  # fills the table of compatible pairs, which is bounded by itself
+    tracemalloc.start()
+    ids = own.encode_word(text.encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == tokenizer().encode(text, add_special_tokens=False).ids
+    assert peak < (12 << 20) + 40 * len(text.encode()) and text not in own.as_ids
+    short = text[:5000]
+    wanted = own.encode_word(short.encode())
+    monkeypatch.setattr(bpe, "WINDOW", 8)
+    assert own.encode_word(short.encode()) == wanted
+
+
 def test_bpe_of_broken_bytes():
     own = bpe.codec(bpe.vocabulary_path())
     ids = own.encode("é😀")[0]
@@ -94,10 +112,10 @@ def test_bpe_of_broken_bytes():
 
 def test_bpe_query(spark, docs, none):
     other = tokenizer()
-    rows = bpe.encode_documents(docs, bpe.vocabulary_path(), ("doc_id", "size")).collect()
+    rows = bpe.encode_documents(docs, columns=("doc_id", "size")).collect()
     texts = collections.Counter((hashlib.sha256(",".join(map(str, other.encode(t or "", add_special_tokens=False).ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for _, t in odd_texts())
     assert collections.Counter((r.ids_sha256, r.decoded_sha256) for r in rows) == texts
-    assert bpe.encode_documents(none, bpe.vocabulary_path()).count() == 0
+    assert bpe.encode_documents(none, bpe.vocabulary_path("byte_bpe_50k.json")).count() == 0
 
 
 # --- 2 ---------------------------------------------------------------------------------------
