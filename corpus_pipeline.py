@@ -63,7 +63,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with digests of the ids and of what they decode to."""
-    return bpe.encode_documents(docs, bpe.vocabulary_path(), ("doc_id", "source"))
+    return bpe.encode_documents(docs, columns=("doc_id", "source"))
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing sources to target weights", mixing_sources), ("BPE encoding and decoding", bpe_encoding)]
