@@ -3,18 +3,23 @@
 Rules label the urls that they fit.  For all others the tree of their host judges:
 
 1. A path's variable segments become wildcards: numbers, hexadecimal and mixed identifiers by their form, and
-   the children of a node with many children that are hardly ever seen twice.  Levels below ``DEPTH`` fold into ``{**}``.
+   the children of a node with many children that are hardly ever seen twice.
 2. Branches of a host that differ in one level alone are merged if their labels agree statistically: each one's
    share of blocked urls lies within two standard errors of the merged share.  A branch without labels joins two
    or more such branches if its subtree has their shape: the template's share of the branch's urls is theirs, within
    two standard errors.
-3. A template's purity is its share of blocked urls among labelled ones, smoothed towards the share of all urls.
-   One without labels that joins no others has the purity of the nearest node above it that has labels.  Templates
+3. A template's purity is its share of blocked urls among labelled ones, smoothed towards its host's share, that towards the
+   share of the domain (the last two parts of the host), and that towards the share of all urls.
+   A template without labels that joins no others has the counts of the nearest node above it that has labels.  Templates
    with enough labelled urls and a high purity are rejected; where all labels are inherited, they must be of two
-   branches at least.  A host without any labelled url has the share of all urls.
-
-Null urls and urls without ``://`` have empty host and path, fit no rule and are allowed.  Repeated rows are judged
-alike.  Work on paths runs once per host and form of path, not per url.
+   branches at least.  Hosts without any labelled url reject nothing.
+
+Cases: null urls and urls without ``://`` have empty host and path, fit no rule and are allowed, unless other urls of empty
+hosts are labelled.  Of rules that fit, the longest decides, and of equally long ones the last.  Of merged branches
+with equally many labels the last mask in order decides.  Urls of any length are read whole: levels from ``DEPTH`` on are
+one segment of the tree, so that urls which differ there stay apart.  Repeated rows are judged alike; an empty table gives
+an empty result.  Columns of the input named as those of the result may be asked for only under other names.
+Work on paths runs once per host and form of path, not per url.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from sparkwarden.llm.common import cut, table
 
 #: Fixed values of the task: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+#: Levels of a tree; what follows is one segment of the last.
 DEPTH = 8
 #: A node's children are a wildcard if there are so many and each is seen less often than REPEATS on average.
 CHILDREN, REPEATS = 20, 2.0
@@ -66,9 +72,27 @@ def form(segment: Column) -> Column:
 
 def path_form(path: Column) -> Column:
     """A path's segments with wildcards for those of a variable form, as an array."""
-    own = F.filter(F.split(path, "/"), lambda s: s != "")
-    forms = F.transform(F.slice(own, 1, DEPTH), form)
-    return F.when(F.size(own) > DEPTH, F.concat(forms, F.array(F.lit("{**}")))).otherwise(forms)
+    forms = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), form)
+    rest = F.array_join(F.slice(forms, DEPTH, F.greatest(F.size(forms), F.lit(1))), "/")
+    return F.when(F.size(forms) > DEPTH, F.concat(F.slice(forms, 1, DEPTH - 1), F.array(rest))).otherwise(forms)
+
+
+def domain(host: Column) -> Column:
+    """The last two parts of a host."""
+    return F.substring_index(host, ".", -2)
+
+
+def smoothed(bad: Column | str, labelled: Column | str, towards: Column) -> Column:
+    """A share of blocked urls, drawn towards another where labels are few."""
+    count = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0))
+    return (count(bad) + SMOOTHING * towards) / (count(labelled) + SMOOTHING)
+
+
+def host_purity(forms: DataFrame, prior: float) -> DataFrame:
+    """(host, above): the share of each host, smoothed towards its domain's and that towards all urls'."""
+    hosts = forms.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).withColumn("domain", domain(F.col("host")))
+    domains = hosts.groupBy("domain").agg(F.sum("l").alias("dl"), F.sum("b").alias("db"))
+    return hosts.join(domains, "domain").select("host", smoothed("b", "l", smoothed("db", "dl", F.lit(prior))).alias("above"))
 
 
 def templates(forms: DataFrame) -> DataFrame:
@@ -123,6 +147,8 @@ def templates(forms: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, url: str = "url", columns: tuple[str, ...] = ("page_id",), rules=RULES) -> DataFrame:
     """``columns`` of each row, host, path, rule, verdict, template and purity."""
+    if clash := {"host", "path", "rule", "verdict", "template", "purity"} & set(columns):
+        raise ValueError(f"columns of the result too: {sorted(clash)}")
     host, path = host_and_path(F.col(url))
     base = pages.select(*columns, host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
@@ -130,8 +156,8 @@ def filter_urls(pages: DataFrame, url: str = "url", columns: tuple[str, ...] = (
     forms = cut(base.groupBy("host", "form").agg(F.count("*").alias("n"), F.count("says").alias("labelled"), F.count_if(F.col("says") == "block").alias("blocked")))
     prior = forms.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("p")).first()["p"]
     prior = 0.5 if prior is None else float(prior)
-    purity = (F.col("bad") + SMOOTHING * prior) / (F.col("support") + SMOOTHING)
-    judged = cut(templates(forms).select("host", "form", "template", purity.alias("purity"), (F.col("enough") & (F.col("support") >= SUPPORT) & (purity >= PURITY)).alias("reject")))
+    purity = smoothed("bad", "support", F.col("above"))
+    judged = cut(templates(forms).join(host_purity(forms, prior), "host").select("host", "form", "template", purity.alias("purity"), (F.col("enough") & (F.col("support") >= SUPPORT) & (purity >= PURITY)).alias("reject")))
     side = F.broadcast(judged) if judged.count() <= BROADCAST_ROWS else judged
     own = F.coalesce("says", F.when(F.col("reject"), "block").otherwise("allow"))
     return base.join(side, ["host", "form"], "left").select(*columns, "host", "path", "rule", own.alias("verdict"), "template", "purity")
