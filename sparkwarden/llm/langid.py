@@ -8,8 +8,15 @@ Few grams lie far from any centroid, so each class of lengths has its own radius
 sampled texts and of their beginnings, cut to each length: of these cosines a low quantile times ``SLACK`` is the
 least that is accepted.  So no radius reaches 1, and one odd text does not open its language.
 
-The model is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled texts per language, chosen by hash.
-Null texts and texts without a letter are ``und`` with score 0.  Without labelled rows every text is ``und``.
+The model is fitted on a bounded sample: at most about ``SAMPLE_ROWS`` labelled texts per language, chosen by a hash of
+id and text, equal ones once; texts of more than ``LONGEST`` bytes are not learnt from.  Vectors of the sample are a
+table; each language is clustered by a task of its own, and its centroids (32 KB each) come to the driver.
+
+Cases: null texts and texts without a letter are ``und`` with score 0 and rejected.  Without labelled rows every text is
+``und``.  Texts of any length are counted whole.  Repeated rows get equal results.  Of equally near centroids the first
+language's, by code point, decides.  Null ids are learnt from like others, as they are never held out; null languages are
+not learnt from.  An empty table gives an empty result.  Other columns are passed by; those asked for must not be named
+as those of the result.
 """
 
 from __future__ import annotations
@@ -18,15 +25,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import blocks, held_out, map_texts, table, text_column
+from sparkwarden.llm.common import blocks, cut, held_out, map_texts, table, text_column
 
 #: Labelled texts per language that the model is fitted on, about.
 SAMPLE_ROWS = 400
+#: Bytes of a labelled text at most.
+LONGEST = 1 << 18
 CENTROIDS = 4
 BINS = 1 << 13
 #: Least numbers of grams of the length classes but the first, and bytes of the beginnings that stand for those that are short.
@@ -112,7 +122,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def clusters(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means: each centre starts at the row that is farthest from the centres before it."""
+    """Spherical k-means: each centre starts at the row that is farthest from the centres before it; rows of zeros have no say."""
+    rows = rows[rows.any(axis=1)] if rows.any() else rows[:1]
     centres = rows[:1]
     while len(centres) < min(k, len(rows)):
         centres = np.vstack([centres, rows[(rows @ centres.T).max(axis=1).argmin()]])
@@ -130,54 +141,86 @@ def dense(rows: list) -> np.ndarray:
     return counts
 
 
-def fit(labelled: DataFrame) -> Model | None:
-    """A model from labelled (text, lang, key); key is what the sample is chosen by."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
+def sample_vectors(labelled: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """(lang, h, piece, bins, sizes) of a sample of labelled (text, lang, key); piece 0 is a whole text, others are its beginnings.
+
+    ``counts``: labelled texts of each language.
+    """
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_ROWS / n))])
-    sample = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
+    some = labelled.where(F.octet_length("text") <= LONGEST).select("text", "lang", F.xxhash64("key", "text").alias("h"))
+    some = some.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20)).dropDuplicates(["lang", "h"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 texts = text_column(batch.column(0))
-                for piece, (some, own) in enumerate([(texts, np.arange(len(texts))), *(beginnings(texts, size) for size in PIECES)]):
+                for piece, (part, own) in enumerate([(texts, np.arange(len(texts))), *(beginnings(texts, size) for size in PIECES)]):
                     bins, sizes = [], []
-                    for m in gram_rows(some):
+                    for m in gram_rows(part):
                         for c in m:
                             at = np.flatnonzero(c)
                             bins.append(at.astype(np.uint16).tobytes())
                             sizes.append(c[at].astype(np.uint32).tobytes())
                     own = pa.array(own)
                     rows = [batch.column(1).take(own), batch.column(2).take(own), pa.array(np.full(len(own), piece, np.int32)), pa.array(bins, pa.binary()), pa.array(sizes, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(rows, names=["lang", "key", "piece", "bins", "sizes"])
+                    yield pa.RecordBatch.from_arrays(rows, names=["lang", "h", "piece", "bins", "sizes"])
 
-    kind = labelled.schema["key"].dataType.simpleString()
-    found = map_texts(sample.select("text", "lang", "key"), vectors, f"lang string, key {kind}, piece int, bins binary, sizes binary").collect()
-    found.sort(key=lambda r: (r["lang"], r["key"] is None, r["key"], r["bins"]))
-    if not found:
-        return None
-    pieces, found = [r for r in found if r["piece"]], [r for r in found if not r["piece"]]
-    counts_of = dense(found)
-    idf = (np.log((1 + len(found)) / (1 + (counts_of > 0).sum(axis=0))) + 0.2).astype(np.float32)
-    rows, labels = unit(np.sqrt(counts_of) * idf), np.array([r["lang"] for r in found])
-    langs = sorted(set(labels.tolist()))
-    piece_langs, classes = np.array([r["lang"] for r in pieces]), length_class(counts_of)
-    centres, of, radius = [], [], []
-    for k, lang in enumerate(langs):
-        own = rows[labels == lang]
+    return map_texts(some, vectors, "lang string, h bigint, piece int, bins binary, sizes binary")
+
+
+def document_frequencies(vectors: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of whole texts, and for each bin the number of those that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS + 1, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                counts[np.frombuffer(raw, np.uint16)] += 1
+                counts[BINS] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS + 1)), pa.array(counts)], names=["bin", "n"])
+
+    counts = np.zeros(BINS + 1, np.int64)
+    for r in vectors.where("piece = 0").select("bins").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]
+    return int(counts[BINS]), counts[:BINS]
+
+
+def _centroids(idf: np.ndarray):
+    """A function of one language's vectors to its centroids and their radii."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["h", "piece"])
+        whole, short = rows[rows["piece"] == 0].to_dict("records"), rows[rows["piece"] > 0].to_dict("records")
+        counts = dense(whole)
+        own = unit(np.sqrt(counts) * idf)
         made = clusters(own, CENTROIDS)
-        centres.append(made)
-        of += [k] * len(made)
-        distances, lengths = [1 - (own @ made.T).max(axis=1)], [classes[labels == lang]]
-        short = np.flatnonzero(piece_langs == lang)
+        distances, lengths = [1 - (own @ made.T).max(axis=1)], [length_class(counts)]
         for at in range(0, len(short), 256):
-            counts_at = dense([pieces[i] for i in short[at : at + 256]])
-            distances.append(1 - (unit(np.sqrt(counts_at) * idf) @ made.T).max(axis=1))
-            lengths.append(length_class(counts_at))
-        radius += [radii(np.concatenate(distances), np.concatenate(lengths))] * len(made)
-    return Model(langs, idf, np.vstack(centres).astype(np.float32), np.array(of), np.array(radius))
+            counts = dense(short[at : at + 256])
+            distances.append(1 - (unit(np.sqrt(counts) * idf) @ made.T).max(axis=1))
+            lengths.append(length_class(counts))
+        radius = radii(np.concatenate(distances), np.concatenate(lengths))
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "number": range(len(made)), "centroid": [m.astype(np.float32).tobytes() for m in made], "radius": [radius] * len(made)})
+
+    return run
+
+
+def fit(labelled: DataFrame) -> Model | None:
+    """A model from labelled (text, lang, key)."""
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not counts:
+        return None
+    vectors = cut(sample_vectors(labelled, counts))
+    n, seen = document_frequencies(vectors)
+    idf = (np.log((1 + n) / (1 + seen)) + 0.2).astype(np.float32)
+    # a group is one language's sample, which is bounded
+    found = vectors.groupBy("lang").applyInPandas(_centroids(idf), "lang string, number int, centroid binary, radius array<double>").collect()
+    if not found:
+        return None
+    found.sort(key=lambda r: (r["lang"], r["number"]))
+    langs = sorted({r["lang"] for r in found})
+    centroids = np.vstack([np.frombuffer(r["centroid"], np.float32) for r in found])
+    return Model(langs, idf, centroids, np.array([langs.index(r["lang"]) for r in found]), np.array([r["radius"] for r in found]))
 
 
 def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...], text: str = "text") -> DataFrame:
