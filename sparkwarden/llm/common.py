@@ -68,6 +68,29 @@ def bounded_sample(df: DataFrame, rows: int, text: str = "text", most: int = SAM
     return short.where(bucket < int(share * (1 << 20))).dropDuplicates()
 
 
+def label_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (key, text) and labels (key, label) to (key, label, size, hash) of each labelled text, without the texts.
+
+    Null labels are passed over; a null key has no label.
+    """
+    light = docs.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("hash"))
+    return cut(light.join(labels.where("label IS NOT NULL").select("key", F.col("label").cast("int").alias("label")), "key"))
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, rows: int, most: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, label, key): at most about ``rows`` texts and ``most`` bytes of those in ``known``, a part of ``label_table``.
+
+    Chosen as in ``bounded_sample``, from the light table; only the chosen rows' texts are fetched, in one pass over docs.
+    """
+    short = known.where(F.col("size") <= most // 64)
+    sums = short.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
+    share = min(1.0, rows / max(sums["n"], 1), most / max(sums["b"] or 0, 1))
+    bucket = F.pmod(F.xxhash64("key", "label", "hash"), F.lit(1 << 20))
+    chosen = short.where(bucket < int(share * (1 << 20))).select("key", "label", "hash").dropDuplicates()
+    fetched = docs.select("key", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(chosen), ["key", "hash"])
+    return fetched.groupBy("key", "hash", "label").agg(F.first("text").alias("text")).select("text", "label", "key")
+
+
 def join_heavy(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join on ``keys``, where a row of ``side`` (unique by keys) says in ``weight`` how many of the ``total`` rows it meets.
 

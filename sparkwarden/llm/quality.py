@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import bounded_sample, held_out, map_texts, table, text_column
+from sparkwarden.llm.common import held_out, label_table, labelled_sample, map_texts, table, text_column
 
 DICTIONARY_ROWS = 3000
 DICTIONARY_BYTES = 1 << 20
@@ -106,16 +106,16 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model from labelled (text, label, key).  Half of the rows, by hash, are for the dictionaries, half for the curve."""
-    known = labelled.where("label IS NOT NULL").select("text", F.col("label").cast("int").alias("label"), "key")
-    half = F.pmod(F.xxhash64("key", "text", F.lit("half")), F.lit(2)) == 0
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from docs (key, text) and labels (key, label).  Half of the labelled rows, by hash, are for the dictionaries, half for the curve."""
+    known = label_table(docs, labels)
+    half = F.pmod(F.xxhash64("key", "hash", F.lit("half")), F.lit(2)) == 0
     packs = []
     for y in (1, 0):
-        rows = bounded_sample(known.where(half & (F.col("label") == y)), DICTIONARY_ROWS, most=DICTIONARY_SAMPLE)
+        rows = labelled_sample(docs, known.where(half & (F.col("label") == y)), DICTIONARY_ROWS, DICTIONARY_SAMPLE)
         packs.append([r["text"].encode("utf-8", "replace") for r in rows.where("text != ''").select("text", F.xxhash64("key", "text").alias("h")).orderBy("h", "text").collect()])
     good, bad = dictionaries(*packs)
-    rows = _with_differences(bounded_sample(known.where(~half), CURVE_ROWS).select("label", "text"), ("label",), good, bad).collect()
+    rows = _with_differences(labelled_sample(docs, known.where(~half), CURVE_ROWS).select("label", "text"), ("label",), good, bad).collect()
     rows.sort(key=lambda r: (r["difference"], r["label"]))  # so that sums don't depend on partitions
     x, y = np.array([r["difference"] for r in rows]), np.array([r["label"] for r in rows], float)
     return Model(good, bad, *(curve(x, y) if len(x) else (0.0, 0.0)))
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...], text: str = "
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learnt from the labels of those that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    own = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    model = fit(own.where(~held_out("doc_id", 4, 2)).withColumnRenamed("doc_id", "key"))
+    seen = docs.where(~held_out("doc_id", 4, 2)).select(F.col("doc_id").alias("key"), "text")
+    model = fit(seen, labels.select(F.col("doc_id").alias("key"), F.col("quality").alias("label")))
     found = score(docs, model, ("doc_id",))
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "difference")

@@ -10,7 +10,8 @@ taken in hash order by one task, ``EPOCHS`` times.
 
 Cases: scoring covers every text as a whole, whatever its length; null and empty texts have the score of the bias
 alone.  Equal rows (id, text and label) are learnt once and scored each; a document with two labels is learnt with both;
-null labels are passed over, null texts are learnt as empty.  Without labels every score is 1/2.  A score of exactly 1/2
+null labels are passed over, null texts are learnt as empty,
+and a row without an id has no label.  Without labels every score is 1/2.  A score of exactly 1/2
 counts as toxic.  An empty table gives an empty one.  Other columns, of whatever names, are not looked at.
 """
 
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import RunHashes, blocks, bounded_sample, held_out, map_texts, mix, table, text_column, word_places
+from sparkwarden.llm.common import RunHashes, blocks, held_out, label_table, labelled_sample, map_texts, mix, table, text_column, word_places
 
 SAMPLE_ROWS = 12_000
 EPOCHS = 4
@@ -81,9 +82,9 @@ class Ftrl:
         return at, w[at]
 
 
-def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and weights from labelled (text, label, key)."""
-    sample = bounded_sample(labelled.where("label IS NOT NULL").select("text", F.col("label").cast("int").alias("label"), "key"), SAMPLE_ROWS)
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and weights from docs (key, text) and labels (key, label)."""
+    sample = labelled_sample(docs, label_table(docs, labels), SAMPLE_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -131,7 +132,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: tuple[
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learnt from the labels of those that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    own = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    own = own.where(~held_out("doc_id", 5, 0)).withColumnRenamed("doc_id", "key")
-    found = score(docs, fit(own), ("doc_id",))
+    seen = docs.where(~held_out("doc_id", 5, 0)).select(F.col("doc_id").alias("key"), "text")
+    found = score(docs, fit(seen, labels.select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"))), ("doc_id",))
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

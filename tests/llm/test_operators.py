@@ -316,18 +316,78 @@ def held(i, folds, fold):
     return zlib.crc32(str(i).encode()) % folds == fold
 
 
+def parts(df):
+    """Texts and labels of one frame."""
+    return df.select("key", "text"), df.select("key", "label")
+
+
+def test_a_labelled_sample_is_bounded_in_rows_and_bytes_whatever_repeats(spark):
+    rows = [(7, "same text", 1)] * 3000 + [(i, f"text {i}" * 20, i % 2) for i in range(2000)] + [(None, "no id", 1), (-1, None, 1), (-2, "null label", None)]
+    docs = spark.createDataFrame(rows, "key int, text string, label int")
+    known = common.label_table(*parts(docs.where("key >= 100")))
+    assert known.count() == 1900
+    known = common.label_table(docs.select("key", "text"), docs.select("key", "label").distinct())
+    some = common.labelled_sample(docs.select("key", "text"), known, 500).collect()
+    assert len(some) < 700 and len({(r.key, r.text, r.label) for r in some}) == len(some)
+    some = common.labelled_sample(docs.select("key", "text"), known.where("key >= 100"), 10**6, 64 * 200).collect()
+    assert sum(len(r.text) for r in some) < 2 * 64 * 200 and some
+    assert common.labelled_sample(docs.select("key", "text"), known.where("key = -1"), 10).first().text is None
+    assert len(common.bounded_sample(docs, 500).collect()) < 700
+
+
+def plain_ftrl(rows, epochs):
+    """FTRL-proximal with a dict of coordinates, step by step."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        l1 = 0.0 if k == toxicity.BINS else toxicity.L1
+        if abs(z[k]) <= l1:
+            return 0.0
+        return (np.sign(z[k]) * l1 - z[k]) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for at, y in rows:
+            at = [*at, toxicity.BINS]
+            w = {k: weight(k) for k in at}
+            p = 1 / (1 + np.exp(-sum(w.values())))
+            g = (p - y) * (toxicity.WEIGHT if y else 1.0)
+            for k in at:
+                sigma = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in z if weight(k)}
+
+
+def test_ftrl_equals_a_plain_restatement():
+    rng = random.Random(2)
+    rows = [(sorted(rng.sample(range(50), 12)), rng.randrange(2)) for _ in range(300)]
+    model = toxicity.Ftrl()
+    for _ in range(2):
+        for at, y in rows:
+            model.learn(np.array(at), y)
+    at, w = model.sparse()
+    wanted = plain_ftrl(rows, 2)
+    assert set(at.tolist()) == set(wanted) and w == pytest.approx([wanted[k] for k in at.tolist()])
+
+
+def test_toxicity_of_held_out_documents(spark):
+    rows = queries()["op3_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("toxic IS NOT NULL").collect()
+    toxic = [r for r in rows if r.toxic]
+    assert np.mean([r.predicted for r in toxic]) > 0.8 and sum(r.predicted for r in rows if not r.toxic) <= 2
+
+
 def test_toxicity_learns_held_out_rows(spark):
     rng = random.Random(1)
     rows = [(i, words(rng.randrange(5, 60), i) + (" vile" if i % 4 == 0 else "") + " " + words(5, -i), int(i % 4 == 0)) for i in range(800)]
     df = spark.createDataFrame(rows, "key int, text string, label int")
-    model = toxicity.fit(df.where("key < 600"))
+    model = toxicity.fit(*parts(df.where("key < 600")))
     scored = {r.key: r.score for r in toxicity.score(df.where("key >= 600"), model, ("key",)).collect()}
     assert np.mean([(scored[i] >= 0.5) == bool(y) for i, _, y in rows[600:]]) > 0.97
     assert 0 < len(model[0]) < 5000  # sparse
 
 
 def test_toxicity_of_odd_texts(spark, docs, none):
-    model = toxicity.fit(none.select("text", F.lit(1).alias("label"), "key"))
+    model = toxicity.fit(*parts(none.select("text", F.lit(1).alias("label"), "key")))
     rows = toxicity.score(docs, model, ("doc_id",)).collect()
     assert len(rows) == len(odd_texts()) and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(none, model, ("doc_id",)).count() == 0
@@ -362,12 +422,47 @@ def test_language_accuracy_and_und(spark, none):
     assert {r.lang_pred for r in langid.identify(odd, langid.learn(none), ("doc_id",)).collect()} == {"und"}
 
 
-def test_language_rejects_what_is_far(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = langid.learn(docs)
-    model.radius[:] = 0.5
-    far = spark.createDataFrame([(1, "zzzz qqqq xxxx jjjj wwww " * 9)], "doc_id int, text string")
-    assert langid.identify(far, model, ("doc_id",)).first().rejected
+def plain_grams(text):
+    """Hashed bigrams and trigrams of the bytes, counted by a loop."""
+    raw = [b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()]
+    out = collections.Counter()
+    for a, b in zip(raw, raw[1:], strict=False):
+        if (a, b) != (32, 32):
+            out[(((a << 8 | b) * 0x9E3779B1) & 0xFFFFFFFF) >> 19] += 1
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        if (a, b) != (32, 32) and (b, c) != (32, 32):
+            out[(((a << 16 | b << 8 | c) * 0x85EBCA6B) & 0xFFFFFFFF) >> 19] += 1
+    return out
+
+
+def test_language_equals_a_plain_restatement(spark):
+    rng = random.Random(6)
+    alphabets = {"aa": "abcdefg ", "bb": "stuvwxyz ", "cc": "абвгде "}
+    rows = [("".join(rng.choice(alphabets[x]) for _ in range(rng.choice([30, 90, 300]))), x, i) for i, x in enumerate(["aa", "bb", "cc"] * 20)]
+    df = spark.createDataFrame([*rows, ("null key", "aa", None), ("", "bb", 900)], "text string, lang string, key int").repartition(3)
+    model = langid.fit(df)
+    learnt = [t for t, _, _ in rows] + ["null key", ""]
+    seen = collections.Counter(k for t in learnt for k in plain_grams(t))
+    idf = np.array([np.log((1 + len(learnt)) / (1 + seen[k])) + 0.2 for k in range(langid.BINS)])
+    assert model.idf == pytest.approx(idf, abs=1e-5) and model.langs == ["aa", "bb", "cc"] and len(model.of) == 12
+    probe = [t for t, _, _ in rows[:20]] + ["zzz abc", "где", "q"]
+    got = {r.k: r for r in langid.identify(spark.createDataFrame(list(enumerate(probe)), "k int, text string"), model, ("k",)).collect()}
+    for k, t in enumerate(probe):
+        v = np.zeros(langid.BINS)
+        for g, n in plain_grams(t).items():
+            v[g] = n**0.5 * idf[g]
+        cos = model.centroids @ (v / max(np.linalg.norm(v), 1e-12))
+        best, size = int(cos.argmax()), sum(plain_grams(t).values())
+        assert got[k].lang_pred == model.langs[model.of[best]] and got[k].score == pytest.approx(max(cos[best], 0), abs=1e-4)
+        assert got[k].rejected == (1 - cos[best] > model.radius[best, sum(size >= x for x in langid.LENGTHS)] )
+    assert np.linalg.norm(model.centroids, axis=1) == pytest.approx(1, abs=1e-4)
+
+
+def test_language_sample_is_bounded_whatever_repeats(spark):
+    rows = [("the same text", "en", None)] * 3000 + [(f"text number {i} {words(5, i)}", "en", None) for i in range(3000)] + [("ein text", "de", 1), ("x" * (langid.LONGEST + 1), "fr", 2)]
+    df = spark.createDataFrame(rows, "text string, lang string, key int")
+    found = langid.sample_vectors(df, {"en": 6000, "de": 1, "fr": 1}).where("piece = 0").collect()
+    assert sum(r.lang == "en" for r in found) < 500 and sum(r.lang == "de" for r in found) == 1 and not any(r.lang == "fr" for r in found)
 
 
 FOREIGN = {
@@ -415,12 +510,12 @@ def quality_rows(n):
 def test_quality_separates_and_handles_odd_texts(spark, docs, none):
     rows = quality_rows(600)
     df = spark.createDataFrame(rows, "key int, text string, label int")
-    model = quality.fit(df.where("key < 400"))
+    model = quality.fit(*parts(df.where("key < 400")))
     scored = {r.key: r.score for r in quality.score(df.where("key >= 400"), model, ("key",)).collect()}
     assert np.mean([(scored[i] >= 0.7) == bool(y) for i, _, y in rows[400:]]) > 0.97
     assert all(0 <= r.score <= 1 for r in quality.score(docs, model, ("doc_id", "size", "score")).drop("score").withColumn("score", F.lit(0.5)).collect())
     assert quality.score(none, model, ("doc_id",)).count() == 0
-    empty = quality.fit(none.select("text", F.lit(1).alias("label"), "key"))
+    empty = quality.fit(*parts(none.select("text", F.lit(1).alias("label"), "key")))
     assert {r.score for r in quality.score(docs, empty, ("doc_id",)).collect()} == {0.5}
     assert {r.score for r in quality.score(none, empty, ("doc_id",)).collect()} == set()
     null = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
@@ -433,7 +528,7 @@ def test_quality_equals_a_plain_restatement(spark):
 
     rows = quality_rows(200) + [(900, None, 1), (901, "odd", None), (5, words(80, 5), 1)]  # null text, null label, a repeated row
     df = spark.createDataFrame(rows, "key int, text string, label int").repartition(3)
-    model = quality.fit(df)
+    model = quality.fit(*parts(df))
     tables = []
     for raw in (model.good, model.bad):
         tables.append(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False))
