@@ -2,6 +2,13 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; what it returns is written as Parquet and read again as the next
 one's docs.  All but the last return the columns of documents.
+
+Cases, for all stages: null texts and texts without a letter go in the first stage; given to a later one, null counts as
+empty, empty texts are one group of copies, are near copies of nothing, and go in the mix, as they have no words.  Texts
+of any length are worked on whole.  Of equal or near texts one row stays: by length and id, or by id; of repeated rows (same
+id, same text) one.  Null ids stay like others and come last in ties.  Null sources are one source.  Empty tables
+give empty tables.  Columns beyond those of documents are kept by all stages but the last, whatever their names, as
+long as they are not named ``_hash``, ``id`` or ``hash``.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from sparkwarden.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from sparkwarden.llm.common import cut, table
 
 #: Rows (id and hash) up to which the rows to keep are broadcast; a larger table is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
