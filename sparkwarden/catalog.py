@@ -12,6 +12,7 @@ MODULES = (
     "sparkwarden.operators.relational",
     "sparkwarden.operators.spatial",
     "sparkwarden.operators.policy",
+    "sparkwarden.operators.simulation",
     "sparkwarden.operators.routing",
     "sparkwarden.operators.risk",
     "sparkwarden.plans.chartspec",

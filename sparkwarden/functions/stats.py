@@ -17,11 +17,45 @@ def average_rank(order: str, *groups: str) -> Column:
     return F.rank().over(w.orderBy(order)) + (F.count("*").over(Window.partitionBy(*groups, order)) - 1) / 2
 
 
-def quantile_bucket(q: int, order: list[Column], *groups: str) -> Column:
-    """Bucket 0..q-1 of a row by its place, with the edges of linear quantiles of the places."""
-    w = Window.partitionBy(*groups)
-    r, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
-    return F.greatest(F.ceil((r - 1) * q / F.greatest(n - 1, F.lit(1))) - 1, F.lit(0)).cast("int")
+#: Buckets of a score's range that ``place_within`` sorts one by one.
+BUCKETS = 4096
+
+
+def place_within(df: DataFrame, score: str, tie: str, *groups: str, out: str = "rn", total: str = "n_all", ends: tuple[float, float] | None = None) -> DataFrame:
+    """df with the place of each row by falling score (ties by rising ``tie``, nulls last) in its group, and the group's size.
+
+    A score's range is cut into ``BUCKETS`` buckets.  Rows are sorted within (group, bucket) alone, and the places before a
+    bucket come from counts, so a group with a third of all rows is spread over thousands of tasks.  ``ends``: least and
+    largest score, where they are known.
+    """
+    if ends is None:
+        base = df.join(F.broadcast(df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))))  # one row
+    else:
+        base = df.withColumns({"_lo": F.lit(ends[0]), "_hi": F.lit(ends[1])})
+    wide = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+    bucket = F.coalesce(F.least(F.floor((F.col("_hi") - F.col(score)) / wide * BUCKETS), F.lit(BUCKETS - 1)), F.lit(BUCKETS)).cast("int")
+    rows = base.withColumn("_b", bucket).drop("_lo", "_hi")
+    sizes = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*groups)  # at most BUCKETS + 1 rows of a group
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], F.col("_b").alias("_ob"), before.alias("_before"), F.sum("_n").over(w).alias(total))
+    same = F.col("_b") == F.col("_ob")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    own = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(F.desc(score), tie))
+    placed = rows.withColumn("_own", own).join(offsets, same)
+    return placed.withColumn(out, F.col("_own") + F.col("_before")).select(*df.columns, out, total)
+
+
+def quantile_bucket(q: int, place: Column, n: Column) -> Column:
+    """Bucket 0..q-1 of a row by its place among n, with the edges of linear quantiles of the places."""
+    return F.greatest(F.ceil((place - 1) * q / F.greatest(n - 1, F.lit(1))) - 1, F.lit(0)).cast("int")
+
+
+def ntile(q: int, place: Column, n: Column) -> Column:
+    """Chunk 1..q of a row by its place among n; sizes differ by one at most, larger ones first."""
+    small, more = F.floor(n / q), n % q
+    return F.when(place <= more * (small + 1), F.floor((place - 1) / (small + 1)) + 1).otherwise(F.floor((place - 1 - more) / F.greatest(small, F.lit(1))) + 1).cast("int")
 
 
 def auc(df: DataFrame, score: str, label: str, *groups: str) -> DataFrame:

@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.rng import SEED, uniform, uniform_sql
+from sparkwarden.functions.rng import beta_draw_sql, uniform, uniform_sql, with_beta_draw
+from sparkwarden.functions.stats import place_within
 from sparkwarden.plans.registry import query
+from sparkwarden.sources.shared import settled
 from sparkwarden.sources.tables import LAMBDA, STORES, stores, table
 
 KAPPA = 5.0
 
 
-def replicates(df: DataFrame, n: int, name: str = "sim") -> DataFrame:
-    """Each row n times, numbered."""
+def replicates(df: DataFrame, n: int, name: str = "sim", deal: bool = True) -> DataFrame:
+    """Each row n times, numbered; rows are dealt over all cores first, as a small table may lie in one partition."""
+    if deal:
+        df = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
@@ -43,22 +45,12 @@ def posterior_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("store", F.round("a", 6).alias("alpha"), F.round("b", 6).alias("beta"), F.round(F.col("a") / (F.col("a") + F.col("b")), 6).alias("mean"))
 
 
-def beta_draws(df: DataFrame, a: str, b: str, keys: list[str], out: str = "draw") -> DataFrame:
-    """df with a Beta(a, b) draw per row; the generator's seed is a hash of keys."""
-
-    def draws(seed: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(s & 0x7FFFFFFFFFFFFFFF).beta(x, y) for s, x, y in zip(seed, alpha, beta, strict=True)], dtype=float)
-
-    draws.__annotations__ = {"seed": pd.Series, "alpha": pd.Series, "beta": pd.Series, "return": pd.Series}
-    return df.withColumn(out, F.pandas_udf(draws, "double")(F.xxhash64(F.lit(SEED), *keys), a, b))
-
-
-@query("by3_thompson_draws")
+@query("by3_thompson_draws", f"WITH {STORES}, g AS (SELECT store, h, det, {beta_draw_sql(f'{KAPPA}::DOUBLE * greatest(least(p, 1 - 1e-4), 1e-4)', f'{KAPPA}::DOUBLE * (1 - greatest(least(p, 1 - 1e-4), 1e-4))', 'thompson', 'store')} AS draw FROM stores) SELECT store, round(draw, 6) AS draw, round(h * draw + 0.25 * det, 6) AS prize FROM g")
 def thompson_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A posterior draw per store, and the prize that it gives."""
+    """A posterior draw per store, and the prize that it gives (BY3)."""
     a, b = beta_prior(F.col("p"))
-    rows = beta_draws(stores(spark, sf_dir).withColumn("a", a).withColumn("b", b), "a", "b", ["store"])
-    return rows.select("store", "draw", (F.col("h") * F.col("draw") + LAMBDA * F.col("det")).alias("prize"))
+    rows = with_beta_draw(stores(spark, sf_dir), a, b, "thompson", "store")
+    return rows.select("store", F.round("draw", 6).alias("draw"), F.round(F.col("h") * F.col("draw") + LAMBDA * F.col("det"), 6).alias("prize"))
 
 
 @query(
@@ -67,9 +59,11 @@ def thompson_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def random_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fifth of each tract's budget of 20, one at least, drawn without replacement."""
-    w = Window.partitionBy("tract")
-    r = stores(spark, sf_dir).withColumn("rn", F.row_number().over(w.orderBy(uniform("quota", "store"), "store"))).withColumn("n", F.count("*").over(w))
-    return r.where(F.col("rn") <= F.greatest(F.lit(1.0), F.bround(0.2 * F.least("n", F.lit(20)), 0))).select("store", "tract")
+    s = stores(spark, sf_dir).select("store", "tract", uniform("quota", "store").alias("u"))
+    n = s.groupBy("tract").agg(F.count("*").alias("n")).select(F.col("tract").alias("t"), F.greatest(F.lit(1.0), F.bround(0.2 * F.least("n", F.lit(20)), 0)).alias("quota"))
+    # a fixed limit, so that each task keeps four rows of a tract before the shuffle
+    r = s.withColumn("rn", F.row_number().over(Window.partitionBy("tract").orderBy("u", "store"))).where("rn <= 4")
+    return r.join(n, F.col("tract").eqNullSafe(F.col("t"))).where("rn <= quota").select("store", "tract")
 
 
 _SCORES = f"sc AS (SELECT store, tract, p, {uniform_sql('noise', 'store')} AS u, {uniform_sql('noise', 'store')} AS random_score, 1000 * least(v36, 3) + 10 * v36 - days_since / 1000.0::DOUBLE AS violators_score, CASE WHEN v36 >= 1 AND days_since >= 180 THEN 1000 + days_since / 10.0::DOUBLE ELSE 0 END AS followup_score, p AS risk_score, prize AS prize_score FROM stores)"
@@ -99,19 +93,23 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def capture_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected and distinct violators by policy and budget, exactly (CP1 to CP5, CP7, NB11, NB12)."""
-    w = Window.partitionBy("tract")
-    r = stores(spark, sf_dir).select("tract", "p", F.row_number().over(w.orderBy(F.desc("p"), "store")).alias("rn"), F.count("*").over(w).alias("all"))
-    g = r.withColumn("budget", F.explode(F.array(F.lit(4), F.lit(11), F.lit(44)))).withColumn("n", F.least("budget", "all"))
+    s = stores(spark, sf_dir).select("store", "tract", "p")
+    budgets = F.array(F.lit(4), F.lit(11), F.lit(44))
+    # only the best 44 of a tract are ranked; a fixed limit lets each task drop the others before the shuffle
+    best = s.withColumn("rn", F.row_number().over(Window.partitionBy("tract").orderBy(F.desc("p"), "store"))).where("rn <= 44").withColumn("budget", F.explode(budgets))
+    best = best.where("rn <= budget").groupBy("tract", "budget").agg(F.sum("p").alias("top")).select(F.col("tract").alias("t"), F.col("budget").alias("b"), "top")
+    sizes = s.groupBy("tract").agg(F.count("*").alias("all")).select(F.col("tract").alias("ts"), "all")
+    g = s.join(sizes, F.col("tract").eqNullSafe(F.col("ts"))).withColumn("budget", F.explode(budgets)).withColumn("n", F.least("budget", "all"))
     p, n, total = F.col("p"), F.min("n"), F.count("*")
-    top = F.sum(F.when(F.col("rn") <= F.col("n"), p).otherwise(0.0))
-    return g.groupBy("tract", "budget").agg(
-        F.round(n * F.avg(p), 5).alias("expected"), F.round(F.sum(p), 5).alias("census"), F.round(n / total * F.sum(p), 5).alias("srs"),
-        F.round(F.sum(1 - F.pow(1 - p / F.col("all"), F.col("n"))), 5).alias("iid"), F.round(1 - F.pow(1 - 1 / total, n), 6).alias("coverage_iid"),
-        F.round(top, 5).alias("targeted"), F.round(F.sum(1 - F.pow(1 - p, F.lit(2))), 5).alias("two_pass"), F.round(0.73 * F.sum(p), 5).alias("repeats"),
-        F.round(0.73 * F.sum(p * p), 5).alias("repeat_hits"), F.round(F.sqrt(F.sum(p * (1 - p))) / total, 6).alias("se_census"),
-        F.round(F.sqrt(F.avg(p) * (1 - F.avg(p)) / n), 6).alias("se_sample"), F.round(F.least(top, 1.5 * n * F.avg(p)), 5).alias("discounted"),
-        F.round(total * F.log(1 / (1 - F.lit(0.95))), 4).alias("iid_budget_95"),
+    g = g.groupBy("tract", "budget").agg(
+        (n * F.avg(p)).alias("expected"), F.sum(p).alias("census"), (n / total * F.sum(p)).alias("srs"), F.sum(1 - F.pow(1 - p / F.col("all"), F.col("n"))).alias("iid"),
+        (1 - F.pow(1 - 1 / total, n)).alias("coverage_iid"), F.sum(1 - F.pow(1 - p, F.lit(2))).alias("two_pass"), (0.73 * F.sum(p)).alias("repeats"),
+        (0.73 * F.sum(p * p)).alias("repeat_hits"), (F.sqrt(F.sum(p * (1 - p))) / total).alias("se_census"), F.sqrt(F.avg(p) * (1 - F.avg(p)) / n).alias("se_sample"), (total * F.log(1 / (1 - F.lit(0.95)))).alias("iid_budget_95"),
     )
+    g = g.join(best, F.col("tract").eqNullSafe(F.col("t")) & (F.col("budget") == F.col("b")))
+    at = {"coverage_iid": 6, "se_census": 6, "se_sample": 6, "iid_budget_95": 4}
+    rounded = [F.round(c, at.get(c, 5)).alias(c) for c in ("expected", "census", "srs", "iid", "coverage_iid", "two_pass", "repeats", "repeat_hits", "se_census", "se_sample", "iid_budget_95")]
+    return g.select("tract", "budget", *rounded, F.round("top", 5).alias("targeted"), F.round(F.least(F.col("top"), 1.5 * F.col("expected")), 5).alias("discounted"))
 
 
 def least_budget(p: DataFrame, target: float, most: int) -> int | None:
@@ -136,13 +134,15 @@ def least_budget(p: DataFrame, target: float, most: int) -> int | None:
 )
 def iid_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws with replacement that find half of all violators."""
-    p = stores(spark, sf_dir).select("p").cache()
+    p = settled(stores(spark, sf_dir).select("p"))  # read by a few jobs
     row = p.agg(F.count("*").alias("n"), F.sum("p").alias("s")).first()
     n = least_budget(p, 0.5 * row["s"], 50 * row["n"])
     return p.agg(F.count("*").alias("n_all"), F.lit(n).cast("bigint").alias("budget"), F.round(0.5 * F.sum("p"), 4).alias("target"))
 
 
-_SIMS, _DRAWS = 40, 100
+#: Simulations, and the share of all stores that one checks.
+_SIMS, _SHARE = 1000, 15
+_DRAWS = f"(SELECT greatest(round_even(n / {_SHARE}.0::DOUBLE, 0), 1) FROM n)"
 
 
 @query(
@@ -151,26 +151,29 @@ _SIMS, _DRAWS = 40, 100
  q AS (SELECT tract, count(*) AS k, {_DRAWS} * count(*) / CAST((SELECT n FROM n) AS DOUBLE) AS exact FROM stores GROUP BY tract), q2 AS (SELECT tract, floor(exact) AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, tract) AS place FROM q), quota AS (SELECT tract, base + CASE WHEN place <= {_DRAWS} - (SELECT sum(base) FROM q2) THEN 1 ELSE 0 END AS quota FROM q2),
  ss AS (SELECT sim, store, tract, p, CASE WHEN {uniform_sql('hit', 'sim', 'store')} < p THEN 1 ELSE 0 END AS hit, {uniform_sql('srs', 'sim', 'store')} AS u FROM stores, sims),
  rk AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY u, store) AS r, row_number() OVER (PARTITION BY sim ORDER BY p DESC, store) AS rp, row_number() OVER (PARTITION BY sim, tract ORDER BY u, store) AS rt FROM ss),
- iid AS (SELECT sim, CAST(floor({uniform_sql('iid', 'sim', 'j')} * (SELECT n FROM n)) AS BIGINT) AS store FROM sims, (SELECT unnest(range({_DRAWS})) AS j)),
+ iid AS (SELECT sim, CAST(floor({uniform_sql('iid', 'sim', 'j')} * (SELECT n FROM n)) AS BIGINT) AS store FROM sims, (SELECT unnest(range(CAST({_DRAWS} AS BIGINT))) AS j)),
  ev AS (SELECT 'srs' AS policy, sim, store, hit FROM rk WHERE r <= {_DRAWS} UNION ALL SELECT 'targeted', sim, store, hit FROM rk WHERE rp <= {_DRAWS} UNION ALL SELECT 'stratified', sim, store, hit FROM rk JOIN quota USING (tract) WHERE rt <= quota UNION ALL SELECT 'census', sim, store, hit FROM ss UNION ALL SELECT 'iid', sim, store, hit FROM iid JOIN ss USING (sim, store)),
  pe AS (SELECT policy, sim, sum(hit) AS events, count(DISTINCT CASE WHEN hit = 1 THEN store END) AS found, count(DISTINCT store) AS seen FROM ev GROUP BY ALL)
  SELECT policy, round(avg(events), 5) AS events, round(avg(found), 5) AS found, round(avg(seen) / (SELECT n FROM n), 6) AS coverage, round(stddev_pop(found), 5) AS sd FROM pe GROUP BY policy""",
 )
 def simulate_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monte Carlo capture of five sampling schemes, 40 simulations of 100 checks."""
-    s = stores(spark, sf_dir).select("store", "tract", "p")
+    """Monte Carlo capture of five sampling schemes, 1,000 simulations of checks at a fifteenth of the stores."""
+    s = settled(stores(spark, sf_dir).select("store", "tract", "p"))
     n = s.count()
-    w = Window.orderBy(F.desc(F.col("exact") - F.floor("exact")), "tract")
-    quota = s.groupBy("tract").agg((_DRAWS * F.count("*") / F.lit(float(n))).alias("exact")).withColumn("base", F.floor("exact")).withColumn("place", F.row_number().over(w))
-    left = quota.agg((_DRAWS - F.sum("base")).alias("left"))
+    draws = max(round(n / _SHARE), 1)
+    w = Window.orderBy(F.desc(F.col("exact") - F.floor("exact")), "tract")  # one row per tract
+    quota = s.groupBy("tract").agg((draws * F.count("*") / F.lit(float(n))).alias("exact")).withColumn("base", F.floor("exact")).withColumn("place", F.row_number().over(w))
+    left = quota.agg((draws - F.sum("base")).alias("left"))
     quota = quota.join(F.broadcast(left)).select("tract", (F.col("base") + (F.col("place") <= F.col("left")).cast("int")).alias("quota"))
-    sims = replicates(s, _SIMS).withColumn("hit", (uniform("hit", "sim", "store") < F.col("p")).cast("int")).withColumn("u", uniform("srs", "sim", "store"))
-    by = Window.partitionBy("sim")
-    ranked = sims.withColumn("r", F.row_number().over(by.orderBy("u", "store"))).withColumn("rp", F.row_number().over(by.orderBy(F.desc("p"), "store"))).withColumn("rt", F.row_number().over(Window.partitionBy("sim", "tract").orderBy("u", "store")))
-    draws = spark.range(_SIMS).select(F.col("id").cast("int").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(_DRAWS - 1))).alias("j"))
-    iid = draws.select("sim", F.floor(uniform("iid", "sim", "j") * n).cast("bigint").alias("store")).join(sims, ["sim", "store"])
+    sims = settled(replicates(s, _SIMS).select("sim", "store", "tract", (uniform("hit", "sim", "store") < F.col("p")).cast("int").alias("hit"), (-uniform("srs", "sim", "store")).alias("low")))
+    srs = place_within(sims, "low", "store", "sim", ends=(-1.0, 0.0)).where(F.col("rn") <= draws)
+    strata = place_within(sims, "low", "store", "sim", "tract", ends=(-1.0, 0.0)).join(quota, "tract").where("rn <= quota")
+    best = place_within(s, "p", "store").where(F.col("rn") <= draws).select("store")  # the same in all simulations
+    targeted = sims.join(best, "store", "left_semi")
+    picks = spark.range(_SIMS).select(F.col("id").cast("int").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j"))
+    iid = picks.select("sim", F.floor(uniform("iid", "sim", "j") * n).cast("bigint").alias("store")).join(sims, ["sim", "store"])
     named = lambda df, policy: df.select(F.lit(policy).alias("policy"), "sim", "store", "hit")
-    events = named(ranked.where(F.col("r") <= _DRAWS), "srs").union(named(ranked.where(F.col("rp") <= _DRAWS), "targeted")).union(named(ranked.join(F.broadcast(quota), "tract").where("rt <= quota"), "stratified")).union(named(sims, "census")).union(named(iid, "iid"))
+    events = named(srs, "srs").union(named(targeted, "targeted")).union(named(strata, "stratified")).union(named(sims, "census")).union(named(iid, "iid"))
     per = events.groupBy("policy", "sim").agg(F.sum("hit").alias("events"), F.countDistinct(F.when(F.col("hit") == 1, F.col("store"))).alias("found"), F.countDistinct("store").alias("seen"))
     return per.groupBy("policy").agg(F.round(F.avg("events"), 5).alias("events"), F.round(F.avg("found"), 5).alias("found"), F.round(F.avg("seen") / n, 6).alias("coverage"), F.round(F.stddev_pop("found"), 5).alias("sd"))
 
@@ -178,31 +181,31 @@ def simulate_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tk8_bootstrap_lift",
     f"""WITH {STORES}, s AS (SELECT store, prize, CAST(v36 >= 4 AS INTEGER) AS y FROM stores), n AS (SELECT count(*) AS n FROM s),
- d AS (SELECT b, j, CAST(floor({uniform_sql('boot', 'b', 'j')} * n) AS BIGINT) AS store FROM (SELECT unnest(range(30)) AS b), (SELECT store AS j FROM s), n),
+ d AS (SELECT b, j, CAST(floor({uniform_sql('boot', 'b', 'j')} * n) AS BIGINT) AS store FROM (SELECT unnest(range(500)) AS b), (SELECT store AS j FROM s), n),
  r AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY prize DESC, s.store, j) <= greatest(round_even(0.1 * (SELECT n FROM n), 0), 1) AS top FROM d JOIN s USING (store)),
  l AS (SELECT b, avg(CASE WHEN top THEN y END) / avg(y) AS lift FROM r GROUP BY b) SELECT count(*) AS replicates, round(quantile_cont(lift, 0.025), 6) AS lo, round(avg(lift), 6) AS mean, round(quantile_cont(lift, 0.975), 6) AS hi FROM l""",
 )
 def bootstrap_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile bootstrap of the lift of the top tenth, 30 replicates (TK8, AG21)."""
-    s = stores(spark, sf_dir).select("store", "prize", (F.col("v36") >= 4).cast("int").alias("y"))
+    """Percentile bootstrap of the lift of the top tenth, 500 replicates (TK8, AG21)."""
+    s = settled(stores(spark, sf_dir).select("store", "prize", (F.col("v36") >= 4).cast("int").alias("y")))
     n = s.count()
-    d = replicates(s.select(F.col("store").alias("j")), 30, "b").withColumn("store", F.floor(uniform("boot", "b", "j") * n).cast("bigint"))
-    w = Window.partitionBy("b").orderBy(F.desc("prize"), "store", "j")
-    r = d.join(s, "store").withColumn("top", F.row_number().over(w) <= max(round(0.1 * n), 1))
+    d = replicates(s.select(F.col("store").alias("j")), 500, "b").withColumn("store", F.floor(uniform("boot", "b", "j") * n).cast("bigint"))
+    placed = place_within(d.join(s, "store").withColumn("tie", F.struct("store", "j")), "prize", "tie", "b")
+    r = placed.withColumn("top", F.col("rn") <= max(round(0.1 * n), 1))
     per = r.groupBy("b").agg((F.avg(F.when(F.col("top"), F.col("y"))) / F.avg("y")).alias("lift"))
     return per.agg(F.count("*").alias("replicates"), F.round(F.percentile("lift", 0.025), 6).alias("lo"), F.round(F.avg("lift"), 6).alias("mean"), F.round(F.percentile("lift", 0.975), 6).alias("hi"))
 
 
 @query(
     "ml12_capture_benchmark",
-    f"WITH {STORES}, t AS (SELECT tract, sum(prize) AS total FROM stores GROUP BY 1), top AS (SELECT tract, sum(prize) AS top FROM (SELECT tract, prize, row_number() OVER (PARTITION BY tract ORDER BY prize DESC, store) AS rn FROM stores) WHERE rn <= 10 GROUP BY 1), d AS (SELECT tract, sim, prize, row_number() OVER (PARTITION BY tract, sim ORDER BY {uniform_sql('bench', 'sim', 'store')}, store) AS rn FROM stores, (SELECT unnest(range(25)) AS sim)), c AS (SELECT tract, sim, sum(prize) AS captured FROM d WHERE rn <= 10 GROUP BY ALL) SELECT tract, round(min(top / total), 6) AS top_share, round(avg(captured / total), 6) AS random_mean, round(quantile_cont(captured / total, 0.95), 6) AS random_p95 FROM c JOIN t USING (tract) JOIN top USING (tract) GROUP BY tract",
+    f"WITH {STORES}, t AS (SELECT tract, sum(prize) AS total FROM stores GROUP BY 1), top AS (SELECT tract, sum(prize) AS top FROM (SELECT tract, prize, row_number() OVER (PARTITION BY tract ORDER BY prize DESC, store) AS rn FROM stores) WHERE rn <= 10 GROUP BY 1), d AS (SELECT tract, sim, prize, row_number() OVER (PARTITION BY tract, sim ORDER BY {uniform_sql('bench', 'sim', 'store')}, store) AS rn FROM stores, (SELECT unnest(range(1000)) AS sim)), c AS (SELECT tract, sim, sum(prize) AS captured FROM d WHERE rn <= 10 GROUP BY ALL) SELECT tract, round(min(top / total), 6) AS top_share, round(avg(captured / total), 6) AS random_mean, round(quantile_cont(captured / total, 0.95), 6) AS random_p95 FROM c JOIN t USING (tract) JOIN top USING (tract) GROUP BY tract",
 )
 def capture_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of prizes that the best ten stores of a tract hold, against 25 random draws of ten."""
+    """Share of prizes that the best ten stores of a tract hold, against 1,000 random draws of ten."""
     s = stores(spark, sf_dir).select("store", "tract", "prize")
     t = s.groupBy("tract").agg(F.sum("prize").alias("total"))
     top = s.withColumn("rn", F.row_number().over(Window.partitionBy("tract").orderBy(F.desc("prize"), "store"))).where("rn <= 10").groupBy("tract").agg(F.sum("prize").alias("top"))
-    d = replicates(s, 25).withColumn("rn", F.row_number().over(Window.partitionBy("tract", "sim").orderBy(uniform("bench", "sim", "store"), "store"))).where("rn <= 10").groupBy("tract", "sim").agg(F.sum("prize").alias("captured"))
+    d = replicates(s, 1000).withColumn("rn", F.row_number().over(Window.partitionBy("tract", "sim").orderBy(uniform("bench", "sim", "store"), "store"))).where("rn <= 10").groupBy("tract", "sim").agg(F.sum("prize").alias("captured"))
     share = F.col("captured") / F.col("total")
     return d.join(t, "tract").join(top, "tract").groupBy("tract").agg(F.round(F.min(F.col("top") / F.col("total")), 6).alias("top_share"), F.round(F.avg(share), 6).alias("random_mean"), F.round(F.percentile(share, 0.95), 6).alias("random_p95"))
 
@@ -247,14 +250,14 @@ def power_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sm9_adaptive_second_pass",
-    f"""WITH {STORES}, ss AS (SELECT sim, store, tract, p, h, CASE WHEN {uniform_sql('first', 'sim', 'store')} < p THEN 1 ELSE 0 END AS hit1, CASE WHEN {uniform_sql('second', 'sim', 'store')} < p THEN 1 ELSE 0 END AS hit2, {uniform_sql('pick', 'sim', 'store')} AS u FROM stores, (SELECT unnest(range(12)) AS sim)),
+    f"""WITH {STORES}, ss AS (SELECT sim, store, tract, p, h, CASE WHEN {uniform_sql('first', 'sim', 'store')} < p THEN 1 ELSE 0 END AS hit1, CASE WHEN {uniform_sql('second', 'sim', 'store')} < p THEN 1 ELSE 0 END AS hit2, {uniform_sql('pick', 'sim', 'store')} AS u FROM stores, (SELECT unnest(range(300)) AS sim)),
  sc AS (SELECT sim, store, tract, hit1, hit2, u, p AS "static", (5 * p + hit1) / 6 AS posterior_mean, h * (5 * p + hit1) / 6 AS posterior_prize, u AS "random" FROM ss),
  l AS (UNPIVOT sc ON "static", posterior_mean, posterior_prize, "random" INTO NAME rule VALUE score), r AS (SELECT *, row_number() OVER (PARTITION BY rule, sim, tract ORDER BY score DESC, u, store) AS rn FROM l), e AS (SELECT rule, sim, sum(hit2) AS events, sum(hit2 * hit1) AS repeats, sum(hit2 * (1 - hit1)) AS fresh FROM r WHERE rn <= 10 GROUP BY ALL)
  SELECT rule, round(avg(events), 5) AS events, round(avg(repeats), 5) AS repeats, round(avg(fresh), 5) AS fresh, round(stddev_samp(events) / sqrt(count(*)), 5) AS se FROM e GROUP BY rule""",
 )
 def adaptive_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second pass of ten checks per tract after a census, by four rules, 12 simulations."""
-    ss = replicates(stores(spark, sf_dir).select("store", "tract", "p", "h"), 12)
+    """A second pass of ten checks per tract after a census, by four rules, 300 simulations."""
+    ss = replicates(stores(spark, sf_dir).select("store", "tract", "p", "h"), 300)
     ss = ss.withColumn("hit1", (uniform("first", "sim", "store") < F.col("p")).cast("int")).withColumn("hit2", (uniform("second", "sim", "store") < F.col("p")).cast("int")).withColumn("u", uniform("pick", "sim", "store"))
     mean = (5 * F.col("p") + F.col("hit1")) / 6
     sc = ss.select("sim", "store", "tract", "hit1", "hit2", "u", F.col("p").alias("static"), mean.alias("posterior_mean"), (F.col("h") * (5 * F.col("p") + F.col("hit1")) / 6).alias("posterior_prize"), F.col("u").alias("random"))
@@ -264,181 +267,19 @@ def adaptive_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("rule").agg(F.round(F.avg("events"), 5).alias("events"), F.round(F.avg("repeats"), 5).alias("repeats"), F.round(F.avg("fresh"), 5).alias("fresh"), F.round(F.stddev_samp("events") / F.sqrt(F.count("*")), 5).alias("se"))
 
 
-@query("sm9_thompson_second_pass")
+@query(
+    "sm9_thompson_second_pass",
+    f"WITH {STORES}, f AS (SELECT *, CASE WHEN {uniform_sql('first', '0', 'store')} < p THEN 1 ELSE 0 END AS hit1 FROM stores), g AS (SELECT *, {beta_draw_sql(f'{KAPPA}::DOUBLE * greatest(least(p, 1 - 1e-4), 1e-4) + hit1', f'{KAPPA}::DOUBLE * (1 - greatest(least(p, 1 - 1e-4), 1e-4)) + 1 - hit1', 'second', 'store')} AS draw FROM f), r AS (SELECT tract, hit1, p, row_number() OVER (PARTITION BY tract ORDER BY h * draw DESC, store) AS rn FROM g) SELECT tract, count(*) AS checks, CAST(sum(hit1) AS BIGINT) AS seen_before, round(sum(p), 5) AS expected FROM r WHERE rn <= 10 GROUP BY tract",
+)
 def thompson_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second pass by posterior draws, per tract."""
     s = stores(spark, sf_dir).withColumn("hit1", (uniform("first", F.lit(0), "store") < F.col("p")).cast("int"))
     a, b = beta_prior(F.col("p"))
-    d = beta_draws(s.withColumn("a", a + F.col("hit1")).withColumn("b", b + 1 - F.col("hit1")), "a", "b", ["store"])
+    d = with_beta_draw(s, a + F.col("hit1"), b + 1 - F.col("hit1"), "second", "store")
     w = Window.partitionBy("tract").orderBy(F.desc(F.col("h") * F.col("draw")), "store")
     return d.withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("tract").agg(F.count("*").alias("checks"), F.sum("hit1").alias("seen_before"), F.round(F.sum("p"), 5).alias("expected"))
 
 
-POLICIES = ("random", "prior_violators_first", "risk_top_fixed", "prize_top_fixed", "prize_at_most_once", "thompson_prize", "thompson_prize_random", "status_quo_followup", "thompson_prize_random_at_most_once")
-#: Responses (delta, rho, gamma) and prior strengths of the studies: all policies, and two by prior strength.
-_RESPONSES = ((0.0, 0.0, 0.0), (0.25, 0.0, 0.0), (0.0, 0.5, 0.0), (0.0, 0.9, 0.0), (0.25, 0.5, 0.0), (0.5, 0.6, 0.5))
-_KAPPAS = (2.0, 5.0, 10.0, 20.0, 100.0)
-_STUDIES = (
-    *(("policies", name, *how, KAPPA) for name in POLICIES for how in _RESPONSES),
-    *(("policies", name, 0.5, 0.6, 0.5, 20.0) for name in POLICIES),
-    *(("kappa", name, *how, kappa) for name in ("thompson_prize_random", "thompson_prize_random_at_most_once") for how in ((0.0, 0.0, 0.0), (0.25, 0.5, 0.0)) for kappa in _KAPPAS),
-)
-#: Cells (simulation, store) that a worker holds at a time.
-_CELLS = 500_000
-
-
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    """Where the k highest of each row are, in any order."""
-    k = min(k, score.shape[1])
-    return np.argpartition(-score, k - 1, axis=1)[:, :k] if k else np.zeros((len(score), 0), int)
-
-
-def _run_policies(name: str, p, h, det, v36, budget: int, cycles: int, rng, response: dict, sims: int, days_since=None) -> dict:
-    """Cycles of one policy in one tract: selection, hits by the effective risk, and memory of who was checked.
-
-    A row per simulation and a column per cycle: hits, the sum of the effective risks, and stores checked for the first time.
-    """
-    n, b, each = len(p), min(budget, len(p)), np.arange(sims)[:, None]
-    prize, quota = h * p + LAMBDA * det, max(1, round(0.2 * b))
-    seen, own, freq = np.zeros((sims, n), bool), np.zeros((sims, n), np.int8), np.zeros((sims, n), np.int8)
-    last, out = [], {k: np.zeros((sims, cycles)) for k in ("found", "exposure", "fresh")}
-    fixed = {"risk_top_fixed": p, "prize_top_fixed": prize, "prize_at_most_once": prize}.get(name)
-    order = None if fixed is None else np.argsort(-fixed, kind="stable")
-    kappa = response.get("kappa", KAPPA)
-    due = None if days_since is None else (v36 >= 1) & (days_since >= 180)
-    for c in range(cycles):
-        eff = p * (1 - response["delta"]) ** own
-        recent = min(c, response["window"])
-        if recent:
-            eff = eff * (1 - response["rho"] * freq / recent) * (1 - response["gamma"] * (freq > 0).mean(axis=1, keepdims=True))
-        if name == "random":
-            chosen = _top(rng.random((sims, n)), b)
-        elif name == "prior_violators_first":
-            chosen = _top(v36 + 1e-3 * rng.random((sims, n)), b)
-        elif name == "status_quo_followup":
-            chosen = _top(np.where(due, 1000 + days_since / 10, 0.0) + rng.random((sims, n)), b)
-        elif order is not None:
-            start = c * b if name == "prize_at_most_once" else 0
-            chosen = np.tile(order[start : start + b], (sims, 1))
-        else:
-            score = h * rng.beta(kappa * p, kappa * (1 - p), (sims, n)) + LAMBDA * det
-            if name == "thompson_prize_random_at_most_once":
-                score[seen] = -1
-            first = _top(rng.random((sims, n)), 0 if name == "thompson_prize" else min(quota, n))
-            score[each, first] = -np.inf
-            chosen = np.hstack([first, _top(score, b - first.shape[1])])
-        out["found"][:, c] = (rng.random(chosen.shape) < eff[each, chosen]).sum(axis=1)
-        out["exposure"][:, c] = eff.sum(axis=1)
-        out["fresh"][:, c] = (~seen[each, chosen]).sum(axis=1)
-        seen[each, chosen] = True
-        last.append(chosen)
-        for counts, length in ((own, response["memory"]), (freq, response["window"])):
-            counts[each, chosen] += 1
-            if len(last) > length:
-                counts[each, last[-length - 1]] -= 1
-    return out
-
-
-def _run_policy(name: str, p, h, det, v36, budget: int, cycles: int, rng, response: dict) -> dict:
-    """One simulation of a policy in one tract: means over its cycles, and the stores that were checked."""
-    out = _run_policies(name, p, h, det, v36, budget, cycles, rng, response, 1)
-    return {"found": out["found"].mean(), "exposure": out["exposure"].mean() / len(p), "distinct_stores": int(out["fresh"].sum())}
-
-
-_KEYS = ["study", "policy", "delta", "rho", "gamma", "kappa"]
-
-
-def _simulate(sims: dict, cycles: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = dict(zip(["tract", *_KEYS], key, strict=True))
-        rows = rows.sort_values("store")
-        rng = np.random.default_rng([SEED, int(at["tract"]), POLICIES.index(at["policy"]), *(int(at[k] * 100) for k in ("delta", "rho", "gamma", "kappa")), len(at["study"])])
-        response = {"delta": at["delta"], "memory": 3, "rho": at["rho"], "window": 6, "gamma": at["gamma"], "kappa": at["kappa"]}
-        p, h, det, v36, days = (rows[c].to_numpy(float) for c in ("p", "h", "det", "v36", "days_since"))
-        n, most, parts = sims[at["study"]], max(1, _CELLS // len(p)), []
-        for start in range(0, n, most):
-            parts.append(_run_policies(at["policy"], p, h, det, v36, 4, cycles, rng, response, min(most, n - start), days))
-        out = {k: list(np.vstack([x[k] for x in parts])) for k in parts[0]}
-        return pd.DataFrame({**at, "sim": np.arange(n), "stores": len(p), **out})
-
-    return run
-
-
-@query("sm3_policy_simulation")
-def policy_simulation(spark: SparkSession, sf_dir: str, n_sims: int = 100, kappa_sims: int = 60, cycles: int = 36) -> DataFrame:
-    """Sequential policies under deterrence: each (tract, policy, response) is a group that holds all its simulations (SM2 to SM4, PL4).
-
-    Tracts are summed within a simulation; found, exposure and distinct_stores are means over simulations, lo and hi percentiles.
-    """
-    s = stores(spark, sf_dir).select("store", "tract", "p", "h", "det", "v36", "days_since")
-    grid = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(_KEYS, row, strict=True)]) for row in _STUDIES])
-    rows = s.withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
-    kinds = "tract int, study string, policy string, delta double, rho double, gamma double, kappa double, sim int, stores long, found array<double>, exposure array<double>, fresh array<double>"
-    out = rows.groupBy("tract", *_KEYS).applyInPandas(_simulate({"policies": n_sims, "kappa": kappa_sims}, cycles), kinds)
-    each = [F.sum(F.col(k)[c]).alias(f"{k}_{c}") for k in ("found", "exposure") for c in range(cycles)]
-    per = out.groupBy(*_KEYS, "sim").agg(F.sum("stores").alias("stores"), F.sum(F.aggregate("fresh", F.lit(0.0), lambda x, y: x + y)).alias("distinct"), *each)
-    mean = lambda k: sum((F.col(f"{k}_{c}") for c in range(1, cycles)), F.col(f"{k}_0")) / cycles
-    per = per.withColumn("found", mean("found")).withColumn("exposure", mean("exposure") / F.col("stores"))
-    by_cycle = lambda k, name, unit: F.array(*[F.round(F.avg(F.col(f"{k}_{c}") / unit), 6) for c in range(cycles)]).alias(name)
-    return per.groupBy(*_KEYS).agg(
-        F.count("*").alias("sims"), F.round(F.avg("found"), 5).alias("found"), F.round(F.percentile("found", 0.025), 5).alias("lo"), F.round(F.percentile("found", 0.975), 5).alias("hi"),
-        F.round(F.avg("exposure"), 6).alias("exposure"), F.round(F.avg("distinct"), 5).alias("distinct_stores"), by_cycle("found", "found_by_cycle", F.lit(1.0)), by_cycle("exposure", "exposure_by_cycle", F.col("stores")),
-    )
-
-
-def _year(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Twelve months of a tract under a capped budget or a census floor with a second pass."""
-    tract, regime, sim = key
-    rows = rows.sort_values("store")
-    p, h = rows["p"].to_numpy(float), rows["h"].to_numpy(float)
-    n, rng = len(p), np.random.default_rng([SEED, int(sim), int(tract), 11])
-    logit = np.log(p / (1 - p)) + 0.5 * rng.standard_normal(n)
-    lo, hi = -20.0, 20.0
-    for _ in range(40):  # truth with hidden noise keeps the mean risk
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (1 / (1 + np.exp(-(logit + mid)))).mean() < p.mean() else (lo, mid)
-    q = 1 / (1 + np.exp(-(logit + lo)))
-    checks, hits, months, exposure, exposure_h, found = np.zeros(n), np.zeros(n), [], 0.0, 0.0, 0
-    chunks = np.array_split(rng.permutation(n), 9)
-    second: list = []
-    for month in range(12):
-        eff = q.copy()
-        for past in months[-3:]:
-            eff[past] *= 0.5
-        if months:
-            eff *= 1 - 0.3 * (np.bincount(np.concatenate(months[-6:]), minlength=n) > 0).mean()
-        if regime == "capped":
-            free = np.flatnonzero(checks == 0)
-            rand = rng.choice(free, min(1, len(free)), replace=False)
-            rest = np.setdiff1d(free, rand)
-            score = h * rng.beta(KAPPA * p, KAPPA * (1 - p))
-            chosen = np.concatenate([rand, rest[np.argsort(-score[rest])][:3]])
-        elif month < 9:
-            chosen = chunks[month]
-        else:
-            if month == 9:
-                draw = rng.beta(KAPPA * p + hits, KAPPA * (1 - p) + checks - hits)
-                second = np.array_split(np.argsort(-h * draw)[: round(0.25 * n)], 3)
-            chosen = second[month - 9]
-        hit = rng.random(len(chosen)) < eff[chosen]
-        found += int(hit.sum())
-        checks[chosen] += 1
-        hits[chosen[hit]] += 1
-        months.append(chosen)
-        exposure += eff.mean() / 12
-        exposure_h += (eff * h).sum() / h.sum() / 12
-    return pd.DataFrame([{"tract": tract, "regime": regime, "sim": sim, "checks": checks.sum(), "found": found, "distinct_found": int((hits > 0).sum()), "repeats": int((checks > 1).sum()), "reduction": 1 - exposure / q.mean(), "reduction_h": 1 - exposure_h / ((q * h).sum() / h.sum())}])
-
-
-@query("sm11_year_simulation")
-def year_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A year of each tract under two regimes, against a noisy truth (SM7, SM11, NB14)."""
-    s = stores(spark, sf_dir).select("store", "tract", "p", "h")
-    rows = replicates(s.withColumn("regime", F.explode(F.array(F.lit("capped"), F.lit("census_floor")))), 4)
-    out = rows.groupBy("tract", "regime", "sim").applyInPandas(_year, "tract int, regime string, sim int, checks double, found long, distinct_found long, repeats long, reduction double, reduction_h double")
-    return out.groupBy("regime").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("checks", "found", "distinct_found", "repeats", "reduction", "reduction_h")])
-
-
 def shifted(p: Column, slope: Column | float, shift: Column | float) -> Column:
     """sigmoid(slope * logit(p) + shift)."""
     return 1 / (1 + F.exp(-(slope * F.log(p / (1 - p)) + shift)))
@@ -470,19 +311,45 @@ def calibrated_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("n"), F.round(F.avg("q"), 5).alias("mean_p"), F.round(F.avg("p"), 6).alias("mean_raw"), F.round(F.corr(F.log(F.col("p") / (1 - F.col("p"))), F.log(F.col("q") / (1 - F.col("q")))), 6).alias("same_order"))
 
 
-@query("sm8_realized_lift")
-def realized_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slope of a truth whose top tenth by the model's risk has a lift of 1.47: bisection over aggregate jobs."""
-    s = stores(spark, sf_dir).select("store", "p").cache()
-    cut = s.agg(F.percentile("p", 0.9).alias("c")).first()["c"]
-    mean = s.agg(F.avg("p").alias("m")).first()["m"]
-    lo, hi = 0.0, 1.0
-    for _ in range(8):
-        slope = (lo + hi) / 2
-        q = shifted(F.col("p"), slope, find_shift(s, "p", mean, slope))
-        lift = s.agg((F.avg(F.when(F.col("p") >= cut, q)) / F.avg(q)).alias("l")).first()["l"]
-        lo, hi = (slope, hi) if lift < 1.47 else (lo, slope)
-    q = shifted(F.col("p"), lo, find_shift(s, "p", mean, lo))
-    return s.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("p") >= cut, q)) / F.avg(q), 3).alias("lift"), F.round(F.lit(lo), 4).alias("slope"))
+def find_shifts(df: DataFrame, p: str, target: float, slopes: list[float]) -> list[float]:
+    """For each slope the logit shift that brings the mean to the target: Newton steps for all slopes at once.
+
+    Each step is one aggregation over df, whatever the number of slopes.
+    """
+    lo, hi, shift = [-20.0] * len(slopes), [20.0] * len(slopes), [0.0] * len(slopes)
+    for _ in range(30):
+        qs = [shifted(F.col(p), F.lit(a), F.lit(b)) for a, b in zip(slopes, shift, strict=True)]
+        row = df.agg(*[F.avg(q).alias(f"m{k}") for k, q in enumerate(qs)], *[F.avg(q * (1 - q)).alias(f"r{k}") for k, q in enumerate(qs)]).first()
+        gaps = [row[f"m{k}"] - target for k in range(len(slopes))]
+        if max(map(abs, gaps)) < 1e-10:
+            break
+        for k, gap in enumerate(gaps):
+            lo[k], hi[k] = (shift[k], hi[k]) if gap < 0 else (lo[k], shift[k])
+            step = shift[k] - gap / max(row[f"r{k}"], 1e-12)
+            shift[k] = step if lo[k] < step < hi[k] else (lo[k] + hi[k]) / 2
+    return shift
+
+
+def slope_of_lift(s: DataFrame, target: float, share: float = 0.1, rounds: int = 3, tries: int = 16) -> tuple[float, float]:
+    """The slope in 0..1 of a truth in which the top share by p has the target lift, and the lift there (the nearest that there is).
+
+    Lift rises with the slope, so each round narrows a grid of slopes; all of them take one aggregation at a time.
+    """
+    cut = s.agg(F.percentile_approx("p", 1 - share, F.lit(100_000)).alias("c")).first()["c"]
+    mean, lo, hi = s.agg(F.avg("p").alias("m")).first()["m"], 0.0, 1.0
+    for _ in range(rounds):
+        slopes = [lo + (hi - lo) * k / tries for k in range(tries + 1)]
+        qs = [shifted(F.col("p"), F.lit(a), F.lit(b)) for a, b in zip(slopes, find_shifts(s, "p", mean, slopes), strict=True)]
+        row = s.agg(*[(F.avg(F.when(F.col("p") >= cut, q)) / F.avg(q)).alias(f"l{k}") for k, q in enumerate(qs)]).first()
+        lifts = [row[f"l{k}"] for k in range(tries + 1)]
+        below = max([k for k, x in enumerate(lifts) if x <= target], default=0)
+        lo, hi = slopes[below], slopes[min(below + 1, tries)]
+    return slopes[below], lifts[below]
 
 
+@query("sm8_realized_lift")
+def realized_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slope of a truth whose top tenth by the model's risk has a lift of 1.47 (SM8)."""
+    s = settled(stores(spark, sf_dir).select("p"))
+    slope, lift = slope_of_lift(s, 1.47)
+    return s.agg(F.count("*").alias("n"), F.round(F.lit(lift), 3).alias("lift"), F.round(F.lit(slope), 4).alias("slope"))

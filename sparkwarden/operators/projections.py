@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as T
+from sparkwarden.functions.stats import place_within
 from sparkwarden.plans.registry import query
 from sparkwarden.sources.tables import LICENCES, POINTS_SQL, STORES, licences, points, stores, table
 
@@ -205,7 +206,20 @@ def utm(lon: Column, lat: Column, zone: int = 17) -> tuple[Column, Column]:
     return 500000 + 0.9996 * radius * east, 0.9996 * radius * north
 
 
-@query("fn24_project_utm")
+def _utm_sql(zone: int = 17) -> str:
+    """The same series over a table g (id, lon, lat) as DuckDB SQL."""
+    a, f = 6378137.0, 1 / 298.257222101
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    e = 2 * n**0.5 / (1 + n)
+    terms = lambda x, hyper: " + ".join(f"{k!r}::DOUBLE * {x}({2 * j} * xi) * {hyper}({2 * j} * eta)" for j, k in enumerate(alpha, 1))
+    return f"""u AS (SELECT id, radians(lon - {zone * 6 - 183}) AS lam, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t FROM g),
+ v AS (SELECT id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM u)
+ SELECT id, round(500000 + {0.9996 * radius!r}::DOUBLE * (eta + {terms('cos', 'sinh')}), 3) AS easting, round({0.9996 * radius!r}::DOUBLE * (xi + {terms('sin', 'cosh')}), 3) AS northing FROM v"""
+
+
+@query("fn24_project_utm", f"WITH {POINTS_SQL}, g AS (SELECT id, -80 + x / 10000 AS lon, 40.44 + y / 10000 AS lat FROM points), {_utm_sql()}")
 def project_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points projected to UTM zone 17 north."""
     g = points(spark, sf_dir).select("id", (-80 + F.col("x") / 10000).alias("lon"), (40.44 + F.col("y") / 10000).alias("lat"))
@@ -230,7 +244,10 @@ def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place by prize, and percentile with average ranks, within tracts."""
-    from sparkwarden.functions.stats import average_rank
-
-    w = Window.partitionBy("tract")
-    return stores(spark, sf_dir).select("store", "tract", F.row_number().over(w.orderBy(F.desc("prize"), "store")).alias("prize_rank"), F.round(average_rank("v36", "tract") / F.count("*").over(w), 6).alias("v36_pct"))
+    placed = place_within(stores(spark, sf_dir).select("store", "tract", "v36", "prize"), "prize", "store", "tract", out="prize_rank")
+    # average ranks need counts per value alone
+    values = placed.groupBy("tract", "v36").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("tract").orderBy("v36").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    mid = values.select(F.col("tract").alias("_t"), F.col("v36").alias("_v"), (before + (F.col("n") + 1) / 2).alias("_rank"))
+    same = F.col("tract").eqNullSafe(F.col("_t")) & F.col("v36").eqNullSafe(F.col("_v"))
+    return placed.join(mid, same).select("store", "tract", F.col("prize_rank"), F.round(F.col("_rank") / F.col("n_all"), 6).alias("v36_pct"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.stats import half_even, quantile_bucket
+from sparkwarden.functions.stats import half_even, ntile, place_within, quantile_bucket
 from sparkwarden.plans.registry import query
 from sparkwarden.sources.tables import CHECKS, LAMBDA, STORES, checks, stores, table
 
@@ -154,8 +154,9 @@ def severity_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ag6_chain_size", f"WITH {STORES} SELECT store, count(*) OVER (PARTITION BY segment, tract) AS chain_count, count(*) OVER (PARTITION BY segment, tract) >= 3 AS chain FROM stores")
 def chain_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many stores a chain has, on each of its stores."""
-    n = F.count("*").over(Window.partitionBy("segment", "tract"))
-    return stores(spark, sf_dir).select("store", n.alias("chain_count"), (n >= 3).alias("chain"))
+    s = stores(spark, sf_dir).select("store", "segment", "tract")
+    n = s.groupBy("segment", "tract").agg(F.count("*").alias("chain_count"))
+    return s.join(n, s["segment"].eqNullSafe(n["segment"]) & s["tract"].eqNullSafe(n["tract"])).select("store", "chain_count", (F.col("chain_count") >= 3).alias("chain"))
 
 
 _COVERAGE = f"{STORES}, seen AS (SELECT o_custkey AS store, count(*) AS inspections FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), coverage AS (SELECT tract, count(*) AS retailers, CAST(sum(coalesce(inspections, 0)) AS BIGINT) AS inspections, count(*) FILTER (inspections > 0) AS inspected, avg(h) AS poverty, avg(p) AS minority, count(*) FILTER (inspections > 0) / CAST(count(*) AS DOUBLE) AS rate FROM stores LEFT JOIN seen USING (store) WHERE tract IS NOT NULL GROUP BY tract)"
@@ -207,7 +208,8 @@ def equity_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantile bins of predicted risk against what was seen (AG12, WN9)."""
-    b = stores(spark, sf_dir).withColumn("bin", quantile_bucket(5, [F.col("p"), F.col("store")], "tract"))
+    up = place_within(stores(spark, sf_dir).select("store", "tract", "p", "v36", (-F.col("p")).alias("low")), "low", "store", "tract")
+    b = up.withColumn("bin", quantile_bucket(5, F.col("rn"), F.col("n_all")))
     return b.groupBy("tract", "bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg((F.col("v36") >= 3).cast("int")), 6).alias("observed"))
 
 
@@ -334,9 +336,8 @@ def best_per_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wn7_store_dedupe", f"WITH {STORES}, r AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY prize DESC, store) AS rn, bool_or(v36 > 0) OVER (PARTITION BY location) AS any_observed FROM stores) SELECT location, store, any_observed FROM r WHERE rn = 1")
 def store_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best store of each location, and whether any there was observed."""
-    w = Window.partitionBy("location")
-    r = stores(spark, sf_dir).withColumn("rn", F.row_number().over(w.orderBy(F.desc("prize"), "store"))).withColumn("any_observed", F.bool_or(F.col("v36") > 0).over(w))
-    return r.where("rn = 1").select("location", "store", "any_observed")
+    best = F.max_by("store", F.struct("prize", -F.col("store"))).alias("store")
+    return stores(spark, sf_dir).groupBy("location").agg(best, F.bool_or(F.col("v36") > 0).alias("any_observed"))
 
 
 _PATH = "path AS (SELECT CAST(year(o_orderdate) AS INTEGER) * 12 + CAST(month(o_orderdate) AS INTEGER) AS step, count(*) AS checks, sum(o_totalprice) AS dollars FROM orders GROUP BY 1)"
@@ -353,16 +354,20 @@ def marginal_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def concentration(df: DataFrame, score: str, value: str, tie: str, *groups: str) -> DataFrame:
     """Cumulative share of value by descending score, and by descending value (the best possible), from the origin on."""
-    rows = df.withColumn("_v", F.greatest(F.col(value), F.lit(0)))
-    w = Window.partitionBy(*groups)
-    total, n = F.sum("_v").over(w), F.count("*").over(w)
+    rows = df.select(*dict.fromkeys([*groups, tie]), F.col(score).alias("_s"), F.greatest(F.col(value), F.lit(0)).cast("double").alias("_v"))
+    total = rows.groupBy(*groups).agg(F.sum("_v").alias("_t"))
 
     def curve(order: str, out: str) -> DataFrame:
-        o = w.orderBy(F.desc(order), tie)
-        run = F.sum("_v").over(o.rowsBetween(Window.unboundedPreceding, 0))
-        return rows.select(*groups, F.row_number().over(o).alias("k"), (F.row_number().over(o) / n).alias("share"), F.try_divide(run, total).alias(out))
-
-    both = curve(score, "captured").join(curve("_v", "best").drop("share"), [*groups, "k"])
+        placed = place_within(rows, order, tie, *groups, out="k", total="n")
+        # running sums: over runs of places, then within each run
+        placed = placed.withColumn("_run", F.expr("(k - 1) div 4096"))
+        sums = placed.groupBy(*groups, "_run").agg(F.sum("_v").alias("_r"))
+        before = F.coalesce(F.sum("_r").over(Window.partitionBy(*groups).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        within = F.sum("_v").over(Window.partitionBy(*groups, "_run").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+        run = placed.join(sums.withColumn("_before", before).drop("_r"), [*groups, "_run"]).withColumn("_sum", F.col("_before") + within)
+        return run.join(total, list(groups)).select(*groups, "k", (F.col("k") / F.col("n")).alias("share"), F.try_divide("_sum", "_t").alias(out))
+
+    both = curve("_s", "captured").join(curve("_v", "best").drop("share"), [*groups, "k"])
     origin = rows.select(*groups).distinct().select(*groups, F.lit(0).alias("k"), F.lit(0.0).alias("share"), F.lit(0.0).alias("captured"), F.lit(0.0).alias("best"))
     return both.unionByName(origin)
 
@@ -398,7 +403,8 @@ def zero_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wn13_split_chunks", f"WITH {STORES} SELECT store, ntile(9) OVER (PARTITION BY tract ORDER BY prize DESC, store) AS chunk FROM stores")
 def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered stores of each tract in nine chunks whose sizes differ by one at most."""
-    return stores(spark, sf_dir).select("store", F.ntile(9).over(Window.partitionBy("tract").orderBy(F.desc("prize"), "store")).alias("chunk"))
+    placed = place_within(stores(spark, sf_dir).select("store", "tract", "prize"), "prize", "store", "tract")
+    return placed.select("store", ntile(9, F.col("rn"), F.col("n_all")).alias("chunk"))
 
 
 @query("tk1_global_top", f"WITH {STORES} SELECT store, round(prize, 6) AS prize, round(h * p, 6) AS risk_part, round(prize - h * p, 6) AS deterrence_part FROM stores ORDER BY stores.prize DESC, store LIMIT 100")
@@ -432,12 +438,12 @@ def ranked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").dropna(subset=["o_totalprice"]).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-def lift_at(df: DataFrame, score: str, y: str, share: float, tie: list[Column], *groups: str) -> DataFrame:
+def lift_at(df: DataFrame, score: str, y: str, share: float, tie: list[str], *groups: str) -> DataFrame:
     """Hit rate among the top share (one row at least) over the base rate, per group."""
-    w = Window.partitionBy(*groups)
-    n = F.count("*").over(w)
-    top = F.row_number().over(w.orderBy(F.desc(score), *tie)) <= F.greatest(F.bround(share * n, 0), F.lit(1))
-    g = df.withColumn("_top", top).groupBy(*groups).agg(F.avg(F.when(F.col("_top"), F.col(y))).alias("hit"), F.avg(y).alias("base"))
+    rows = df.select(*groups, F.col(score).alias("_s"), F.col(y).alias(y), F.struct(*tie).alias("_tie"))
+    placed = place_within(rows, "_s", "_tie", *groups)
+    top = F.col("rn") <= F.greatest(F.bround(share * F.col("n_all"), 0), F.lit(1))
+    g = placed.withColumn("_top", top).groupBy(*groups).agg(F.avg(F.when(F.col("_top"), F.col(y))).alias("hit"), F.avg(y).alias("base"))
     return g.select(*groups, F.try_divide("hit", "base").alias("lift"))
 
 
@@ -448,7 +454,7 @@ def lift_at(df: DataFrame, score: str, y: str, share: float, tie: list[Column],
 def lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lift of the top tenth by prize in each tract."""
     s = stores(spark, sf_dir).withColumn("y", (F.col("v36") >= 4).cast("int"))
-    return lift_at(s, "prize", "y", 0.1, [F.col("store")], "tract").select("tract", F.round("lift", 6).alias("lift"))
+    return lift_at(s, "prize", "y", 0.1, ["store"], "tract").select("tract", F.round("lift", 6).alias("lift"))
 
 
 @query(

@@ -118,7 +118,7 @@ def backtest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     due = F.when((F.col("viol_12m") >= 1) & (F.col("days_since_check") >= 30), 1000 + F.col("days_since_check")).otherwise(0).cast("double")
     wide = h.select("fy", "entity", "dn", "orderkey", "line", "part", "y", F.col("n_prior_viol").cast("double").alias("prior_violators"), due.alias("follow_up"), F.col("days_since_check").cast("double").alias("days_since"))
     s = wide.unpivot(["fy", "entity", "dn", "orderkey", "line", "part", "y"], ["prior_violators", "follow_up", "days_since"], "scorer", "score")
-    ties = [F.col(c) for c in ("entity", "dn", "orderkey", "line", "part", "y")]
+    ties = ["entity", "dn", "orderkey", "line", "part", "y"]
     base = s.groupBy("fy", "scorer").agg(F.count("*").alias("n"), F.sum("y").alias("violations"))
     out = base.join(auc(s, "score", "y", "fy", "scorer"), ["fy", "scorer"]).join(lift_at(s, "score", "y", 0.1, ties, "fy", "scorer"), ["fy", "scorer"])
     return out.select("fy", "scorer", "n", "violations", F.round("auc", 6).alias("auc"), F.round("lift", 6).alias("lift"))
@@ -133,7 +133,7 @@ def backtest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     for year in (last - 1, last):
         test = fit_with(frame.where(F.col("fy") < year), 0.3).predict(frame.where(F.col("fy") == year))
         out = test.select("fy", "y", "p", "entity", "dn") if out is None else out.unionByName(test.select("fy", "y", "p", "entity", "dn"))
-    return evaluate(out, "p", "y", "fy").join(lift_at(out, "p", "y", 0.1, [F.col("entity"), F.col("dn")], "fy").withColumn("lift", F.round("lift", 5)), "fy")
+    return evaluate(out, "p", "y", "fy").join(lift_at(out, "p", "y", 0.1, ["entity", "dn"], "fy").withColumn("lift", F.round("lift", 5)), "fy")
 
 
 def logit(x: float) -> float:

@@ -66,10 +66,30 @@ def test_normal_has_mean_0_and_deviation_1(spark):
 def test_ranks_and_buckets(spark):
     df = spark.createDataFrame([(x,) for x in [10, 20, 20, 30]], "v int")
     assert sorted(r.r for r in df.select(average_rank("v").alias("r")).collect()) == [1, 2.5, 2.5, 4]
-    rows = spark.range(124).withColumn("b", quantile_bucket(5, [F.col("id")])).groupBy("b").count().orderBy("b").collect()
+    rows = spark.range(124).withColumn("b", quantile_bucket(5, F.col("id") + 1, F.lit(124))).groupBy("b").count().orderBy("b").collect()
     assert [r["count"] for r in rows] == [25, 25, 24, 25, 25]
 
 
+def test_places_and_chunks_equal_windows_over_whole_groups(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from sparkwarden.functions import stats
+
+    rows = [(k % 3 if k % 7 else None, None if k % 11 == 0 else float(k * 37 % 23) - 5, k) for k in range(200)] + [(9, 1.0, 900)]
+    df = spark.createDataFrame(rows, "g int, s double, id int").repartition(4)
+    w = Window.partitionBy("g")
+    wanted = df.withColumn("rn", F.row_number().over(w.orderBy(F.desc("s"), "id"))).withColumn("n_all", F.count("*").over(w))
+    for buckets in (4096, 3):
+        monkeypatch.setattr(stats, "BUCKETS", buckets)
+        got = stats.place_within(df, "s", "id", "g")
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+        assert sorted(map(str, stats.place_within(df, "s", "id", "g", ends=(-5.0, 20.0)).collect())) == sorted(map(str, wanted.collect()))
+    chunks = wanted.select("id", stats.ntile(9, F.col("rn"), F.col("n_all")).alias("c"))
+    plain = df.select("id", F.ntile(9).over(w.orderBy(F.desc("s"), "id")).alias("c"))
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, plain.collect()))
+    assert stats.place_within(df.limit(0), "s", "id", "g").count() == 0
+
+
 def test_auc(spark):
     df = spark.createDataFrame([(0.1, 0), (0.2, 0), (0.8, 1), (0.9, 1), (0.2, 1)], "s double, y int")
     assert auc(df, "s", "y").first().auc == pytest.approx((2 + 2 + 1.5) / 6)
@@ -77,7 +97,7 @@ def test_auc(spark):
 
 def test_lift_of_a_perfect_ranking(spark):
     df = spark.range(100).select("id", (F.col("id") < 10).cast("int").alias("y"), (-F.col("id")).alias("s"))
-    assert lift_at(df, "s", "y", 0.1, [F.col("id")]).first().lift == pytest.approx(10)
+    assert lift_at(df, "s", "y", 0.1, ["id"]).first().lift == pytest.approx(10)
 
 
 def test_concentration_of_ten_rows(spark):

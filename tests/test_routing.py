@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from sparkwarden.operators import routing as R
-from sparkwarden.operators.policy import _run_policy
 
 TOY = np.array([[0, 10, 10, 30, 30], [10, 0, 5, 30, 30], [10, 5, 0, 30, 30], [30, 30, 30, 0, 5], [30, 30, 30, 5, 0]], float)
 PRIZE = np.array([5.0, 6.0, 20.0, 1.0])
@@ -68,42 +67,3 @@ def test_place_is_the_global_rank(spark):
     df = spark.createDataFrame([(i, float(i * 37 % 101)) for i in range(101)], "store int, v double")
     rows = R.place(df, "v", "k").collect()
     assert sorted((r.k, r.v) for r in rows) == [(k + 1, float(100 - k)) for k in range(101)]
-
-
-def test_a_fixed_policy_can_be_exploited():
-    rng, n = np.random.default_rng(5), 40
-    p, h = np.linspace(0.05, 0.55, n), np.ones(n)
-    args = (p, h, np.zeros(n), np.zeros(n), 4, 36)
-    calm = {"delta": 0.0, "memory": 3, "rho": 0.0, "window": 6, "gamma": 0.0}
-    react = calm | {"rho": 0.9}
-    mean = lambda name, how: np.mean([_run_policy(name, *args, rng, how)["found"] for _ in range(40)])
-    assert mean("prize_top_fixed", react) < 0.3 * mean("prize_top_fixed", calm)
-    assert mean("random", react) > mean("prize_top_fixed", react)
-
-
-def test_policy_simulation_has_all_policies_responses_and_cycles(spark):
-    from sparkwarden.operators.policy import POLICIES, policy_simulation
-    from sparkwarden.sources.tables import stores
-    from tests.conftest import DATA
-
-    rows = policy_simulation(spark, DATA, n_sims=30, kappa_sims=5).collect()
-    at = {(r.study, r.policy, r.delta, r.rho, r.gamma, r.kappa): r for r in rows}
-    assert len(at) == len(rows) and len(POLICIES) == 9
-    for how in ((0, 0), (0.25, 0), (0, 0.5), (0, 0.9), (0.25, 0.5)):
-        assert all(at["policies", name, *how, 0, 5].sims == 30 for name in POLICIES)
-    assert {k[5] for k in at if k[0] == "kappa"} == {2, 5, 10, 20, 100}
-    assert all(len(r.found_by_cycle) == len(r.exposure_by_cycle) == 36 and abs(np.mean(r.found_by_cycle) - r.found) < 1e-4 for r in rows)
-    tracts = stores(spark, DATA).groupBy("tract").agg({"p": "avg", "store": "count"}).collect()
-    expected = sum(min(4, t["count(store)"]) * t["avg(p)"] for t in tracts)  # a cycle of all tracts
-    plain = at["policies", "random", 0, 0, 0, 5]
-    assert abs(plain.found - expected) < 0.05 * expected and plain.hi - plain.lo < 0.2 * expected
-    assert at["policies", "random", 0.25, 0, 0, 5].found < plain.found
-
-
-def test_checked_at_most_once_stays_empty_when_all_are_checked():
-    from sparkwarden.operators.policy import _run_policies
-
-    p = np.full(6, 0.5)
-    how = {"delta": 0, "memory": 3, "rho": 0, "window": 6, "gamma": 0}
-    out = _run_policies("prize_at_most_once", p, p, p, p, 4, 5, np.random.default_rng(1), how, 7)
-    assert out["fresh"].sum(axis=0).tolist() == [28, 14, 0, 0, 0] and out["found"][:, 2:].sum() == 0
