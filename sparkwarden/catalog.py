@@ -15,6 +15,7 @@ MODULES = (
     "sparkwarden.operators.simulation",
     "sparkwarden.operators.routing",
     "sparkwarden.operators.risk",
+    "sparkwarden.operators.composite",
     "sparkwarden.plans.chartspec",
     "sparkwarden.sources.landed",
     "sparkwarden.sources.reference",
