@@ -16,6 +16,7 @@ from sparkwarden.operators.history import HISTORY, training_frame, with_history
 from sparkwarden.operators.policy import find_shift, shifted
 from sparkwarden.operators.relational import lift_at
 from sparkwarden.plans.registry import query
+from sparkwarden.sources.shared import settled
 from sparkwarden.sources.tables import CHECKS, STORES, checks, stores
 
 NUMERIC = ("log_checks", "prior_share", "viol_12m", "viol_24m", "viol_36m", "days_since_check", "days_since_viol", "log_chain", "prior_fy_rate")
@@ -90,17 +91,25 @@ def evaluate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ml4_fit_coefficients")
 def fit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted model's probabilities against what was seen, per fiscal year (ML3 to ML5)."""
-    frame = training_frame(spark, sf_dir).cache()
+    """Coefficients of the model with the penalty that the last year chose, the strongest first (ML3 to ML5)."""
+    model = fit(settled(training_frame(spark, sf_dir)))
+    rows = [(k, name, float(round(c, 4)), model.c) for k, (name, c) in enumerate(model.coefficients().items(), 1)]
+    return spark.createDataFrame(rows, "place int, feature string, coefficient double, c double")
+
+
+@query("ml5_predicted_by_year")
+def predicted_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted model's probabilities against what was seen, per fiscal year (ML5, ML6)."""
+    frame = settled(training_frame(spark, sf_dir))
     return evaluate(fit(frame).predict(frame), "p", "y", "fy")
 
 
 @query("ml8_score_universe")
 def score_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entity's latest risk, raw and shifted to a population rate of 26 % (ML8)."""
-    frame = training_frame(spark, sf_dir).cache()
-    scored = fit_with(frame, 0.3).predict(frame)
-    last = scored.groupBy("entity").agg(F.max_by("p", F.struct("dn", "orderkey", "line", "part", "qty")).alias("p_raw")).cache()
+    frame = settled(training_frame(spark, sf_dir))
+    scored = fit(frame).predict(frame)
+    last = settled(scored.groupBy("entity").agg(F.max_by("p", F.struct("dn", "orderkey", "line", "part", "qty")).alias("p_raw")))
     shift = find_shift(last, "p_raw", 0.26)
     return last.select("entity", F.round("p_raw", 5).alias("p_raw"), F.round(shifted(F.col("p_raw"), F.lit(1.0), F.lit(shift)), 5).alias("p"), F.round(F.lit(shift), 4).alias("calibration_shift"))
 
@@ -110,11 +119,13 @@ _SCORERS = "s AS (UNPIVOT (SELECT fy, entity, dn, orderkey, line, part, y, CAST(
 
 @query(
     "ml10_backtest_rules",
-    f"WITH {CHECKS}, {HISTORY}, {_SCORERS}, f AS (SELECT * FROM s WHERE fy >= 1998), r AS (SELECT fy, scorer, y, rank() OVER (PARTITION BY fy, scorer ORDER BY score) + (count(*) OVER (PARTITION BY fy, scorer, score) - 1) / 2.0::DOUBLE AS rk, row_number() OVER (PARTITION BY fy, scorer ORDER BY score DESC, entity, dn, orderkey, line, part, y) <= greatest(round_even(0.1 * count(*) OVER (PARTITION BY fy, scorer), 0), 1) AS top FROM f) SELECT fy, scorer, count(*) AS n, CAST(sum(y) AS BIGINT) AS violations, round((sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE)), 6) AS auc, round(avg(CASE WHEN top THEN y END) / avg(y), 6) AS lift FROM r GROUP BY ALL",
+    f"WITH {CHECKS}, {HISTORY}, {_SCORERS}, f AS (SELECT * FROM s WHERE fy > (SELECT min(fy) FROM hist)), r AS (SELECT fy, scorer, y, rank() OVER (PARTITION BY fy, scorer ORDER BY score) + (count(*) OVER (PARTITION BY fy, scorer, score) - 1) / 2.0::DOUBLE AS rk, row_number() OVER (PARTITION BY fy, scorer ORDER BY score DESC, entity, dn, orderkey, line, part, y) <= greatest(round_even(0.1 * count(*) OVER (PARTITION BY fy, scorer), 0), 1) AS top FROM f) SELECT fy, scorer, count(*) AS n, CAST(sum(y) AS BIGINT) AS violations, round((sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE)), 6) AS auc, round(avg(CASE WHEN top THEN y END) / avg(y), 6) AS lift FROM r GROUP BY ALL",
 )
 def backtest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule scorers replayed on each later year: AUC and lift of the top tenth (ML9, ML10, AG17)."""
-    h = with_history(checks(spark, sf_dir).where("up")).where("fy >= 1998")
+    log = checks(spark, sf_dir).where("up")
+    first = log.agg(F.min("fy").alias("first"))  # one row
+    h = with_history(log).join(F.broadcast(first)).where("fy > first")
     due = F.when((F.col("viol_12m") >= 1) & (F.col("days_since_check") >= 30), 1000 + F.col("days_since_check")).otherwise(0).cast("double")
     wide = h.select("fy", "entity", "dn", "orderkey", "line", "part", "y", F.col("n_prior_viol").cast("double").alias("prior_violators"), due.alias("follow_up"), F.col("days_since_check").cast("double").alias("days_since"))
     s = wide.unpivot(["fy", "entity", "dn", "orderkey", "line", "part", "y"], ["prior_violators", "follow_up", "days_since"], "scorer", "score")
@@ -126,13 +137,14 @@ def backtest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ml10_backtest_model")
 def backtest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model trained on earlier years and scored on each of the last two (ML10)."""
-    frame = training_frame(spark, sf_dir).cache()
-    last = frame.agg(F.max("fy").alias("b")).first()["b"]
+    """The model trained on all earlier years, its penalty searched on the last of them, and scored on each year (ML10)."""
+    frame = settled(training_frame(spark, sf_dir))
+    years = sorted(r["fy"] for r in frame.select("fy").distinct().collect())  # a row per year
     out = None
-    for year in (last - 1, last):
-        test = fit_with(frame.where(F.col("fy") < year), 0.3).predict(frame.where(F.col("fy") == year))
-        out = test.select("fy", "y", "p", "entity", "dn") if out is None else out.unionByName(test.select("fy", "y", "p", "entity", "dn"))
+    for year in years[1:]:
+        test = fit(frame.where(F.col("fy") < year)).predict(frame.where(F.col("fy") == year)).select("fy", "y", "p", "entity", "dn")
+        out = test if out is None else out.unionByName(test)
+    out = settled(out if out is not None else frame.limit(0).select("fy", "y", F.lit(0.0).alias("p"), "entity", "dn"))
     return evaluate(out, "p", "y", "fy").join(lift_at(out, "p", "y", 0.1, ["entity", "dn"], "fy").withColumn("lift", F.round("lift", 5)), "fy")
 
 

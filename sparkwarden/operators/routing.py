@@ -287,54 +287,95 @@ def workdays(spark: SparkSession, first: str, last: str) -> DataFrame:
     return days.where(~F.dayofweek("day").isin(1, 7) & ~F.col("day").cast("string").isin(off))
 
 
-_OFF = ", ".join(f"DATE '{h}'" for y in range(1995, 2002) for h in observed_holidays(y))
+#: Years that the SQL's list of holidays covers.
+_YEARS = range(1990, 2011)
+_OFF = ", ".join(f"DATE '{h}'" for y in _YEARS for h in observed_holidays(y))
+
+
+def holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
+    """(day) of the holidays from one year to another, by rule."""
+    return spark.createDataFrame([(h,) for y in range(first, last + 1) for h in observed_holidays(y)], "day string").select(F.to_date("day").alias("day"))
+
+
+def year_span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last year of the orders."""
+    row = table(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b")).first()
+    return row["a"] or 2000, row["b"] or 2000
 
 
 @query(
     "rt9_cycle_workdays",
-    f"WITH s AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS start FROM orders WHERE o_orderdate < TIMESTAMP '2001-06-01'), d AS (SELECT start, start + CAST(k AS INTEGER) AS day FROM s, (SELECT unnest(range(28)) AS k)), w AS (SELECT start, day, row_number() OVER (PARTITION BY start ORDER BY day) AS n FROM d WHERE dayofweek(day) NOT IN (0, 6) AND day NOT IN ({_OFF})) SELECT start, day FROM w WHERE n <= 10",
+    f"WITH s AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS start FROM orders), d AS (SELECT start, start + CAST(k AS INTEGER) AS day FROM s, (SELECT unnest(range(28)) AS k)), w AS (SELECT start, day, row_number() OVER (PARTITION BY start ORDER BY day) AS n FROM d WHERE dayofweek(day) NOT IN (0, 6) AND day NOT IN ({_OFF})) SELECT start, day FROM w WHERE n <= 10",
 )
 def cycle_workdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten workdays of each monthly cycle that the orders cover (RT9)."""
-    starts = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'2001-06-01'").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("start")).distinct()
-    off = [h for y in range(1995, 2002) for h in observed_holidays(y)]
-    days = starts.withColumn("day", F.explode(F.expr("sequence(start, date_add(start, 27))"))).where(~F.dayofweek("day").isin(1, 7) & ~F.col("day").cast("string").isin(off))
+    first, last = year_span(spark, sf_dir)
+    starts = table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("start")).distinct()
+    days = starts.withColumn("day", F.explode(F.expr("sequence(start, date_add(start, 27))"))).where(~F.dayofweek("day").isin(1, 7))
+    days = days.join(F.broadcast(holidays(spark, first, last + 1)), "day", "left_anti")  # some ten a year
     return days.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("day"))).where("n <= 10").select("start", "day")
 
 
+#: Plans of a year: how many portions a year has (a summer block is one), and whether routes are dealt by falling risk.
+_PLANS = (("A", 1, False), ("B", 4, False), ("C", 12, False), ("D", 4, True))
+_PLAN_DAYS = "CASE plan WHEN 'A' THEN CASE WHEN day BETWEEN make_date(year(day), 7, 6) AND make_date(year(day), 8, 21) THEN 1 END WHEN 'C' THEN month(day) ELSE quarter(day) END"
+
+
 @query(
     "rt19_portion_calendar",
-    f"""WITH {STORES}, r AS (SELECT tract AS route, avg(p) AS risk FROM stores GROUP BY tract), q AS (SELECT route, risk, ntile(4) OVER (ORDER BY risk DESC, route) AS quarter FROM r), o AS (SELECT route, quarter, row_number() OVER (PARTITION BY quarter ORDER BY {uniform_sql('cal', 'route')}, route) AS k FROM q),
- d AS (SELECT day, quarter(day) AS quarter FROM (SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS day) WHERE dayofweek(day) NOT IN (0, 6) AND day NOT IN ({_OFF})), s AS (SELECT day, quarter, team, row_number() OVER (PARTITION BY quarter ORDER BY {uniform_sql('slot', 'day', 'team')}, day, team) AS k FROM d, (VALUES (1), (2)) t(team))
- SELECT route, day, team, CAST(month(day) AS INTEGER) AS month FROM o JOIN s USING (quarter, k)""",
+    f"""WITH {STORES}, r AS (SELECT tract AS route, avg(p) AS risk FROM stores GROUP BY tract), y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders), pl(plan, parts, by_risk) AS (VALUES ('A', 1, FALSE), ('B', 4, FALSE), ('C', 12, FALSE), ('D', 4, TRUE)),
+ q AS (SELECT plan, year, route, 1 + CAST(floor((row_number() OVER (PARTITION BY plan, year ORDER BY CASE WHEN by_risk THEN -risk ELSE {uniform_sql('deal', 'plan', 'year', 'route')} END, route) - 1) * parts / CAST(count(*) OVER (PARTITION BY plan, year) AS DOUBLE)) AS INTEGER) AS portion FROM r, y, pl),
+ o AS (SELECT *, row_number() OVER (PARTITION BY plan, year, portion ORDER BY {uniform_sql('cal', 'plan', 'year', 'route')}, route) AS k FROM q),
+ d AS (SELECT year, unnest(generate_series(make_date(year, 1, 1), make_date(year, 12, 31), INTERVAL 1 DAY))::DATE AS day FROM y), w AS (SELECT * FROM d WHERE dayofweek(day) NOT IN (0, 6) AND day NOT IN ({_OFF})),
+ s AS (SELECT plan, year, day, team, CAST({_PLAN_DAYS} AS INTEGER) AS portion FROM w, pl, (VALUES (1), (2)) t(team)), n AS (SELECT *, row_number() OVER (PARTITION BY plan, year, portion ORDER BY {uniform_sql('slot', 'plan', 'day', 'team')}, day, team) AS k FROM s WHERE portion IS NOT NULL)
+ SELECT plan, year, route, portion, day, team, CAST(month(day) AS INTEGER) AS month FROM o JOIN n USING (plan, year, portion, k)""",
 )
 def portion_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracts in quarters by falling risk, on random days and teams within each (RT19, plan D)."""
-    r = stores(spark, sf_dir).groupBy(F.col("tract").alias("route")).agg(F.avg("p").alias("risk"))
-    q = r.withColumn("quarter", F.ntile(4).over(Window.orderBy(F.desc("risk"), "route")))  # one row per tract
-    o = q.withColumn("k", F.row_number().over(Window.partitionBy("quarter").orderBy(uniform("cal", "route"), "route")))
-    d = workdays(spark, "2001-01-01", "2001-12-31").withColumn("quarter", F.quarter("day")).withColumn("team", F.explode(F.array(F.lit(1), F.lit(2))))
-    s = d.withColumn("k", F.row_number().over(Window.partitionBy("quarter").orderBy(uniform("slot", "day", "team"), "day", "team")))
-    return o.join(s, ["quarter", "k"]).select("route", "day", "team", F.month("day").alias("month"))
-
+    """Routes (one a tract) on random days and teams in every year: in a summer block, by quarters, by months, by quarters of falling risk (RT19, plans A to D).
 
-_CALENDAR = "cal AS (SELECT CAST(o_orderdate AS DATE) AS day, o_custkey AS route FROM orders WHERE year(o_orderdate) = 1999)"
+    A portion with more routes than days and teams is an error.
+    """
+    first, last = year_span(spark, sf_dir)
+    years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    plans = F.array(*[F.struct(F.lit(n).alias("plan"), F.lit(k).alias("parts"), F.lit(r).alias("by_risk")) for n, k, r in _PLANS])
+    r = stores(spark, sf_dir).groupBy(F.col("tract").alias("route")).agg(F.avg("p").alias("risk")).crossJoin(F.broadcast(years)).select("*", F.inline(plans))  # a row per tract, year and plan
+    w = Window.partitionBy("plan", "year")
+    order = F.when(F.col("by_risk"), -F.col("risk")).otherwise(uniform("deal", "plan", "year", "route"))
+    q = r.withColumn("portion", (1 + F.floor((F.row_number().over(w.orderBy(order, "route")) - 1) * F.col("parts") / F.count("*").over(w))).cast("int"))
+    o = q.withColumn("k", F.row_number().over(Window.partitionBy("plan", "year", "portion").orderBy(uniform("cal", "plan", "year", "route"), "route")))
+    d = years.withColumn("day", F.explode(F.expr("sequence(make_date(year, 1, 1), make_date(year, 12, 31))"))).where(~F.dayofweek("day").isin(1, 7)).join(F.broadcast(holidays(spark, first, last)), "day", "left_anti")
+    slots = d.withColumn("team", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("plan", F.explode(F.array(*[F.lit(n) for n, _, _ in _PLANS])))
+    slots = slots.withColumn("portion", F.expr(_PLAN_DAYS)).where("portion IS NOT NULL")
+    s = slots.withColumn("k", F.row_number().over(Window.partitionBy("plan", "year", "portion").orderBy(uniform("slot", "plan", "day", "team"), "day", "team")))
+    out = o.join(s, ["plan", "year", "portion", "k"], "left")
+    full = F.coalesce(F.assert_true(F.col("day").isNotNull(), F.concat(F.lit("more routes than days in plan "), "plan")).isNull(), F.lit(True))
+    return out.where(full).select("plan", "year", "route", "portion", "day", "team", F.month("day").alias("month"))
+
+
+_CALENDAR = "cal AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderdate AS DATE) AS day, o_custkey AS route FROM orders)"
+
+
+@query("rt20_calendar_summary", f"WITH {_CALENDAR}, m AS (SELECT year, month(day) AS m, count(*) AS n, min(day) AS a, max(day) AS b FROM cal GROUP BY ALL) SELECT year, min(a) AS first_day, max(b) AS last_day, CAST(ceil((max(b) - min(a)) / 7.0) + 1 AS BIGINT) AS weeks, max(n) AS busiest, count(*) AS months FROM m GROUP BY year")
+def calendar_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last day, weeks, busiest month of each year (RT20)."""
+    cal = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("day"))
+    m = cal.groupBy("year", F.month("day").alias("m")).agg(F.count("*").alias("n"), F.min("day").alias("a"), F.max("day").alias("b"))
+    return m.groupBy("year").agg(F.min("a").alias("first_day"), F.max("b").alias("last_day"), (F.ceil(F.datediff(F.max("b"), F.min("a")) / 7) + 1).alias("weeks"), F.max("n").alias("busiest"), F.count("*").alias("months"))
 
 
-@query("rt20_calendar_summary", f"WITH {_CALENDAR}, m AS (SELECT month(day) AS m, count(*) AS n FROM cal GROUP BY 1) SELECT min(day) AS first_day, max(day) AS last_day, CAST(ceil((max(day) - min(day)) / 7.0) + 1 AS BIGINT) AS weeks, (SELECT max(n) FROM m) AS busiest, (SELECT count(*) FROM m) AS months FROM cal")
-def calendar_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last day, weeks, busiest month (RT20)."""
-    cal = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1999).select(F.to_date("o_orderdate").alias("day"))
-    m = cal.groupBy(F.month("day").alias("m")).agg(F.count("*").alias("n"), F.min("day").alias("a"), F.max("day").alias("b"))
-    return m.agg(F.min("a").alias("first_day"), F.max("b").alias("last_day"), (F.ceil(F.datediff(F.max("b"), F.min("a")) / 7) + 1).alias("weeks"), F.max("n").alias("busiest"), F.count("*").alias("months"))
+@query("rt20_store_check_months", f"WITH {_CALENDAR} SELECT year, route AS store, list_sort(list_distinct(list(CAST(month(day) AS INTEGER)))) AS months FROM cal GROUP BY ALL")
+def store_check_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months in which each store is checked, per year (RT20)."""
+    cal = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("store"), F.month("o_orderdate").alias("m"))
+    return cal.groupBy("year", "store").agg(F.sort_array(F.collect_set("m")).alias("months"))
 
 
-@query("rt21_monthly_protection", f"WITH {STORES}, c AS (SELECT o_custkey AS store, max(CAST(month(o_orderdate) AS INTEGER)) AS m FROM orders WHERE year(o_orderdate) = 1999 GROUP BY 1) SELECT k.month, round(sum(CASE WHEN ((k.month - m) % 12 + 12) % 12 < 3 THEN p ELSE 0 END) / sum(p), 6) AS protected FROM stores JOIN c USING (store), (SELECT unnest(range(1, 13)) AS month) k GROUP BY k.month")
+@query("rt21_monthly_protection", f"WITH {STORES}, c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey AS store, max(CAST(month(o_orderdate) AS INTEGER)) AS m FROM orders GROUP BY ALL) SELECT year, k.month, round(sum(CASE WHEN ((k.month - m) % 12 + 12) % 12 < 3 THEN p ELSE 0 END) / sum(p), 6) AS protected FROM stores JOIN c USING (store), (SELECT unnest(range(1, 13)) AS month) k GROUP BY year, k.month")
 def monthly_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk-weighted share of stores checked within the last three months, per month (RT21)."""
-    c = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1999).groupBy(F.col("o_custkey").alias("store")).agg(F.max(F.month("o_orderdate")).alias("m"))
-    rows = stores(spark, sf_dir).join(c, "store").groupBy("m").agg(F.sum("p").alias("p")).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    return rows.groupBy(F.col("month").cast("bigint").alias("month")).agg(F.round(F.sum(F.when(F.pmod(F.col("month") - F.col("m"), F.lit(12)) < 3, F.col("p")).otherwise(0.0)) / F.sum("p"), 6).alias("protected"))
+    """Risk-weighted share of stores checked within the last three months, per month of each year (RT21)."""
+    c = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("store")).agg(F.max(F.month("o_orderdate")).alias("m"))
+    rows = stores(spark, sf_dir).join(c, "store").groupBy("year", "m").agg(F.sum("p").alias("p")).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return rows.groupBy("year", F.col("month").cast("bigint").alias("month")).agg(F.round(F.sum(F.when(F.pmod(F.col("month") - F.col("m"), F.lit(12)) < 3, F.col("p")).otherwise(0.0)) / F.sum("p"), 6).alias("protected"))
 
 
 # Low, base and high of each cost parameter.
@@ -363,15 +404,14 @@ def scenarios(df: DataFrame) -> DataFrame:
     return df.withColumn("s", F.explode(some)).select(*df.columns, "s.*")
 
 
-_TOTALS = "tot AS (SELECT o_orderpriority AS plan, count(*) AS stops, CAST(ceil(count(*) / 12.0) AS BIGINT) AS routes, sum(o_totalprice) / 20000 AS drive FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1)"
+_TOTALS = "tot AS (SELECT o_orderpriority AS plan, count(*) AS stops, CAST(ceil(count(*) / 12.0) AS BIGINT) AS routes, sum(o_totalprice) / 20000 AS drive FROM orders GROUP BY 1)"
 _PARAMS = "par(scenario, " + ", ".join(COSTS) + ") AS (VALUES " + ", ".join("('" + s + "', " + ", ".join(f"{v[k]}::DOUBLE" for v in COSTS.values()) + ")" for k, s in enumerate(SCENARIOS)) + ")"
 _LINES = f"{_TOTALS}, {_PARAMS}, c AS (SELECT *, (drive * drive_factor + (stops + retry_share * stops) * (20 + admin_minutes) + retry_share * stops * 5) / 60 * (supervisor_wage + purchaser_wage) * fringe AS labor, ((drive * drive_factor + retry_share * stops * 5) / 60 * 22 + routes * commute_miles) * mileage_rate AS mileage, (stops + retry_share * stops) * data_per_check AS data, training_fixed AS training FROM tot, par), lines AS (SELECT *, (labor + mileage + data + training) * overhead_share AS overhead FROM c)"
 
 
 def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops, routes and driving minutes per plan."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1996-01-01'")
-    return o.groupBy(F.col("o_orderpriority").alias("plan")).agg(F.count("*").alias("stops"), F.ceil(F.count("*") / 12).alias("routes"), (F.sum("o_totalprice") / 20000).alias("drive"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("plan")).agg(F.count("*").alias("stops"), F.ceil(F.count("*") / 12).alias("routes"), (F.sum("o_totalprice") / 20000).alias("drive"))
 
 
 @query("cv3_cost_components", f"WITH {_LINES}, u AS (UNPIVOT (SELECT plan, scenario, labor, mileage, data, training, overhead FROM lines) ON labor, mileage, data, training, overhead INTO NAME component VALUE dollars) SELECT plan, coalesce(component, 'TOTAL') AS component, round(sum(dollars) FILTER (scenario = 'low'), 3) AS low, round(sum(dollars) FILTER (scenario = 'base'), 3) AS base, round(sum(dollars) FILTER (scenario = 'high'), 3) AS high FROM u GROUP BY GROUPING SETS ((plan, component), (plan))")
