@@ -43,7 +43,7 @@ RUN_CHUNKS = 1000
 WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Rows up to which the table of copies is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
