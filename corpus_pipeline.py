@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from sparkwarden.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from sparkwarden.llm.common import cut, table
 
-#: Rows (id and hash) up to which the rows to keep are broadcast; a larger table is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows (id and hash) up to which the rows to keep are broadcast; any larger table is joined by shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
