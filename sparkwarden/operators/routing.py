@@ -1,128 +1,120 @@
 """Routes of inspection teams, their calendars, and what they cost.
 
-Stops are dealt into regions of bounded size (40 points), and each region is one group of ``applyInPandas``: its tours,
-splits and exact checks are small numeric helpers.  All that looks at many regions (times, constraints, calendars,
-costs) is a join or an aggregate.
+Stops are dealt into regions of bounded size.  Routes come from plans, not from solvers: a sweep around the region's centre
+orders the stops, the fewest equal stretches that fit into a day are the routes, and rounds of joins reverse the stretch of
+each route that shortens it most.  Exact answers, where budgets are small, are joins over all sets of stops.  Sequential
+rules (nearest next, batches of the highest prizes) are folds over a region's array of stops.  All that looks at
+many regions (times, constraints, calendars, costs) is a join or an aggregate.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, permutations
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.rng import uniform, uniform_sql
+from sparkwarden.functions.stats import place_within
 from sparkwarden.plans.registry import query
+from sparkwarden.sources.shared import forget, settled
 from sparkwarden.sources.tables import POINTS_SQL, STORES, points, stores, table
 
-#: Minutes of a day in the field, of a stop, and per metre; stops of a region, about; stops of a route at most.
-DAY, SERVICE, PACE, REGION, LONGEST = 480.0, 20.0, 0.2, 40, 40
+#: Minutes of a day in the field, of a stop, and per metre; stops of a region, about.
+DAY, SERVICE, PACE, REGION = 480.0, 20.0, 0.2, 40
 
 
 def instance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stops with their region and prize: region, id, x, y, prize."""
-    return points(spark, sf_dir).select(F.expr(f"cast(label * 1000000 + id div {REGION * 10} as bigint)").alias("region"), "id", "x", "y", (0.05 + 0.9 * uniform("prize", "id")).alias("prize"))
-
-
-_INSTANCE = f"inst AS (SELECT CAST(label * 1000000 + id // {REGION * 10} AS BIGINT) AS region, id, x, y, 0.05 + 0.9 * {uniform_sql('prize', 'id')} AS prize FROM points)"
-
-
-def minutes(rows: pd.DataFrame) -> np.ndarray:
-    """Travel minutes between the depot (node 0, the region's centre) and the stops, in the order of rows."""
-    xy = np.vstack([[rows["x"].mean(), rows["y"].mean()], rows[["x", "y"]].to_numpy(float)])
-    return np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)) * PACE
-
-
-def nearest_order(t: np.ndarray) -> list[int]:
-    """All nodes from the depot on, always the nearest next."""
-    left, at, out = set(range(1, len(t))), 0, []
-    while left:
-        at = min(left, key=lambda j: (t[at, j], j))
-        out.append(at)
-        left.remove(at)
-    return out
-
-
-def tour_minutes(order: list[int], t: np.ndarray) -> float:
-    """Minutes from the depot through order and back."""
-    path = [0, *order, 0]
-    return float(t[path[:-1], path[1:]].sum())
-
-
-def two_opt(order: list[int], t: np.ndarray, passes: int = 50) -> list[int]:
-    """Reversals of stretches that shorten the tour, first improvement; directed times are summed, so it never gets longer."""
-    best = list(order)
-    symmetric = np.allclose(t, t.T)
-    for _ in range(passes):
-        better = False
-        for i in range(len(best) - 1):
-            for j in range(i + 1, len(best)):
-                if symmetric:
-                    a, d = best[i - 1] if i else 0, best[j + 1] if j + 1 < len(best) else 0
-                    gain = t[a, best[i]] + t[best[j], d] - t[a, best[j]] - t[best[i], d]
-                else:
-                    new = best[:i] + best[i : j + 1][::-1] + best[j + 1 :]
-                    gain = tour_minutes(best, t) - tour_minutes(new, t)
-                if gain > 1e-9:
-                    best[i : j + 1] = best[i : j + 1][::-1]
-                    better = True
-        if not better:
+    """Stops with their region, its centre (where its teams start) and prize: region, id, x, y, prize, cx, cy."""
+    rows = points(spark, sf_dir).select(F.expr(f"cast(label * 1000000 + id div {REGION * 10} as bigint)").alias("region"), "id", "x", "y", (0.05 + 0.9 * uniform("prize", "id")).alias("prize"))
+    return rows.join(rows.groupBy("region").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), "region")
+
+
+_INSTANCE = f"inst0 AS (SELECT CAST(label * 1000000 + id // {REGION * 10} AS BIGINT) AS region, id, x, y, 0.05 + 0.9 * {uniform_sql('prize', 'id')} AS prize FROM points), inst AS (SELECT i.*, cx, cy FROM inst0 i JOIN (SELECT region, avg(x) AS cx, avg(y) AS cy FROM inst0 GROUP BY region) USING (region))"
+
+
+def leg(x: Column, y: Column, to_x: Column, to_y: Column) -> Column:
+    """Travel minutes between two places."""
+    return F.sqrt((x - to_x) * (x - to_x) + (y - to_y) * (y - to_y)) * PACE
+
+
+_LEG = "sqrt(({0} - {2}) * ({0} - {2}) + ({1} - {3}) * ({1} - {3})) * 0.2::DOUBLE"
+
+
+@query("rt1_instance", f"WITH {POINTS_SQL}, {_INSTANCE} SELECT region, count(*) AS stops, round(sum(prize), 5) AS prize, round(avg(x), 5) AS depot_x, round(avg(y), 5) AS depot_y FROM inst GROUP BY region")
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with their depots (RT1)."""
+    return instance(spark, sf_dir).groupBy("region").agg(F.count("*").alias("stops"), F.round(F.sum("prize"), 5).alias("prize"), F.round(F.avg("x"), 5).alias("depot_x"), F.round(F.avg("y"), 5).alias("depot_y"))
+
+
+# --- tours and routes --------------------------------------------------------------------------
+
+
+def with_legs(routes: DataFrame, *route: str, scale: float = 1.0, order: str = "stop") -> DataFrame:
+    """routes with the minutes to each stop (from the centre to the first) and, at the last, back."""
+    w = Window.partitionBy(*route).orderBy(order)
+    x, y = F.col("x"), F.col("y")
+    to = leg(F.coalesce(F.lag("x").over(w), F.col("cx")), F.coalesce(F.lag("y").over(w), F.col("cy")), x, y) * scale
+    back = F.when(F.lead("x").over(w).isNull(), leg(x, y, F.col("cx"), F.col("cy")) * scale).otherwise(0.0)
+    return routes.withColumn("leg", to).withColumn("back", back)
+
+
+def split_routes(rows: DataFrame, scale: float = 1.0, day: float = DAY) -> DataFrame:
+    """(region, route, stop, id, x, y, cx, cy, leg, back): stops in the order of a sweep around the centre, cut into the fewest
+    stretches of equal length that fit into the day (RT14).
+
+    All numbers of stretches are tried at once; a region is bounded, and so are its tries.  A stop that alone exceeds
+    the day is an error.
+    """
+    own = Window.partitionBy("region")  # a region has some hundred stops at most
+    angle = F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
+    placed = rows.select("region", "id", "x", "y", "cx", "cy", F.row_number().over(own.orderBy(angle, "id")).alias("place"), F.count("*").over(own).alias("n"))
+    tries = placed.withColumn("k", F.explode(F.sequence(F.greatest(F.ceil(F.col("n") * SERVICE / day), F.lit(1)), F.col("n"))))
+    tries = tries.withColumn("route", ntile_of("k")).select("region", "k", "route", "place", "id", "x", "y", "cx", "cy")
+    legs = with_legs(tries, "region", "k", "route", scale=scale, order="place")
+    times = legs.groupBy("region", "k", "route").agg((F.sum(F.col("leg") + F.col("back")) + SERVICE * F.count("*")).alias("minutes"))
+    fits = times.groupBy("region", "k").agg(F.max("minutes").alias("longest"))
+    least = F.min(F.when(F.col("longest") <= day + 1e-9, F.col("k")))
+    best = fits.groupBy("region").agg(F.coalesce(least, F.raise_error(F.lit("a stop alone exceeds the day")).cast("bigint")).alias("best"))
+    chosen = legs.join(best, "region").where("k = best")
+    stop = F.row_number().over(Window.partitionBy("region", "route").orderBy("place")) - 1
+    return chosen.select("region", "route", stop.alias("stop"), "id", "x", "y", "cx", "cy", "leg", "back")
+
+
+def ntile_of(k: str) -> Column:
+    """The stretch of a place among n, of k stretches."""
+    small, more = F.expr(f"n div {k}"), F.expr(f"n % {k}")
+    place = F.col("place")
+    return F.when(place <= more * (small + 1), F.floor((place - 1) / (small + 1)) + 1).otherwise(F.floor((place - 1 - more) / F.greatest(small, F.lit(1))) + 1).cast("int")
+
+
+def routes_sql(source: str, out: str, scale: float = 1.0, day: float = DAY) -> str:
+    """The same as SQL: common table expressions that end in ``out``, from a table ``source`` (region, id, x, y, cx, cy)."""
+    part = "PARTITION BY region, k, route ORDER BY place"
+    return f"""{out}_p AS (SELECT region, id, x, y, cx, cy, row_number() OVER (PARTITION BY region ORDER BY atan2(y - cy, x - cx), id) AS place, count(*) OVER (PARTITION BY region) AS n FROM {source}),
+ {out}_t AS (SELECT *, CAST(CASE WHEN place <= (n % k) * (n // k + 1) THEN (place - 1) // (n // k + 1) + 1 ELSE (place - 1 - n % k) // greatest(n // k, 1) + 1 END AS INTEGER) AS route FROM (SELECT *, unnest(generate_series(CAST(greatest(ceil(n * {SERVICE} / {day}), 1) AS BIGINT), n)) AS k FROM {out}_p)),
+ {out}_l AS (SELECT *, {_LEG.format(f'coalesce(lag(x) OVER ({part}), cx)', f'coalesce(lag(y) OVER ({part}), cy)', 'x', 'y')} * {scale}::DOUBLE AS leg, CASE WHEN lead(x) OVER ({part}) IS NULL THEN {_LEG.format('x', 'y', 'cx', 'cy')} * {scale}::DOUBLE ELSE 0 END AS back FROM {out}_t),
+ {out}_k AS (SELECT region, min(k) AS best FROM (SELECT region, k, max(minutes) AS longest FROM (SELECT region, k, route, sum(leg + back) + {SERVICE} * count(*) AS minutes FROM {out}_l GROUP BY ALL) GROUP BY ALL) WHERE longest <= {day} + 1e-9 GROUP BY region),
+ {out} AS (SELECT region, route, row_number() OVER (PARTITION BY region, route ORDER BY place) - 1 AS stop, id, x, y, cx, cy, leg, back FROM {out}_l JOIN {out}_k USING (region) WHERE k = best)"""
+
+
+def two_opt(routes: DataFrame, rounds: int = 50) -> DataFrame:
+    """routes with stretches reversed, in each round the one of each route that shortens it most, until none does (RT13)."""
+    now = settled(routes.select("region", "route", "stop", "id", "x", "y", "cx", "cy"))
+    for _ in range(rounds):
+        w = Window.partitionBy("region", "route").orderBy("stop")
+        around = now.select("region", "route", "stop", "x", "y", *[F.coalesce(f(c).over(w), F.col(f"c{c}")).alias(f"{name}{c}") for name, f in (("p", F.lag), ("n", F.lead)) for c in ("x", "y")])
+        first = around.select("region", "route", F.col("stop").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"), "px", "py")
+        last = around.select("region", "route", F.col("stop").alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"), "nx", "ny")
+        c = {k: F.col(k) for k in ("ix", "iy", "jx", "jy", "px", "py", "nx", "ny")}
+        gain = leg(c["px"], c["py"], c["ix"], c["iy"]) + leg(c["jx"], c["jy"], c["nx"], c["ny"]) - leg(c["px"], c["py"], c["jx"], c["jy"]) - leg(c["ix"], c["iy"], c["nx"], c["ny"])
+        best = first.join(last, ["region", "route"]).where("i < j").withColumn("gain", gain).where("gain > 1e-9")
+        best = settled(best.groupBy("region", "route").agg(F.max(F.struct("gain", -F.col("i"), -F.col("j"))).alias("b")).select("region", "route", (-F.col("b.col2")).alias("i"), (-F.col("b.col3")).alias("j")))
+        if best.isEmpty():
             break
-    return best
-
-
-def split_tour(order: list[int], t: np.ndarray, day: float, service: float = SERVICE) -> list[list[int]]:
-    """The giant tour cut into the fewest routes within the day, then the fewest minutes: a shortest path over cuts."""
-    n = len(order)
-    best: list[tuple] = [(0, 0.0, -1)] + [(n + 1, float("inf"), -1)] * n
-    for i in range(n):
-        inside = 0.0
-        for j in range(i, min(n, i + LONGEST)):
-            inside += service + (t[order[j - 1], order[j]] if j > i else 0.0)
-            total = inside + t[0, order[i]] + t[order[j], 0]
-            if total > day + 1e-9:
-                if j == i:
-                    raise ValueError("a stop alone exceeds the day")
-                break
-            best[j + 1] = min(best[j + 1], (best[i][0] + 1, best[i][1] + total, i))
-    cuts, k = [], n
-    while k > 0:
-        cuts.append((best[k][2], k))
-        k = best[k][2]
-    return [order[a:b] for a, b in reversed(cuts)]
-
-
-def held_karp(t: np.ndarray) -> float:
-    """Minutes of the best tour over all nodes, by dynamic programming over subsets."""
-    n = len(t) - 1
-    if n == 0:
-        return 0.0
-    best = {(1 << j, j): t[0, j + 1] for j in range(n)}
-    for size in range(2, n + 1):
-        for some in combinations(range(n), size):
-            mask = sum(1 << j for j in some)
-            for j in some:
-                best[mask, j] = min(best[mask ^ (1 << j), k] + t[k + 1, j + 1] for k in some if k != j)
-    return float(min(best[(1 << n) - 1, j] + t[j + 1, 0] for j in range(n)))
-
-
-def _plan(scale: float, day: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").reset_index(drop=True)
-        t = minutes(rows) * scale
-        routes = [two_opt(r, t) for r in split_tour(two_opt(nearest_order(t), t), t, day)]
-        ids = rows["id"].to_numpy()
-        return pd.DataFrame([(key[0], k, s, ids[j - 1], float(t[r[s - 1] if s else 0, j]), float(t[j, 0]) if s == len(r) - 1 else 0.0) for k, r in enumerate(routes) for s, j in enumerate(r)], columns=["region", "route", "stop", "id", "leg", "back"])
-
-    return run
-
-
-def census_routes(rows: DataFrame, scale: float = 1.0, day: float = DAY) -> DataFrame:
-    """(region, route, stop, id, leg, back): every stop once, on routes within the day."""
-    return rows.select("region", "id", "x", "y").groupBy("region").applyInPandas(_plan(scale, day), "region bigint, route int, stop int, id bigint, leg double, back double")
+        turned = F.when(F.col("stop").between(F.col("i"), F.col("j")), F.col("i") + F.col("j") - F.col("stop")).otherwise(F.col("stop"))
+        new = settled(now.join(best, ["region", "route"], "left").withColumn("stop", turned).drop("i", "j"))
+        forget(now, best)
+        now = new
+    return with_legs(now, "region", "route")
 
 
 def route_times(routes: DataFrame) -> DataFrame:
@@ -131,122 +123,219 @@ def route_times(routes: DataFrame) -> DataFrame:
     return g.withColumn("minutes", F.col("drive") + SERVICE * F.col("stops"))
 
 
-@query("rt1_instance", f"WITH {POINTS_SQL}, {_INSTANCE} SELECT region, count(*) AS stops, round(sum(prize), 5) AS prize, round(avg(x), 5) AS depot_x, round(avg(y), 5) AS depot_y FROM inst GROUP BY region")
-def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions with their depots (RT1)."""
-    return instance(spark, sf_dir).groupBy("region").agg(F.count("*").alias("stops"), F.round(F.sum("prize"), 5).alias("prize"), F.round(F.avg("x"), 5).alias("depot_x"), F.round(F.avg("y"), 5).alias("depot_y"))
+def _times_sql(routes: str) -> str:
+    return f"(SELECT region, route, count(*) AS stops, sum(leg + back) AS drive, sum(leg + back) + {SERVICE} * count(*) AS minutes FROM {routes} GROUP BY ALL)"
+
+
+_ROUTES = f"{POINTS_SQL}, {_INSTANCE}, {routes_sql('inst', 'routes')}"
+
+
+@query("rt14_split_routes", f"WITH {_ROUTES} SELECT region, route, stop, id, round(leg, 6) AS leg, round(back, 6) AS back FROM routes")
+def split_route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweep and split: every stop once, on the fewest equal routes within the day (RT14, RT15)."""
+    return split_routes(instance(spark, sf_dir)).select("region", "route", "stop", "id", F.round("leg", 6).alias("leg"), F.round("back", 6).alias("back"))
 
 
 @query("rt15_census_routes")
 def census_route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes over all stops: nearest neighbour, 2-opt, optimal split (RT12 to RT15)."""
-    return census_routes(instance(spark, sf_dir))
+    """The same routes, shortened by reversals (RT13, RT15)."""
+    return two_opt(split_routes(instance(spark, sf_dir))).select("region", "route", "stop", "id", F.round("leg", 6).alias("leg"), F.round("back", 6).alias("back"))
+
+
+def nearest_tour(rows: DataFrame) -> DataFrame:
+    """(region, stop, id, leg): from the centre always to the nearest stop that is left: a fold over a region's array (RT12)."""
+    arrays = rows.groupBy("region", "cx", "cy").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("stops"))
+    start = F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("stops").alias("left"), F.array().cast("array<struct<id: bigint, leg: double>>").alias("path"))
+
+    def step(acc: Column, _: Column) -> Column:
+        near = F.array_min(F.transform(acc["left"], lambda s: F.struct(leg(acc["x"], acc["y"], s["x"], s["y"]).alias("leg"), s["id"].alias("id"), s["x"].alias("x"), s["y"].alias("y"))))
+        # an array of one binds the nearest to a name
+        return F.transform(F.array(near), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), F.filter(acc["left"], lambda r: r["id"] != s["id"]).alias("left"), F.concat(acc["path"], F.array(F.struct(s["id"].alias("id"), s["leg"].alias("leg")))).alias("path")))[0]
+
+    folded = arrays.select("region", F.aggregate(F.sequence(F.lit(1), F.size("stops")), start, step)["path"].alias("path"))
+    return folded.select("region", F.posexplode("path").alias("stop", "p")).select("region", "stop", "p.id", "p.leg")
 
 
-@query("rt16_check_routes", f"WITH {POINTS_SQL}, {_INSTANCE} SELECT region, count(*) AS stops, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS too_long FROM inst GROUP BY region")
+@query("rt12_nearest_tour")
+def nearest_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-neighbour tours of all regions (RT12)."""
+    t = nearest_tour(instance(spark, sf_dir))
+    return t.select("region", "stop", "id", F.round("leg", 6).alias("leg"))
+
+
+@query(
+    "rt16_check_routes",
+    f"WITH {_ROUTES}, seen AS (SELECT region, id, count(*) AS k FROM routes GROUP BY ALL), times AS {_times_sql('routes')} SELECT i.region, count(*) AS stops, count(*) FILTER (k IS NULL) AS missing, count(*) FILTER (k > 1) AS repeated, min(t.too_long) AS too_long, min(t.routes) AS routes FROM inst i LEFT JOIN seen USING (region, id) JOIN (SELECT region, count(*) AS routes, count(*) FILTER (minutes > {DAY} + 1e-6) AS too_long FROM times GROUP BY 1) t ON t.region = i.region GROUP BY i.region",
+)
 def check_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constraints per region: each stop once, each route within the day; all counts but stops must be 0 (RT16)."""
+    """Constraints per region: each stop once, each route within the day; missing, repeated and too_long must be 0 (RT16)."""
     rows = instance(spark, sf_dir)
-    routes = census_routes(rows)
+    routes = settled(split_routes(rows))
     seen = rows.select("region", "id").join(routes.groupBy("region", "id").agg(F.count("*").alias("k")), ["region", "id"], "left")
     stops = seen.groupBy("region").agg(F.count("*").alias("stops"), F.count_if(F.col("k").isNull()).alias("missing"), F.count_if(F.col("k") > 1).alias("repeated"))
-    long = route_times(routes).groupBy("region").agg(F.count_if(F.col("minutes") > DAY + 1e-6).alias("too_long"))
+    long = route_times(routes).groupBy("region").agg(F.count_if(F.col("minutes") > DAY + 1e-6).alias("too_long"), F.count("*").alias("routes"))
     return stops.join(long, "region")
 
 
-@query("rt8_route_statistics")
+@query(
+    "rt8_route_statistics",
+    f"WITH {_ROUTES}, times AS {_times_sql('routes')} SELECT region, count(*) AS routes, min(stops) AS fewest, round(avg(stops), 4) AS mean_stops, max(stops) AS most, round(max(minutes), 4) AS longest, round(sum(drive) / sum(minutes), 6) AS drive_share, CAST(ceil(sum(stops) * {SERVICE} / {DAY}) AS BIGINT) AS least_routes, CAST(ceil(count(*) / 10.0) AS BIGINT) AS weeks_two_teams FROM times GROUP BY region",
+)
 def route_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops, times and the bound from below of the number of routes (RT8, NB5, NB6)."""
-    t = route_times(census_routes(instance(spark, sf_dir)))
+    t = route_times(split_routes(instance(spark, sf_dir)))
     return t.groupBy("region").agg(F.count("*").alias("routes"), F.min("stops").alias("fewest"), F.round(F.avg("stops"), 4).alias("mean_stops"), F.max("stops").alias("most"), F.round(F.max("minutes"), 4).alias("longest"), F.round(F.sum("drive") / F.sum("minutes"), 6).alias("drive_share"), F.ceil(F.sum("stops") * SERVICE / DAY).alias("least_routes"), F.ceil(F.count("*") / 10).alias("weeks_two_teams"))
 
 
-def _gap(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("u").head(8)
-    t = minutes(rows)
-    exact, own = held_karp(t), tour_minutes(two_opt(nearest_order(t), t), t)
-    return pd.DataFrame([{"region": key[0], "stops": len(rows), "exact": exact, "heuristic": own}])
+#: Stops of a region on which the sweep is held against the best tour.
+TRIAL = 6
 
 
-@query("rt18_heuristic_gap")
+@query(
+    "rt18_heuristic_gap",
+    f"""WITH RECURSIVE {POINTS_SQL}, {_INSTANCE}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY {uniform_sql('gap', 'id')}, id) AS r FROM inst) WHERE r <= {TRIAL}), n AS (SELECT region, count(*) AS n FROM t GROUP BY 1),
+ path(region, cx, cy, x, y, ids, len) AS (SELECT region, cx, cy, x, y, [id], {_LEG.format('cx', 'cy', 'x', 'y')} FROM t UNION ALL SELECT p.region, p.cx, p.cy, t.x, t.y, list_append(p.ids, t.id), p.len + {_LEG.format('p.x', 'p.y', 't.x', 't.y')} FROM path p JOIN t ON t.region = p.region AND NOT list_contains(p.ids, t.id)),
+ e AS (SELECT region, min(len + {_LEG.format('x', 'y', 'cx', 'cy')}) AS exact FROM path JOIN n USING (region) WHERE len(ids) = n GROUP BY region),
+ o AS (SELECT *, {_LEG.format('coalesce(lag(x) OVER w, cx)', 'coalesce(lag(y) OVER w, cy)', 'x', 'y')} AS leg, CASE WHEN lead(x) OVER w IS NULL THEN {_LEG.format('x', 'y', 'cx', 'cy')} ELSE 0 END AS back FROM t WINDOW w AS (PARTITION BY region ORDER BY atan2(y - cy, x - cx), id)), h AS (SELECT region, count(*) AS stops, sum(leg + back) AS heuristic FROM o GROUP BY region)
+ SELECT region, stops, round(exact, 4) AS exact, round(heuristic, 4) AS heuristic, CASE WHEN exact > 0 THEN round((heuristic - exact) / exact, 6) END AS gap FROM e JOIN h USING (region)""",
+)
 def heuristic_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heuristic tour against the exact one on eight random stops of each region (RT17, RT18)."""
-    rows = instance(spark, sf_dir).withColumn("u", uniform("gap", "id"))
-    out = rows.groupBy("region").applyInPandas(_gap, "region bigint, stops int, exact double, heuristic double")
-    return out.select("region", "stops", F.round("exact", 4).alias("exact"), F.round("heuristic", 4).alias("heuristic"), F.round(F.try_divide(F.col("heuristic") - F.col("exact"), F.col("exact")), 6).alias("gap"))
+    """The sweep against the best of all tours on six random stops of each region: all orders, by joins (RT17, RT18)."""
+    w = Window.partitionBy("region")
+    t = instance(spark, sf_dir).withColumn("r", F.row_number().over(w.orderBy(uniform("gap", "id"), "id"))).where(F.col("r") <= TRIAL)
+    t = settled(t.select("region", "id", "x", "y", "cx", "cy"))
+    paths = t.select("region", "cx", "cy", "x", "y", F.array("id").alias("ids"), leg(F.col("cx"), F.col("cy"), F.col("x"), F.col("y")).alias("len"))
+    nxt = t.select("region", F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    whole = paths
+    for _ in range(TRIAL - 1):
+        longer = whole.join(nxt, "region").where(~F.array_contains("ids", F.col("nid")))
+        longer = longer.select("region", "cx", "cy", F.col("nx").alias("x"), F.col("ny").alias("y"), F.concat("ids", F.array("nid")).alias("ids"), (F.col("len") + leg(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).alias("len"))
+        paths, whole = paths.unionByName(longer), longer
+    n = t.groupBy("region").agg(F.count("*").alias("stops"))
+    exact = paths.join(n, "region").where("size(ids) = stops").groupBy("region").agg(F.min(F.col("len") + leg(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).alias("exact"))
+    sweep = with_legs(t.withColumn("angle", F.struct(F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")), "id")), "region", order="angle").groupBy("region").agg(F.count("*").alias("stops"), F.sum(F.col("leg") + F.col("back")).alias("heuristic"))
+    gap = F.when(F.col("exact") > 0, F.round((F.col("heuristic") - F.col("exact")) / F.col("exact"), 6))
+    return exact.join(sweep, "region").select("region", "stops", F.round("exact", 4).alias("exact"), F.round("heuristic", 4).alias("heuristic"), gap.alias("gap"))
+
+
+# --- orienteering ------------------------------------------------------------------------------
+
+#: Days, and budgets that are solved exactly: all sets of so many stops of a region are looked at.
+DAYS, SMALL = (480.0, 240.0, 120.0), 3
+
+
+def best_small_tours(rows: DataFrame, budgets: int = SMALL, days: tuple[float, ...] = DAYS) -> DataFrame:
+    """(region, budget, day, prize, minutes, ids): of all sets of at most ``budget`` stops whose best tour fits into the day, the one with the highest prize, then the fewest minutes.
+
+    rows: region, id, x, y, prize, cx, cy, must; sets hold every stop that must be visited (a floor of coverage).  Tours
+    of three stops have three orders that differ.  A region without a feasible set has no row.
+    """
+    one = rows.select("region", "id", "x", "y", "prize", "cx", "cy", F.col("must").cast("int").alias("must"))
+    due = rows.groupBy("region").agg(F.sum(F.col("must").cast("int")).alias("due"))
+
+    def named(k: str) -> DataFrame:
+        return one.select("region", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "x", "y", "prize", "must")])
+
+    def d(a: str, b: str) -> Column:
+        place = lambda k: (F.col("cx"), F.col("cy")) if k == "0" else (F.col(f"x_{k}"), F.col(f"y_{k}"))
+        return leg(*place(a), *place(b))
+
+    base = one.select("region", "cx", "cy").distinct()
+    singles = base.join(named("a"), "region")
+    pairs = singles.join(named("b"), "region").where("id_a < id_b")
+    triples = pairs.join(named("c"), "region").where("id_b < id_c")
+    kinds = [(singles, ("a",), 2 * d("0", "a")), (pairs, ("a", "b"), d("0", "a") + d("a", "b") + d("b", "0"))]
+    orders = [d("0", p) + d(p, q) + d(q, r) + d(r, "0") for p, q, r in (("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"))]
+    kinds.append((triples, ("a", "b", "c"), F.least(*orders)))
+    sets = None
+    for frame, names, drive in kinds[:budgets]:
+        some = frame.select("region", F.lit(len(names)).alias("k"), sum((F.col(f"prize_{n}") for n in names[1:]), F.col(f"prize_{names[0]}")).alias("prize"), (drive + SERVICE * len(names)).alias("minutes"), F.array(*[F.col(f"id_{n}") for n in names]).alias("ids"), sum((F.col(f"must_{n}") for n in names[1:]), F.col(f"must_{names[0]}")).alias("has"))
+        sets = some if sets is None else sets.unionByName(some)
+    grid = F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(float(x)).alias("day")) for b in range(1, budgets + 1) for x in days])
+    tried = sets.join(due, "region").where("has = due").select("region", "k", "prize", "minutes", "ids", F.inline(grid)).where("k <= budget AND minutes <= day")
+    best = tried.groupBy("region", "budget", "day").agg(F.max(F.struct(F.round("prize", 9).alias("prize"), (-F.col("minutes")).alias("less"), "ids")).alias("b"))
+    return best.select("region", "budget", "day", F.col("b.prize").alias("prize"), (-F.col("b.less")).alias("minutes"), F.col("b.ids").alias("ids"))
+
+
+_D = lambda a, b: _LEG.format(*(("cx", "cy") if a == "0" else (f"{a}.x", f"{a}.y")), *(("cx", "cy") if b == "0" else (f"{b}.x", f"{b}.y"))).replace("cx", "a.cx").replace("cy", "a.cy")
+_SETS = f"""sets AS (SELECT a.region, 1 AS k, a.prize AS prize, 2 * {_D('0', 'a')} + {SERVICE} AS minutes, [a.id] AS ids, a.must AS has FROM m a
+ UNION ALL SELECT a.region, 2, a.prize + b.prize, {_D('0', 'a')} + {_D('a', 'b')} + {_D('b', '0')} + {2 * SERVICE}, [a.id, b.id], a.must + b.must FROM m a JOIN m b ON b.region = a.region AND a.id < b.id
+ UNION ALL SELECT a.region, 3, a.prize + b.prize + c.prize, least({_D('0', 'a')} + {_D('a', 'b')} + {_D('b', 'c')} + {_D('c', '0')}, {_D('0', 'a')} + {_D('a', 'c')} + {_D('c', 'b')} + {_D('b', '0')}, {_D('0', 'b')} + {_D('b', 'a')} + {_D('a', 'c')} + {_D('c', '0')}) + {3 * SERVICE}, [a.id, b.id, c.id], a.must + b.must + c.must FROM m a JOIN m b ON b.region = a.region AND a.id < b.id JOIN m c ON c.region = a.region AND b.id < c.id),
+ best AS (SELECT s.region, budget, day, arg_max(ids, (round(prize, 9), -minutes, ids)) AS ids, max(round(prize, 9)) AS prize, arg_max(minutes, (round(prize, 9), -minutes, ids)) AS minutes FROM sets s JOIN (SELECT region, sum(must) AS due FROM m GROUP BY 1) u ON u.region = s.region AND has = due, (VALUES (1), (2), (3)) b(budget), (VALUES (480.0::DOUBLE), (240.0::DOUBLE), (120.0::DOUBLE)) d(day) WHERE k <= budget AND minutes <= day GROUP BY ALL)"""
+
+
+@query("rt4_best_small_tours", f"WITH {POINTS_SQL}, {_INSTANCE}, m AS (SELECT *, 0 AS must FROM inst), {_SETS} SELECT region, budget, day, round(prize, 6) AS prize, round(minutes, 5) AS minutes, ids FROM best")
+def small_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best single tours of one to three stops over all stops of each region, in days of three lengths (RT4)."""
+    best = best_small_tours(instance(spark, sf_dir).withColumn("must", F.lit(False)))
+    return best.select("region", "budget", "day", F.round("prize", 6).alias("prize"), F.round("minutes", 5).alias("minutes"), "ids")
+
+
+@query(
+    "rt3_plan_cycle",
+    f"WITH {POINTS_SQL}, {_INSTANCE}, drawn AS (SELECT region, id, x, y, cx, cy, prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) AS prize, row_number() OVER (PARTITION BY region ORDER BY {uniform_sql('forced', 'id')}, id) AS r FROM inst), m AS (SELECT region, id, x, y, cx, cy, prize, CAST(r = 1 AS INTEGER) AS must FROM drawn), {_SETS} SELECT region, budget, day, round(prize, 6) AS prize, round(minutes, 5) AS minutes, ids FROM best",
+)
+def plan_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle's plan: drawn prizes, and a random stop of each region that must be visited (RT3, RT5's floor of coverage)."""
+    rows = instance(spark, sf_dir).withColumn("prize", F.col("prize") * (0.8 + 0.4 * uniform("cycle", F.lit(0), "id")))
+    forced = top_of(rows, uniform("forced", "id")).select("id", F.lit(True).alias("must"))
+    best = best_small_tours(rows.join(forced, "id", "left").withColumn("must", F.coalesce("must", F.lit(False))))
+    return best.select("region", "budget", "day", F.round("prize", 6).alias("prize"), F.round("minutes", 5).alias("minutes"), "ids")
+
+
+def top_of(rows: DataFrame, order: Column, k: int = 1) -> DataFrame:
+    """The first k stops of each region."""
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("region").orderBy(order, "id"))).where(F.col("rn") <= k)
+
+
+#: The sweep of the heuristic: budgets, teams and days.
+GRID = tuple((b, k, day) for b in (4, 8, 15, 25) for k in (1, 2) for day in DAYS)
 
 
-def best_team_plan(t: np.ndarray, prize: np.ndarray, budget: int, teams: int, day: float, must: tuple[int, ...] = ()) -> tuple[list[list[int]], float]:
-    """Exact team orienteering for small budgets: the set with the highest prize, then the fewest minutes.
+def ranked_batches(rows: DataFrame, grid=GRID) -> DataFrame:
+    """(region, budget, teams, day, team, stop, id): the highest prizes of a region, batched into routes (RT7).
 
-    Sets are tried by falling prize; a set is feasible if its stops can be cut into ``teams`` tours within the day.
-    Raises ValueError if not even the stops that must be visited fit.
+    A team starts with the best stop that is left and fits alone, and goes on to the nearest while the day lasts.  Budgets bound
+    the stops, which are folded as one array per region and setting.
     """
-    n = len(t) - 1
-
-    def tours(some: tuple[int, ...]) -> tuple[float, list[list[int]]] | None:
-        best = None
-        for order in permutations(some):
-            for cuts in combinations(range(1, len(order)), teams - 1) if teams > 1 and len(order) >= teams else [()]:
-                ends = [0, *cuts, len(order)]
-                parts = [list(order[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                times = [tour_minutes(p, t) + SERVICE * len(p) for p in parts]
-                if max(times) <= day and (best is None or sum(times) < best[0] - 1e-12):
-                    best = (sum(times), parts)
-        return best
-
-    others = [j for j in range(1, n + 1) if j not in must]
-    sets = [tuple(must) + c for k in range(budget - len(must), -1, -1) for c in combinations(others, k)]
-    sets.sort(key=lambda s: -sum(prize[j - 1] for j in s))
-    for s in sets:
-        if not s:
-            break
-        if (found := tours(s)) is not None:
-            return found[1], float(sum(prize[j - 1] for j in s))
-    if must:
-        raise ValueError("the stops that must be visited don't fit into the day")
-    return [], 0.0
-
-
-def ranked_batches(t: np.ndarray, prize: np.ndarray, budget: int, teams: int, day: float, must: tuple[int, ...] = ()) -> tuple[list[list[int]], float]:
-    """The comparator: musts, then the highest prizes; each route starts with the best left and appends the nearest that fit."""
-    order = [*must, *[j + 1 for j in np.argsort(-prize, kind="stable") if j + 1 not in must]][:budget]
-    left, routes = list(order), []
-    for _ in range(teams):
-        fits = [j for j in left if t[0, j] + t[j, 0] + SERVICE <= day]
-        if not fits:
-            break
-        route = [fits[0]]
-        left.remove(fits[0])
-        while left:
-            j = min(left, key=lambda k: (t[route[-1], k], k))
-            if tour_minutes([*route, j], t) + SERVICE * (len(route) + 1) > day:
-                break
-            route.append(j)
-            left.remove(j)
-        routes.append(route)
-    return routes, float(sum(prize[j - 1] for r in routes for j in r))
-
-
-def _orienteer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    region, budget, teams, day = key
-    rows = rows.sort_values(["prize", "id"], ascending=[False, True]).head(9)  # the pool that enters the exact search
-    t, prize = minutes(rows), rows["prize"].to_numpy(float)
-    exact, value = best_team_plan(t, prize, int(budget), int(teams), float(day))
-    own, other = ranked_batches(t, prize, int(budget), int(teams), float(day))
-    return pd.DataFrame([{"region": region, "budget": budget, "teams": teams, "day": day, "exact": value, "heuristic": other, "stops": sum(map(len, exact)), "status": "optimal"}])
-
-
-@query("rt5_team_orienteering")
-def team_orienteering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact plans and the heuristic over a grid of budgets, teams and days (RT3 to RT7, SM5)."""
-    grid = F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(k).alias("teams"), F.lit(d).alias("day")) for b, k, d in ((3, 1, 90.0), (4, 1, 480.0), (4, 2, 60.0))])
-    rows = instance(spark, sf_dir).withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
-    # the pool is chosen before the groups, so that no group is larger than it needs to be
-    w = Window.partitionBy("region", "budget", "teams", "day").orderBy(F.desc("prize"), "id")
-    pool = rows.withColumn("rn", F.row_number().over(w)).where("rn <= 9").drop("rn")
-    out = pool.groupBy("region", "budget", "teams", "day").applyInPandas(_orienteer, "region bigint, budget int, teams int, day double, exact double, heuristic double, stops int, status string")
-    return out.select("region", "budget", "teams", "day", "stops", "status", F.round("exact", 6).alias("exact"), F.round("heuristic", 6).alias("heuristic"), F.round(100 * F.try_divide(F.col("exact") - F.col("heuristic"), F.col("heuristic")), 4).alias("gain_pct"))
+    most = max(b for b, _, _ in grid)
+    ranked = top_of(rows, F.desc("prize"), most).withColumn("alone", 2 * leg(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")) + SERVICE)
+    arrays = ranked.groupBy("region", "cx", "cy").agg(F.array_sort(F.collect_list(F.struct("rn", "id", "x", "y", "alone"))).alias("all"))
+    settings = arrays.withColumn("g", F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(k).alias("teams"), F.lit(float(d)).alias("day")) for b, k, d in grid]))).select("region", "cx", "cy", "all", "g.*")
+    left = F.filter(F.slice("all", 1, F.col("budget")), lambda s: s["alone"] <= F.col("day"))
+    start = F.struct(left.alias("left"), F.lit(0).alias("team"), F.lit(0.0).alias("used"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.array().cast("array<struct<team: int, id: bigint>>").alias("out"))
+    home = lambda s: leg(s["x"], s["y"], F.col("cx"), F.col("cy"))
+
+    def take(acc: Column, s: Column, team: Column, used: Column) -> Column:
+        return F.struct(F.filter(acc["left"], lambda r: r["id"] != s["id"]).alias("left"), team.alias("team"), used.alias("used"), s["x"].alias("x"), s["y"].alias("y"), F.concat(acc["out"], F.array(F.struct(team.alias("team"), s["id"].alias("id")))).alias("out"))
+
+    def step(acc: Column, _: Column) -> Column:
+        near = F.array_min(F.transform(acc["left"], lambda s: F.struct(leg(acc["x"], acc["y"], s["x"], s["y"]).alias("leg"), s["id"].alias("id"), s["x"].alias("x"), s["y"].alias("y"))))
+        goes_on = lambda s: (acc["team"] > 0) & (acc["used"] + s["leg"] + SERVICE + home(s) <= F.col("day"))
+        first = F.get(acc["left"], F.lit(0))
+        begun = F.when(acc["team"] < F.col("teams"), take(acc, first, acc["team"] + 1, home(first) + SERVICE)).otherwise(acc)
+        moved = F.transform(F.array(near), lambda s: F.when(goes_on(s), take(acc, s, acc["team"], acc["used"] + s["leg"] + SERVICE)).otherwise(begun))[0]
+        return F.when(F.size(acc["left"]) > 0, moved).otherwise(acc)
+
+    folded = settings.select("region", "budget", "teams", "day", F.aggregate(F.sequence(F.lit(1), F.col("budget") + F.col("teams")), start, step)["out"].alias("out"))
+    return folded.select("region", "budget", "teams", "day", F.posexplode("out").alias("stop", "o")).select("region", "budget", "teams", "day", "o.team", "stop", "o.id")
+
+
+@query("rt7_ranked_batches")
+def batches_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the heuristic collects in each region for four budgets, two numbers of teams and three days (RT7, SM5)."""
+    rows = instance(spark, sf_dir)
+    g = ranked_batches(rows).join(rows.select("region", "id", "prize"), ["region", "id"]).groupBy("region", "budget", "teams", "day")
+    return g.agg(F.count("*").alias("stops"), F.countDistinct("team").alias("routes"), F.round(F.sum("prize"), 6).alias("prize"))
+
+
+@query("sm5_small_budget_gains")
+def small_budget_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact best tours against the heuristic where budgets are small: gain in per cent (SM5, RT4, RT7)."""
+    rows = instance(spark, sf_dir)
+    own = ranked_batches(rows, tuple((b, 1, d) for b in range(1, SMALL + 1) for d in DAYS)).join(rows.select("region", "id", "prize"), ["region", "id"]).groupBy("region", "budget", "day").agg(F.sum("prize").alias("heuristic"))
+    both = best_small_tours(rows.withColumn("must", F.lit(False))).join(own, ["region", "budget", "day"], "left")
+    return both.select("region", "budget", "day", F.round("prize", 6).alias("exact"), F.round("heuristic", 6).alias("heuristic"), F.round(100 * F.try_divide(F.col("prize") - F.col("heuristic"), F.col("heuristic")), 4).alias("gain_pct"))
 
 
 @query(
@@ -348,8 +437,8 @@ def portion_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = slots.withColumn("portion", F.expr(_PLAN_DAYS)).where("portion IS NOT NULL")
     s = slots.withColumn("k", F.row_number().over(Window.partitionBy("plan", "year", "portion").orderBy(uniform("slot", "plan", "day", "team"), "day", "team")))
     out = o.join(s, ["plan", "year", "portion", "k"], "left")
-    full = F.coalesce(F.assert_true(F.col("day").isNotNull(), F.concat(F.lit("more routes than days in plan "), "plan")).isNull(), F.lit(True))
-    return out.where(full).select("plan", "year", "route", "portion", "day", "team", F.month("day").alias("month"))
+    day = F.coalesce("day", F.raise_error(F.concat(F.lit("more routes than days in plan "), "plan")).cast("date"))
+    return out.select("plan", "year", "route", "portion", day.alias("day"), "team", F.month("day").alias("month"))
 
 
 _CALENDAR = "cal AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderdate AS DATE) AS day, o_custkey AS route FROM orders)"
@@ -446,26 +535,37 @@ def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("plan", "parameter", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"), F.round(F.col("high") - F.col("low"), 2).alias("swing"))
 
 
-@query("cv2_route_costs")
+_ROUTE_COSTS = ", ".join(routes_sql("inst", f"r{k}", COSTS["drive_factor"][k]) for k in range(3))
+_ROUTE_TOTALS = " UNION ALL ".join(f"SELECT region, '{name}' AS scenario, sum(stops) AS stops, count(*) AS routes, sum(drive) / {COSTS['drive_factor'][k]} AS drive FROM {_times_sql(f'r{k}')} GROUP BY region" for k, name in enumerate(SCENARIOS))
+
+
+@query(
+    "cv2_route_costs",
+    f"WITH {POINTS_SQL}, {_INSTANCE}, {_ROUTE_COSTS}, tot AS ({_ROUTE_TOTALS}), {_PARAMS}, c AS (SELECT *, (drive * drive_factor + (stops + retry_share * stops) * (20 + admin_minutes) + retry_share * stops * 5) / 60 * (supervisor_wage + purchaser_wage) * fringe AS labor, ((drive * drive_factor + retry_share * stops * 5) / 60 * 22 + routes * commute_miles) * mileage_rate AS mileage, (stops + retry_share * stops) * data_per_check AS data FROM tot JOIN par USING (scenario)) SELECT region, scenario, CAST(stops AS BIGINT) AS stops, routes, round((labor + mileage + data + training_fixed) * (1 + overhead_share), 2) AS total, round((labor + mileage + data) * (1 + overhead_share), 2) AS later_passes FROM c",
+)
 def route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of the real routes of each region, in three scenarios of traffic (CV2 to CV4, CV7)."""
     rows = instance(spark, sf_dir)
     parts = None
     for k, s in enumerate(SCENARIOS):
-        t = route_times(census_routes(rows, COSTS["drive_factor"][k], DAY)).groupBy("region").agg(F.sum("stops").alias("stops"), F.count("*").alias("routes"), (F.sum("drive") / COSTS["drive_factor"][k]).alias("drive")).withColumn("scenario", F.lit(s)).withColumns({n: F.lit(v[k]) for n, v in COSTS.items()})
+        factor = COSTS["drive_factor"][k]
+        t = route_times(split_routes(rows, factor)).groupBy("region").agg(F.sum("stops").alias("stops"), F.count("*").alias("routes"), (F.sum("drive") / factor).alias("drive")).withColumn("scenario", F.lit(s)).withColumns({n: F.lit(v[k]) for n, v in COSTS.items()})
         parts = t if parts is None else parts.unionByName(t)
     total = F.col("labor") + F.col("mileage") + F.col("data") + F.col("training") + F.col("overhead")
     return cost_lines(parts).select("region", "scenario", "stops", "routes", F.round(total, 2).alias("total"), F.round(total - F.col("training") * (1 + F.col("overhead_share")), 2).alias("later_passes"))
 
 
-@query("cv6_risk_staged_cost")
+@query(
+    "cv6_risk_staged_cost",
+    f"WITH {POINTS_SQL}, {_INSTANCE}, tiers AS (SELECT region * 10 + ntile(2) OVER (PARTITION BY region ORDER BY prize DESC, id) AS region, id, x, y, cx, cy FROM inst), {routes_sql('inst', 'one')}, {routes_sql('tiers', 'two')}, a AS (SELECT region, count(*) AS routes, sum(minutes) AS minutes FROM {_times_sql('one')} GROUP BY 1), b AS (SELECT region // 10 AS region, count(*) AS staged_routes, sum(minutes) AS staged FROM {_times_sql('two')} GROUP BY 1) SELECT region, routes, staged_routes, round(minutes, 3) AS minutes, round(staged, 3) AS staged_minutes FROM a JOIN b USING (region)",
+)
 def risk_staged_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes by risk tier against routes over all stops: what staging costs in minutes (CV6)."""
     rows = instance(spark, sf_dir)
     w = Window.partitionBy("region").orderBy(F.desc("prize"), "id")
     tiers = rows.withColumn("region", F.col("region") * 10 + F.ntile(2).over(w))
-    one = route_times(census_routes(rows)).groupBy("region").agg(F.count("*").alias("routes"), F.sum("minutes").alias("minutes"))
-    two = route_times(census_routes(tiers)).groupBy(F.expr("region div 10").alias("region")).agg(F.count("*").alias("staged_routes"), F.sum("minutes").alias("staged"))
+    one = route_times(split_routes(rows)).groupBy("region").agg(F.count("*").alias("routes"), F.sum("minutes").alias("minutes"))
+    two = route_times(split_routes(tiers)).groupBy(F.expr("region div 10").alias("region")).agg(F.count("*").alias("staged_routes"), F.sum("minutes").alias("staged"))
     return one.join(two, "region").select("region", "routes", "staged_routes", F.round("minutes", 3).alias("minutes"), F.round("staged", 3).alias("staged_minutes"))
 
 
@@ -516,29 +616,12 @@ def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frontier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violators found by budget: at random, by risk, by prize, and in two passes (SM10).
 
-    The cut of each budget is a percentile of place; places come from a range-partitioned sort, not from one task.
+    Places come from buckets of scores, not from one task.
     """
     s = stores(spark, sf_dir).select("store", "p", "prize")
     n = s.count()
-    ranked = place(place(s, "p", "rp"), "prize", "rz")
+    ranked = place_within(place_within(s, "p", "store", out="rp").drop("n_all"), "prize", "store", out="rz")
     shares = (0.1, 0.25, 0.5, 1.0)
     g = ranked.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("k", F.bround(F.col("share") * n, 0))
     part = lambda r: F.round(F.sum(F.when(F.col(r) <= F.col("k"), F.col("p")).otherwise(0.0)), 4)
     return g.groupBy("share").agg(F.max("k").cast("bigint").alias("checks"), F.round(F.sum("p") * F.first("share"), 4).alias("random"), part("rp").alias("by_risk"), part("rz").alias("by_prize"), F.round(F.sum(1 - F.pow(1 - F.col("p"), F.lit(2))), 4).alias("two_pass"))
-
-
-def place(df: DataFrame, score: str, out: str, tie: str = "store") -> DataFrame:
-    """The place of each row by falling score, over all rows: buckets of the score's range, counts, and windows within.
-
-    Scores fall into 64 buckets between approximate quantiles; each bucket is a window task of its own.
-    """
-    edges = df.stat.approxQuantile(score, [k / 64 for k in range(1, 64)], 0.01) if df.head(1) else []
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + (F.col(score) <= e).cast("int")
-    rows = df.withColumn("_b", bucket)
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_b", before.alias("_o"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc(score), tie))
-    return rows.join(F.broadcast(offsets), "_b").withColumn(out, own + F.col("_o")).drop("_b", "_o")

@@ -1,57 +1,153 @@
-"""Tours, splits, exact searches and calendars."""
+"""Tours, splits, batches and exact small tours against plain loops, and calendars."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwarden.operators import routing as R
 
-TOY = np.array([[0, 10, 10, 30, 30], [10, 0, 5, 30, 30], [10, 5, 0, 30, 30], [30, 30, 30, 0, 5], [30, 30, 30, 5, 0]], float)
-PRIZE = np.array([5.0, 6.0, 20.0, 1.0])
 
-
-def plane(n, seed):
-    xy = np.random.default_rng(seed).random((n + 1, 2)) * 10
-    return np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
-
-
-@pytest.mark.parametrize("n", [3, 8, 30])
-def test_routes_visit_all_once_within_the_day(n):
-    t = plane(n, n)
-    routes = R.split_tour(R.two_opt(R.nearest_order(t), t), t, 120)
-    assert sorted(j for r in routes for j in r) == list(range(1, n + 1))
-    assert all(R.tour_minutes(r, t) + 20 * len(r) <= 120 + 1e-9 for r in routes)
-
-
-def test_a_stop_beyond_the_day_raises():
-    with pytest.raises(ValueError, match="exceeds"):
-        R.split_tour([1, 2, 3], plane(3, 1), 10)
-
-
-def test_exact_tour_is_the_best_of_all():
-    t = plane(5, 2)
-    assert R.held_karp(t) == pytest.approx(min(R.tour_minutes(list(p), t) for p in itertools.permutations(range(1, 6))))
-
-
-def test_heuristic_is_near_the_exact_tour_and_never_longer_than_its_start():
-    t = plane(8, 3)
-    start = R.nearest_order(t)
-    own = R.two_opt(start, t)
-    assert R.held_karp(t) - 1e-9 <= R.tour_minutes(own, t) <= min(R.tour_minutes(start, t), 1.1 * R.held_karp(t)) + 1e-9
-    skew = t * np.random.default_rng(4).uniform(0.8, 1.2, t.shape)
-    assert R.tour_minutes(R.two_opt(start, skew), skew) <= R.tour_minutes(start, skew) + 1e-9
-
-
-def test_team_plans_on_the_toy(monkeypatch):
-    monkeypatch.setattr(R, "SERVICE", 2.0)
-    assert R.best_team_plan(TOY, PRIZE, 4, 1, 30)[1] == 11
-    assert R.best_team_plan(TOY, PRIZE, 4, 1, 70)[1] >= 21
-    assert 4 in R.best_team_plan(TOY, PRIZE, 4, 1, 70, (4,))[0][0]
-    with pytest.raises(ValueError, match="fit"):
-        R.best_team_plan(TOY, PRIZE, 4, 1, 30, (4,))
-    for day in (30, 70, 120):
-        assert R.best_team_plan(TOY, PRIZE, 4, 1, day)[1] >= R.ranked_batches(TOY, PRIZE, 4, 1, day)[1]
+def frame(spark, n, seed, regions=2):
+    rng = np.random.default_rng(seed)
+    rows = [(r, r * 1000 + i, *map(float, rng.random(2) * 400), float(rng.random())) for r in range(regions) for i in range(n + r)]
+    df = spark.createDataFrame(rows, "region bigint, id bigint, x double, y double, prize double")
+    return df.join(df.groupBy("region").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), "region").cache()
+
+
+def by_region(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.region, {"at": {}, "prize": {}, "home": (r.cx, r.cy)})
+        out[r.region]["at"][r.id] = (r.x, r.y)
+        out[r.region]["prize"][r.id] = r.prize
+    return out
+
+
+def minutes(a, b):
+    return math.dist(a, b) * R.PACE
+
+
+def tour(ids, place):
+    path = [place["home"], *[place["at"][i] for i in ids], place["home"]]
+    return sum(minutes(a, b) for a, b in zip(path, path[1:], strict=False))
+
+
+def paths(routes):
+    out = {}
+    for r in sorted(routes.collect(), key=lambda r: (r.region, r.route, r.stop)):
+        out.setdefault((r.region, r.route), []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("n, day", [(1, 480.0), (7, 200.0), (30, 300.0)])
+def test_routes_visit_all_once_on_the_fewest_equal_stretches_within_the_day(spark, n, day):
+    df = frame(spark, n, n)
+    places, found = by_region(df), paths(R.split_routes(df, 1.0, day))
+    for region, place in places.items():
+        home = place["home"]
+        order = sorted(place["at"], key=lambda i: (math.atan2(place["at"][i][1] - home[1], place["at"][i][0] - home[0]), i))
+        for k in range(1, len(order) + 1):
+            parts = [[int(i) for i in part] for part in np.array_split(order, k)]
+            if max(tour(p, place) + R.SERVICE * len(p) for p in parts) <= day + 1e-9:
+                break
+        assert [[r.id for r in v] for key, v in found.items() if key[0] == region] == parts
+    for (region, _), route in found.items():
+        assert sum(r.leg + r.back for r in route) == pytest.approx(tour([r.id for r in route], places[region]))
+
+
+def test_a_stop_beyond_the_day_raises(spark):
+    with pytest.raises(Exception, match="exceeds the day"):
+        R.split_routes(frame(spark, 3, 1), 1.0, 20.0).collect()
+
+
+def test_reversals_equal_a_loop_and_never_lengthen(spark):
+    df = frame(spark, 12, 5)
+    places, start = by_region(df), R.split_routes(df)
+    found = paths(R.two_opt(start))
+    for (region, route), rows in paths(start).items():
+        place, now = places[region], [r.id for r in rows]
+        while True:
+            tries = [(tour(now, place) - tour(now[:i] + now[i : j + 1][::-1] + now[j + 1 :], place), -i, -j) for i in range(len(now)) for j in range(i + 1, len(now))]
+            gain, i, j = max(tries, default=(0, 0, 0))
+            if gain <= 1e-9:
+                break
+            now[-i : 1 - j] = now[-i : 1 - j][::-1]
+        own = found[region, route]
+        assert tour([r.id for r in own], place) == pytest.approx(tour(now, place))
+        assert sum(r.leg + r.back for r in own) <= sum(r.leg + r.back for r in rows) + 1e-9
+
+
+def test_nearest_tours_equal_a_loop(spark):
+    df = frame(spark, 15, 6)
+    got = {}
+    for r in sorted(R.nearest_tour(df).collect(), key=lambda r: (r.region, r.stop)):
+        got.setdefault(r.region, []).append(r.id)
+    for region, place in by_region(df).items():
+        at, left, order = place["home"], set(place["at"]), []
+        while left:
+            near = min(left, key=lambda i: (minutes(at, place["at"][i]), i))
+            order.append(near)
+            left.remove(near)
+            at = place["at"][near]
+        assert got[region] == order
+
+
+def test_ranked_batches_equal_a_loop(spark):
+    df = frame(spark, 18, 7)
+    grid = ((4, 1, 120.0), (8, 2, 120.0), (15, 2, 240.0), (3, 1, 25.0))
+    got = {}
+    for r in sorted(R.ranked_batches(df, grid).collect(), key=lambda r: r.stop):
+        got.setdefault((r.region, r.budget, r.teams, r.day), {}).setdefault(r.team, []).append(r.id)
+    for region, place in by_region(df).items():
+        alone = lambda i, p=place: 2 * minutes(p["home"], p["at"][i]) + R.SERVICE
+        for budget, teams, day in grid:
+            left = [i for i in sorted(place["at"], key=lambda i: (-place["prize"][i], i))[:budget] if alone(i) <= day]
+            routes = {}
+            for team in range(1, teams + 1):
+                if not left:
+                    break
+                at, used = left.pop(0), None
+                used, routes[team] = minutes(place["home"], place["at"][at]) + R.SERVICE, [at]
+                while left:
+                    near = min(left, key=lambda i: (minutes(place["at"][at], place["at"][i]), i))
+                    step = minutes(place["at"][at], place["at"][near]) + R.SERVICE
+                    if used + step + minutes(place["at"][near], place["home"]) > day:
+                        break
+                    used, at = used + step, near
+                    routes[team].append(near)
+                    left.remove(near)
+            assert got.get((region, budget, teams, day), {}) == routes
+
+
+@pytest.mark.parametrize("forced", [False, True])
+def test_small_tours_are_the_best_of_all_sets(spark, forced):
+    df = frame(spark, 9, 8).withColumn("must", (F.col("id") % 1000 == 4) if forced else F.lit(False))
+    got = {(r.region, r.budget, r.day): r for r in R.best_small_tours(df, 3, (480.0, 90.0, 45.0)).collect()}
+    for region, place in by_region(df).items():
+        must = {region * 1000 + 4} if forced else set()
+        for budget, day in itertools.product((1, 2, 3), (480.0, 90.0, 45.0)):
+            sets = []
+            for k in range(1, budget + 1):
+                for some in itertools.combinations(sorted(place["at"]), k):
+                    best = min(tour(p, place) for p in itertools.permutations(some)) + R.SERVICE * k
+                    if must <= set(some) and best <= day:
+                        sets.append((round(sum(place["prize"][i] for i in some), 9), -best, some))
+            if not sets:
+                assert (region, budget, day) not in got
+                continue
+            prize, less, some = max(sets)
+            r = got[region, budget, day]
+            assert r.prize == pytest.approx(prize) and r.minutes == pytest.approx(-less) and tuple(r.ids) == some
+
+
+def test_exact_never_lies_below_the_heuristic(spark):
+    from tests.conftest import DATA
+
+    rows = R.small_budget_gains(spark, DATA).collect()
+    assert rows and all(r.heuristic is None or r.exact >= r.heuristic - 1e-6 for r in rows)
 
 
 def test_holidays_are_observed():
@@ -61,9 +157,3 @@ def test_holidays_are_observed():
 def test_workdays(spark):
     days = [str(r.day) for r in R.workdays(spark, "2027-07-01", "2027-07-09").collect()]
     assert "2027-07-05" not in days and "2027-07-06" in days and len(days) == 6
-
-
-def test_place_is_the_global_rank(spark):
-    df = spark.createDataFrame([(i, float(i * 37 % 101)) for i in range(101)], "store int, v double")
-    rows = R.place(df, "v", "k").collect()
-    assert sorted((r.k, r.v) for r in rows) == [(k + 1, float(100 - k)) for k in range(101)]
