@@ -6,9 +6,10 @@ neighbour cells, so Spark shuffles on cells and no pair farther than two cells i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.stats import place_within
 from sparkwarden.functions.text import similarity
 from sparkwarden.plans.registry import query
 from sparkwarden.sources.shared import forget, settled
@@ -148,21 +149,72 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         low = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("m", "label")).alias("m"))
         new = settled(low.join(labels.select(F.col("id").alias("m"), F.col("label").alias("k")), "m", "left").select("id", "label", F.least("m", "k").alias("m")))
         if new.where("m != label").isEmpty():
+            forget(new, edges)
             return labels
+        forget(labels)
         labels = new.select("id", F.col("m").alias("label"))
 
 
+#: Parts of a cell's side; one point of each part stands for the others where cells are linked first.
+PARTS = 8
+
+
+def _beside(df: DataFrame, x: str = "cx", y: str = "cy") -> DataFrame:
+    """Each row for the cells around its own, two in each direction: nx, ny."""
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+    return df.withColumn("_n", F.explode(near)).withColumn("nx", F.col(x) + F.col("_n.i")).withColumn("ny", F.col(y) + F.col("_n.j")).drop("_n")
+
+
+def linked_cells(core: DataFrame, eps: float) -> DataFrame:
+    """(a, b), both ways, of neighbouring cells with core points within eps: first by one point of each part of a cell, then,
+    for pairs of cells that these leave open, by all points that lie within eps of the other cell."""
+    side = eps / 2**0.5
+    part = [F.floor(F.col(v) / side * PARTS) for v in ("x", "y")]
+    first = core.groupBy("cx", "cy", "cell", part[0].alias("px"), part[1].alias("py")).agg(F.min(F.struct("id", "x", "y")).alias("p")).select("cx", "cy", "cell", "p.x", "p.y")
+    apart = F.sqrt(F.pow(F.col("x") - F.col("rx"), F.lit(2)) + F.pow(F.col("y") - F.col("ry"), F.lit(2)))
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        to = right.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cell").alias("rcell"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+        return left.join(to, ["nx", "ny"]).where((F.col("cell") < F.col("rcell")) & (apart <= eps)).select("cell", "rcell").distinct()
+
+    quick = settled(pairs(_beside(first), first))
+    cells = core.select("cx", "cy", "cell").distinct()
+    both = _beside(cells).join(cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cell").alias("rcell")), ["nx", "ny"]).where("cell < rcell")
+    open_ = settled(both.join(quick, ["cell", "rcell"], "left_anti").select("cell", "rcell", "cx", "cy", "nx", "ny"))
+    # distance of a point to the other cell's box
+    beyond = lambda v, k: F.greatest(F.col(k) * side - F.col(v), F.col(v) - (F.col(k) + 1) * side, F.lit(0.0))
+    gap = lambda x, y, cx, cy: F.sqrt(F.pow(beyond(x, cx), F.lit(2)) + F.pow(beyond(y, cy), F.lit(2)))
+    left = open_.join(core.select("cell", "x", "y"), "cell").where(gap("x", "y", "nx", "ny") <= eps * (1 + 1e-9))
+    right = open_.join(core.select(F.col("cell").alias("rcell"), F.col("x").alias("rx"), F.col("y").alias("ry")), "rcell").where(gap("rx", "ry", "cx", "cy") <= eps * (1 + 1e-9)).select("cell", "rcell", "rx", "ry")
+    slow = left.join(right, ["cell", "rcell"]).where(apart <= eps).select("cell", "rcell").distinct()
+    found = quick.unionByName(slow).select(F.col("cell").alias("a"), F.col("rcell").alias("b"))
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def dbscan(pts: DataFrame, eps: float, least: int) -> DataFrame:
-    """Clusters of points (id, x, y): label 0, 1, ... by the least core id, -1 for noise; border points join the first cluster."""
-    pairs = settled(within_distance(pts.select("id", "x", "y"), as_right(pts), eps).select("id", "rid"))
-    core = pairs.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
-    inner = pairs.join(core, "id", "left_semi").join(core.select(F.col("id").alias("rid")), "rid", "left_semi").where("id != rid").select(F.col("id").alias("a"), F.col("rid").alias("b"))
-    cores = connected(inner, core)
-    number = cores.select("label").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))  # one row per cluster
-    named = cores.join(number, "label").select(F.col("id").alias("rid"), "cluster")
-    best = pairs.join(named, "rid").groupBy("id").agg(F.min("cluster").alias("cluster"))
-    own = named.select(F.col("rid").alias("id"), F.col("cluster").alias("own"))
-    return pts.select("id").join(best, "id", "left").join(own, "id", "left").select("id", F.coalesce("own", "cluster", F.lit(-1)).alias("cluster"))
+    """Clusters of points (id, x, y): label 0, 1, ... by the least core id, -1 for noise; border points join the first cluster.
+
+    Cells have a diagonal of eps, so that all points of a cell are neighbours: where a cell holds ``least`` points, all
+    are core points without a pair looked at, and cells, not points, are the nodes that are connected.
+    """
+    side = eps / 2**0.5
+    at = pts.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    at = settled(at.join(at.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]))
+    d = F.sqrt(F.pow(F.col("x") - F.col("rx"), F.lit(2)) + F.pow(F.col("y") - F.col("ry"), F.lit(2)))
+    other = at.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    thin = _beside(at.where(F.col("n") < least))
+    sparse = thin.join(other, ["nx", "ny"]).where(d <= eps).groupBy("id").agg(F.count("*").alias("near")).where(F.col("near") >= least).select("id")
+    core = at.where(F.col("n") >= least).unionByName(at.where(F.col("n") < least).join(sparse, "id", "left_semi").select(*at.columns)).drop("n")
+    cells = core.groupBy("cx", "cy").agg(F.min("id").alias("cell"))
+    core = settled(core.join(cells, ["cx", "cy"]))
+    labels = settled(connected(linked_cells(core, eps), cells.select(F.col("cell").alias("id"))))
+    heads = labels.select("label").distinct().withColumn("low", -F.col("label").cast("double"))
+    number = place_within(heads, "low", "label").select("label", (F.col("rn") - 1).cast("int").alias("cluster"))
+    named = settled(core.join(labels.join(number, "label").select(F.col("id").alias("cell"), "cluster"), "cell").select("id", "x", "y", "cx", "cy", "cluster"))
+    to = named.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("x").alias("rx"), F.col("y").alias("ry"), "cluster")
+    border = thin.join(named.select("id"), "id", "left_anti").join(to, ["nx", "ny"]).where(d <= eps).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    both = named.select("id", "cluster").unionByName(border)
+    return pts.select("id").join(both, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 _DBSCAN = f"""WITH RECURSIVE {POINTS_SQL}, pr AS (SELECT a.id, b.id AS rid FROM points a JOIN points b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 20), core AS (SELECT id FROM pr GROUP BY id HAVING count(*) >= 4),
@@ -183,7 +235,7 @@ def hotspot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
     c = pts.join(dbscan(pts, 20.0, 4), "id").where("cluster >= 0")
     h = c.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("label").alias("total"), F.round(F.avg("label"), 6).alias("mean"), F.countDistinct("label").alias("kinds"), F.round(F.avg("x"), 4).alias("cx"), F.round(F.avg("y"), 4).alias("cy"))
-    return h.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "cluster")))  # one row per cluster
+    return place_within(h.withColumn("_t", F.col("total").cast("double")), "_t", "cluster", out="place").drop("_t", "n_all")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:

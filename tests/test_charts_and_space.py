@@ -65,6 +65,31 @@ def test_a_border_point_joins_the_first_cluster(spark):
     assert out[8] == 0
 
 
+def test_clusters_equal_brute_force_on_dense_and_thin_places(spark):
+    import random
+
+    for seed, least in ((1, 4), (2, 7), (3, 2)):
+        rng = random.Random(seed)
+        rows = [(rng.gauss(cx, 6), rng.gauss(cy, 6)) for cx, cy in ((0, 0), (40, 0), (22, 30)) for _ in range(60)] + [(rng.uniform(-60, 90), rng.uniform(-50, 80)) for _ in range(60)] + [(5.0, 5.0)] * 9 + [(15.0, 5.0)]
+        eps, n = 5.0, len(rows)
+        near = [[j for j in range(n) if ((rows[i][0] - rows[j][0]) ** 2 + (rows[i][1] - rows[j][1]) ** 2) ** 0.5 <= eps] for i in range(n)]
+        core = [len(x) >= least for x in near]
+        label, wanted = {}, {}
+        for i in range(n):
+            if core[i] and i not in label:
+                label[i], stack = i, [i]
+                while stack:
+                    for j in near[stack.pop()]:
+                        if core[j] and j not in label:
+                            label[j] = i
+                            stack.append(j)
+        number = {k: c for c, k in enumerate(sorted(set(label.values())))}
+        for i in range(n):
+            wanted[i] = number[label[i]] if core[i] else min((number[label[j]] for j in near[i] if core[j]), default=-1)
+        got = {r.id: r.cluster for r in S.dbscan(points(spark, rows), eps, least).collect()}
+        assert got == wanted
+
+
 def test_distance_join_finds_all_pairs_and_skips_nulls(spark):
     rows = [(0, 0), (3, 4), (-3, -4), (100, 100)]
     pts = points(spark, rows).unionByName(spark.createDataFrame([(9, None, None)], "id bigint, x double, y double"))
