@@ -5,6 +5,7 @@ The queries first land files that Spark derives from the tables in the folder th
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,56 @@ def preamble_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where("kind = 'ECONOMY'").select("part", "brand", (F.col("large") == "Yes").cast("int").alias("large"))
 
 
+def first_readable(spark: SparkSession, paths: list[str], columns: str) -> DataFrame:
+    """The first of some text sources that is there and has data lines; the others stand by (SRC10).
+
+    A path that does not exist counts as absent; any other failure is one.
+    """
+    for path in paths:
+        try:
+            data = spark.read.text(path).where(F.col("value").rlike(r"^\d+,"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        if not data.isEmpty():
+            return data.select(F.from_csv("value", columns).alias("r")).select("r.*")
+    raise FileNotFoundError(f"none of {paths} has data lines")
+
+
+@query("src10_fallback_source", "SELECT p_brand AS brand, count(*) AS parts, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1")
+def fallback_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that is missing, one without data lines, and the one that serves (SRC10)."""
+    paths = [landing(spark) for _ in range(3)]
+    part = table(spark, sf_dir, "part")
+    part.limit(3).select(F.concat(F.lit("service is down "), F.col("p_partkey").cast("string")).alias("value")).write.text(paths[1])
+    part.select(F.concat_ws(",", F.col("p_partkey").cast("string"), "p_brand", F.col("p_size").cast("string")).alias("value")).write.text(paths[2])
+    rows = first_readable(spark, paths, "part bigint, brand string, size int")
+    return rows.groupBy("brand").agg(F.count("*").alias("parts"), F.sum("size").alias("size"))
+
+
+def write_through(keys: DataFrame, cache: str, fetch) -> DataFrame:
+    """Rows of all keys from a cache in Parquet; those that it lacks are fetched and appended to it first (SRC12).
+
+    ``keys``: a column key, unique.  ``fetch``: from keys to rows (key, ...).  The cache is read again after
+    the append, so a second call fetches nothing.
+    """
+    spark = keys.sparkSession
+    misses = keys.join(spark.read.parquet(cache).select("key"), "key", "left_anti")
+    fetch(misses).write.mode("append").parquet(cache)
+    return spark.read.parquet(cache).join(keys, "key", "left_semi")
+
+
+@query("src12_write_through", "SELECT o_custkey AS key, min(c_nationkey) AS tract, min(CASE WHEN c_custkey % 3 = 0 THEN 'cache' ELSE 'service' END) AS origin FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
+def cached_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all customers with orders: a third comes from the cache, the rest is fetched and cached (SRC12)."""
+    cache = landing(spark)
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("tract"))
+    known.where("key % 3 = 0").withColumn("origin", F.lit("cache")).write.parquet(cache)
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    return write_through(keys, cache, lambda misses: known.join(misses, "key").withColumn("origin", F.lit("service")))
+
+
 @query("src12_cache_misses", "SELECT DISTINCT o_custkey AS store FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that a cache has not yet: distinct, then an anti join (SRC11, SRC12)."""
@@ -96,17 +147,17 @@ def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(F.col("d.geo").alias("user_id"), F.explode("d.table.estimate").alias("code", "estimate"))
 
 
-@query("src16_optional_tables")
+@query("src16_optional_tables", "SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS rows, 6 AS columns UNION ALL SELECT 'events', (SELECT count(*) FROM events), 6 UNION ALL SELECT 'documents', (SELECT count(*) FROM documents), 5 UNION ALL SELECT 'polygons', NULL, 0")
 def optional_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which inputs are there, with their columns; those that lack are no error (SRC16, SRC17)."""
-    from pyspark.errors import AnalysisException
-
     found = []
     for name in ("orders", "events", "documents", "polygons"):
         try:
             df = table(spark, sf_dir, name)
             found.append(df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns")))
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             found.append(spark.range(1).select(F.lit(name).alias("name"), F.lit(None).cast("bigint").alias("rows"), F.lit(0).alias("columns")))
     out = found[0]
     for f in found[1:]:

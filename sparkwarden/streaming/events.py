@@ -1,16 +1,12 @@
-"""The event log as a stream: windows with watermarks, sessions, and histories kept in state.
+"""The event log as a stream: windows with watermarks, sessions, and histories kept in the state of aggregations.
 
 Each query reads the events table as a file stream, runs all that is there (``availableNow``), and returns the sink's table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkwarden.plans.registry import query
 from sparkwarden.sources.shared import shared_path
@@ -67,25 +63,15 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stream(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]))
 
 
-def _history(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, v = state.get if state.exists else (0, 0)
-    for rows in batches:
-        n += len(rows)
-        v += int((rows["event_type"] == "error").sum())
-    state.update((n, v))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "v": [v]})
-
-
 @query("st5_stateful_history", "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS v FROM events GROUP BY 1")
 def stateful_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running counts per user in state; the largest of what was emitted is the last."""
-    own = stream(spark, sf_dir).select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(_history, "user_id long, n long, v long", "n long, v long", "append", GroupStateTimeout.NoTimeout)
-    return drained(own).groupBy("user_id").agg(F.max("n").alias("n"), F.max("v").alias("v"))
+    """Running counts per user, kept by the stream's own aggregation state."""
+    g = stream(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("v"))
+    return drained(g, "complete")
 
 
 @query("st6_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that end after four quiet hours (batch plan of the same session window)."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    g = e.groupBy("user_id", F.session_window("ts", "4 hours")).agg(F.count("*").alias("n"))
-    return g.select("user_id", F.col("session_window.start").alias("session_start"), "n")
+    """Sessions that end after four quiet hours, late data up to a day."""
+    g = stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy("user_id", F.session_window("ts", "4 hours")).agg(F.count("*").alias("n"))
+    return drained(g.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), "n"), "complete")
