@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.rng import beta_draw_sql, uniform, uniform_sql, with_beta_draw
-from sparkwarden.functions.stats import place_within
+from sparkwarden.functions.stats import lowest_within, place_within
 from sparkwarden.plans.registry import query
 from sparkwarden.sources.shared import settled
 from sparkwarden.sources.tables import LAMBDA, STORES, stores, table
@@ -140,6 +140,8 @@ def iid_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.count("*").alias("n_all"), F.lit(n).cast("bigint").alias("budget"), F.round(0.5 * F.sum("p"), 4).alias("target"))
 
 
+#: Rows (an id each) up to which the stores that a simulation targets are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Simulations, and the share of all stores that one checks.
 _SIMS, _SHARE = 1000, 15
 _DRAWS = f"(SELECT greatest(round_even(n / {_SHARE}.0::DOUBLE, 0), 1) FROM n)"
@@ -165,16 +167,22 @@ def simulate_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     quota = s.groupBy("tract").agg((draws * F.count("*") / F.lit(float(n))).alias("exact")).withColumn("base", F.floor("exact")).withColumn("place", F.row_number().over(w))
     left = quota.agg((draws - F.sum("base")).alias("left"))
     quota = quota.join(F.broadcast(left)).select("tract", (F.col("base") + (F.col("place") <= F.col("left")).cast("int")).alias("quota"))
-    sims = settled(replicates(s, _SIMS).select("sim", "store", "tract", (uniform("hit", "sim", "store") < F.col("p")).cast("int").alias("hit"), (-uniform("srs", "sim", "store")).alias("low")))
-    srs = place_within(sims, "low", "store", "sim", ends=(-1.0, 0.0)).where(F.col("rn") <= draws)
-    strata = place_within(sims, "low", "store", "sim", "tract", ends=(-1.0, 0.0)).join(quota, "tract").where("rn <= quota")
+    sims = settled(replicates(s, _SIMS).select("sim", "store", "tract", (uniform("hit", "sim", "store") < F.col("p")).cast("int").alias("hit"), uniform("srs", "sim", "store").alias("u")))
     best = place_within(s, "p", "store").where(F.col("rn") <= draws).select("store")  # the same in all simulations
-    targeted = sims.join(best, "store", "left_semi")
+    best = F.broadcast(best) if draws <= BROADCAST_ROWS else best
+    drawn = {
+        "srs": lowest_within(sims.withColumn("k", F.lit(draws)), "u", "store", "k", "sim"),
+        "stratified": lowest_within(sims.join(F.broadcast(quota), "tract"), "u", "store", "quota", "sim", "tract"),  # a row per tract
+        "targeted": sims.join(best, "store", "left_semi"),
+        "census": sims,
+    }
     picks = spark.range(_SIMS).select(F.col("id").cast("int").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j"))
-    iid = picks.select("sim", F.floor(uniform("iid", "sim", "j") * n).cast("bigint").alias("store")).join(sims, ["sim", "store"])
-    named = lambda df, policy: df.select(F.lit(policy).alias("policy"), "sim", "store", "hit")
-    events = named(srs, "srs").union(named(targeted, "targeted")).union(named(strata, "stratified")).union(named(sims, "census")).union(named(iid, "iid"))
-    per = events.groupBy("policy", "sim").agg(F.sum("hit").alias("events"), F.countDistinct(F.when(F.col("hit") == 1, F.col("store"))).alias("found"), F.countDistinct("store").alias("seen"))
+    # a store is checked once, but for draws with replacement
+    again = picks.select("sim", F.floor(uniform("iid", "sim", "j") * n).cast("bigint").alias("store")).groupBy("sim", "store").agg(F.count("*").alias("k"))
+    again = again.join(s.select("store", "p"), "store").withColumn("hit", (uniform("hit", "sim", "store") < F.col("p")).cast("int"))
+    per = again.groupBy("sim").agg(F.sum(F.col("k") * F.col("hit")).alias("events"), F.sum("hit").alias("found"), F.count("*").alias("seen")).withColumn("policy", F.lit("iid"))
+    for policy, rows in drawn.items():
+        per = per.unionByName(rows.groupBy("sim").agg(F.sum("hit").alias("events"), F.sum("hit").alias("found"), F.count("*").alias("seen")).withColumn("policy", F.lit(policy)))
     return per.groupBy("policy").agg(F.round(F.avg("events"), 5).alias("events"), F.round(F.avg("found"), 5).alias("found"), F.round(F.avg("seen") / n, 6).alias("coverage"), F.round(F.stddev_pop("found"), 5).alias("sd"))
 
 

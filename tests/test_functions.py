@@ -88,6 +88,10 @@ def test_places_and_chunks_equal_windows_over_whole_groups(spark, monkeypatch):
     plain = df.select("id", F.ntile(9).over(w.orderBy(F.desc("s"), "id")).alias("c"))
     assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, plain.collect()))
     assert stats.place_within(df.limit(0), "s", "id", "g").count() == 0
+    low = df.where("s IS NOT NULL").withColumn("u", (F.col("s") + 5) / 24).withColumn("k", F.coalesce(F.col("g") * 4, F.lit(3)))
+    first = low.withColumn("rn", F.row_number().over(w.orderBy("u", "id"))).where("rn <= k").drop("rn")
+    for most in (10, 0):
+        assert sorted(map(str, stats.lowest_within(low, "u", "id", "k", "g", buckets=5, most=most).collect())) == sorted(map(str, first.collect()))
 
 
 def test_auc(spark):
