@@ -181,7 +181,7 @@ def all_licence_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("nb13_break_even_sigma")
-def break_even_sigma(spark: SparkSession, sf_dir: str, sims: int = 20) -> DataFrame:
+def break_even_sigma(spark: SparkSession, sf_dir: str, sims: int = 100) -> DataFrame:
     """A second pass over a tenth of the stores by the model's risk and by the posterior, as hidden noise grows, and where they break even (NB13, SM9)."""
     s = settled(stores(spark, sf_dir).select("store", "p", F.col("h").alias("w")))
     parts = None

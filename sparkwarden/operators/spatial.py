@@ -245,11 +245,13 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """
     edges = settled(edges)
     best = settled(sources.select(F.col("id").alias("src"), "id", F.lit(0.0).alias("minutes")))
-    front = best
+    front, old = best, []
     while not front.isEmpty():
         tried = front.join(edges, F.col("id") == F.col("a")).groupBy("src", F.col("b").alias("id")).agg(F.min(F.col("minutes") + F.col("w")).alias("new"))
         front = settled(tried.join(best, ["src", "id"], "left").where(F.col("minutes").isNull() | (F.col("new") < F.col("minutes") - 1e-9)).select("src", "id", F.col("new").alias("minutes")))
-        best = settled(best.unionByName(front).groupBy("src", "id").agg(F.min("minutes").alias("minutes")))
+        new = settled(best.unionByName(front).groupBy("src", "id").agg(F.min("minutes").alias("minutes")))
+        forget(*old)
+        old, best = [best], new
     return best
 
 
