@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.rng import uniform, uniform_sql
 from sparkwarden.functions.stats import place_within
-from sparkwarden.plans.registry import query
+from sparkwarden.plans.registry import ORACLES, query
 from sparkwarden.sources.shared import forget, settled
 from sparkwarden.sources.tables import POINTS_SQL, STORES, points, stores, table
 
@@ -340,11 +340,12 @@ def small_budget_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rt10_horizon",
-    f"WITH {POINTS_SQL}, {_INSTANCE}, h0 AS (SELECT * FROM (SELECT region, id, 0 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) DESC, id) AS place FROM inst) WHERE place <= 4), h1 AS (SELECT * FROM (SELECT region, id, 1 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '1', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '1', 'id')}) DESC, id) AS place FROM (SELECT * FROM inst WHERE id NOT IN (SELECT id FROM h0))) WHERE place <= 4), h2 AS (SELECT * FROM (SELECT region, id, 2 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '2', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '2', 'id')}) DESC, id) AS place FROM (SELECT * FROM inst WHERE id NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1))) WHERE place <= 4) SELECT region, id, cycle, round(score, 6) AS score, place, (place - 1) % 2 + 1 AS team FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)",
+    f"WITH {POINTS_SQL}, {_INSTANCE}, reach AS (SELECT * FROM inst WHERE 2 * {_LEG.format('x', 'y', 'cx', 'cy')} + {SERVICE} <= {DAY}), h0 AS (SELECT * FROM (SELECT region, id, 0 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) DESC, id) AS place FROM reach) WHERE place <= 4), h1 AS (SELECT * FROM (SELECT region, id, 1 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '1', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '1', 'id')}) DESC, id) AS place FROM (SELECT * FROM reach WHERE id NOT IN (SELECT id FROM h0))) WHERE place <= 4), h2 AS (SELECT * FROM (SELECT region, id, 2 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '2', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '2', 'id')}) DESC, id) AS place FROM (SELECT * FROM reach WHERE id NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1))) WHERE place <= 4) SELECT region, id, cycle, round(score, 6) AS score, place, (place - 1) % 2 + 1 AS team FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)",
 )
 def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three monthly cycles per region, four stops each, no stop twice: the visited go by an anti join (RT10, RT11)."""
-    left, done = instance(spark, sf_dir), None
+    """Three monthly cycles per region, four stops each, no stop twice: the visited go by an anti join, and so do stops that no day holds (RT10)."""
+    rows = instance(spark, sf_dir)
+    left, done = rows.where(2 * leg(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")) + SERVICE <= DAY), None
     for cycle in range(3):
         w = Window.partitionBy("region").orderBy(F.desc("score"), "id")
         score = F.col("prize") * (0.8 + 0.4 * uniform("cycle", F.lit(cycle), "id"))
@@ -354,6 +355,27 @@ def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done
 
 
+_TEAM = "PARTITION BY region, cycle, team ORDER BY stop"
+
+
+@query(
+    "rt11_route_sheet",
+    f"""WITH {POINTS_SQL}, {_INSTANCE}, hz AS ({ORACLES['rt10_horizon']}), o AS (SELECT h.region, cycle, team, h.id, score, x, y, cx, cy, row_number() OVER (PARTITION BY h.region, cycle, team ORDER BY atan2(y - cy, x - cx), h.id) - 1 AS stop FROM hz h JOIN inst i ON i.region = h.region AND i.id = h.id),
+ l AS (SELECT *, {_LEG.format(f'coalesce(lag(x) OVER ({_TEAM}), cx)', f'coalesce(lag(y) OVER ({_TEAM}), cy)', 'x', 'y')} AS leg, CASE WHEN lead(x) OVER ({_TEAM}) IS NULL THEN {_LEG.format('x', 'y', 'cx', 'cy')} ELSE 0 END AS back FROM o),
+ t AS (SELECT *, sum(leg + {SERVICE}) OVER ({_TEAM} ROWS UNBOUNDED PRECEDING) AS done_at, sum(leg + back + {SERVICE}) OVER (PARTITION BY region, cycle, team) AS total FROM l)
+ SELECT region, cycle, team, stop, id, score, round(leg, 5) AS leg, round(done_at, 5) AS done_at, round(total, 5) AS total, total <= {DAY} AS within_day FROM t""",
+)
+def route_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The horizon's stops as teams drive them: order, legs, when each is done, and whether the day holds (RT10, RT11)."""
+    rows = horizon(spark, sf_dir).join(instance(spark, sf_dir).drop("prize"), ["region", "id"])
+    w = Window.partitionBy("region", "cycle", "team")  # four stops at most
+    stop = F.row_number().over(w.orderBy(F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")), "id")) - 1
+    legs = with_legs(rows.withColumn("stop", stop), "region", "cycle", "team")
+    done = F.sum(F.col("leg") + SERVICE).over(w.orderBy("stop").rowsBetween(Window.unboundedPreceding, 0))
+    timed = legs.withColumn("done_at", done).withColumn("total", F.sum(F.col("leg") + F.col("back") + SERVICE).over(w))
+    return timed.select("region", "cycle", "team", "stop", "id", "score", F.round("leg", 5).alias("leg"), F.round("done_at", 5).alias("done_at"), F.round("total", 5).alias("total"), (F.col("total") <= DAY).alias("within_day"))
+
+
 def observed_holidays(year: int) -> list[str]:
     """Federal holidays of a year by rule: fixed days move from Saturday to Friday and from Sunday to Monday."""
     import datetime as d
