@@ -1,16 +1,18 @@
 """Operator 7: quality by compression.
 
 Two zstandard dictionaries are built, one of texts labelled good and one of texts labelled bad: whole texts in hash order,
-equally many bytes of each label.  A text is compressed with each; the difference of the two sizes, normalised by the
-text's own size, says which it resembles.  A logistic curve over that difference alone, fitted on labelled texts that are
-in neither dictionary, turns it into the probability of label 1.  ``SMOOTHING`` bytes draw very short texts to the middle.
+equally many bytes of each label.  A text is compressed with each, in pieces of ``PIECE`` bytes, as within a long piece a
+compressor learns more from the text itself than from a dictionary; the difference of the two sizes over all pieces, normalised
+by the text's own size, says which it resembles.  A logistic curve over that difference alone, fitted on labelled
+texts that are in neither dictionary, turns it into the probability of label 1.  ``SMOOTHING`` bytes of the labelled texts'
+mean difference are added to each text, so that very short ones get a score near the share of label 1.
 
 Both fits use bounded samples, chosen by hash: at most about ``DICTIONARY_ROWS`` texts and ``DICTIONARY_SAMPLE`` bytes per
 label, of which whole texts go into a dictionary as long as they fit into ``DICTIONARY_BYTES``, and ``CURVE_ROWS`` texts
 (64 MB at most) for the curve.
 
-Cases: scoring compresses every text as a whole, whatever its length.  Null and empty texts have a difference of 0 and
-the score that the curve has there.  If a label has no texts to learn from, the score is the share of label 1 (1/2 without
+Cases: scoring compresses all of every text, whatever its length.  Null and empty texts have the mean difference and the
+score that the curve has there.  If a label has no texts to learn from, the score is the share of label 1 (1/2 without
 labels).  Equal rows (key, text and label) are learnt once and scored each; null labels are passed over, null texts are not
 learnt from.  A score of exactly 0.7 counts as good.  An empty table gives an empty one.  Other columns, of whatever
 names, are not looked at.
@@ -35,14 +37,16 @@ DICTIONARY_SAMPLE = 4 << 20
 CURVE_ROWS = 6000
 LEVEL = 9
 SMOOTHING = 64
+PIECE = 1024
 
 
 @dataclass
 class Model:
-    """The dictionaries (empty where there was nothing to learn from), and the curve's slope and offset."""
+    """The dictionaries (empty where there was nothing to learn from), the mean difference per byte, and the curve's slope and offset."""
 
     good: bytes
     bad: bytes
+    mean: float
     slope: float
     offset: float
 
@@ -63,32 +67,32 @@ def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
     return _whole_texts(good, most), _whole_texts(bad, most)
 
 
-def differences(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
-    """Per text: size with the bad dictionary less size with the good one, over its own size."""
-    out = np.zeros(len(texts))
-    if not good or not bad:
-        return out
+def gains(texts: list[str], good: bytes, bad: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: size with the bad dictionary less size with the good one, and its own size."""
+    gain, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     tools = []
-    for d in (good, bad):
+    for d in (good, bad) if good and bad else ():
         packed = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packed.precompute_compress(level=LEVEL)
         tools.append(zstandard.ZstdCompressor(dict_data=packed, write_content_size=False, write_checksum=False, write_dict_id=False))
     for k, t in enumerate(texts):
         raw = t.encode("utf-8", "replace")
-        if raw:
-            out[k] = (len(tools[1].compress(raw)) - len(tools[0].compress(raw))) / (len(raw) + SMOOTHING)
-    return out
+        size[k] = len(raw)
+        for at in range(0, len(raw) if tools else 0, PIECE):
+            piece = raw[at : at + PIECE]
+            gain[k] += len(tools[1].compress(piece)) - len(tools[0].compress(piece))
+    return gain, size
 
 
-def _with_differences(rows: DataFrame, columns: tuple[str, ...], good: bytes, bad: bytes) -> DataFrame:
-    """``columns`` and the difference of each row; rows ends in a column ``text``."""
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), "difference double"])
+def _with_gains(rows: DataFrame, columns: tuple[str, ...], good: bytes, bad: bytes) -> DataFrame:
+    """``columns``, _gain and _size of each row; rows ends in a column of texts."""
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), "_gain bigint, _size bigint"])
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = differences(text_column(batch.column(n)).to_pylist(), good, bad)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found)], names=[*columns, "difference"])
+            found = gains(text_column(batch.column(n)).to_pylist(), good, bad)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, found)], names=[*columns, "_gain", "_size"])
 
     return map_texts(rows, run, schema)
 
@@ -115,15 +119,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rows = labelled_sample(docs, known.where(half & (F.col("label") == y)), DICTIONARY_ROWS, DICTIONARY_SAMPLE)
         packs.append([r["text"].encode("utf-8", "replace") for r in rows.where("text != ''").select("text", F.xxhash64("key", "text").alias("h")).orderBy("h", "text").collect()])
     good, bad = dictionaries(*packs)
-    rows = _with_differences(labelled_sample(docs, known.where(~half), CURVE_ROWS).select("label", "text"), ("label",), good, bad).collect()
-    rows.sort(key=lambda r: (r["difference"], r["label"]))  # so that sums don't depend on partitions
-    x, y = np.array([r["difference"] for r in rows]), np.array([r["label"] for r in rows], float)
-    return Model(good, bad, *(curve(x, y) if len(x) else (0.0, 0.0)))
+    rows = _with_gains(labelled_sample(docs, known.where(~half), CURVE_ROWS).select("label", "text"), ("label",), good, bad).collect()
+    rows.sort(key=lambda r: (r["_gain"], r["_size"], r["label"]))  # so that sums don't depend on partitions
+    gain, size, y = (np.array([r[c] for r in rows], float) for c in ("_gain", "_size", "label"))
+    mean = float(np.mean(gain / np.maximum(size, 1))) if len(rows) else 0.0
+    return Model(good, bad, mean, *(curve((gain + SMOOTHING * mean) / (size + SMOOTHING), y) if len(rows) else (0.0, 0.0)))
 
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...], text: str = "text") -> DataFrame:
     """``columns`` of each row, its difference and its score from 0 to 1."""
-    rows = _with_differences(docs.select(*columns, F.col(text).alias("_text")), columns, model.good, model.bad)
+    rows = _with_gains(docs.select(*columns, F.col(text).alias("_text")), columns, model.good, model.bad)
+    rows = rows.withColumn("difference", (F.col("_gain") + SMOOTHING * model.mean) / (F.col("_size") + SMOOTHING)).drop("_gain", "_size")
     total = F.lit(model.slope) * F.col("difference") + model.offset
     return rows.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0)))))
 

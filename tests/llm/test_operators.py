@@ -519,8 +519,8 @@ def test_quality_separates_and_handles_odd_texts(spark, docs, none):
     assert {r.score for r in quality.score(docs, empty, ("doc_id",)).collect()} == {0.5}
     assert {r.score for r in quality.score(none, empty, ("doc_id",)).collect()} == set()
     null = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
-    at_zero = 1 / (1 + np.exp(-model.offset))
-    assert [r.score for r in quality.score(null, model, ("doc_id",)).collect()] == pytest.approx([at_zero] * 2)
+    at_mean = 1 / (1 + np.exp(-(model.slope * model.mean + model.offset)))
+    assert [r.score for r in quality.score(null, model, ("doc_id",)).collect()] == pytest.approx([at_mean] * 2)
 
 
 def test_quality_equals_a_plain_restatement(spark):
@@ -540,11 +540,23 @@ def test_quality_equals_a_plain_restatement(spark):
     assert 0.8 < len(model.good) / len(model.bad) < 1.25
     for r in quality.score(df, model, ("key", "text")).collect():
         raw = (r.text or "").encode()
-        want = (len(tables[1].compress(raw)) - len(tables[0].compress(raw))) / (len(raw) + quality.SMOOTHING) if raw else 0.0
+        pieces = [raw[k : k + quality.PIECE] for k in range(0, len(raw), quality.PIECE)]
+        gain = sum(len(tables[1].compress(x)) - len(tables[0].compress(x)) for x in pieces)
+        want = (gain + quality.SMOOTHING * model.mean) / (len(raw) + quality.SMOOTHING)
         assert r.difference == pytest.approx(want, abs=0.02)  # a digested dictionary may match a little otherwise
         assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * r.difference + model.offset))))
 
 
+def test_quality_of_a_long_text_is_that_of_its_parts(spark):
+    rng = random.Random(3)
+    rows = [(i, words([20, 80, 300, 900][i % 4], i) if i % 3 else "".join(rng.choice("#$%&*@!~") for _ in range([60, 300, 1000, 4000][i % 4])), int(i % 3 > 0)) for i in range(300)]
+    model = quality.fit(*parts(spark.createDataFrame(rows, "key int, text string, label int")))
+    long = spark.createDataFrame([(1, words(200, 5000)), (2, words(40_000, 6000)), (3, "#$%&*@!~@@$&" * 9000)], "key int, text string")
+    got = {r.key: (r.score, r.difference) for r in quality.score(long, model, ("key",)).collect()}
+    assert got[1][0] > 0.7 and got[2][0] > 0.7 and got[3][0] < 0.5
+    assert got[2][1] == pytest.approx(got[1][1], rel=0.5)
+
+
 def test_quality_curve_is_of_least_loss():
     rng = np.random.default_rng(1)
     x = rng.normal(size=500)
