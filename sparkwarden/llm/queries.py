@@ -16,6 +16,7 @@ _MODULES = {
     "op8_exact_dedup": "exact_dedup",
     "op9_media_columns": "media",
     "op10_source_mix": "mixing",
+    "op13_quality_rules": "quality_rules",
 }
 
 
@@ -26,6 +27,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    from sparkwarden.llm import exact_dedup
+    from sparkwarden.llm import exact_dedup, quality_rules
 
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op13_quality_rules": quality_rules.oracle()}
