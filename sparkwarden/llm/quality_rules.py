@@ -180,16 +180,16 @@ def oracle(rules: Sequence[Rule] = RULES) -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT row, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS solid,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 p AS (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM w),
 g AS (SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS n FROM p),
 r AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, i + unnest([0, 1, 2]) AS place FROM g WHERE n > 1) GROUP BY row),
 m AS (SELECT doc_id, len(words) AS n_words, length(solid) AS word_chars, length(regexp_replace(solid, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines,
-  length(regexp_replace(solid, '[^!?]', '', 'g')) AS n_exclamations, len(list_filter(words, x -> lower(x) IN ({stop}))) AS n_stop_words,
+  length(regexp_replace(solid, '[^!?]', '', 'g')) AS n_exclamations, len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop_words,
   length(translate(solid, '{marks}', '')) AS n_letters,
-  len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines,
-  len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
+  len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines,
+  len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
   FROM w LEFT JOIN r USING (row)),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {", ".join(held)}) AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM j

@@ -16,6 +16,7 @@ _MODULES = {
     "op8_exact_dedup": "exact_dedup",
     "op9_media_columns": "media",
     "op10_source_mix": "mixing",
+    "op11_phrase_collocations": "collocation",
     "op13_quality_rules": "quality_rules",
 }
 
@@ -27,6 +28,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    from sparkwarden.llm import exact_dedup, quality_rules
+    from sparkwarden.llm import collocation, exact_dedup, quality_rules
 
-    return {"op8_exact_dedup": exact_dedup.ORACLE, "op13_quality_rules": quality_rules.oracle()}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op11_phrase_collocations": collocation.oracle(), "op13_quality_rules": quality_rules.oracle()}
