@@ -17,6 +17,7 @@ _MODULES = {
     "op9_media_columns": "media",
     "op10_source_mix": "mixing",
     "op11_phrase_collocations": "collocation",
+    "op12_token_alignment": "alignment",
     "op13_quality_rules": "quality_rules",
 }
 
