@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.sources.shared import forget, shared_path  # noqa: F401
@@ -22,6 +22,8 @@ BLOCK_BYTES = 1 << 18
 BATCH_ROWS = 1000
 #: Bytes of text in a sample that a classifier is fitted on, about.
 SAMPLE_BYTES = 64 << 20
+#: Stretches of a long text that a classifier learns from, and classes whose sums are broadcast at most.
+STRETCHES, FEW = 16, 10_000
 #: A key is heavy if more than one row in so many has it.
 HEAVY = 2000
 
@@ -53,19 +55,58 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, rows: int, text: str = "text", most: int = SAMPLE_BYTES) -> DataFrame:
-    """At most about ``rows`` rows and ``most`` bytes of text, chosen by a hash of all columns; the shares follow from full sums.
+def excerpt(text: str, most: int):
+    """The text, or where it has more than ``most`` bytes ``STRETCHES`` stretches spread evenly over it, of about ``most`` bytes together."""
+    step = F.floor(F.length(text) / STRETCHES).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring(F.col(text), i * step + 1, F.lit(most // STRETCHES)))
+    return F.when(F.octet_length(text) > most, F.array_join(pieces, " ")).otherwise(F.col(text))
 
-    Used only to fit classifiers, where a documented bound is wanted.  The choice depends on the rows alone, so reruns
-    and other partitionings choose the same.  Equal rows count once, so that a row repeated without end takes one place;
-    a text of more than a 64th of ``most`` is not learnt from.
+
+def chosen_texts(light: DataFrame, rows: int, most: int = SAMPLE_BYTES, by: tuple[str, ...] = (), even: bool = True) -> DataFrame:
+    """(by..., hash) of at most ``rows`` different texts and ``most`` bytes of text of each class, from light (by..., hash, size).
+
+    Equal texts are one, so that no repetition crowds out others; those with the least hashes are taken, so that reruns and
+    other partitionings choose the same, and at least one of each class is.  A text counts with a 64th of ``most`` at most:
+    of longer ones ``fetched`` takes an excerpt.  Unless ``even``, rows and bytes are those of all classes together, and each class has its
+    share of them by its different texts, or a 16th.
     """
-    size = F.coalesce(F.octet_length(text), F.lit(0))
-    short = df.where(size <= most // 64)
-    known = short.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
-    share = min(1.0, rows / max(known["n"], 1), most / max(known["b"] or 0, 1))
-    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
-    return short.where(bucket < int(share * (1 << 20))).dropDuplicates()
+    own = cut(light.groupBy(*by, "hash").agg(F.max(F.least("size", F.lit(most // 64))).alias("size")).withColumn("order", F.xxhash64("hash")))
+    wanted = [F.count("*").alias("n"), F.greatest(F.sum("size"), F.lit(1)).alias("b"), F.min("order").alias("first")]
+    if by:
+        sums = own.groupBy(*by).agg(*wanted)
+        part = F.lit(1.0) if even else F.greatest(F.col("n") / max(1, own.count()), F.lit(1 / 16))
+        few = sums.limit(FEW + 1).count() <= FEW
+        sums = sums.withColumn("part", part)
+        joined = own.join(F.broadcast(sums) if few else sums, list(by))
+    else:
+        known = own.agg(*wanted).first()
+        joined = own.withColumns({c: F.lit(known[c]).cast("long") for c in ("n", "b", "first")} | {"part": F.lit(1.0)})
+    share = F.least(F.lit(1.0), rows * F.col("part") / F.col("n"), most * F.col("part") / F.col("b"))
+    # about four times as many as wanted are ordered
+    some = joined.where((F.pmod("order", F.lit(1 << 30)) < share * float(1 << 32)) | (F.col("order") == F.col("first")))
+    window = Window.partitionBy(*by).orderBy(F.pmod("order", F.lit(1 << 30)), "order", "hash")
+    ranked = some.withColumns({"rank": F.row_number().over(window), "bytes": F.sum("size").over(window.rowsBetween(Window.unboundedPreceding, 0))})
+    kept = (F.col("rank") == 1) | ((F.col("rank") <= rows * F.col("part")) & (F.col("bytes") <= most * F.col("part")))
+    out = cut(ranked.where(kept).select(*by, "hash"))
+    forget(own)
+    return out
+
+
+def fetched(docs: DataFrame, chosen: DataFrame, most: int = SAMPLE_BYTES, by: tuple[str, ...] = ()) -> DataFrame:
+    """(text, by..., hash): each text of docs (text, and those of ``by`` that it has) that was chosen, once; in one pass over docs."""
+    on = [c for c in by if c in docs.columns]
+    found = docs.select("text", *on, F.xxhash64("text").alias("hash")).join(F.broadcast(chosen), [*on, "hash"])
+    return found.groupBy(*by, "hash").agg(F.first("text").alias("text")).select(excerpt("text", most // 64).alias("text"), *by, "hash")
+
+
+def light_texts(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., hash, size) of docs (text, by...)."""
+    return docs.select(*by, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("hash"))
+
+
+def bounded_sample(docs: DataFrame, rows: int, most: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, hash) of at most ``rows`` different texts of docs (text), as ``chosen_texts`` takes them."""
+    return fetched(docs, chosen_texts(light_texts(docs), rows, most), most)
 
 
 def label_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,17 +119,11 @@ def label_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, known: DataFrame, rows: int, most: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, label, key): at most about ``rows`` texts and ``most`` bytes of those in ``known``, a part of ``label_table``.
+    """(text, label, hash): at most about ``rows`` texts and ``most`` bytes of those in ``known``, a part of ``label_table``.
 
-    Chosen as in ``bounded_sample``, from the light table; only the chosen rows' texts are fetched, in one pass over docs.
+    Only the chosen rows' texts are fetched; a text with both labels is there twice.
     """
-    short = known.where(F.col("size") <= most // 64)
-    sums = short.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
-    share = min(1.0, rows / max(sums["n"], 1), most / max(sums["b"] or 0, 1))
-    bucket = F.pmod(F.xxhash64("key", "label", "hash"), F.lit(1 << 20))
-    chosen = short.where(bucket < int(share * (1 << 20))).select("key", "label", "hash").dropDuplicates()
-    fetched = docs.select("key", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(chosen), ["key", "hash"])
-    return fetched.groupBy("key", "hash", "label").agg(F.first("text").alias("text")).select("text", "label", "key")
+    return fetched(docs, chosen_texts(known.select("label", "hash", "size"), rows, most, ("label",), even=False), most, ("label",))
 
 
 def join_heavy(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:

@@ -8,8 +8,9 @@ Few grams lie far from any centroid, so each class of lengths has its own radius
 sampled texts and of their beginnings, cut to each length: of these cosines a low quantile times ``SLACK`` is the
 least that is accepted.  So no radius reaches 1, and one odd text does not open its language.
 
-The model is fitted on a bounded sample: at most about ``SAMPLE_ROWS`` labelled texts per language, chosen by a hash of
-id and text, equal ones once; texts of more than ``LONGEST`` bytes are not learnt from.  Vectors of the sample are a
+The model is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled texts per language, chosen by a hash of the text, equal
+ones once, so that a language with any text is learnt however often its texts are repeated; of texts of more than ``LONGEST`` bytes
+stretches spread over them are learnt.  Vectors of the sample are a
 table; each language is clustered by a task of its own, and its centroids (32 KB each) come to the driver.
 
 Cases: null texts and texts without a letter are ``und`` with score 0 and rejected.  Without labelled rows every text is
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import blocks, cut, held_out, map_texts, table, text_column
+from sparkwarden.llm.common import blocks, chosen_texts, cut, fetched, held_out, light_texts, map_texts, table, text_column
 
 #: Labelled texts per language that the model is fitted on, about.
 SAMPLE_ROWS = 400
@@ -141,14 +142,11 @@ def dense(rows: list) -> np.ndarray:
     return counts
 
 
-def sample_vectors(labelled: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """(lang, h, piece, bins, sizes) of a sample of labelled (text, lang, key); piece 0 is a whole text, others are its beginnings.
-
-    ``counts``: labelled texts of each language.
-    """
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_ROWS / n))])
-    some = labelled.where(F.octet_length("text") <= LONGEST).select("text", "lang", F.xxhash64("key", "text").alias("h"))
-    some = some.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20)).dropDuplicates(["lang", "h"])
+def sample_vectors(labelled: DataFrame) -> DataFrame:
+    """(lang, h, piece, bins, sizes) of a sample of labelled (text, lang); piece 0 is a whole text, others are its beginnings."""
+    most = 64 * LONGEST
+    chosen = chosen_texts(light_texts(labelled, ("lang",)), SAMPLE_ROWS, most, ("lang",))
+    some = fetched(labelled, chosen, most, ("lang",))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,11 +204,8 @@ def _centroids(idf: np.ndarray):
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """A model from labelled (text, lang, key)."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not counts:
-        return None
-    vectors = cut(sample_vectors(labelled, counts))
+    """A model from labelled (text, lang)."""
+    vectors = cut(sample_vectors(labelled))
     n, seen = document_frequencies(vectors)
     idf = (np.log((1 + n) / (1 + seen)) + 0.2).astype(np.float32)
     # a group is one language's sample, which is bounded
@@ -242,13 +237,13 @@ def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...], tex
                 far |= ~kept
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score), pa.array(far)], names=[*columns, "lang_pred", "score", "rejected"])
 
-    return map_texts(docs.select(*columns, text, letters.alias("_letters")), run, schema)
+    return map_texts(docs.select(*columns, text, letters.alias("__letters")), run, schema)
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model | None:
     """The model from the rows of docs that are not held out (crc32 of the id mod 3 is not 1) and have a language."""
     own = docs.where(~held_out("doc_id", 3, 1) & F.col("lang").isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return fit(own.select(F.col(text).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("key")))
+    return fit(own.select(F.col(text).alias("text"), F.col("lang").cast("string").alias("lang")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

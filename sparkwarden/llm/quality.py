@@ -13,8 +13,8 @@ label, of which whole texts go into a dictionary as long as they fit into ``DICT
 
 Cases: scoring compresses all of every text, whatever its length.  Null and empty texts have the mean difference and the
 score that the curve has there.  If a label has no texts to learn from, the score is the share of label 1 (1/2 without
-labels).  Equal rows (key, text and label) are learnt once and scored each; null labels are passed over, null texts are not
-learnt from.  A score of exactly 0.7 counts as good.  An empty table gives an empty one.  Other columns, of whatever
+labels).  Equal texts of a label are learnt once, however often they are repeated, and every label with a text is learnt; of a text above
+64 KB (1 MB for the curve) stretches spread over it are learnt.  Null labels are passed over, null texts are not learnt from.  A score of exactly 0.7 counts as good.  An empty table gives an empty one.  Other columns, of whatever
 names, are not looked at.
 """
 
@@ -52,12 +52,14 @@ class Model:
 
 
 def _whole_texts(texts: list[bytes], most: int) -> bytes:
-    """Whole texts, in order, as long as they fit."""
+    """Whole texts, in order, as long as they fit; if none does, what fits of the first."""
     out, size = [], 0
     for t in texts:
         if size + len(t) <= most:
             out.append(t)
             size += len(t)
+    if not out and texts:
+        out.append(texts[0][:most])
     return b"".join(out)
 
 
@@ -113,13 +115,20 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from docs (key, text) and labels (key, label).  Half of the labelled rows, by hash, are for the dictionaries, half for the curve."""
     known = label_table(docs, labels)
-    half = F.pmod(F.xxhash64("key", "hash", F.lit("half")), F.lit(2)) == 0
+    half = F.pmod(F.xxhash64("hash", F.lit("half")), F.lit(2)) == 0
+    # a label with one text alone, however often repeated, has it in one half: that text then serves both
+    n = {(r["label"], r["half"]) for r in known.groupBy("label", half.alias("half")).agg(F.count("*").alias("n")).collect()}
     packs = []
     for y in (1, 0):
-        rows = labelled_sample(docs, known.where(half & (F.col("label") == y)), DICTIONARY_ROWS, DICTIONARY_SAMPLE)
-        packs.append([r["text"].encode("utf-8", "replace") for r in rows.where("text != ''").select("text", F.xxhash64("key", "text").alias("h")).orderBy("h", "text").collect()])
+        own = known.where(F.col("label") == y)
+        rows = labelled_sample(docs, own.where(half) if (y, True) in n else own, DICTIONARY_ROWS, DICTIONARY_SAMPLE)
+        packs.append([r["text"].encode("utf-8", "replace") for r in rows.where("text != ''").select("text", F.xxhash64("hash").alias("h")).orderBy("h", "text").collect()])
     good, bad = dictionaries(*packs)
-    rows = _with_gains(labelled_sample(docs, known.where(~half), CURVE_ROWS).select("label", "text"), ("label",), good, bad).collect()
+    other = ~half
+    for y in (1, 0):
+        if (y, False) not in n:
+            other = other | (F.col("label") == y)
+    rows = _with_gains(labelled_sample(docs, known.where(other), CURVE_ROWS).select("label", "text"), ("label",), good, bad).collect()
     rows.sort(key=lambda r: (r["_gain"], r["_size"], r["label"]))  # so that sums don't depend on partitions
     gain, size, y = (np.array([r[c] for r in rows], float) for c in ("_gain", "_size", "label"))
     mean = float(np.mean(gain / np.maximum(size, 1))) if len(rows) else 0.0

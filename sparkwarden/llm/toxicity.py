@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at, w = model.sparse()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
 
-    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "text", "label")
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("hash"), "hash", "label")
     found = map_texts(ordered.select("text", "label"), run, "at bigint, w double").collect()
     return np.array([r["at"] for r in found], np.int64), np.array([r["w"] for r in found])
 
