@@ -7,8 +7,7 @@ Cases, for all stages: null texts and texts without a letter go in the first sta
 empty, empty texts are one group of copies, are near copies of nothing, and go in the mix, as they have no words.  Texts
 of any length are worked on whole.  Of equal or near texts one row stays: by length and id, or by id; of repeated rows (same
 id, same text) one.  Null ids stay like others and come last in ties.  Null sources are one source.  Empty tables
-give empty tables.  Columns beyond those of documents are kept by all stages but the last, whatever their names, as
-long as they are not named ``_hash``, ``id`` or ``hash``.
+give empty tables.  Columns beyond those of documents keep their values in all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import bpe, exact_dedup, langid, mixing, near_dedup
-from sparkwarden.llm.common import cut, table
+from sparkwarden.llm.common import cut, quoted, spare, table
 
 #: Rows (id and hash) up to which the rows to keep are broadcast; any larger table is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -25,26 +24,24 @@ BROADCAST_ROWS = 20_000
 
 def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of docs that keep (id, hash of the text) names; of repeated rows one."""
-    keep = cut(keep.distinct())
+    own, i, h = spare(docs, "hash_of_text", "kept_id", "kept_hash")
+    keep = cut(keep.distinct().select(F.col("id").alias(i), F.col("hash").alias(h)))
     small = keep.count() <= BROADCAST_ROWS
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    again = cut(hashed.groupBy("doc_id", "_hash").agg(F.count("*").alias("n")).where("n > 1"))
-
-    side = F.broadcast(keep) if small else keep
-    kept = hashed.join(side, F.expr("doc_id <=> id AND _hash = hash"), "left_semi")
+    hashed, columns = docs.withColumn(own, F.xxhash64("text")), [quoted(c) for c in docs.columns]
+    again = cut(hashed.groupBy("doc_id", own).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(i), F.col(own).alias(h)))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h))
+    kept = hashed.join(F.broadcast(keep) if small else keep, same, "left_semi")
     if not again.count():
-        return kept.select(*docs.columns)
-    named = again.selectExpr("doc_id AS again_id", "_hash AS again_hash")
-    same = F.expr("doc_id <=> again_id AND _hash = again_hash")
-    several = kept.join(named, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return kept.join(named, same, "left_anti").unionByName(several).select(*docs.columns)
+        return kept.select(*columns)
+    several = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", own])
+    return kept.join(again, same, "left_anti").unionByName(several).select(*columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without a letter and those far from every language go."""
     model = langid.learn(docs)
-    columns = tuple(docs.columns)
-    return langid.identify(docs, model, columns).where(~F.col("rejected")).select(*columns)
+    columns, names = tuple(docs.columns), spare(docs, "lang_pred", "score", "rejected")
+    return langid.identify(docs, model, columns, names=tuple(names)).where(~F.col(names[2])).select(*map(quoted, columns))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

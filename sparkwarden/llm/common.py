@@ -40,14 +40,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df needs."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever is in it."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` over rows that hold whole texts.
 
     Batches have ``BATCH_ROWS`` rows at most instead of Spark's ten thousand, as a batch lies in memory several
-    times (JVM, Arrow, Python).  The setting is the session's.
+    times (JVM, Arrow, Python).  The setting is the session's.  ``run`` finds columns by place, so that clashing names do not matter.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str, folds: int, fold: int):
@@ -80,7 +95,7 @@ def chosen_texts(light: DataFrame, rows: int, most: int = SAMPLE_BYTES, by: tupl
         joined = own.join(F.broadcast(sums) if few else sums, list(by))
     else:
         known = own.agg(*wanted).first()
-        joined = own.withColumns({c: F.lit(known[c]).cast("long") for c in ("n", "b", "first")} | {"part": F.lit(1.0)})
+        joined = own.withColumns({c: F.lit(known[c] or 1).cast("long") for c in ("n", "b", "first")} | {"part": F.lit(1.0)})
     share = F.least(F.lit(1.0), rows * F.col("part") / F.col("n"), most * F.col("part") / F.col("b"))
     # about four times as many as wanted are ordered
     some = joined.where((F.pmod("order", F.lit(1 << 30)) < share * float(1 << 32)) | (F.col("order") == F.col("first")))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import blocks, chosen_texts, cut, fetched, held_out, light_texts, map_texts, table, text_column
+from sparkwarden.llm.common import blocks, chosen_texts, cut, fetched, held_out, light_texts, quoted, map_texts, table, text_column
 
 #: Labelled texts per language that the model is fitted on, about.
 SAMPLE_ROWS = 400
@@ -218,11 +218,15 @@ def fit(labelled: DataFrame) -> Model | None:
     return Model(langs, idf, centroids, np.array([langs.index(r["lang"]) for r in found]), np.array([r["radius"] for r in found]))
 
 
-def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...], text: str = "text") -> DataFrame:
-    """``columns`` of each row, nearest (a learned language), score (its cosine), rejected, and lang_pred
-    (``und`` where there is no letter)."""
+def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``columns`` of each row, lang_pred (a learned language; ``und`` where there is no letter), score (its cosine) and rejected.
+
+    ``names`` are those of the last three; none of ``columns`` may have one of them.
+    """
+    if clash := {c.lower() for c in columns} & {c.lower() for c in names}:
+        raise ValueError(f"columns have names of the result: {', '.join(sorted(clash))}")
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "lang_pred string, score double, rejected boolean"])
+    schema = ", ".join([*(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in columns), *(f"{quoted(c)} {t}" for c, t in zip(names, ("string", "double", "boolean"), strict=True))])
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +239,9 @@ def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...], tex
                 score = np.where(kept, np.clip(cos, 0, 1).astype(float), 0)
                 lang = np.where(kept, np.array(model.langs, object)[model.of[best]], UNKNOWN)
                 far |= ~kept
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score), pa.array(far)], names=[*columns, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score), pa.array(far)], names=[*columns, *names])
 
-    return map_texts(docs.select(*columns, text, letters.alias("__letters")), run, schema)
+    return map_texts(docs.select(*map(quoted, columns), text, letters.alias("__letters")), run, schema)
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model | None:

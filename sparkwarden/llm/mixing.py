@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import cut, mix, table
+from sparkwarden.llm.common import cut, mix, quoted, spare, table
 
 #: Words of a block.
 BLOCK_WORDS = 64
@@ -191,8 +191,9 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     luck = F.pmod(F.xxhash64(F.col("row"), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     mixed = cut(mixed.select("row", F.floor(F.col("times") + luck).cast("int").alias("copies")).where("copies > 0"))
     side = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "source", "text")).join(side, "row")
-    return rows.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
+    row, copies, copy = spare(docs, "row", "copies", "copy")
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "source", "text")).join(side.select(F.col("row").alias(row), F.col("copies").alias(copies)), row)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*map(quoted, docs.columns))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
