@@ -145,7 +145,7 @@ def test_tries_burst_and_spill_without_losing_counts(spark):
     assert got == want and trie.entries == 0
     # a task that spills all the time gives the same sums
     df = spark.createDataFrame([(t, lang) for t, lang in phrase_rows()], "text string, lang string").repartition(2)
-    sums = lambda **o: {(r.lang, r.phrase): r.f for r in collocation.merged(collocation.count_runs(df, (2, 3), None, **o), 1).collect()}
+    sums = lambda **o: {(r.lang, r.phrase): r.f for r in collocation.merged(collocation.count_runs(df, (1, 2, 3), {}, **o), 1).collect()}
     assert sums(entries=20) == sums()
 
 
