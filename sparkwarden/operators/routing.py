@@ -1,8 +1,8 @@
 """Routes of inspection teams, their calendars, and what they cost.
 
 Stops are dealt into regions of bounded size.  Routes come from plans, not from solvers: a sweep around the region's centre
-orders the stops, the fewest equal stretches that fit into a day are the routes, and rounds of joins reverse the stretch of
-each route that shortens it most.  Exact answers, where budgets are small, are joins over all sets of stops.  Sequential
+orders the stops, the optimal cut of that tour into days gives the routes, and the reversal that shortens a route most is
+made until none does.  Exact answers over a bounded pool of stops are labels that grow by joins (``tours``).  Sequential
 rules (nearest next, batches of the highest prizes) are folds over a region's array of stops.  All that looks at
 many regions (times, constraints, calendars, costs) is a join or an aggregate.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.rng import uniform, uniform_sql
 from sparkwarden.functions.stats import place_within
+from sparkwarden.operators import tours
 from sparkwarden.plans.registry import ORACLES, query
 from sparkwarden.sources.shared import forget, settled
 from sparkwarden.sources.tables import POINTS_SQL, STORES, points, stores, table
@@ -57,64 +58,63 @@ def with_legs(routes: DataFrame, *route: str, scale: float = 1.0, order: str = "
     return routes.withColumn("leg", to).withColumn("back", back)
 
 
+def sweep(rows: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Stops in the order of a sweep around the region's centre, with minutes from the centre, to it, and along the sweep."""
+    own = Window.partitionBy("region").orderBy(F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")), "id")  # a region has some hundred stops at most
+    x, y = F.col("x"), F.col("y")
+    placed = rows.select("region", "id", "x", "y", "cx", "cy", F.row_number().over(own).alias("place"), F.coalesce(leg(F.lag("x").over(own), F.lag("y").over(own), x, y) * scale, F.lit(0.0)).alias("step"))
+    along = F.sum("step").over(Window.partitionBy("region").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.select("region", "id", "x", "y", "cx", "cy", "place", (leg(F.col("cx"), F.col("cy"), x, y) * scale).alias("out"), (leg(x, y, F.col("cx"), F.col("cy")) * scale).alias("home"), along.alias("along"))
+
+
 def split_routes(rows: DataFrame, scale: float = 1.0, day: float = DAY) -> DataFrame:
-    """(region, route, stop, id, x, y, cx, cy, leg, back): stops in the order of a sweep around the centre, cut into the fewest
-    stretches of equal length that fit into the day (RT14).
+    """(region, route, stop, id, x, y, cx, cy, leg, back): stops in the order of a sweep around the centre, cut optimally: the fewest
+    routes that fit into the day, and of those cuts the one with the fewest minutes (RT14).
 
-    All numbers of stretches are tried at once; a region is bounded, and so are its tries.  A stop that alone exceeds
-    the day is an error.
+    The cut is a shortest path over stretches, a fold over each region's array.  A stop that alone exceeds the day is an error.
     """
-    own = Window.partitionBy("region")  # a region has some hundred stops at most
-    angle = F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
-    placed = rows.select("region", "id", "x", "y", "cx", "cy", F.row_number().over(own.orderBy(angle, "id")).alias("place"), F.count("*").over(own).alias("n"))
-    tries = placed.withColumn("k", F.explode(F.sequence(F.greatest(F.ceil(F.col("n") * SERVICE / day), F.lit(1)), F.col("n"))))
-    tries = tries.withColumn("route", ntile_of("k")).select("region", "k", "route", "place", "id", "x", "y", "cx", "cy")
-    legs = with_legs(tries, "region", "k", "route", scale=scale, order="place")
-    times = legs.groupBy("region", "k", "route").agg((F.sum(F.col("leg") + F.col("back")) + SERVICE * F.count("*")).alias("minutes"))
-    fits = times.groupBy("region", "k").agg(F.max("minutes").alias("longest"))
-    least = F.min(F.when(F.col("longest") <= day + 1e-9, F.col("k")))
-    best = fits.groupBy("region").agg(F.coalesce(least, F.raise_error(F.lit("a stop alone exceeds the day")).cast("bigint")).alias("best"))
-    chosen = legs.join(best, "region").where("k = best")
+    arrays = sweep(rows, scale).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("place", "id", "x", "y", "cx", "cy", "out", "home", "along"))).alias("stops"))
+    cuts = arrays.withColumn("cuts", tours.split_starts(F.col("stops"), day, SERVICE))
+    each = cuts.select("region", "cuts", F.inline("stops")).withColumn("route", F.size(F.filter("cuts", lambda c: c <= F.col("place"))))
     stop = F.row_number().over(Window.partitionBy("region", "route").orderBy("place")) - 1
-    return chosen.select("region", "route", stop.alias("stop"), "id", "x", "y", "cx", "cy", "leg", "back")
+    return with_legs(each.withColumn("stop", stop), "region", "route", scale=scale).select("region", "route", "stop", "id", "x", "y", "cx", "cy", "leg", "back")
+
+
+def routes_sql(source: str, out: str, scale: float = 1.0, day: float = DAY) -> str:
+    """The same as SQL: common table expressions, some recursive, that end in ``out``, from a table ``source`` (region, id, x, y, cx, cy)."""
+    part = "PARTITION BY region, route ORDER BY place"
+    own = f"s[i].o + (s[j + 1].a - s[i].a) + s[j + 1].h + {SERVICE} * (j + 2 - i)"
+    return f"""{out}_w AS (SELECT region, id, x, y, cx, cy, row_number() OVER w AS place, coalesce({_LEG.format('lag(x) OVER w', 'lag(y) OVER w', 'x', 'y')} * {scale}::DOUBLE, 0) AS step, {_LEG.format('cx', 'cy', 'x', 'y')} * {scale}::DOUBLE AS o, {_LEG.format('x', 'y', 'cx', 'cy')} * {scale}::DOUBLE AS h FROM {source} WINDOW w AS (PARTITION BY region ORDER BY atan2(y - cy, x - cx), id)),
+ {out}_p AS (SELECT *, sum(step) OVER (PARTITION BY region ORDER BY place ROWS UNBOUNDED PRECEDING) AS a FROM {out}_w),
+ {out}_s AS (SELECT region, list(struct_pack(o := o, h := h, a := a) ORDER BY place) AS s, count(*) AS n FROM {out}_p GROUP BY region),
+ {out}_d(region, s, n, j, best) AS (SELECT region, s, n, 0::BIGINT, [struct_pack(r := 0::BIGINT, m := 0::DOUBLE, f := 0::BIGINT)] FROM {out}_s UNION ALL
+  SELECT region, s, n, j + 1, list_append(best, list_sort(list_filter(list_transform(range(greatest(1, j + 2 - {tours.STOPS}), j + 2), lambda i: CASE WHEN {own} <= {day} + 1e-9 THEN struct_pack(r := best[i].r + 1, m := round(best[i].m + {own}, 7), f := i) END), lambda c: c IS NOT NULL))[1]) FROM {out}_d WHERE j < n),
+ {out}_b(region, best, start, stop) AS (SELECT region, best, best[n + 1].f, n FROM {out}_d WHERE j = n UNION ALL SELECT region, best, best[start].f, start - 1 FROM {out}_b WHERE start > 1),
+ {out}_r AS (SELECT region, start, stop, CAST(row_number() OVER (PARTITION BY region ORDER BY start) AS INTEGER) AS route FROM {out}_b),
+ {out} AS (SELECT region, route, row_number() OVER ({part}) - 1 AS stop, id, x, y, cx, cy, {_LEG.format(f'coalesce(lag(x) OVER ({part}), cx)', f'coalesce(lag(y) OVER ({part}), cy)', 'x', 'y')} * {scale}::DOUBLE AS leg, CASE WHEN lead(x) OVER ({part}) IS NULL THEN {_LEG.format('x', 'y', 'cx', 'cy')} * {scale}::DOUBLE ELSE 0 END AS back FROM (SELECT p.region, r.route, p.place, p.id, p.x, p.y, p.cx, p.cy FROM {out}_p p JOIN {out}_r r ON r.region = p.region AND p.place BETWEEN r.start AND r.stop))"""
+
+
+def two_opt(routes: DataFrame, minutes=None) -> DataFrame:
+    """routes with stretches reversed, always the one that shortens a route most, until none does (RT13).
+
+    ``minutes(a, b)`` of two stops is straight travel unless given, and may differ from ``minutes(b, a)``.
+    """
+    minutes = minutes or straight
+    whole = routes.groupBy("region", "route").agg(F.transform(F.array_sort(F.collect_list(F.struct("stop", "id", "x", "y"))), lambda s: F.struct(s["id"].alias("id"), s["x"].alias("x"), s["y"].alias("y"))).alias("stops"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
+    whole = settled(whole.withColumn("depot", F.struct(F.lit(-1).cast("bigint").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))))
+    turned = tours.reversals(whole.select("region", "route", "stops", "depot"), ("region", "route"), minutes)
+    each = turned.join(whole.select("region", "route", "cx", "cy"), ["region", "route"]).select("region", "route", "cx", "cy", F.posexplode("stops").alias("stop", "s"))
+    return with_legs(each.select("region", "route", "stop", "s.id", "s.x", "s.y", "cx", "cy"), "region", "route")
 
 
-def ntile_of(k: str) -> Column:
-    """The stretch of a place among n, of k stretches."""
-    small, more = F.expr(f"n div {k}"), F.expr(f"n % {k}")
-    place = F.col("place")
-    return F.when(place <= more * (small + 1), F.floor((place - 1) / (small + 1)) + 1).otherwise(F.floor((place - 1 - more) / F.greatest(small, F.lit(1))) + 1).cast("int")
+def straight(a: Column, b: Column) -> Column:
+    """Travel minutes between two stops."""
+    return leg(a["x"], a["y"], b["x"], b["y"])
 
 
-def routes_sql(source: str, out: str, scale: float = 1.0, day: float = DAY) -> str:
-    """The same as SQL: common table expressions that end in ``out``, from a table ``source`` (region, id, x, y, cx, cy)."""
-    part = "PARTITION BY region, k, route ORDER BY place"
-    return f"""{out}_p AS (SELECT region, id, x, y, cx, cy, row_number() OVER (PARTITION BY region ORDER BY atan2(y - cy, x - cx), id) AS place, count(*) OVER (PARTITION BY region) AS n FROM {source}),
- {out}_t AS (SELECT *, CAST(CASE WHEN place <= (n % k) * (n // k + 1) THEN (place - 1) // (n // k + 1) + 1 ELSE (place - 1 - n % k) // greatest(n // k, 1) + 1 END AS INTEGER) AS route FROM (SELECT *, unnest(generate_series(CAST(greatest(ceil(n * {SERVICE} / {day}), 1) AS BIGINT), n)) AS k FROM {out}_p)),
- {out}_l AS (SELECT *, {_LEG.format(f'coalesce(lag(x) OVER ({part}), cx)', f'coalesce(lag(y) OVER ({part}), cy)', 'x', 'y')} * {scale}::DOUBLE AS leg, CASE WHEN lead(x) OVER ({part}) IS NULL THEN {_LEG.format('x', 'y', 'cx', 'cy')} * {scale}::DOUBLE ELSE 0 END AS back FROM {out}_t),
- {out}_k AS (SELECT region, min(k) AS best FROM (SELECT region, k, max(minutes) AS longest FROM (SELECT region, k, route, sum(leg + back) + {SERVICE} * count(*) AS minutes FROM {out}_l GROUP BY ALL) GROUP BY ALL) WHERE longest <= {day} + 1e-9 GROUP BY region),
- {out} AS (SELECT region, route, row_number() OVER (PARTITION BY region, route ORDER BY place) - 1 AS stop, id, x, y, cx, cy, leg, back FROM {out}_l JOIN {out}_k USING (region) WHERE k = best)"""
-
-
-def two_opt(routes: DataFrame, rounds: int = 50) -> DataFrame:
-    """routes with stretches reversed, in each round the one of each route that shortens it most, until none does (RT13)."""
-    now = settled(routes.select("region", "route", "stop", "id", "x", "y", "cx", "cy"))
-    for _ in range(rounds):
-        w = Window.partitionBy("region", "route").orderBy("stop")
-        around = now.select("region", "route", "stop", "x", "y", *[F.coalesce(f(c).over(w), F.col(f"c{c}")).alias(f"{name}{c}") for name, f in (("p", F.lag), ("n", F.lead)) for c in ("x", "y")])
-        first = around.select("region", "route", F.col("stop").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"), "px", "py")
-        last = around.select("region", "route", F.col("stop").alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"), "nx", "ny")
-        c = {k: F.col(k) for k in ("ix", "iy", "jx", "jy", "px", "py", "nx", "ny")}
-        gain = leg(c["px"], c["py"], c["ix"], c["iy"]) + leg(c["jx"], c["jy"], c["nx"], c["ny"]) - leg(c["px"], c["py"], c["jx"], c["jy"]) - leg(c["ix"], c["iy"], c["nx"], c["ny"])
-        best = first.join(last, ["region", "route"]).where("i < j").withColumn("gain", gain).where("gain > 1e-9")
-        best = settled(best.groupBy("region", "route").agg(F.max(F.struct("gain", -F.col("i"), -F.col("j"))).alias("b")).select("region", "route", (-F.col("b.col2")).alias("i"), (-F.col("b.col3")).alias("j")))
-        if best.isEmpty():
-            break
-        turned = F.when(F.col("stop").between(F.col("i"), F.col("j")), F.col("i") + F.col("j") - F.col("stop")).otherwise(F.col("stop"))
-        new = settled(now.join(best, ["region", "route"], "left").withColumn("stop", turned).drop("i", "j"))
-        forget(now, best)
-        now = new
-    return with_legs(now, "region", "route")
+def eastward(a: Column, b: Column) -> Column:
+    """Travel minutes that are a quarter longer towards the east."""
+    return straight(a, b) * F.when(b["x"] > a["x"], 1.25).otherwise(1.0)
 
 
 def route_times(routes: DataFrame) -> DataFrame:
@@ -130,9 +130,9 @@ def _times_sql(routes: str) -> str:
 _ROUTES = f"{POINTS_SQL}, {_INSTANCE}, {routes_sql('inst', 'routes')}"
 
 
-@query("rt14_split_routes", f"WITH {_ROUTES} SELECT region, route, stop, id, round(leg, 6) AS leg, round(back, 6) AS back FROM routes")
+@query("rt14_split_routes", f"WITH RECURSIVE {_ROUTES} SELECT region, route, stop, id, round(leg, 6) AS leg, round(back, 6) AS back FROM routes")
 def split_route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sweep and split: every stop once, on the fewest equal routes within the day (RT14, RT15)."""
+    """Sweep and optimal cut: every stop once, on the fewest routes within the day, then in the fewest minutes (RT14, RT15)."""
     return split_routes(instance(spark, sf_dir)).select("region", "route", "stop", "id", F.round("leg", 6).alias("leg"), F.round("back", 6).alias("back"))
 
 
@@ -165,7 +165,7 @@ def nearest_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rt16_check_routes",
-    f"WITH {_ROUTES}, seen AS (SELECT region, id, count(*) AS k FROM routes GROUP BY ALL), times AS {_times_sql('routes')} SELECT i.region, count(*) AS stops, count(*) FILTER (k IS NULL) AS missing, count(*) FILTER (k > 1) AS repeated, min(t.too_long) AS too_long, min(t.routes) AS routes FROM inst i LEFT JOIN seen USING (region, id) JOIN (SELECT region, count(*) AS routes, count(*) FILTER (minutes > {DAY} + 1e-6) AS too_long FROM times GROUP BY 1) t ON t.region = i.region GROUP BY i.region",
+    f"WITH RECURSIVE {_ROUTES}, seen AS (SELECT region, id, count(*) AS k FROM routes GROUP BY ALL), times AS {_times_sql('routes')} SELECT i.region, count(*) AS stops, count(*) FILTER (k IS NULL) AS missing, count(*) FILTER (k > 1) AS repeated, min(t.too_long) AS too_long, min(t.routes) AS routes FROM inst i LEFT JOIN seen USING (region, id) JOIN (SELECT region, count(*) AS routes, count(*) FILTER (minutes > {DAY} + 1e-6) AS too_long FROM times GROUP BY 1) t ON t.region = i.region GROUP BY i.region",
 )
 def check_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constraints per region: each stop once, each route within the day; missing, repeated and too_long must be 0 (RT16)."""
@@ -179,7 +179,7 @@ def check_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rt8_route_statistics",
-    f"WITH {_ROUTES}, times AS {_times_sql('routes')} SELECT region, count(*) AS routes, min(stops) AS fewest, round(avg(stops), 4) AS mean_stops, max(stops) AS most, round(max(minutes), 4) AS longest, round(sum(drive) / sum(minutes), 6) AS drive_share, CAST(ceil(sum(stops) * {SERVICE} / {DAY}) AS BIGINT) AS least_routes, CAST(ceil(count(*) / 10.0) AS BIGINT) AS weeks_two_teams FROM times GROUP BY region",
+    f"WITH RECURSIVE {_ROUTES}, times AS {_times_sql('routes')} SELECT region, count(*) AS routes, min(stops) AS fewest, round(avg(stops), 4) AS mean_stops, max(stops) AS most, round(max(minutes), 4) AS longest, round(sum(drive) / sum(minutes), 6) AS drive_share, CAST(ceil(sum(stops) * {SERVICE} / {DAY}) AS BIGINT) AS least_routes, CAST(ceil(count(*) / 10.0) AS BIGINT) AS weeks_two_teams FROM times GROUP BY region",
 )
 def route_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops, times and the bound from below of the number of routes (RT8, NB5, NB6)."""
@@ -187,35 +187,44 @@ def route_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("region").agg(F.count("*").alias("routes"), F.min("stops").alias("fewest"), F.round(F.avg("stops"), 4).alias("mean_stops"), F.max("stops").alias("most"), F.round(F.max("minutes"), 4).alias("longest"), F.round(F.sum("drive") / F.sum("minutes"), 6).alias("drive_share"), F.ceil(F.sum("stops") * SERVICE / DAY).alias("least_routes"), F.ceil(F.count("*") / 10).alias("weeks_two_teams"))
 
 
+@query("rt13_directed_reversals")
+def directed_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes of each route before and after reversals, where travel towards the east is dearer (RT13)."""
+    routes = settled(split_routes(instance(spark, sf_dir)))
+    w = Window.partitionBy("region", "route").orderBy("stop")
+
+    def driven(df: DataFrame) -> DataFrame:
+        here, centre = F.struct("x", "y"), F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))
+        before, last = F.coalesce(F.lag(here).over(w), centre), F.lead("x").over(w).isNull()
+        legs = df.withColumn("went", eastward(before, here) + F.when(last, eastward(here, centre)).otherwise(0.0))
+        return legs.groupBy("region", "route").agg(F.count("*").alias("stops"), F.sum("went").alias("drive"))
+
+    after = driven(two_opt(routes, eastward)).select("region", "route", F.round("drive", 5).alias("after"))
+    return driven(routes).select("region", "route", "stops", F.round("drive", 5).alias("before")).join(after, ["region", "route"])
+
+
 #: Stops of a region on which the sweep is held against the best tour.
-TRIAL = 6
+TRIAL = 9
+_GROW = _LEG.format("t.x", "t.y", "u.x", "u.y")
 
 
 @query(
     "rt18_heuristic_gap",
-    f"""WITH RECURSIVE {POINTS_SQL}, {_INSTANCE}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY {uniform_sql('gap', 'id')}, id) AS r FROM inst) WHERE r <= {TRIAL}), n AS (SELECT region, count(*) AS n FROM t GROUP BY 1),
- path(region, cx, cy, x, y, ids, len) AS (SELECT region, cx, cy, x, y, [id], {_LEG.format('cx', 'cy', 'x', 'y')} FROM t UNION ALL SELECT p.region, p.cx, p.cy, t.x, t.y, list_append(p.ids, t.id), p.len + {_LEG.format('p.x', 'p.y', 't.x', 't.y')} FROM path p JOIN t ON t.region = p.region AND NOT list_contains(p.ids, t.id)),
- e AS (SELECT region, min(len + {_LEG.format('x', 'y', 'cx', 'cy')}) AS exact FROM path JOIN n USING (region) WHERE len(ids) = n GROUP BY region),
+    f"""WITH RECURSIVE {POINTS_SQL}, {_INSTANCE}, t AS (SELECT * REPLACE (CAST(r - 1 AS INTEGER) AS r) FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY {uniform_sql('gap', 'id')}, id) AS r FROM inst) WHERE r <= {TRIAL}), n AS (SELECT region, CAST(count(*) AS INTEGER) AS n FROM t GROUP BY 1),
+ path(region, mask, last, len) AS (SELECT region, 1 << r, r, {_LEG.format('cx', 'cy', 'x', 'y')} FROM t UNION ALL SELECT p.region, p.mask | (1 << u.r), u.r, min(p.len + {_GROW}) FROM path p JOIN t ON t.region = p.region AND t.r = p.last JOIN t u ON u.region = p.region AND (p.mask & (1 << u.r)) = 0 GROUP BY 1, 2, 3),
+ e AS (SELECT p.region, min(len + {_LEG.format('x', 'y', 'cx', 'cy')}) AS exact FROM path p JOIN n ON n.region = p.region AND p.mask = (1 << n) - 1 JOIN t ON t.region = p.region AND t.r = p.last GROUP BY 1),
  o AS (SELECT *, {_LEG.format('coalesce(lag(x) OVER w, cx)', 'coalesce(lag(y) OVER w, cy)', 'x', 'y')} AS leg, CASE WHEN lead(x) OVER w IS NULL THEN {_LEG.format('x', 'y', 'cx', 'cy')} ELSE 0 END AS back FROM t WINDOW w AS (PARTITION BY region ORDER BY atan2(y - cy, x - cx), id)), h AS (SELECT region, count(*) AS stops, sum(leg + back) AS heuristic FROM o GROUP BY region)
  SELECT region, stops, round(exact, 4) AS exact, round(heuristic, 4) AS heuristic, CASE WHEN exact > 0 THEN round((heuristic - exact) / exact, 6) END AS gap FROM e JOIN h USING (region)""",
 )
 def heuristic_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sweep against the best of all tours on six random stops of each region: all orders, by joins (RT17, RT18)."""
-    w = Window.partitionBy("region")
-    t = instance(spark, sf_dir).withColumn("r", F.row_number().over(w.orderBy(uniform("gap", "id"), "id"))).where(F.col("r") <= TRIAL)
-    t = settled(t.select("region", "id", "x", "y", "cx", "cy"))
-    paths = t.select("region", "cx", "cy", "x", "y", F.array("id").alias("ids"), leg(F.col("cx"), F.col("cy"), F.col("x"), F.col("y")).alias("len"))
-    nxt = t.select("region", F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    whole = paths
-    for _ in range(TRIAL - 1):
-        longer = whole.join(nxt, "region").where(~F.array_contains("ids", F.col("nid")))
-        longer = longer.select("region", "cx", "cy", F.col("nx").alias("x"), F.col("ny").alias("y"), F.concat("ids", F.array("nid")).alias("ids"), (F.col("len") + leg(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).alias("len"))
-        paths, whole = paths.unionByName(longer), longer
+    """The sweep against the best tour through nine random stops of each region: labels of (set, last), one join a stop (RT17, RT18)."""
+    t = settled(tours.numbered(instance(spark, sf_dir), "region", [uniform("gap", "id"), "id"], TRIAL))
+    pool = t.withColumns({"service": F.lit(0.0), "must": F.lit(False)})
     n = t.groupBy("region").agg(F.count("*").alias("stops"))
-    exact = paths.join(n, "region").where("size(ids) = stops").groupBy("region").agg(F.min(F.col("len") + leg(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).alias("exact"))
-    sweep = with_legs(t.withColumn("angle", F.struct(F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")), "id")), "region", order="angle").groupBy("region").agg(F.count("*").alias("stops"), F.sum(F.col("leg") + F.col("back")).alias("heuristic"))
+    exact = tours.best_tours(pool, tours.planar_travel(t, leg), TRIAL).join(n, "region").where("size = stops").select("region", F.col("minutes").alias("exact"))
+    swept = with_legs(t.withColumn("angle", F.struct(F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")), "id")), "region", order="angle").groupBy("region").agg(F.count("*").alias("stops"), F.sum(F.col("leg") + F.col("back")).alias("heuristic"))
     gap = F.when(F.col("exact") > 0, F.round((F.col("heuristic") - F.col("exact")) / F.col("exact"), 6))
-    return exact.join(sweep, "region").select("region", "stops", F.round("exact", 4).alias("exact"), F.round("heuristic", 4).alias("heuristic"), gap.alias("gap"))
+    return exact.join(swept, "region").select("region", "stops", F.round("exact", 4).alias("exact"), F.round("heuristic", 4).alias("heuristic"), gap.alias("gap"))
 
 
 # --- orienteering ------------------------------------------------------------------------------
@@ -338,6 +347,82 @@ def small_budget_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("region", "budget", "day", F.round("prize", 6).alias("exact"), F.round("heuristic", 6).alias("heuristic"), F.round(100 * F.try_divide(F.col("prize") - F.col("heuristic"), F.col("heuristic")), 4).alias("gain_pct"))
 
 
+# --- teams ----------------------------------------------------------------------------------------
+
+#: The settings that are solved exactly over a pool: budgets, teams and days; and a day that one stop of a region may not fit.
+EXACT = tuple((b, k, day) for b in (4, 8) for k in (1, 2) for day in DAYS)
+
+
+def pool_of(rows: DataFrame, size: int = tours.POOL) -> DataFrame:
+    """The stops with the highest prizes of each region, ranked from 0."""
+    pool = tours.numbered(rows, "region", [F.desc("prize"), "id"], size).withColumn("service", F.lit(SERVICE))
+    return pool if "must" in pool.columns else pool.withColumn("must", F.lit(False))
+
+
+def named_plans(pool: DataFrame, plans: DataFrame) -> DataFrame:
+    """plans with the ids of each route's stops in their own order, instead of ranks."""
+    ids = pool.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("rank", "id"))).alias("ids"))  # a pool is bounded
+    named = F.transform("routes", lambda r: F.transform(r, lambda k: F.element_at(F.col("ids"), k)))
+    return plans.join(ids, "region").withColumn("routes", named).drop("ids")
+
+
+def _team_sql(pool: str, grid, floor: int = 0) -> str:
+    """SQL of the best plans over a pool (region, r, id, x, y, prize, cx, cy, must): region, budget, teams, day, stops, prize, minutes."""
+    budgets, days = sorted({b for b, _, _ in grid}), sorted({d for _, _, d in grid}, reverse=True)
+    values = lambda xs: ", ".join(f"({x})" for x in xs)
+    return f"""path(region, mask, last, len) AS (SELECT region, 1 << r, r, {_LEG.format('cx', 'cy', 'x', 'y')} + {SERVICE} FROM {pool} UNION ALL SELECT p.region, p.mask | (1 << u.r), u.r, min(p.len + {_GROW} + {SERVICE}) FROM path p JOIN {pool} t ON t.region = p.region AND t.r = p.last JOIN {pool} u ON u.region = p.region AND (p.mask & (1 << u.r)) = 0 WHERE bit_count(p.mask) < {max(budgets)} GROUP BY 1, 2, 3),
+ whole AS (SELECT p.region, p.mask, min(p.len + {_LEG.format('t.x', 't.y', 't.cx', 't.cy')}) AS minutes FROM path p JOIN {pool} t ON t.region = p.region AND t.r = p.last GROUP BY 1, 2),
+ tour AS (SELECT w.region, w.mask, any_value(w.minutes) AS minutes, round(sum(t.prize), 9) AS prize, sum(t.must) AS due, count(*) AS size FROM whole w JOIN {pool} t ON t.region = w.region AND (w.mask & (1 << t.r)) > 0 GROUP BY 1, 2 UNION ALL SELECT DISTINCT region, 0, 0, 0, 0, 0 FROM {pool}),
+ plan AS (SELECT region, 1 AS used, size, prize, due, minutes, minutes AS longest FROM tour UNION ALL SELECT a.region, 2, a.size + b.size, round(a.prize + b.prize, 9), a.due + b.due, a.minutes + b.minutes, greatest(a.minutes, b.minutes) FROM tour a JOIN tour b ON b.region = a.region AND (a.mask & b.mask) = 0 AND a.mask > b.mask AND b.mask > 0 AND a.size + b.size <= {max(budgets)}),
+ best AS (SELECT region, budget, teams, day, max(prize) AS prize, arg_max(size, (prize, -round(minutes, 7), -used)) AS stops, arg_max(minutes, (prize, -round(minutes, 7), -used)) AS minutes FROM plan, (VALUES {values(budgets)}) b(budget), (VALUES (1), (2)) k(teams), (VALUES {values(f'{d}::DOUBLE' for d in days)}) d(day) WHERE size <= budget AND used <= teams AND longest <= day + 1e-9 AND due >= {floor} GROUP BY 1, 2, 3, 4)"""
+
+
+_POOL = f"pool AS (SELECT * REPLACE (CAST(r - 1 AS INTEGER) AS r), 0 AS must FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY prize DESC, id) AS r FROM inst) WHERE r <= {tours.POOL})"
+
+
+@query("rt5_team_plans", f"WITH RECURSIVE {POINTS_SQL}, {_INSTANCE}, {_POOL}, {_team_sql('pool', EXACT)} SELECT region, budget, teams, day, CAST(stops AS INTEGER) AS stops, round(prize, 6) AS prize, round(minutes, 5) AS minutes FROM best")
+def team_plan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best plans of one and two teams over each region's pool, for budgets of four and eight and three days, exactly (RT5, RT4)."""
+    pool = settled(pool_of(instance(spark, sf_dir)))
+    plans = tours.team_plans(pool, tours.planar_travel(pool, leg), EXACT)
+    return plans.select("region", "budget", "teams", "day", "stops", F.round("prize", 6).alias("prize"), F.round("minutes", 5).alias("minutes"))
+
+
+#: Stops of a region's random floor, and how many of them every plan has to visit.
+DUE, FLOOR = 3, 1
+
+
+@query(
+    "rt3_team_cycle",
+    f"""WITH RECURSIVE {POINTS_SQL}, {_INSTANCE}, drawn AS (SELECT region, id, x, y, cx, cy, prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) AS prize FROM inst), pool0 AS (SELECT * REPLACE (CAST(r - 1 AS INTEGER) AS r) FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY prize DESC, id) AS r FROM drawn) WHERE r <= {tours.POOL}),
+ pool AS (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY {uniform_sql('forced', 'id')}, id) <= {DUE} AS INTEGER) AS must FROM pool0), {_team_sql('pool', EXACT, FLOOR)} SELECT region, budget, teams, day, CAST(stops AS INTEGER) AS stops, round(prize, 6) AS prize, round(minutes, 5) AS minutes FROM best""",
+)
+def team_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle's team plans: drawn prizes, and a floor: each plan visits one of three random stops of its region's pool at least (RT3, RT5).
+
+    Where no plan meets the floor within a day there is no row.
+    """
+    pool = pool_of(instance(spark, sf_dir).withColumn("prize", F.col("prize") * (0.8 + 0.4 * uniform("cycle", F.lit(0), "id"))))
+    due = F.row_number().over(Window.partitionBy("region").orderBy(uniform("forced", "id"), "id")) <= DUE
+    pool = settled(pool.withColumn("must", due))
+    plans = tours.team_plans(pool, tours.planar_travel(pool, leg), EXACT, FLOOR, strict=False)
+    return plans.select("region", "budget", "teams", "day", "stops", F.round("prize", 6).alias("prize"), F.round("minutes", 5).alias("minutes"))
+
+
+@query("sm5_gate_sweep")
+def gate_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 24 settings over each region's pool: the exact plan against ranked batches, and the gain in per cent (SM5, RT5, RT7).
+
+    ``bounded``: the budget exceeds the pool, so that the exact plan is one of the pool's stops alone.
+    """
+    pool = settled(pool_of(instance(spark, sf_dir)))
+    plans = tours.team_plans(pool, tours.planar_travel(pool, leg), GRID).select("region", "budget", "teams", "day", "stops", "prize", "minutes")
+    own = ranked_batches(pool.drop("rank")).join(pool.select("region", "id", F.col("prize").alias("p")), ["region", "id"]).groupBy("region", "budget", "teams", "day").agg(F.sum("p").alias("heuristic"), F.count("*").alias("heuristic_stops"))
+    both = plans.join(own, ["region", "budget", "teams", "day"], "left").na.fill({"heuristic": 0.0, "heuristic_stops": 0})
+    gain = F.when(F.col("heuristic") > 0, F.round(100 * (F.col("prize") / F.col("heuristic") - 1), 4))
+    return both.select("region", "budget", "teams", "day", "stops", F.round("prize", 6).alias("prize"), F.round("minutes", 4).alias("minutes"), "heuristic_stops", F.round("heuristic", 6).alias("heuristic"), gain.alias("gain_pct"), (F.col("budget") > tours.POOL).alias("bounded"))
+
+
 @query(
     "rt10_horizon",
     f"WITH {POINTS_SQL}, {_INSTANCE}, reach AS (SELECT * FROM inst WHERE 2 * {_LEG.format('x', 'y', 'cx', 'cy')} + {SERVICE} <= {DAY}), h0 AS (SELECT * FROM (SELECT region, id, 0 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '0', 'id')}) DESC, id) AS place FROM reach) WHERE place <= 4), h1 AS (SELECT * FROM (SELECT region, id, 1 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '1', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '1', 'id')}) DESC, id) AS place FROM (SELECT * FROM reach WHERE id NOT IN (SELECT id FROM h0))) WHERE place <= 4), h2 AS (SELECT * FROM (SELECT region, id, 2 AS cycle, prize * (0.8 + 0.4 * {uniform_sql('cycle', '2', 'id')}) AS score, row_number() OVER (PARTITION BY region ORDER BY prize * (0.8 + 0.4 * {uniform_sql('cycle', '2', 'id')}) DESC, id) AS place FROM (SELECT * FROM reach WHERE id NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1))) WHERE place <= 4) SELECT region, id, cycle, round(score, 6) AS score, place, (place - 1) % 2 + 1 AS team FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)",
@@ -563,7 +648,7 @@ _ROUTE_TOTALS = " UNION ALL ".join(f"SELECT region, '{name}' AS scenario, sum(st
 
 @query(
     "cv2_route_costs",
-    f"WITH {POINTS_SQL}, {_INSTANCE}, {_ROUTE_COSTS}, tot AS ({_ROUTE_TOTALS}), {_PARAMS}, c AS (SELECT *, (drive * drive_factor + (stops + retry_share * stops) * (20 + admin_minutes) + retry_share * stops * 5) / 60 * (supervisor_wage + purchaser_wage) * fringe AS labor, ((drive * drive_factor + retry_share * stops * 5) / 60 * 22 + routes * commute_miles) * mileage_rate AS mileage, (stops + retry_share * stops) * data_per_check AS data FROM tot JOIN par USING (scenario)) SELECT region, scenario, CAST(stops AS BIGINT) AS stops, routes, round((labor + mileage + data + training_fixed) * (1 + overhead_share), 2) AS total, round((labor + mileage + data) * (1 + overhead_share), 2) AS later_passes FROM c",
+    f"WITH RECURSIVE {POINTS_SQL}, {_INSTANCE}, {_ROUTE_COSTS}, tot AS ({_ROUTE_TOTALS}), {_PARAMS}, c AS (SELECT *, (drive * drive_factor + (stops + retry_share * stops) * (20 + admin_minutes) + retry_share * stops * 5) / 60 * (supervisor_wage + purchaser_wage) * fringe AS labor, ((drive * drive_factor + retry_share * stops * 5) / 60 * 22 + routes * commute_miles) * mileage_rate AS mileage, (stops + retry_share * stops) * data_per_check AS data FROM tot JOIN par USING (scenario)) SELECT region, scenario, CAST(stops AS BIGINT) AS stops, routes, round((labor + mileage + data + training_fixed) * (1 + overhead_share), 2) AS total, round((labor + mileage + data) * (1 + overhead_share), 2) AS later_passes FROM c",
 )
 def route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of the real routes of each region, in three scenarios of traffic (CV2 to CV4, CV7)."""
@@ -579,7 +664,7 @@ def route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cv6_risk_staged_cost",
-    f"WITH {POINTS_SQL}, {_INSTANCE}, tiers AS (SELECT region * 10 + ntile(2) OVER (PARTITION BY region ORDER BY prize DESC, id) AS region, id, x, y, cx, cy FROM inst), {routes_sql('inst', 'one')}, {routes_sql('tiers', 'two')}, a AS (SELECT region, count(*) AS routes, sum(minutes) AS minutes FROM {_times_sql('one')} GROUP BY 1), b AS (SELECT region // 10 AS region, count(*) AS staged_routes, sum(minutes) AS staged FROM {_times_sql('two')} GROUP BY 1) SELECT region, routes, staged_routes, round(minutes, 3) AS minutes, round(staged, 3) AS staged_minutes FROM a JOIN b USING (region)",
+    f"WITH RECURSIVE {POINTS_SQL}, {_INSTANCE}, tiers AS (SELECT region * 10 + ntile(2) OVER (PARTITION BY region ORDER BY prize DESC, id) AS region, id, x, y, cx, cy FROM inst), {routes_sql('inst', 'one')}, {routes_sql('tiers', 'two')}, a AS (SELECT region, count(*) AS routes, sum(minutes) AS minutes FROM {_times_sql('one')} GROUP BY 1), b AS (SELECT region // 10 AS region, count(*) AS staged_routes, sum(minutes) AS staged FROM {_times_sql('two')} GROUP BY 1) SELECT region, routes, staged_routes, round(minutes, 3) AS minutes, round(staged, 3) AS staged_minutes FROM a JOIN b USING (region)",
 )
 def risk_staged_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes by risk tier against routes over all stops: what staging costs in minutes (CV6)."""

@@ -5,9 +5,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkwarden.operators import routing as R
+from sparkwarden.operators import tours
 
 
 def frame(spark, n, seed, regions=2):
@@ -42,18 +44,24 @@ def paths(routes):
     return out
 
 
-@pytest.mark.parametrize("n, day", [(1, 480.0), (7, 200.0), (30, 300.0)])
-def test_routes_visit_all_once_on_the_fewest_equal_stretches_within_the_day(spark, n, day):
+@pytest.mark.parametrize("n, day", [(1, 480.0), (7, 200.0), (30, 300.0), (44, 170.0)])
+def test_routes_are_the_optimal_cut_of_the_sweep(spark, n, day):
     df = frame(spark, n, n)
     places, found = by_region(df), paths(R.split_routes(df, 1.0, day))
     for region, place in places.items():
         home = place["home"]
         order = sorted(place["at"], key=lambda i: (math.atan2(place["at"][i][1] - home[1], place["at"][i][0] - home[0]), i))
-        for k in range(1, len(order) + 1):
-            parts = [[int(i) for i in part] for part in np.array_split(order, k)]
-            if max(tour(p, place) + R.SERVICE * len(p) for p in parts) <= day + 1e-9:
-                break
-        assert [[r.id for r in v] for key, v in found.items() if key[0] == region] == parts
+        best = [(0, 0.0)]
+        for j in range(1, len(order) + 1):
+            tries = [(i, tour(order[i:j], place) + R.SERVICE * (j - i)) for i in range(j)]
+            best.append(min((best[i][0] + 1, best[i][1] + m) for i, m in tries if m <= day + 1e-9))
+        own = [[r.id for r in v] for key, v in sorted(found.items()) if key[0] == region]
+        assert [i for part in own for i in part] == order
+        spent = [tour(part, place) + R.SERVICE * len(part) for part in own]
+        assert max(spent) <= day + 1e-9 and (len(own), sum(spent)) == (best[-1][0], pytest.approx(best[-1][1]))
+        # never more routes than stretches of equal length need
+        equal = next(k for k in range(1, len(order) + 1) if max(tour(p, place) + R.SERVICE * len(p) for p in ([int(i) for i in q] for q in np.array_split(order, k))) <= day + 1e-9)
+        assert len(own) <= equal
     for (region, _), route in found.items():
         assert sum(r.leg + r.back for r in route) == pytest.approx(tour([r.id for r in route], places[region]))
 
@@ -157,3 +165,90 @@ def test_holidays_are_observed():
 def test_workdays(spark):
     days = [str(r.day) for r in R.workdays(spark, "2027-07-01", "2027-07-09").collect()]
     assert "2027-07-05" not in days and "2027-07-06" in days and len(days) == 6
+
+
+def directed(ids, place):
+    path = [place["home"], *[place["at"][i] for i in ids], place["home"]]
+    return sum(minutes(a, b) * (1.25 if b[0] > a[0] else 1) for a, b in zip(path, path[1:], strict=False))
+
+
+def test_directed_reversals_equal_a_loop_whatever_their_number(spark):
+    df = frame(spark, 26, 9)
+    # a bad start, so that more reversals are needed than one fold makes
+    start = R.with_legs(df.withColumn("route", F.lit(1)).withColumn("stop", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"))) - 1), "region", "route")
+    places, found, turns = by_region(df), paths(R.two_opt(start, R.eastward)), 0
+    for (region, route), rows in paths(start).items():
+        place, now = places[region], [r.id for r in rows]
+        while True:
+            cost = directed(now, place)
+            tries = [(cost - directed(now[:i] + now[i : j + 1][::-1] + now[j + 1 :], place), -i, -j) for i in range(len(now)) for j in range(i + 1, len(now))]
+            gain, i, j = max(tries)
+            if gain <= 1e-9:
+                break
+            now[-i : 1 - j] = now[-i : 1 - j][::-1]
+            turns += 1
+        own = [r.id for r in found[region, route]]
+        assert sorted(own) == sorted(now) and directed(own, place) == pytest.approx(directed(now, place))
+        assert directed(own, place) < directed([r.id for r in rows], place)
+    assert turns > 2 * tours.TURNS
+
+
+def matrix(spark, legs, prizes, service, must=(), region=1):
+    """A pool and its travel from a matrix whose first row and column are the depot."""
+    n = len(prizes)
+    pool = spark.createDataFrame([(region, i - 1, float(prizes[i]), float(service[i]), i in must) for i in range(1, n)], "region bigint, rank int, prize double, service double, must boolean")
+    travel = spark.createDataFrame([(region, i - 1, j - 1, float(legs[i][j])) for i in range(n) for j in range(n) if i != j], "region bigint, a int, b int, minutes double")
+    return pool, travel
+
+
+TOY = [[0, 10, 10, 30, 30], [10, 0, 5, 30, 30], [10, 5, 0, 30, 30], [30, 30, 30, 0, 5], [30, 30, 30, 5, 0]]
+
+
+def test_toy_plans_floors_and_an_impossible_floor(spark):
+    pool, travel = matrix(spark, TOY, [0, 5, 6, 20, 1], [0, 2, 2, 2, 2])
+    plan = lambda day, k=1, **o: tours.team_plans(pool, travel, [(4, k, day)], **o).first()
+    got = plan(30.0)
+    assert got.prize == 11 and sorted(got.routes[0]) == [0, 1] and got.minutes == 29
+    assert plan(70.0).prize >= 21
+    both = plan(70.0, 2)
+    assert both.prize == 32 and sorted(sorted(r) for r in both.routes) == [[0, 1], [2, 3]]
+    pool, travel = matrix(spark, TOY, [0, 5, 6, 20, 1], [0, 2, 2, 2, 2], must=(4,))
+    got = tours.team_plans(pool, travel, [(4, 1, 70.0)], floor=1).first()
+    assert 3 in got.routes[0] and got.prize == 21
+    with pytest.raises(Exception, match="no plan meets the floor"):
+        tours.team_plans(pool, travel, [(4, 1, 30.0)], floor=1).collect()
+    assert tours.team_plans(pool, travel, [(4, 1, 30.0)], floor=1, strict=False).count() == 0
+
+
+def test_tours_equal_all_orders_under_directed_travel(spark):
+    rng = np.random.default_rng(11)
+    legs = rng.random((6, 6)) * 30 + 1
+    pool, travel = matrix(spark, legs, [0, *range(1, 6)], [0] + [3] * 5)
+    found = {r["mask"]: r for r in tours.best_tours(pool, travel).collect()}
+    assert len(found) == 31
+    for mask, r in found.items():
+        ids = [i for i in range(5) if mask >> i & 1]
+        cost = lambda order: legs[0][order[0] + 1] + sum(legs[a + 1][b + 1] for a, b in zip(order, order[1:], strict=False)) + legs[order[-1] + 1][0] + 3 * len(order)
+        assert r.minutes == pytest.approx(min(map(cost, itertools.permutations(ids)))) and r.minutes == pytest.approx(cost(r.path)) and r.size == len(ids)
+
+
+def test_team_plans_equal_all_deals_and_beat_batches(spark):
+    df = frame(spark, 9, 12, 1)
+    pool = R.pool_of(df, 7)
+    place, rows = by_region(df)[0], sorted(pool.collect(), key=lambda r: r["rank"])
+    grid = [(b, k, d) for b in (2, 4, 7) for k in (1, 2) for d in (90.0, 200.0)]
+    cost = {s: min(tour([rows[i].id for i in o], place) for o in itertools.permutations(s)) + R.SERVICE * len(s) if s else 0.0 for n in range(8) for s in itertools.combinations(range(7), n)}
+    for r in tours.team_plans(pool, tours.planar_travel(pool, R.leg), grid).collect():
+        want = 0.0
+        for deal in itertools.product(range(3 if r.teams == 2 else 2), repeat=7):
+            sets = [tuple(i for i in range(7) if deal[i] == t) for t in (1, 2)]
+            if sum(map(len, sets)) <= r.budget and all(cost[s] <= r.day for s in sets):
+                want = max(want, sum(rows[i].prize for s in sets for i in s))
+        assert r.prize == pytest.approx(want)
+        assert sorted({i for route in r.routes for i in route}) == sorted(i for route in r.routes for i in route) and r.stops == sum(map(len, r.routes))
+    prize = {r.id: r.prize for r in rows}
+    heuristic = {}
+    for r in R.ranked_batches(pool.drop("rank"), tuple(grid)).collect():
+        heuristic[r.budget, r.teams, r.day] = heuristic.get((r.budget, r.teams, r.day), 0) + prize[r.id]
+    best = {(r.budget, r.teams, r.day): r.prize for r in tours.team_plans(pool, tours.planar_travel(pool, R.leg), grid).collect()}
+    assert all(best[k] >= v - 1e-9 for k, v in heuristic.items())
