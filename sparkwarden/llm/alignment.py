@@ -5,9 +5,10 @@ intersection: each end of the shorter list drives an exponential and then a bina
 search stopped.  Common offsets cut both sequences into groups; within them the tokens whose byte ranges overlap are a range of
 ranks, from the rank of a token's start to that of its end.
 
-Neither tokenizer joins a blank to the character before it (``Pair`` checks this on both vocabularies), so a text is cut in front
-of each run of blanks and every distinct chunk is encoded and aligned once while it stays in a worker's bounded store.  Texts with other
-characters that separate words, and vocabularies that fail the check, are aligned whole.
+Neither tokenizer joins a blank, or what is no letter, to a letter before it (``Pair`` checks this on its pieces; the pattern of the other
+cuts there), so a text is cut in front of runs of blanks and behind runs of letters, and every distinct chunk is encoded and aligned once
+while it stays in a worker's bounded store.  Texts with characters beyond European ones are cut at blanks alone; those with other
+characters that separate words, and all texts if the pieces fail the check, are aligned whole.
 
 Counts of id pairs take two passes.  The first counts chunks in each task and sums the links of the distinct ones.  At most ``KNOWN``
 pairs can make up more than a ``KNOWN``-th of all links: those are broadcast, and the second pass sums their counts by
@@ -24,30 +25,38 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.bpe import codec, vocabulary_path
+from sparkwarden.llm.bpe import PATTERN, codec, vocabulary_path
 from sparkwarden.llm.common import cut, map_texts, table, text_column
 
 #: Pairs of ids whose counts are broadcast at most: 9 MB.
 KNOWN = 1 << 19
-#: Aligned chunks that a worker keeps, and letters of one at most; when the store is full it is emptied.
-STORE, STORED_LETTERS = 250_000, 48
+#: Aligned chunks that a worker keeps in each of two generations, and letters of one at most.
+STORE, STORED_LETTERS = 300_000, 48
 #: Distinct chunks that a task counts before it hands on their links.
 COUNTED = 300_000
-#: Chunks begin with blanks of this kind and end before the next.
-_CHUNKS = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: Other characters that one of the tokenizers takes for a blank.
-_OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2581]")
+_BLANKS, _LETTERS = " \t\n\x0b\x0c", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Chunks begin with blanks and end before the next; finer ones also end behind letters.
+_CHUNKS = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
+_FINE = re.compile(f"[{_BLANKS}]*(?:[^{_BLANKS}{_LETTERS}]*[{_LETTERS}]+|[^{_BLANKS}{_LETTERS}]+)|[{_BLANKS}]+")
+#: Other characters that one of the tokenizers takes for a blank or joins to what stands before.
+_OTHER_BLANKS = re.compile("[\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2581]")
+#: Characters that may be letters or belong to one.
+_OTHER = re.compile(f"[^\x00-\x7f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7{_LETTERS[6:]}\u2010-\u2027]")
 
 
 class Aligned(NamedTuple):
@@ -77,26 +86,31 @@ def gallop(short: Sequence[int], long: Sequence[int]) -> list[tuple[int, int]]:
     return found
 
 
-def align(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> Aligned:
-    """The groups and links of two token sequences over the same bytes."""
+def align(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int], names_a: Sequence[str], names_b: Sequence[str]) -> Aligned:
+    """The groups and links of two token sequences over the same bytes; ``names``: the ids in decimal."""
     common = gallop(ends_a, ends_b) if len(ends_a) <= len(ends_b) else [(i, j) for j, i in gallop(ends_b, ends_a)]
-    groups, links, from_a, from_b = [], [], 0, 0
+    spelled, links, from_a, from_b = [], [], 0, 0
     for last_a, last_b in common:
-        own_a, own_b = ids_a[from_a : last_a + 1], ids_b[from_b : last_b + 1]
-        groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-        if len(own_a) == 1 or len(own_b) == 1:
-            links += [a << 32 | b for a in own_a for b in own_b]
+        if last_a == from_a and last_b == from_b:
+            a, b = ids_a[from_a], ids_b[from_b]
+            spelled.append(f"{names_a[a]}|{names_b[b]}")
+            links.append(a << 32 | b)
         else:
-            start = ends_a[from_a - 1] if from_a else 0
-            for k, a in enumerate(own_a):
-                end = ends_a[from_a + k]
-                # tokens of the other kind that end behind this one's start, up to the first that ends at or behind its end
-                first = bisect_right(ends_b, start, from_b, last_b + 1)
-                last = bisect_left(ends_b, end, first, last_b + 1)
-                links += [a << 32 | b for b in ids_b[first : last + 1]]
-                start = end
+            own_a, own_b = ids_a[from_a : last_a + 1], ids_b[from_b : last_b + 1]
+            spelled.append(f"{','.join([names_a[a] for a in own_a])}|{','.join([names_b[b] for b in own_b])}")
+            if last_a == from_a or last_b == from_b:
+                links += [a << 32 | b for a in own_a for b in own_b]
+            else:
+                start = ends_a[from_a - 1] if from_a else 0
+                for k, a in enumerate(own_a):
+                    end = ends_a[from_a + k]
+                    # tokens of the other kind that end behind this one's start, up to the first that ends at or behind its end
+                    first = bisect_right(ends_b, start, from_b, last_b + 1)
+                    last = bisect_left(ends_b, end, first, last_b + 1)
+                    links += [a << 32 | b for b in ids_b[first : last + 1]]
+                    start = end
         from_a, from_b = last_a + 1, last_b + 1
-    return Aligned(len(ids_a), len(ids_b), len(groups), ";".join(groups), np.array(links, np.int64).tobytes())
+    return Aligned(len(ids_a), len(ids_b), len(spelled), ";".join(spelled), array("q", links).tobytes())
 
 
 def _token_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
@@ -114,68 +128,79 @@ class Pair:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = codec(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = _token_bytes(self.b)
+        self.names_a, self.names_b = [str(i) for i in range(len(self.a.bytes_of))], [str(i) for i in range(len(self.bytes_b))]
+        # where ids are in the order of merging they are ranks, and a compiled encoder gives the same ids for chunks
+        ranks = {raw: i for i, raw in enumerate(self.a.bytes_of) if raw}
+        merges = [i for i, r in sorted(enumerate(self.a.rank), key=lambda x: x[1]) if r >= 0]
+        ordered = merges == sorted(merges) and all(len(raw) > 1 or i < merges[0] for raw, i in ranks.items())
+        self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ordered else None
         self.sizes_a, self.sizes_b = [len(t) for t in self.a.bytes_of], [len(t) for t in self.bytes_b]
-        joined = re.compile("[^▁\\s][▁\\s]")
-        #: Whether no piece has a blank behind another character.
-        self.cuts = not any(joined.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        self.blank = self.b.piece_to_id("▁")
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))]
+        inside = lambda pattern: any(re.search(pattern, p) for p in pieces)
+        #: Whether no piece has a blank, or else what is no letter, behind a letter or mark.
+        self.cuts = not inside(f"[^▁{_BLANKS}][▁{_BLANKS}]")
+        self.fine = self.cuts and not inside(f"[{_LETTERS}][^{_LETTERS}]")
+        self.before = self.b.encode("a")
         self.store: dict[str, Aligned | None] = {}
+        self.older: dict[str, Aligned | None] = {}
 
     def chunks(self, text: str) -> list[str]:
         """A space and the text, cut where both tokenizers cut whatever stands around."""
         text = f" {text}"
         if not self.cuts or _OTHER_BLANKS.search(text):
             return [text]
-        return _CHUNKS.findall(text)
+        return (_FINE if self.fine and not _OTHER.search(text) else _CHUNKS).findall(text)
 
     def ids_a(self, chunk: str) -> list[int]:
-        words = self.a.pattern.findall(chunk)
-        return np.frombuffer(b"".join(map(self.a.as_ids.__getitem__, words)), np.int32).tolist()
+        if self.quick is not None:
+            return self.quick(chunk)
+        return array("i", b"".join(map(self.a.as_ids.__getitem__, self.a.pattern.findall(chunk)))).tolist()
 
     def made(self, chunks: list[str]) -> list[Aligned | None]:
         """Each chunk aligned; None where its tokens do not spell it."""
-        plain = [c[0] == " " for c in chunks]
-        all_b = self.b.encode([c[1:] if p else c for c, p in zip(chunks, plain, strict=True)], num_threads=1)
+        # the model puts a blank before each: instead of the chunk's own, or before a letter that goes again
+        all_b = self.b.encode([c[1:] if c[0] == " " and c != " " else f"a{c}" for c in chunks], num_threads=1)
         out: list[Aligned | None] = []
-        for chunk, own, ids_b in zip(chunks, plain, all_b, strict=True):
-            if not own:  # the model has put a blank before it
-                if ids_b[:1] != [self.blank]:
+        for chunk, ids_b in zip(chunks, all_b, strict=True):
+            if chunk[0] != " " or chunk == " ":
+                if ids_b[: len(self.before)] != self.before:
                     out.append(None)
                     continue
-                del ids_b[0]
-            elif chunk == " ":
-                ids_b = [self.blank]
+                del ids_b[: len(self.before)]
             ids_a, raw = self.ids_a(chunk), chunk.encode("utf-8", "surrogatepass")
             if b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw or b"".join(map(self.a.bytes_of.__getitem__, ids_a)) != raw:
                 out.append(None)
                 continue
-            ends_a = np.cumsum([self.sizes_a[i] for i in ids_a]).tolist()
-            ends_b = np.cumsum([self.sizes_b[i] for i in ids_b]).tolist()
-            out.append(align(ids_a, ends_a, ids_b, ends_b))
+            out.append(align(ids_a, list(accumulate(map(self.sizes_a.__getitem__, ids_a))), ids_b, list(accumulate(map(self.sizes_b.__getitem__, ids_b))), self.names_a, self.names_b))
         return out
 
     def of(self, chunks: list[str]) -> dict[str, Aligned | None]:
         """A table that holds all these chunks."""
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.store]
+        store, older = self.store, self.older
+        missing = [c for c in dict.fromkeys(chunks) if c not in store]
         if not missing:
-            return self.store
-        got = dict(zip(missing, self.made(missing), strict=True))
-        if len(self.store) > STORE:
-            self.store.clear()
-            return {c: got[c] if c in got else self.made([c])[0] for c in dict.fromkeys(chunks)}
-        short = {c: x for c, x in got.items() if len(c) <= STORED_LETTERS}
-        self.store.update(short)
-        return self.store if len(short) == len(got) else _Both(self.store, got)
+            return store
+        got = {c: older[c] for c in missing if c in older}
+        if len(got) < len(missing):
+            missing = [c for c in missing if c not in got]
+            got.update(zip(missing, self.made(missing), strict=True))
+        store.update({c: x for c, x in got.items() if len(c) <= STORED_LETTERS})
+        known = store if max(map(len, got)) <= STORED_LETTERS else _Both(store, got)
+        if len(store) > STORE:
+            self.older, self.store = store, {}
+        return known
 
     def text(self, text: str) -> list[Aligned] | None:
         """The chunks of a text, aligned; None if it has no tokens."""
         chunks = self.chunks(text) if text else []
         if not chunks:
             return None
-        known = self.of(chunks)
-        found = [known[c] for c in chunks]
+        try:
+            found = list(map(self.store.__getitem__, chunks))
+        except KeyError:
+            found = list(map(self.of(chunks).__getitem__, chunks))
         if None in found:
-            # the text as a whole may still be spelled, if cut otherwise
+            # the text as a whole may still be spelled
             return found if len(chunks) > 1 and None not in (found := self.made([f" {text}"])) else None
         return found
 
@@ -198,48 +223,47 @@ def pair(path_a: str, path_b: str) -> Pair:
 
 
 def _links(found: list[Aligned]) -> np.ndarray:
-    return np.frombuffer(b"".join([x.links for x in found]), np.int64)
+    return np.frombuffer(b"".join(map(itemgetter(4), found)), np.int64)
 
 
 def link_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """(pair, n): for each pair of ids a << 32 | b how many links hold it."""
+    """(pair, n): for each pair of ids a << 32 | b how many links hold it.
+
+    A task counts how often it meets each chunk, and hands on the links of the distinct ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = pair(vocabulary_path(path_a), vocabulary_path(path_b)), Counter()
+        own, seen, held = pair(vocabulary_path(path_a), vocabulary_path(path_b)), Counter(), {}
         whole: list[np.ndarray] = []
 
         def handed() -> Iterator[pa.RecordBatch]:
-            names = list(seen)
-            keys, counts = [], []
-            for lo in range(0, len(names), 20_000):
-                some = names[lo : lo + 20_000]
-                known = own.of(some)
-                aligned = [known[c] for c in some]
-                keys.append(_links(aligned))
-                counts.append(np.repeat([seen[c] for c in some], [len(x.links) // 8 for x in aligned]))
-            keys += whole
-            counts += [np.ones(len(w), np.int64) for w in whole]
-            if keys and sum(map(len, keys)):
-                key, at = np.unique(np.concatenate(keys), return_inverse=True)
-                n = np.bincount(at, np.concatenate(counts).astype(np.float64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+            aligned = [held[c] for c in seen]
+            keys = np.concatenate([_links(aligned), *whole])
+            counts = np.concatenate([np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x[4]) // 8 for x in aligned]), np.ones(len(keys), np.int64)])[: len(keys)]
+            if len(keys):
+                order = np.argsort(keys)
+                keys, counts = keys[order], counts[order]
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.add.reduceat(counts, first))], names=["pair", "n"])
             seen.clear()
+            held.clear()
             whole.clear()
 
         for batch in batches:
             for t in text_column(batch.column(0)).to_pylist():
                 if not (chunks := own.chunks(t) if t else []):
                     continue
-                known = own.of(chunks)
-                if not all(map(known.__getitem__, chunks)):
+                new = {c: None for c in chunks if c not in held}
+                if new:
+                    known = own.of(list(new))
+                    new = {c: known[c] for c in new}
+                if None in new.values() or any(len(c) > STORED_LETTERS for c in new):
                     if (found := own.text(t)) is not None:
                         whole.append(_links(found))
-                elif len(max(chunks, key=len)) <= STORED_LETTERS:
-                    seen.update(chunks)
                 else:
-                    seen.update([c for c in chunks if len(c) <= STORED_LETTERS])
-                    whole.append(_links([known[c] for c in chunks if len(c) > STORED_LETTERS]))
-                if len(seen) > COUNTED or sum(map(len, whole[-1:])) > COUNTED or len(whole) > 1000:
+                    held.update(new)
+                    seen.update(chunks)
+                if len(seen) > COUNTED or sum(map(len, whole)) > 8 * COUNTED or len(whole) > 1000:
                     yield from handed()
         yield from handed()
 
@@ -287,8 +311,8 @@ def align_documents(docs: DataFrame, path_a: str = "byte_bpe_50k.json", path_b:
                     hit = place < len(pairs)
                     hit[hit] = pairs[place[hit]] == links[hit]
                     place = place[hit]
-                    groups = ";".join([x.spelled for x in found])
-                    numbers.append([sum([x.n_a for x in found]), sum([x.n_b for x in found]), sum([x.n_groups for x in found]), len(links), int(bests[place].sum()), int(ns[place].sum())])
+                    groups = ";".join(map(itemgetter(3), found))
+                    numbers.append([*(sum(map(itemgetter(i), found)) for i in range(3)), len(links), int(bests[place].sum()), int(ns[place].sum())])
                     shas.append(hashlib.sha256(groups.encode()).hexdigest())
                     spelled.append(groups if with_groups else "")
                     rest.append(links[~hit])
