@@ -366,15 +366,16 @@ def named_plans(pool: DataFrame, plans: DataFrame) -> DataFrame:
     return plans.join(ids, "region").withColumn("routes", named).drop("ids")
 
 
-def _team_sql(pool: str, grid, floor: int = 0) -> str:
-    """SQL of the best plans over a pool (region, r, id, x, y, prize, cx, cy, must): region, budget, teams, day, stops, prize, minutes."""
-    budgets, days = sorted({b for b, _, _ in grid}), sorted({d for _, _, d in grid}, reverse=True)
+def _team_sql(pool: str, grid, floor: int = 0, tag: str = "") -> str:
+    """SQL of the best plans over a pool (region, r, id, x, y, prize, cx, cy, must): region, budget, teams, day, stops, prize, minutes, and the sets of both teams with their minutes."""
+    budgets, days, teams = sorted({b for b, _, _ in grid}), sorted({d for _, _, d in grid}, reverse=True), sorted({k for _, k, _ in grid})
     values = lambda xs: ", ".join(f"({x})" for x in xs)
-    return f"""path(region, mask, last, len) AS (SELECT region, 1 << r, r, {_LEG.format('cx', 'cy', 'x', 'y')} + {SERVICE} FROM {pool} UNION ALL SELECT p.region, p.mask | (1 << u.r), u.r, min(p.len + {_GROW} + {SERVICE}) FROM path p JOIN {pool} t ON t.region = p.region AND t.r = p.last JOIN {pool} u ON u.region = p.region AND (p.mask & (1 << u.r)) = 0 WHERE bit_count(p.mask) < {max(budgets)} GROUP BY 1, 2, 3),
- whole AS (SELECT p.region, p.mask, min(p.len + {_LEG.format('t.x', 't.y', 't.cx', 't.cy')}) AS minutes FROM path p JOIN {pool} t ON t.region = p.region AND t.r = p.last GROUP BY 1, 2),
- tour AS (SELECT w.region, w.mask, any_value(w.minutes) AS minutes, round(sum(t.prize), 9) AS prize, sum(t.must) AS due, count(*) AS size FROM whole w JOIN {pool} t ON t.region = w.region AND (w.mask & (1 << t.r)) > 0 GROUP BY 1, 2 UNION ALL SELECT DISTINCT region, 0, 0, 0, 0, 0 FROM {pool}),
- plan AS (SELECT region, 1 AS used, size, prize, due, minutes, minutes AS longest FROM tour UNION ALL SELECT a.region, 2, a.size + b.size, round(a.prize + b.prize, 9), a.due + b.due, a.minutes + b.minutes, greatest(a.minutes, b.minutes) FROM tour a JOIN tour b ON b.region = a.region AND (a.mask & b.mask) = 0 AND a.mask > b.mask AND b.mask > 0 AND a.size + b.size <= {max(budgets)}),
- best AS (SELECT region, budget, teams, day, max(prize) AS prize, arg_max(size, (prize, -round(minutes, 7), -used)) AS stops, arg_max(minutes, (prize, -round(minutes, 7), -used)) AS minutes FROM plan, (VALUES {values(budgets)}) b(budget), (VALUES (1), (2)) k(teams), (VALUES {values(f'{d}::DOUBLE' for d in days)}) d(day) WHERE size <= budget AND used <= teams AND longest <= day + 1e-9 AND due >= {floor} GROUP BY 1, 2, 3, 4)"""
+    path, whole, tour, plan, best = (f"{n}{tag}" for n in ("path", "whole", "tour", "plan", "best"))
+    return f"""{path}(region, mask, last, len) AS (SELECT region, 1 << r, r, {_LEG.format('cx', 'cy', 'x', 'y')} + {SERVICE} FROM {pool} UNION ALL SELECT p.region, p.mask | (1 << u.r), u.r, min(p.len + {_GROW} + {SERVICE}) FROM {path} p JOIN {pool} t ON t.region = p.region AND t.r = p.last JOIN {pool} u ON u.region = p.region AND (p.mask & (1 << u.r)) = 0 WHERE bit_count(p.mask) < {max(budgets)} GROUP BY 1, 2, 3),
+ {whole} AS (SELECT p.region, p.mask, min(p.len + {_LEG.format('t.x', 't.y', 't.cx', 't.cy')}) AS minutes FROM {path} p JOIN {pool} t ON t.region = p.region AND t.r = p.last GROUP BY 1, 2),
+ {tour} AS (SELECT w.region, w.mask, any_value(w.minutes) AS minutes, round(sum(t.prize), 9) AS prize, sum(t.must) AS due, count(*) AS size FROM {whole} w JOIN {pool} t ON t.region = w.region AND (w.mask & (1 << t.r)) > 0 GROUP BY 1, 2 UNION ALL SELECT DISTINCT region, 0, 0::DOUBLE, 0::DOUBLE, 0, 0 FROM {pool}),
+ {plan} AS (SELECT region, 1 AS used, size, prize, due, minutes, minutes AS longest, mask AS a, 0 AS b, minutes AS ma, 0::DOUBLE AS mb FROM {tour} UNION ALL SELECT a.region, 2, a.size + b.size, round(a.prize + b.prize, 9), a.due + b.due, a.minutes + b.minutes, greatest(a.minutes, b.minutes), a.mask, b.mask, a.minutes, b.minutes FROM {tour} a JOIN {tour} b ON b.region = a.region AND (a.mask & b.mask) = 0 AND (a.mask & -a.mask) < (b.mask & -b.mask) AND a.mask > 0 AND a.size + b.size <= {max(budgets)}),
+ {best} AS (SELECT *, p.stops AS stops, p.minutes AS minutes FROM (SELECT region, budget, teams, day, max(prize) AS prize, arg_max(struct_pack(stops := size, minutes := minutes, a := a, b := b, ma := ma, mb := mb), (prize, -round(minutes, 7), -used)) AS p FROM {plan}, (VALUES {values(budgets)}) b(budget), (VALUES {values(teams)}) k(teams), (VALUES {values(f'{d}::DOUBLE' for d in days)}) d(day) WHERE size <= budget AND used <= teams AND longest <= day + 1e-9 AND due >= {floor} GROUP BY 1, 2, 3, 4))"""
 
 
 _POOL = f"pool AS (SELECT * REPLACE (CAST(r - 1 AS INTEGER) AS r), 0 AS must FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY prize DESC, id) AS r FROM inst) WHERE r <= {tours.POOL})"
@@ -440,6 +441,68 @@ def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done
 
 
+#: Cycles of the team horizon, and each one's budget, teams and day.
+CYCLES, CYCLE = 3, (6, 2, 240.0)
+
+
+def team_horizon(rows: DataFrame, cycles: int = CYCLES, setting: tuple[int, int, float] = CYCLE, floor: int = FLOOR) -> DataFrame:
+    """(region, cycle, team, stop, id, prize, minutes): exact team plans of successive cycles, no stop twice in the horizon (RT10).
+
+    Every cycle draws prizes anew, takes the pool of the highest among the stops that no cycle before has visited, and plans
+    routes that fit into the day; of ``DUE`` random stops of the pool at least ``floor`` are visited.  A region whose floor no plan
+    meets has no stops in that cycle.  minutes are those of the whole route.
+    """
+    left, done = settled(rows), None
+    for cycle in range(cycles):
+        pool = pool_of(left.withColumn("prize", F.col("prize") * (0.8 + 0.4 * uniform("cycle", F.lit(cycle), "id"))))
+        due = F.row_number().over(Window.partitionBy("region").orderBy(uniform("forced", F.lit(cycle), "id"), "id")) <= DUE
+        pool = settled(pool.withColumn("must", due))
+        plans = tours.team_plans(pool, tours.planar_travel(pool, leg), [setting], floor, strict=False)
+        each = named_plans(pool, plans).select("region", F.posexplode("routes").alias("team", "ids")).select("region", F.lit(cycle).alias("cycle"), (F.col("team") + 1).alias("team"), F.posexplode("ids").alias("stop", "id"))
+        legs = with_legs(each.join(pool.select("region", "id", "prize", "x", "y", "cx", "cy"), ["region", "id"]), "region", "cycle", "team")
+        total = F.sum(F.col("leg") + F.col("back") + SERVICE).over(Window.partitionBy("region", "cycle", "team"))
+        some = settled(legs.select("region", "cycle", "team", "stop", "id", "prize", total.alias("minutes")))
+        done = some if done is None else done.unionByName(some)
+        if cycle + 1 < cycles:
+            new = settled(left.join(some.select("region", "id"), ["region", "id"], "left_anti"))
+            forget(left)
+            left = new
+    return done
+
+
+def _horizon_sql() -> str:
+    parts, picks = [], []
+    for c in range(CYCLES):
+        seen = " UNION ALL ".join(f"SELECT region, id FROM pick{k}" for k in range(c))
+        left = f"(SELECT * FROM inst ANTI JOIN ({seen}) USING (region, id))" if c else "inst"
+        score = f"prize * (0.8 + 0.4 * {uniform_sql('cycle', str(c), 'id')})"
+        parts.append(f"""score{c} AS (SELECT region, id, x, y, cx, cy, {score} AS prize FROM {left}), ranked{c} AS (SELECT * REPLACE (CAST(r - 1 AS INTEGER) AS r) FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY prize DESC, id) AS r FROM score{c}) WHERE r <= {tours.POOL}),
+ pool{c} AS (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY {uniform_sql('forced', str(c), 'id')}, id) <= {DUE} AS INTEGER) AS must FROM ranked{c}), {_team_sql(f'pool{c}', [CYCLE], FLOOR, str(c))},
+ pick{c} AS (SELECT b.region, {c} AS cycle, CASE WHEN (b.p.a & (1 << t.r)) > 0 THEN 1 ELSE 2 END AS team, t.id, t.prize, CASE WHEN (b.p.a & (1 << t.r)) > 0 THEN b.p.ma ELSE b.p.mb END AS minutes FROM best{c} b JOIN pool{c} t ON t.region = b.region AND ((b.p.a | b.p.b) & (1 << t.r)) > 0)""")
+        picks.append(f"SELECT * FROM pick{c}")
+    return f"WITH RECURSIVE {POINTS_SQL}, {_INSTANCE}, {', '.join(parts)} SELECT region, cycle, team, id, round(prize, 6) AS prize, round(minutes, 5) AS minutes FROM ({' UNION ALL '.join(picks)})"
+
+
+@query("rt10_team_horizon", _horizon_sql())
+def team_horizon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cycles of two teams within a day of four hours: who is visited when, and how long each route takes (RT10)."""
+    out = team_horizon(instance(spark, sf_dir))
+    return out.select("region", "cycle", "team", "id", F.round("prize", 6).alias("prize"), F.round("minutes", 5).alias("minutes"))
+
+
+@query("rt11_team_sheet")
+def team_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The team horizon as route sheets: the order of stops, when each is done, and a workday of the cycle for each route (RT9, RT10, RT11)."""
+    done = team_horizon(instance(spark, sf_dir)).join(instance(spark, sf_dir).select("region", "id", "x", "y", "cx", "cy"), ["region", "id"])
+    w = Window.partitionBy("region", "cycle", "team")
+    timed = with_legs(done, "region", "cycle", "team").withColumn("done_at", F.sum(F.col("leg") + SERVICE).over(w.orderBy("stop").rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.add_months(F.to_date(F.lit("1996-01-01")), F.col("cycle"))
+    days = workdays(spark, "1996-01-01", "1996-03-28").withColumn("month", F.trunc("day", "month")).withColumn("n", F.row_number().over(Window.partitionBy(F.trunc("day", "month")).orderBy("day")))
+    turn = 1 + F.floor(10 * uniform("workday", "region", "cycle", "team")).cast("int")
+    dated = timed.withColumn("month", first).withColumn("n", turn).join(F.broadcast(days.where("n <= 10")), ["month", "n"])  # ten a cycle
+    return dated.select("region", "cycle", "team", "day", (F.col("stop") + 1).alias("stop"), "id", F.round("prize", 6).alias("prize"), F.round("done_at", 4).alias("done_at"), F.round("minutes", 4).alias("minutes"))
+
+
 _TEAM = "PARTITION BY region, cycle, team ORDER BY stop"
 
 
