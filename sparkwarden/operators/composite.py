@@ -17,7 +17,7 @@ from sparkwarden.operators.relational import first_crossing, lift_at
 from sparkwarden.operators.routing import COSTS, SCENARIOS, cost_lines
 from sparkwarden.operators.simulation import truth_draws
 from sparkwarden.operators.spatial import as_right, point_in_polygon, polygons, within_distance
-from sparkwarden.plans.registry import query
+from sparkwarden.plans.registry import ORACLES, query
 from sparkwarden.sources.shared import settled
 from sparkwarden.sources.tables import CHECKS, LICENCES, POINTS_SQL, STORES, checks, licences, points, stores, table
 
@@ -162,6 +162,73 @@ def policy_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_lines(totals).select("policy", "share", F.col("checks").cast("bigint").alias("checks"), F.round("coverage", 6).alias("coverage"), F.round("events", 4).alias("events"), F.round("found", 4).alias("found"), F.round("se", 5).alias("se"), F.round(cost, 2).alias("cost"), F.round(F.try_divide(cost, F.col("found")), 4).alias("per_violator"))
 
 
+#: The capped plan that others are held against, and the options: name, policy and share of a census in checks.
+CAPPED = ("targeted", 0.1)
+OPTIONS = (("census floor", "random", 1.0), ("census floor and second pass", "targeted", 1.25))
+#: How much of what a plan finds deters: name, strength and power of the share of violators that it finds.
+DETERRENCE = (("none", 0.0, 1.0), ("proportional", 0.25, 1.0), ("early", 0.5, 0.5), ("late", 0.5, 2.0), ("strong", 0.9, 1.0))
+#: Fixed value: the yearly award that pays for checks, in dollars.
+AWARD = 1159731
+_FRONTIER = f"f AS ({ORACLES['sm10_policy_frontier']}), base AS (SELECT * FROM f WHERE policy = '{CAPPED[0]}' AND share = {CAPPED[1]}::DOUBLE), opt AS (SELECT name, f.* FROM f JOIN (VALUES {', '.join(f"('{n}', '{p}', {x}::DOUBLE)" for n, p, x in OPTIONS)}) o(name, policy, share) USING (policy, share))"
+
+
+def against_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The options of the frontier, each with the capped plan's figures; without that row the query fails."""
+    f = settled(policy_frontier(spark, sf_dir))  # two policies times seven budgets
+    named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("policy"), F.lit(x).alias("share")) for n, p, x in OPTIONS])
+    options = spark.range(1).select(F.inline(named))
+    columns = ("checks", "found", "cost", "events", "coverage")
+    base = f.where((F.col("policy") == CAPPED[0]) & (F.col("share") == CAPPED[1])).agg(F.count("*").alias("k"), *(F.first(c).alias(f"b_{c}") for c in columns))
+    rows = f.join(F.broadcast(options), ["policy", "share"]).join(F.broadcast(base))
+    return rows.where(F.coalesce(F.assert_true(F.col("k") == 1, "no row of the capped plan").isNull(), F.lit(False)))
+
+
+@query("cv8_marginal_cost", f"WITH {_FRONTIER} SELECT name AS option, o.checks, o.cost, o.checks - b.checks AS d_checks, round(o.cost - b.cost, 2) AS d_cost, round((o.cost - b.cost) / nullif(o.checks - b.checks, 0), 4) AS per_check, round(o.found - b.found, 4) AS d_found, round((o.cost - b.cost) / nullif(o.found - b.found, 0), 4) AS per_violator FROM opt o, base b")
+def marginal_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the census and its second pass cost beyond the capped plan, a check and a violator (CV8)."""
+    d = lambda c: F.col(c) - F.col(f"b_{c}")
+    return against_capped(spark, sf_dir).select(F.col("name").alias("option"), "checks", "cost", d("checks").alias("d_checks"), F.round(d("cost"), 2).alias("d_cost"), F.round(F.try_divide(d("cost"), d("checks")), 4).alias("per_check"), F.round(d("found"), 4).alias("d_found"), F.round(F.try_divide(d("cost"), d("found")), 4).alias("per_violator"))
+
+
+@query(
+    "cv9_break_even",
+    f"""WITH {_FRONTIER}, t AS (SELECT max(events) AS total FROM f WHERE policy = 'random' AND share = 1), g AS (SELECT o.name, r.response, o.cost - b.cost AS d_cost, b.cost AS b_cost, total, strength * pow(b.found / total, power) AS capped, strength * pow(least(o.found / total, 1), power) AS reached FROM opt o, base b, t, (VALUES {', '.join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in DETERRENCE)}) r(response, strength, power)),
+ h AS (SELECT *, 100 * capped / b_cost * d_cost AS required, 100 * (reached - capped) AS achieved, (reached - capped) * total AS prevented FROM g)
+ SELECT name AS option, response, round(required, 5) AS required_points, round(achieved, 5) AS achieved_points, CASE WHEN required > 1e-9 THEN round(achieved / required, 5) END AS achieved_over_required, CASE WHEN achieved > 1e-9 THEN round(d_cost / achieved, 3) END AS per_point, CASE WHEN prevented > 1e-9 THEN round(d_cost / prevented, 3) END AS per_prevented FROM h""",
+)
+def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an option's further dollars must buy to match the capped plan, and buy, per assumed deterrence (CV9)."""
+    grid = F.array(*[F.struct(F.lit(n).alias("response"), F.lit(a).alias("strength"), F.lit(b).alias("power")) for n, a, b in DETERRENCE])
+    f = policy_frontier(spark, sf_dir).where("policy = 'random' AND share = 1").agg(F.max("events").alias("total"))
+    g = against_capped(spark, sf_dir).join(F.broadcast(f)).select("*", F.inline(grid)).withColumn("d_cost", F.col("cost") - F.col("b_cost"))
+    effect = lambda share: F.col("strength") * F.pow(share, F.col("power"))
+    g = g.withColumns({"capped": effect(F.col("b_found") / F.col("total")), "reached": effect(F.least(F.col("found") / F.col("total"), F.lit(1.0)))})
+    g = g.withColumns({"required": 100 * F.col("capped") / F.col("b_cost") * F.col("d_cost"), "achieved": 100 * (F.col("reached") - F.col("capped")), "prevented": (F.col("reached") - F.col("capped")) * F.col("total")})
+    part = lambda a, b, digits: F.when(F.col(b) > 1e-9, F.round(F.col(a) / F.col(b), digits))
+    return g.select(F.col("name").alias("option"), "response", F.round("required", 5).alias("required_points"), F.round("achieved", 5).alias("achieved_points"), part("achieved", "required", 5).alias("achieved_over_required"), part("d_cost", "achieved", 3).alias("per_point"), part("d_cost", "prevented", 3).alias("per_prevented"))
+
+
+@query(
+    "cv10_opportunity_cost",
+    f"""WITH {_FRONTIER} SELECT name AS option, m.measure, round(CASE m.measure WHEN 'cost per check' THEN o.cost / o.checks WHEN 'cost per violator' THEN o.cost / o.found WHEN 'checks per violator' THEN o.checks / o.found WHEN 'further cost a check' THEN (o.cost - b.cost) / (o.checks - b.checks) WHEN 'checks against the capped plan' THEN o.checks / CAST(b.checks AS DOUBLE) ELSE (o.cost - b.cost) / {AWARD} END, 5) AS value
+ FROM opt o, base b, (VALUES ('cost per check'), ('cost per violator'), ('checks per violator'), ('further cost a check'), ('checks against the capped plan'), ('further cost as a share of the award')) m(measure)""",
+)
+def opportunity_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled measures of what the same money and checks do (CV10, NB9, NB12)."""
+    measures = ", ".join(
+        ["'cost per check', cost / checks", "'cost per violator', cost / found", "'checks per violator', checks / found", "'further cost a check', (cost - b_cost) / (checks - b_checks)"]
+        + ["'checks against the capped plan', checks / b_checks", f"'further cost as a share of the award', (cost - b_cost) / {AWARD}"]
+    )
+    return against_capped(spark, sf_dir).select(F.col("name").alias("option"), F.expr(f"stack(6, {measures}) AS (measure, v)")).select("option", "measure", F.round("v", 5).alias("value"))
+
+
+@query("nb14_mean_truth")
+def mean_truth(spark: SparkSession, sf_dir: str, draws: int = 300, sigma: float = 0.5) -> DataFrame:
+    """The mean of a store's drawn truths beside its modelled probability (SM7, NB14)."""
+    q = truth_draws(settled(stores(spark, sf_dir).select("store", "p", F.lit(1.0).alias("w"))), draws, sigma)
+    return q.groupBy("store").agg(F.first("p").alias("p"), F.count("*").alias("draws"), F.round(F.avg("q"), 6).alias("mean_truth"), F.round(F.stddev_samp("q"), 6).alias("spread"))
+
+
 _VARIANT = "v AS (SELECT 'all' AS variant, store, tract FROM stores UNION ALL SELECT 'retail', store, tract FROM stores WHERE segment <> 'MACHINERY'), t AS (SELECT variant, count(*) AS stops, CAST(ceil(count(*) / 12.0) AS BIGINT) AS routes, count(*) * 12.0::DOUBLE AS drive FROM v GROUP BY 1)"
 _VARIANT_PARAMS = "par(scenario, " + ", ".join(COSTS) + ") AS (VALUES " + ", ".join("('" + s + "', " + ", ".join(f"{v[k]}::DOUBLE" for v in COSTS.values()) + ")" for k, s in enumerate(SCENARIOS)) + ")"
 

@@ -739,37 +739,19 @@ def risk_staged_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, "region").select("region", "routes", "staged_routes", F.round("minutes", 3).alias("minutes"), F.round("staged", 3).alias("staged_minutes"))
 
 
-_FRONT = "front AS (SELECT CAST(month(o_orderdate) AS INTEGER) AS step, count(*) AS checks, sum(o_totalprice) / 1000 AS cost, count(DISTINCT o_custkey) * 0.26::DOUBLE AS found FROM orders GROUP BY 1)"
+_TEAMS = (1, 2, 4, 8)
 
 
-def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks, cost and violators found per step."""
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.month("o_orderdate").alias("step")).agg(F.count("*").alias("checks"), (F.sum("o_totalprice") / 1000).alias("cost"), (F.countDistinct("o_custkey") * 0.26).alias("found"))
-
-
-@query("cv8_marginal_cost", f"WITH {_FRONT} SELECT f.step, f.checks - b.checks AS d_checks, round(f.cost - b.cost, 3) AS d_cost, round((f.cost - b.cost) / nullif(f.found - b.found, 0), 4) AS per_violator FROM front f, front b WHERE b.step = 1 AND f.step <> 1")
-def marginal_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences to the baseline row; without that row the query fails (CV8)."""
-    f = frontier(spark, sf_dir)
-    b = f.where("step = 1").agg(F.count("*").alias("k"), F.first("checks").alias("b_checks"), F.first("cost").alias("b_cost"), F.first("found").alias("b_found"))
-    rows = f.where("step <> 1").join(F.broadcast(b)).where(F.coalesce(F.assert_true(F.col("k") == 1, "no baseline row").isNull(), F.lit(False)))
-    d_cost = F.col("cost") - F.col("b_cost")
-    return rows.select("step", (F.col("checks") - F.col("b_checks")).alias("d_checks"), F.round(d_cost, 3).alias("d_cost"), F.round(F.try_divide(d_cost, F.col("found") - F.col("b_found")), 4).alias("per_violator"))
-
-
-@query("cv9_break_even", f"WITH {_FRONT}, r AS (SELECT step, cost, found, found / 1000 AS achieved, cost / 116 / 100 AS required FROM front) SELECT step, round(required, 5) AS required, round(achieved, 5) AS achieved, CASE WHEN abs(achieved) > 1e-9 THEN round(cost / achieved, 3) END AS per_point, CASE WHEN required > achieved THEN 'below' ELSE 'above' END AS side FROM r")
-def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of reduction that a step must reach, and reaches (CV9)."""
-    r = frontier(spark, sf_dir).withColumn("achieved", F.col("found") / 1000).withColumn("required", F.col("cost") / 116 / 100)
-    return r.select("step", F.round("required", 5).alias("required"), F.round("achieved", 5).alias("achieved"), F.when(F.abs("achieved") > 1e-9, F.round(F.col("cost") / F.col("achieved"), 3)).alias("per_point"), F.when(F.col("required") > F.col("achieved"), "below").otherwise("above").alias("side"))
-
-
-@query("cv10_opportunity_cost", f"WITH {_FRONT}, a AS (SELECT sum(cost) AS c, sum(checks) AS k, sum(found) AS f FROM front) SELECT 'cost per check' AS measure, round(c / k, 5) AS value FROM a UNION ALL SELECT 'cost per violator', round(c / f, 5) FROM a UNION ALL SELECT 'checks per violator', round(k / f, 5) FROM a UNION ALL SELECT 'share of award', round(c / 1159731, 5) FROM a")
-def opportunity_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled measures of what the money does (CV10, NB9, NB12)."""
-    a = frontier(spark, sf_dir).agg(F.sum("cost").alias("c"), F.sum("checks").alias("k"), F.sum("found").alias("f"))
-    return a.select(F.expr("stack(4, 'cost per check', c / k, 'cost per violator', c / f, 'checks per violator', k / f, 'share of award', c / 1159731) AS (measure, v)")).select("measure", F.round("v", 5).alias("value"))
+@query(
+    "nb6_team_sweep",
+    f"WITH RECURSIVE {_ROUTES}, times AS {_times_sql('routes')} SELECT teams, count(*) AS routes, CAST(ceil(count(*) / CAST(teams AS DOUBLE)) AS BIGINT) AS days, round(ceil(count(*) / CAST(teams AS DOUBLE)) / 21, 5) AS months, round(sum(minutes) / 60 / teams, 3) AS hours_a_team, round(avg(stops), 4) AS mean_stops FROM times, (VALUES {', '.join(f'({k})' for k in _TEAMS)}) t(teams) GROUP BY teams",
+)
+def team_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All routes of the optimal cut driven by one to eight teams: days, months and hours (NB6)."""
+    t = route_times(split_routes(instance(spark, sf_dir))).agg(F.count("*").alias("routes"), F.sum("minutes").alias("minutes"), F.avg("stops").alias("mean_stops"))
+    t = t.withColumn("teams", F.explode(F.array(*map(F.lit, _TEAMS))))
+    days = F.ceil(F.col("routes") / F.col("teams"))
+    return t.select("teams", "routes", days.alias("days"), F.round(days / 21, 5).alias("months"), F.round(F.col("minutes") / 60 / F.col("teams"), 3).alias("hours_a_team"), F.round("mean_stops", 4).alias("mean_stops"))
 
 
 @query("cv11_what_if", f"WITH {_TOTALS}, g AS (SELECT plan, stops, d.h, t.k, CAST(ceil((stops * 35 + drive) / (d.h * 60.0)) AS BIGINT) AS routes FROM tot, (VALUES (4), (8)) d(h), (VALUES (1), (2), (4)) t(k)) SELECT plan, h AS day_hours, k AS teams, routes, CAST(ceil(routes / CAST(k AS DOUBLE)) AS BIGINT) AS days, round(ceil(routes / CAST(k AS DOUBLE)) / 21, 5) AS months, CASE WHEN ceil(routes / CAST(k AS DOUBLE)) > 65 THEN 'time' WHEN stops < routes * 8 THEN 'distance' ELSE 'none' END AS binding FROM g")
