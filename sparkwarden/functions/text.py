@@ -89,3 +89,48 @@ def classify_outlet_sql(name: str) -> str:
     text = f"regexp_replace(upper(coalesce({name}, '')), '\\s+', ' ', 'g')"
     cases = " ".join("WHEN regexp_matches({}, '{}') THEN '{}'".format(text, p.replace("'", "''"), label) for label, p in OUTLET_RULES)
     return f"CASE {cases} ELSE 'other' END"
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in matching blocks over all characters of two texts; 1 if both are empty.
+
+    The longest block that both have (of several the first in a, then in b) counts, and so do, by the same rule, the blocks to its left
+    and to its right.  A fold over a list of pairs of parts that are left to match: each step takes one pair and puts back two.  Lists are
+    no longer than the shorter text, and a step looks up the parts of a in b, so this is for names, not for documents.
+    """
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    part = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def matched(w: Column) -> Column:
+            x, y = w["a"], w["b"]
+            # a block is in y if all shorter ones are, so their number is the length of the longest
+            fits = lambda i: F.size(F.filter(F.sequence(F.lit(1), F.least(F.length(x) - i + 1, F.length(y))), lambda k: F.contains(y, F.substr(x, i, k))))
+            longest = F.array_max(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.struct(fits(i).alias("n"), (-i).alias("i"))))
+
+            def put_back(m: Column) -> Column:
+                i, n = -m["i"], m["n"]
+                j = F.position(F.substr(x, i, n), y)
+                sides = F.array(part(F.substr(x, F.lit(1), i - 1), F.substr(y, F.lit(1), j - 1)), part(F.substr(x, i + n), F.substr(y, j + n)))
+                more = F.filter(sides, lambda s: (F.length(s["a"]) > 0) & (F.length(s["b"]) > 0))
+                rest = F.slice(acc["left"], F.lit(2), F.size(acc["left"]))
+                return F.struct(F.when(n > 0, F.concat(rest, more)).otherwise(rest).alias("left"), (acc["n"] + n).alias("n"))
+
+            return F.transform(F.array(longest), put_back)[0]
+
+        return F.when(F.size(acc["left"]) > 0, F.transform(F.slice(acc["left"], 1, 1), matched)[0]).otherwise(acc)
+
+    start = F.struct(F.filter(F.array(part(a, b)), lambda s: (F.length(s["a"]) > 0) & (F.length(s["b"]) > 0)).alias("left"), F.lit(0).alias("n"))
+    steps = F.sequence(F.lit(0), 2 * F.least(F.length(a), F.length(b)))
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2 * F.aggregate(steps, start, step)["n"] / total)
+
+
+_FITS = "list_sort(list_transform(range(1, length({a}) + 1), lambda i: struct_pack(n := len(list_filter(range(1, least(length({a}) - i + 1, length({b})) + 1), lambda k: contains({b}, substr({a}, i, k)))), i := -i)), 'DESC')[1]"
+
+
+def sequence_ratio_sql(pairs: str, key: str) -> str:
+    """The same in SQL: (key, ratio), rounded, from a query of (key, a, b)."""
+    return f"""WITH RECURSIVE pairs AS ({pairs}), work({key}, a, b, m) AS (SELECT {key}, a, b, {_FITS.format(a='a', b='b')} FROM pairs WHERE length(a) > 0 AND length(b) > 0 UNION ALL
+ SELECT {key}, p.a, p.b, {_FITS.format(a='p.a', b='p.b')} FROM (SELECT {key}, unnest([struct_pack(a := substr(a, 1, -m.i - 1), b := substr(b, 1, instr(b, substr(a, -m.i, m.n)) - 1)), struct_pack(a := substr(a, -m.i + m.n), b := substr(b, instr(b, substr(a, -m.i, m.n)) + m.n))]) AS p FROM work WHERE m.n > 0) WHERE length(p.a) > 0 AND length(p.b) > 0)
+ SELECT {key}, round(CASE WHEN length(a) + length(b) = 0 THEN 1 ELSE 2 * coalesce(n, 0) / CAST(length(a) + length(b) AS DOUBLE) END, 6) AS ratio FROM pairs LEFT JOIN (SELECT {key}, sum(m.n) AS n FROM work GROUP BY 1) USING ({key})"""

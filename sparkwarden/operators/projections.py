@@ -45,21 +45,15 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("licence", F.round(T.similarity(F.upper(F.trim("name")), F.upper(F.trim("c_name"))), 6).alias("similarity"))
 
 
-@query("fn8_sequence_ratio")
-def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratio of matching blocks (Ratcliff-Obershelp) of a licence's name tokens and its registered name, in Arrow batches."""
-    import difflib
-
-    import pandas as pd
-
-    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+_PAIRS = f"WITH {LICENCES} SELECT l.licence, upper(trim(l.name)) AS a, upper(trim(c_name)) AS b FROM licences l JOIN customer ON c_custkey = licence"
 
-    ratios.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}  # Spark reads the types themselves
-    ratio = F.pandas_udf(ratios, "double")
 
+@query("fn8_sequence_ratio", T.sequence_ratio_sql(_PAIRS, "licence"))
+def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio of matching blocks of a licence's two names, by column functions alone (FN8)."""
     own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("licence"), "c_name")
-    return licences(spark, sf_dir).join(own, "licence").select("licence", F.round(ratio(T.name_tokens(F.col("name")), T.name_tokens(F.col("c_name"))), 6).alias("ratio"))
+    names = licences(spark, sf_dir).join(own, "licence")
+    return names.select("licence", F.round(T.sequence_ratio(F.upper(F.trim("name")), F.upper(F.trim("c_name"))), 6).alias("ratio"))
 
 
 @query("fn9_classify_outlet", f"WITH {LICENCES} SELECT licence, {T.classify_outlet_sql('name')} AS outlet_type FROM licences")

@@ -138,3 +138,20 @@ def test_proximity_scaling_and_shrinkage(spark):
     shares = spark.createDataFrame([(0.1, 0.01), (0.3, 0.5), (0.9, 0.01), (None, 0.1)], "s double, m double")
     out = [r.o for r in shrunk(shares, "s", "m", "o").collect()]
     assert out[3] == pytest.approx(0.3) and 0.3 < out[2] < 0.9
+
+
+def test_sequence_ratio_equals_the_standard_matcher(spark):
+    import difflib
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkwarden.functions import text as T
+
+    rng = random.Random(8)
+    pairs = [(None, None), ("", "x"), ("", ""), ("same", "same"), ("abcd", "bcde"), ("SMOKE SHOP #12", "THE SMOKE SHOPPE"), ("aaaa", "aa"), ("qabxcd", "abycdf"), ("é日本", "日é本")]
+    pairs += [tuple("".join(rng.choice("ABC D") for _ in range(rng.randrange(22))) for _ in "ab") for _ in range(150)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for r in df.select("i", T.sequence_ratio(F.col("a"), F.col("b")).alias("ratio")).collect():
+        a, b = pairs[r.i]
+        assert abs(r.ratio - difflib.SequenceMatcher(None, a or "", b or "").ratio()) < 1e-12, pairs[r.i]
