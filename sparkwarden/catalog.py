@@ -17,8 +17,10 @@ MODULES = (
     "sparkwarden.operators.risk",
     "sparkwarden.operators.composite",
     "sparkwarden.plans.chartspec",
+    "sparkwarden.plans.views",
     "sparkwarden.sources.landed",
     "sparkwarden.sources.reference",
+    "sparkwarden.sources.workbook",
     "sparkwarden.streaming.events",
 )
 

@@ -155,3 +155,53 @@ def test_sequence_ratio_equals_the_standard_matcher(spark):
     for r in df.select("i", T.sequence_ratio(F.col("a"), F.col("b")).alias("ratio")).collect():
         a, b = pairs[r.i]
         assert abs(r.ratio - difflib.SequenceMatcher(None, a or "", b or "").ratio()) < 1e-12, pairs[r.i]
+
+
+def test_workbooks_are_read_by_stretches_with_pushed_filters(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sparkwarden.sources import workbook as W
+
+    rows = [(i, None if i % 7 == 0 else f"kind <{i % 3}> & é", float(i) / 4 if i % 5 else None, " padded ") for i in range(130)]
+    df = spark.createDataFrame(rows, "id bigint, kind string, price double, note string").repartition(2)
+    assert W.write_workbooks(df, f"file://{tmp_path}/books") == 2
+    schema = "id bigint, kind string, price double, note string, other string"
+    got = W.read_workbooks(spark, f"file://{tmp_path}/books", schema, 40)
+    assert got.rdd.getNumPartitions() >= 4
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*r, None) for r in rows)
+    one = got.where((F.col("kind") == "kind <1> & é") & (F.col("id") > 20))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "kind" not in plan.split("Filter", 1)[1].split("\n")[0] and "id" in plan.split("Filter", 1)[1].split("\n")[0]
+    assert sorted(r.id for r in one.collect()) == [i for i, k, _, _ in rows if k == "kind <1> & é" and i > 20]
+
+
+def test_sheets_with_shared_texts_and_gaps(tmp_path):
+    import zipfile
+
+    from sparkwarden.sources import workbook as W
+
+    ns = W._NS[1:-1]
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{W._REL[1:-1]}"><sheets><sheet name="x" sheetId="1" r:id="q"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="p"><Relationship Id="q" Target="/xl/worksheets/s.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>')
+        book.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="B1" t="s"><v>0</v></c></row><row/><row><c r="AA3"><v>5</v></c><c r="B3" t="s"><v>1</v></c></row></sheetData></worksheet>')
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as book:
+        assert W.sheets(book) == ["xl/worksheets/s.xml"]
+        assert list(W.rows(book, W.sheets(book)[0], W.shared_texts(book))) == [{1: "name"}, {}, {26: "5", 1: "ab"}]
+    assert W.typed("x", int) is None and W.typed("2.0", int) == 2
+
+
+def test_views_and_table_functions(spark):
+    from sparkwarden.plans import views
+    from tests.conftest import DATA
+
+    names = views.register_views(spark, DATA, ["stores", "tracts"])
+    assert {"orders", "dataset_stores", "dataset_tracts"} <= set(names)
+    assert spark.sql("SELECT count(*) FROM dataset_stores").first()[0] == spark.sql("SELECT count(*) FROM customer").first()[0]
+    views.register_figures(spark, DATA, ("power", "outlets"))
+    assert {r.figure for r in spark.sql("SELECT * FROM figure_info('out')").collect()} == {"outlets"}
+    one = spark.sql("SELECT * FROM figure_rows('power')")
+    assert one.count() > 0 and {r.figure for r in one.collect()} == {"power"}
+    assert "lineitem" not in one._jdf.queryExecution().optimizedPlan().toString()  # the other figure is gone from the plan
+    assert spark.sql("SELECT * FROM figure_rows('none')").count() == 0
