@@ -45,8 +45,8 @@ from sparkwarden.llm.common import cut, map_texts, table, text_column
 
 #: Pairs of ids whose counts are broadcast at most: 9 MB.
 KNOWN = 1 << 19
-#: Aligned chunks that a worker keeps in each of two generations, and letters of one at most.
-STORE, STORED_LETTERS = 300_000, 48
+#: Aligned chunks that a worker keeps in each of two generations, those that a task keeps weighed, and letters of one at most.
+STORE, WEIGHED, STORED_LETTERS = 400_000, 250_000, 48
 #: Distinct chunks that a task counts before it hands on their links.
 COUNTED = 300_000
 _BLANKS, _LETTERS = " \t\n\x0b\x0c", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -168,7 +168,8 @@ class Pair:
                     continue
                 del ids_b[: len(self.before)]
             ids_a, raw = self.ids_a(chunk), chunk.encode("utf-8", "surrogatepass")
-            if b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw or b"".join(map(self.a.bytes_of.__getitem__, ids_a)) != raw:
+            # a compiled encoder over all bytes always spells its text
+            if b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw or self.quick is None and b"".join(map(self.a.bytes_of.__getitem__, ids_a)) != raw:
                 out.append(None)
                 continue
             out.append(align(ids_a, list(accumulate(map(self.sizes_a.__getitem__, ids_a))), ids_b, list(accumulate(map(self.sizes_b.__getitem__, ids_b))), self.names_a, self.names_b))
@@ -294,28 +295,58 @@ def align_documents(docs: DataFrame, path_a: str = "byte_bpe_50k.json", path_b:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pair(vocabulary_path(path_a), vocabulary_path(path_b))
         pairs, ns, bests = shared.value
+        # of each chunk that was met, in two generations: tokens, groups, links, best links and sum of counts as far as known, groups spelled, other links
+        seen: dict[str, tuple] = {}
+        older: dict[str, tuple] = {}
+
+        def weighed(found: list[Aligned]) -> list[tuple]:
+            links = _links(found)
+            place = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
+            hit = pairs[place] == links if len(pairs) else np.zeros(len(links), bool)
+            sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum([np.where(hit, bests[place], 0), np.where(hit, ns[place], 0)] if len(pairs) else np.zeros((2, len(links)), np.int64), axis=1)], axis=1)
+            ends = np.cumsum([0, *(len(x.links) // 8 for x in found)])
+            best, total = (sums[:, ends[1:]] - sums[:, ends[:-1]]).tolist()
+            lone = [links[a:b][~hit[a:b]].tobytes() if b > a and not hit[a:b].all() else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            return [(x.n_a, x.n_b, x.n_groups, len(x.links) // 8, n, m, x.spelled, r) for x, n, m, r in zip(found, best, total, lone, strict=True)]
+
+        def parts(text: str) -> list[tuple] | None:
+            nonlocal seen, older
+            chunks = own.chunks(text) if text else []
+            try:
+                return list(map(seen.__getitem__, chunks)) or None
+            except KeyError:
+                missing = dict.fromkeys([c for c in chunks if c not in seen])
+            made = {c: older[c] for c in missing if c in older}
+            if new := [c for c in missing if c not in made]:
+                known = own.of(new)
+                found = [known[c] for c in new]
+                if None in found:
+                    whole = own.text(text)
+                    return None if whole is None else weighed(whole)
+                made.update(zip(new, weighed(found), strict=True))
+            out = [made[c] if c in made else seen[c] for c in chunks]
+            seen.update({c: x for c, x in made.items() if len(c) <= STORED_LETTERS})
+            if len(seen) > WEIGHED:
+                seen, older = {}, seen
+            return out
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 numbers, shas, spelled, rest = [], [], [], []
                 for t in text_column(part.column(len(columns))).to_pylist():
-                    found = own.text(t)
+                    found = parts(t)
                     if found is None:
                         numbers.append([0] * 6)
                         shas.append("")
                         spelled.append("")
                         rest.append(np.zeros(0, np.int64))
                         continue
-                    links = _links(found)
-                    place = np.searchsorted(pairs, links)
-                    hit = place < len(pairs)
-                    hit[hit] = pairs[place[hit]] == links[hit]
-                    place = place[hit]
-                    groups = ";".join(map(itemgetter(3), found))
-                    numbers.append([*(sum(map(itemgetter(i), found)) for i in range(3)), len(links), int(bests[place].sum()), int(ns[place].sum())])
+                    groups = ";".join(map(itemgetter(6), found))
+                    numbers.append([sum(map(itemgetter(i), found)) for i in range(6)])
                     shas.append(hashlib.sha256(groups.encode()).hexdigest())
                     spelled.append(groups if with_groups else "")
-                    rest.append(links[~hit])
+                    rest.append(np.frombuffer(b"".join(map(itemgetter(7), found)), np.int64))
                 ends = np.cumsum([0, *map(len, rest)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rest)))
                 grid = np.array(numbers, np.int64).reshape(-1, 6)
