@@ -6,8 +6,8 @@ from sparkwarden import catalog
 from tests.conftest import DATA, same
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
-#: Fits of several models: run once, not twice.
-SLOW = {"ml4_fit_coefficients", "ml10_backtest_model", "ml8_score_universe", "sm8_realized_lift"}
+#: Fits of several models and exact plans of many settings: run once, not twice.
+SLOW = {"ml4_fit_coefficients", "sm5_gate_sweep", "rt11_team_sheet", "ml10_backtest_model", "ml8_score_universe", "sm8_realized_lift"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
