@@ -11,11 +11,11 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in ``spark.checkpoint.dir``.
 
     Where that is unset, a folder of this machine serves if Spark runs on it alone (tests); on a cluster executors
-    would not see each other's files, so it is an error.
+    would not see each other's files, so it is an error, and so is a master that is not known.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file:///tmp/sparkwarden-checkpoints"
     return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
