@@ -593,6 +593,14 @@ def test_secrets_base_spans(spark, none):
     assert secrets.scan(none, model).count() == 0
 
 
+def test_secrets_are_learnt_from_the_texts_alone(spark):
+    texts = [" ".join(random.Random(i).choices(WORDS, k=60)) for i in range(20)]
+    lone = secrets.train(spark.createDataFrame([(t,) for t in texts], "body string"), "body")
+    with_ids = secrets.train(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string"))
+    assert np.isfinite(lone.threshold).all()
+    assert lone.ratio.tolist() == with_ids.ratio.tolist() and lone.threshold.tolist() == with_ids.threshold.tolist()
+
+
 ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF")
 
 
