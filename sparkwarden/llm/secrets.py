@@ -4,15 +4,16 @@ Base rules find assignments, access keys and long hexadecimal runs by pattern.
 ``[A-Za-z0-9+/_=-]`` of at least ``LEAST`` characters that look random: two Markov models over pairs of neighbouring
 characters, one of random strings and one of ordinary words and identifiers, are compared by log-likelihood ratio.
 
-Both models and the thresholds are learnt from labelled runs of a bounded sample of documents (``SAMPLE_ROWS``, chosen by
-hash).  Ordinary are words and numbers beside the base matches (runs of letters or of digits alone), and names that
+Both models and the thresholds are learnt from labelled runs of all texts; equal texts are learnt from once, so that copies do not
+outweigh the rest.  Ordinary are words and numbers beside the base matches (runs of letters or of digits alone), and names that
 neighbouring words of a document would make: with capitals, underscores, hyphens, slashes, numbers.  Runs that mix letters
 and digits are not learnt from, as secrets may be among them.  Random are the values of base matches, and as many strings drawn by a
-hash from each usual alphabet.  One half of the documents gives the models.  On the other half the mean ratios of its
+hash from each usual alphabet.  One half of the texts, told by hash, gives the models.  On the other half the mean ratios of its
 ordinary runs are counted by class of length: a run is random if its mean ratio lies ``MARGIN`` above what all but one in
 ``RARE`` ordinary runs of its length reach, and if its ratio outweighs the odds against a secret (``TOTAL``).
 
-Cases: null and empty texts have no spans.  Texts of any length are scanned whole, in time that grows with the text.
+Cases: null and empty texts have no spans.  Texts of any length are learnt from and scanned whole, in time that grows with the text;
+names are made within stretches of about ``STRETCH`` characters.
 Positions count code points; ends are exclusive.  Added spans touch no base span.  Repeated rows give repeated results; an
 empty table gives an empty one, and a model learnt from it knows the drawn strings alone and adds nothing.  Other columns,
 of whatever names, are passed by.
@@ -23,7 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import bounded_sample, map_texts, table, text_column
+from sparkwarden.llm.common import map_texts, quoted, table, text_column
 
 #: The base patterns and the lengths below which their matches drop.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -40,8 +41,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 LEAST = 12
-SAMPLE_ROWS = 20_000
 GENERATED = 2000
+#: Characters of texts whose ordinary runs are held together, about.
+STRETCH = 1 << 18
 #: Nats that a run's ratio must exceed in total: the odds against a run being a secret.
 TOTAL = 11.5
 #: Nats per pair of characters above the ordinary runs' threshold, and how rare an ordinary run beyond that is.
@@ -53,6 +55,7 @@ BIN, BINS = 0.02, 1000
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _LETTERS = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])")
 _ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z][a-z]{7,}|[A-Z]{8,}|[0-9]{8,})(?![A-Za-z0-9+/_=-])")
+_BREAK = re.compile("[^A-Za-z0-9+/_=-]")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(_ALPHABET), np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
@@ -130,6 +133,33 @@ def outside(text: str, base: list[tuple[int, int, str]]) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True)]
 
 
+def stretches(text: str, base: list[tuple[int, int, str]]) -> Iterator[str]:
+    """What lies outside the base spans, long parts in pieces that end between runs."""
+    for part in outside(text, base):
+        at = 0
+        while at < len(part):
+            gap = _BREAK.search(part, at + STRETCH)
+            end = gap.start() if gap else len(part)
+            yield part[at:end]
+            at = end
+
+
+def labelled_runs(texts: Iterable[str]) -> Iterator[tuple[list[str], list[str]]]:
+    """Ordinary runs and the values of base matches, in lists from about ``STRETCH`` characters of texts each."""
+    plain, found, held = [], [], 0
+    for t in texts:
+        spans = base_spans(t)
+        found += [t[a:b] if kind != "assign" else ASSIGN.match(t, a)[2] for a, b, kind in spans]
+        for piece in stretches(t, spans):
+            plain += _ORDINARY.findall(piece)
+            plain += names(piece)
+            held += len(piece)
+            if held >= STRETCH:
+                yield plain, found
+                plain, found, held = [], [], 0
+    yield plain, found
+
+
 def length_class(sizes: np.ndarray) -> np.ndarray:
     """The class of each length."""
     return np.searchsorted(LENGTHS, sizes, side="right")
@@ -176,14 +206,7 @@ def _pair_model(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinary, secret = np.zeros(SIDE * SIDE, np.int64), np.zeros(SIDE * SIDE, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                plain, found = [], []
-                for t in text_column(batch.column(0).slice(at, 200)).to_pylist():
-                    spans = base_spans(t)
-                    found += [t[a:b] if kind != "assign" else ASSIGN.match(t, a)[2] for a, b, kind in spans]
-                    for part in outside(t, spans):
-                        plain += _ORDINARY.findall(part)
-                        plain += names(part)
+            for plain, found in labelled_runs(text_column(batch.column(0)).to_pylist()):
                 ordinary += pair_counts(plain)
                 secret += pair_counts(found)
         at = np.flatnonzero(ordinary + secret)
@@ -216,17 +239,16 @@ def thresholds(counts: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """A model from a bounded sample of the texts of docs; other columns do not matter."""
-    rows = bounded_sample(docs.select(F.col(text).alias("text")), SAMPLE_ROWS)
+    """A model from all texts of docs, equal ones once; other columns do not matter."""
+    texts = docs.select(F.col(quoted(text)).alias("text")).where("text <> ''")
     half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)) == 0
-    model = Model(_pair_model(rows.where(half).select("text")), np.zeros(len(LENGTHS) + 1))
+    model = Model(_pair_model(texts.where(half).distinct()), np.zeros(len(LENGTHS) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(LENGTHS) + 1) * 2 * BINS, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                runs = [r for t in text_column(batch.column(0).slice(at, 200)).to_pylist() for part in outside(t, base_spans(t)) for r in [*_ORDINARY.findall(part), *names(part)] if len(r) >= LEAST]
-                if runs:
+            for plain, _ in labelled_runs(text_column(batch.column(0)).to_pylist()):
+                if runs := [r for r in plain if len(r) >= LEAST]:
                     total, sizes = model.ratios(runs)
                     bins = np.clip(np.floor(total / (sizes - 1) / BIN).astype(int) + BINS, 0, 2 * BINS - 1)
                     counts += np.bincount(length_class(sizes) * 2 * BINS + bins, minlength=len(counts))
@@ -234,7 +256,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bin", "n"])
 
     counts = np.zeros((len(LENGTHS) + 1) * 2 * BINS, np.int64)
-    for r in map_texts(rows.where(~half).select("text"), run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for r in map_texts(texts.where(~half).distinct(), run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         counts[r["bin"]] = r["n"]
     if not counts.any():
         return Model(model.ratio, np.full(len(LENGTHS) + 1, np.inf))  # nothing ordinary to tell random from

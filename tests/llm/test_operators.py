@@ -601,6 +601,26 @@ def test_secrets_are_learnt_from_the_texts_alone(spark):
     assert lone.ratio.tolist() == with_ids.ratio.tolist() and lone.threshold.tolist() == with_ids.threshold.tolist()
 
 
+def test_secrets_are_learnt_from_every_different_text(spark):
+    df = spark.range(25_000).select(F.concat(F.lit("number "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" quicksilver password=x"), F.sha1(F.col("id").cast("string"))).alias("text"))
+    half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)) == 0
+    model, copies = secrets.train(df), secrets.train(df.unionAll(df.limit(9000)).unionAll(df.select(F.lit(None).cast("string"))))
+    assert model.ratio.tolist() == secrets._pair_model(df.where(half)).tolist()
+    assert copies.ratio.tolist() == model.ratio.tolist() and copies.threshold.tolist() == model.threshold.tolist()
+
+
+def test_secrets_learn_from_long_texts_without_cutting_runs(monkeypatch):
+    text = words(400, 5) + " secret=abcdefgh " + "Q" * 300 + " " + words(400, 6)
+    base = secrets.base_spans(text)
+    whole = secrets.outside(text, base)
+    monkeypatch.setattr(secrets, "STRETCH", 100)
+    pieces = list(secrets.stretches(text, base))
+    assert len(pieces) > 20 and "".join(pieces) == "".join(whole)
+    assert [r for p in pieces for r in secrets._RUN.findall(p)] == [r for p in whole for r in secrets._RUN.findall(p)]
+    lists = list(secrets.labelled_runs([text, "", text]))
+    assert len(lists) > 20 and [v for _, found in lists for v in found] == ["abcdefgh"] * 2
+
+
 ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF")
 
 
