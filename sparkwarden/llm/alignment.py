@@ -10,9 +10,9 @@ cuts there), so a text is cut in front of runs of blanks and behind runs of lett
 while it stays in a worker's bounded store.  Texts with characters beyond European ones are cut at blanks alone; those with other
 characters that separate words, and all texts if the pieces fail the check, are aligned whole.
 
-Counts of id pairs take two passes.  The first counts chunks in each task and sums the links of the distinct ones.  At most ``KNOWN``
-pairs can make up more than a ``KNOWN``-th of all links: those are broadcast, and the second pass sums their counts by
-document.  What a document links beyond them is joined to the counts by shuffle.
+Texts are aligned once, and the links of each document are kept beside its numbers as packed pairs of ids.  Counts of id pairs take two
+passes over those.  The first counts them in each task.  At most ``KNOWN`` pairs can make up more than a ``KNOWN``-th of all links: those
+are broadcast, and the second pass sums their counts by document.  What a document links beyond them is joined to the counts by shuffle.
 
 Cases: null and empty texts, and those whose tokens do not spell them (with the space before), have no tokens and get zeros and
 an empty digest.  Texts of any length are aligned whole.  Repeated rows count as often as they stand there and get a row each.  Of
@@ -27,10 +27,8 @@ import hashlib
 import re
 from array import array
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
-from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -45,10 +43,12 @@ from sparkwarden.llm.common import cut, map_texts, table, text_column
 
 #: Pairs of ids whose counts are broadcast at most: 9 MB.
 KNOWN = 1 << 19
-#: Aligned chunks that a worker keeps in each of two generations, those that a task keeps weighed, and letters of one at most.
-STORE, WEIGHED, STORED_LETTERS = 400_000, 250_000, 48
-#: Distinct chunks that a task counts before it hands on their links.
-COUNTED = 300_000
+#: Aligned chunks that a worker keeps in each of two generations, and letters of one at most.
+STORE, STORED_LETTERS = 400_000, 48
+#: Bytes of links that a task looks at together, about; those of a longer text are looked at alone.
+LINK_BYTES = 1 << 22
+#: Links are packed into 4 bytes where all ids have 16 bits, else into 8.
+PACKED = {16: "I", 32: "q"}
 _BLANKS, _LETTERS = " \t\n\x0b\x0c", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Chunks begin with blanks and end before the next; finer ones also end behind letters.
 _CHUNKS = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
@@ -60,7 +60,7 @@ _OTHER = re.compile(f"[^\x00-\x7f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7
 
 
 class Aligned(NamedTuple):
-    """A chunk: tokens of either kind, groups, the groups spelled out, and its links as pairs a << 32 | b."""
+    """A chunk: tokens of either kind, groups, the groups spelled out, and its packed links."""
 
     n_a: int
     n_b: int
@@ -86,20 +86,20 @@ def gallop(short: Sequence[int], long: Sequence[int]) -> list[tuple[int, int]]:
     return found
 
 
-def align(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int], names_a: Sequence[str], names_b: Sequence[str]) -> Aligned:
-    """The groups and links of two token sequences over the same bytes; ``names``: the ids in decimal."""
+def align(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int], names_a: Sequence[str], names_b: Sequence[str], shift: int = 32) -> Aligned:
+    """The groups and links (a << shift | b) of two token sequences over the same bytes; ``names``: the ids in decimal."""
     common = gallop(ends_a, ends_b) if len(ends_a) <= len(ends_b) else [(i, j) for j, i in gallop(ends_b, ends_a)]
     spelled, links, from_a, from_b = [], [], 0, 0
     for last_a, last_b in common:
         if last_a == from_a and last_b == from_b:
             a, b = ids_a[from_a], ids_b[from_b]
             spelled.append(f"{names_a[a]}|{names_b[b]}")
-            links.append(a << 32 | b)
+            links.append(a << shift | b)
         else:
             own_a, own_b = ids_a[from_a : last_a + 1], ids_b[from_b : last_b + 1]
             spelled.append(f"{','.join([names_a[a] for a in own_a])}|{','.join([names_b[b] for b in own_b])}")
             if last_a == from_a or last_b == from_b:
-                links += [a << 32 | b for a in own_a for b in own_b]
+                links += [a << shift | b for a in own_a for b in own_b]
             else:
                 start = ends_a[from_a - 1] if from_a else 0
                 for k, a in enumerate(own_a):
@@ -107,10 +107,10 @@ def align(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[in
                     # tokens of the other kind that end behind this one's start, up to the first that ends at or behind its end
                     first = bisect_right(ends_b, start, from_b, last_b + 1)
                     last = bisect_left(ends_b, end, first, last_b + 1)
-                    links += [a << 32 | b for b in ids_b[first : last + 1]]
+                    links += [a << shift | b for b in ids_b[first : last + 1]]
                     start = end
         from_a, from_b = last_a + 1, last_b + 1
-    return Aligned(len(ids_a), len(ids_b), len(spelled), ";".join(spelled), array("q", links).tobytes())
+    return Aligned(len(ids_a), len(ids_b), len(spelled), ";".join(spelled), array(PACKED[shift], links).tobytes())
 
 
 def _token_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
@@ -129,6 +129,7 @@ class Pair:
         self.a, self.b = codec(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = _token_bytes(self.b)
         self.names_a, self.names_b = [str(i) for i in range(len(self.a.bytes_of))], [str(i) for i in range(len(self.bytes_b))]
+        self.shift = 16 if max(len(self.names_a), len(self.names_b)) <= 1 << 16 else 32
         # where ids are in the order of merging they are ranks, and a compiled encoder gives the same ids for chunks
         ranks = {raw: i for i, raw in enumerate(self.a.bytes_of) if raw}
         merges = [i for i, r in sorted(enumerate(self.a.rank), key=lambda x: x[1]) if r >= 0]
@@ -172,7 +173,7 @@ class Pair:
             if b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw or self.quick is None and b"".join(map(self.a.bytes_of.__getitem__, ids_a)) != raw:
                 out.append(None)
                 continue
-            out.append(align(ids_a, list(accumulate(map(self.sizes_a.__getitem__, ids_a))), ids_b, list(accumulate(map(self.sizes_b.__getitem__, ids_b))), self.names_a, self.names_b))
+            out.append(align(ids_a, list(accumulate(map(self.sizes_a.__getitem__, ids_a))), ids_b, list(accumulate(map(self.sizes_b.__getitem__, ids_b))), self.names_a, self.names_b, self.shift))
         return out
 
     def of(self, chunks: list[str]) -> dict[str, Aligned | None]:
@@ -223,52 +224,82 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def _links(found: list[Aligned]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(itemgetter(4), found)), np.int64)
+def packed_links(links: pa.Array, counts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows with about ``LINK_BYTES``, of links and the number of each row's: first row, end, links as stored, and offsets of each row's."""
+    links = links.cast(pa.binary())
+    offs = np.frombuffer(links.buffers()[1], np.int32, len(links) + 1, links.offset * 4).astype(np.int64)
+    raw = np.frombuffer(links.buffers()[2] or b"", np.uint8)
+    total, at = sum(counts.to_pylist()), 0
+    kind = np.dtype(np.int64 if total and (offs[-1] - offs[0]) // total == 8 else np.uint32)
+    while at < len(links):
+        end = max(at + 1, int(np.searchsorted(offs, offs[at] + LINK_BYTES, side="right")) - 1)
+        yield at, end, np.frombuffer(raw[offs[at] : offs[end]].tobytes(), kind), (offs[at : end + 1] - offs[at]) // kind.itemsize
+        at = end
 
 
-def link_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """(pair, n): for each pair of ids a << 32 | b how many links hold it.
+def as_pairs(links: np.ndarray) -> np.ndarray:
+    """Links as stored to pairs a << 32 | b, in the same order."""
+    if links.dtype == np.int64:
+        return links
+    return links.astype(np.int64) >> 16 << 32 | links & 0xFFFF
 
-    A task counts how often it meets each chunk, and hands on the links of the distinct ones.
-    """
+
+def align_texts(docs: DataFrame, path_a: str, path_b: str, columns: Sequence[str], text: str, with_groups: bool) -> DataFrame:
+    """``columns`` of each document, n_a, n_b, n_groups, n_links, groups_sha256, with_groups groups, and __links (binary, packed)."""
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
+    names = ["n_a", "n_b", "n_groups", "n_links"]
+    last = ["groups_sha256", *(["groups"] if with_groups else []), "__links"]
+    schema = ", ".join([*fields, *(f"{n} bigint" for n in names), *(f"{n} {'binary' if n == '__links' else 'string'}" for n in last)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, held = pair(vocabulary_path(path_a), vocabulary_path(path_b)), Counter(), {}
-        whole: list[np.ndarray] = []
+        own = pair(vocabulary_path(path_a), vocabulary_path(path_b))
+        width = array(PACKED[own.shift]).itemsize
 
-        def handed() -> Iterator[pa.RecordBatch]:
-            aligned = [held[c] for c in seen]
-            keys = np.concatenate([_links(aligned), *whole])
-            counts = np.concatenate([np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x[4]) // 8 for x in aligned]), np.ones(len(keys), np.int64)])[: len(keys)]
-            if len(keys):
-                order = np.argsort(keys)
-                keys, counts = keys[order], counts[order]
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.add.reduceat(counts, first))], names=["pair", "n"])
-            seen.clear()
-            held.clear()
-            whole.clear()
+        def made(part: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            *numbers, shas, spelled, links = zip(*rows, strict=True)
+            texts = [pa.array(shas, pa.string()), *([pa.array(spelled, pa.string())] if with_groups else []), pa.array(links, pa.binary())]
+            return pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *(pa.array(n, pa.int64()) for n in numbers), *texts], names=[*columns, *names, *last])
 
         for batch in batches:
-            for t in text_column(batch.column(0)).to_pylist():
-                if not (chunks := own.chunks(t) if t else []):
-                    continue
-                new = {c: None for c in chunks if c not in held}
-                if new:
-                    known = own.of(list(new))
-                    new = {c: known[c] for c in new}
-                if None in new.values() or any(len(c) > STORED_LETTERS for c in new):
-                    if (found := own.text(t)) is not None:
-                        whole.append(_links(found))
+            at, rows, held = 0, [], 0
+            for t in text_column(batch.column(len(columns))).to_pylist():
+                found = own.text(t)
+                if found is None:
+                    rows.append((0, 0, 0, 0, "", "", b""))
                 else:
-                    held.update(new)
-                    seen.update(chunks)
-                if len(seen) > COUNTED or sum(map(len, whole)) > 8 * COUNTED or len(whole) > 1000:
+                    n_a, n_b, n_groups, spelled, links = zip(*found, strict=True)
+                    groups, links = ";".join(spelled), b"".join(links)
+                    rows.append((sum(n_a), sum(n_b), sum(n_groups), len(links) // width, hashlib.sha256(groups.encode()).hexdigest(), groups if with_groups else "", links))
+                    held += len(links)
+                if held > LINK_BYTES:
+                    yield made(batch.slice(at, len(rows)), rows)
+                    at, rows, held = at + len(rows), [], 0
+            if rows:
+                yield made(batch.slice(at, len(rows)), rows)
+
+    return map_texts(docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").alias("__text")), run, schema)
+
+
+def link_counts(aligned: DataFrame) -> DataFrame:
+    """(pair, n) of ``align_texts``: for each pair of ids a << 32 | b how many links hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[np.ndarray] = []
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            if some:
+                keys, counts = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(as_pairs(keys)), pa.array(counts)], names=["pair", "n"])
+                some.clear()
+
+        for batch in batches:
+            for _, _, links, _ in packed_links(batch.column(0), batch.column(1)):
+                some.append(links)
+                if sum(x.nbytes for x in some) > 2 * LINK_BYTES:
                     yield from handed()
         yield from handed()
 
-    return map_texts(docs.select(F.col(f"`{text}`").alias("text")), run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return map_texts(aligned.where("n_links > 0").select("__links", "n_links"), run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align_documents(docs: DataFrame, path_a: str = "byte_bpe_50k.json", path_b: str = "piece_bpe_32k.model", columns: Sequence[str] = ("doc_id",), text: str = "text", known_pairs: int = KNOWN, with_groups: bool = False) -> DataFrame:
@@ -278,7 +309,8 @@ def align_documents(docs: DataFrame, path_a: str = "byte_bpe_50k.json", path_b:
     ``path_a``, ``path_b``: paths, or names of public vocabularies, which each task looks up where it runs.
     """
     spark = docs.sparkSession
-    counted = cut(link_counts(docs, path_a, path_b, text))
+    aligned = cut(align_texts(docs, path_a, path_b, columns, text, with_groups))
+    counted = cut(link_counts(aligned))
     b = F.col("pair").bitwiseAND(0xFFFFFFFF)
     # one row an id of the second vocabulary: as many as it has at most
     most = counted.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
@@ -288,73 +320,28 @@ def align_documents(docs: DataFrame, path_a: str = "byte_bpe_50k.json", path_b:
     held = often.orderBy("pair").toArrow()
     shared = spark.sparkContext.broadcast((held["pair"].to_numpy(), held["n"].to_numpy(), held["best"].to_numpy(zero_copy_only=False)))
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = ", ".join([*([fields] if fields else []), *(f"{n} bigint" for n in names), "groups_sha256 string", *(["groups string"] if with_groups else []), "rest array<bigint>"])
+    kept = aligned.columns[:-1]  # without the links
+    weights = {"n_best": "bigint", "count_sum": "bigint", "rest": "array<bigint>"}
+    schema = ", ".join([*(f"`{c}` {aligned.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} {kind}" for c, kind in weights.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pair(vocabulary_path(path_a), vocabulary_path(path_b))
         pairs, ns, bests = shared.value
-        # of each chunk that was met, in two generations: tokens, groups, links, best links and sum of counts as far as known, groups spelled, other links
-        seen: dict[str, tuple] = {}
-        older: dict[str, tuple] = {}
-
-        def weighed(found: list[Aligned]) -> list[tuple]:
-            links = _links(found)
-            place = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
-            hit = pairs[place] == links if len(pairs) else np.zeros(len(links), bool)
-            sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum([np.where(hit, bests[place], 0), np.where(hit, ns[place], 0)] if len(pairs) else np.zeros((2, len(links)), np.int64), axis=1)], axis=1)
-            ends = np.cumsum([0, *(len(x.links) // 8 for x in found)])
-            best, total = (sums[:, ends[1:]] - sums[:, ends[:-1]]).tolist()
-            lone = [links[a:b][~hit[a:b]].tobytes() if b > a and not hit[a:b].all() else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            return [(x.n_a, x.n_b, x.n_groups, len(x.links) // 8, n, m, x.spelled, r) for x, n, m, r in zip(found, best, total, lone, strict=True)]
-
-        def parts(text: str) -> list[tuple] | None:
-            nonlocal seen, older
-            chunks = own.chunks(text) if text else []
-            try:
-                return list(map(seen.__getitem__, chunks)) or None
-            except KeyError:
-                missing = dict.fromkeys([c for c in chunks if c not in seen])
-            made = {c: older[c] for c in missing if c in older}
-            if new := [c for c in missing if c not in made]:
-                known = own.of(new)
-                found = [known[c] for c in new]
-                if None in found:
-                    whole = own.text(text)
-                    return None if whole is None else weighed(whole)
-                made.update(zip(new, weighed(found), strict=True))
-            out = [made[c] if c in made else seen[c] for c in chunks]
-            seen.update({c: x for c, x in made.items() if len(c) <= STORED_LETTERS})
-            if len(seen) > WEIGHED:
-                seen, older = {}, seen
-            return out
-
+        # as links are stored, and behind them an entry for those that are not among them
+        stored = {x.dtype: np.append(x, x.dtype.type(0)) for x in (pairs, (pairs >> 32 << 16 | pairs & 0xFFFF).astype(np.uint32))}
+        ns, bests = np.append(ns, 0), np.append(bests, False)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                numbers, shas, spelled, rest = [], [], [], []
-                for t in text_column(part.column(len(columns))).to_pylist():
-                    found = parts(t)
-                    if found is None:
-                        numbers.append([0] * 6)
-                        shas.append("")
-                        spelled.append("")
-                        rest.append(np.zeros(0, np.int64))
-                        continue
-                    groups = ";".join(map(itemgetter(6), found))
-                    numbers.append([sum(map(itemgetter(i), found)) for i in range(6)])
-                    shas.append(hashlib.sha256(groups.encode()).hexdigest())
-                    spelled.append(groups if with_groups else "")
-                    rest.append(np.frombuffer(b"".join(map(itemgetter(7), found)), np.int64))
-                ends = np.cumsum([0, *map(len, rest)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rest)))
-                grid = np.array(numbers, np.int64).reshape(-1, 6)
-                own_groups = {"groups": pa.array(spelled, pa.string())} if with_groups else {}
-                made = dict(zip(names, map(pa.array, grid.T.copy()), strict=True)) | {"groups_sha256": pa.array(shas, pa.string())} | own_groups | {"rest": lists}
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *made.values()], names=[*columns, *made])
-
-    return _with_rest(map_texts(docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").alias("__text")), run, schema), counts.where(F.col("n") * known_pairs < total), columns)
+            for at, end, links, offs in packed_links(batch.column(len(kept)), batch.column(len(columns) + 3)):
+                known = stored[links.dtype]
+                place = np.searchsorted(known[:-1], links)
+                place[known[place] != links] = len(pairs)
+                lone = place == len(pairs)
+                sums = [np.concatenate([[0], np.cumsum(x)])[offs] for x in (bests[place], ns[place], lone)]
+                rest = pa.ListArray.from_arrays(pa.array(sums[2], pa.int32()), pa.array(as_pairs(links[lone])))
+                own = [pa.array(np.diff(x)) for x in sums[:2]]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns[: len(kept)], *own, rest], names=[*kept, *weights])
+
+    out = _with_rest(map_texts(aligned, run, schema), counts.where(F.col("n") * known_pairs < total), columns)
+    return out.select(*(F.col(f"`{c}`") for c in columns), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else []))
 
 
 def _with_rest(rows: DataFrame, counts: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -207,6 +208,35 @@ def test_alignment_against_loops(spark):
     assert sorted(tuple(r)[1:7] for r in alignment.align_documents(repeated).collect()) == sorted(w[:6] for w in plain_alignment(["one two"] * 3))
 
 
+def test_alignment_reads_and_encodes_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    texts = [words(20, i) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("text", counted.asNondeterministic()("text"))
+    got = alignment.align_documents(df).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [w[:7] for w in plain_alignment(texts)]
+    assert read.value == len(texts)
+
+
+def test_links_are_packed_by_the_size_of_ids(monkeypatch):
+    rows = [[(50_256, 31_999), (0, 0)], [], [(1, 65_535)] * 3, []]
+    want = [a << 32 | b for row in rows for a, b in row]
+    monkeypatch.setattr(alignment, "LINK_BYTES", 8)
+    for shift, width in ((16, 4), (32, 8)):
+        names = [str(i) for i in range(65_536)]
+        packed = [b"".join(alignment.align([a], [1], [b], [1], names, names, shift).links for a, b in row) for row in rows]
+        assert [len(x) for x in packed] == [width * len(row) for row in rows]
+        runs = list(alignment.packed_links(pa.array([b"", *packed], pa.binary()).slice(1), pa.array(list(map(len, rows)))))
+        assert len(runs) > 1 and [r for at, end, *_ in runs for r in range(at, end)] == [0, 1, 2, 3]
+        assert [x for _, _, links, _ in runs for x in alignment.as_pairs(links).tolist()] == want
+        assert [n for *_, offs in runs for n in np.diff(offs).tolist()] == list(map(len, rows))
+
+
 def test_gallop():
     rng = random.Random(7)
     for _ in range(300):
