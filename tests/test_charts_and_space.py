@@ -3,7 +3,7 @@
 import pytest
 
 from sparkwarden.operators import spatial as S
-from sparkwarden.plans.chartspec import ChartSpec, SpecError, aggregate, prepare, validate
+from sparkwarden.plans.chartspec import DATASETS, ChartSpec, SpecError, aggregate, prepare, validate
 from tests.conftest import DATA
 
 
@@ -103,3 +103,13 @@ def test_hot_spot_z(spark):
 
     east, north = (float(x) for x in spark.range(1).select(*utm(F.lit(-81.0), F.lit(0.0))).first())
     assert east == pytest.approx(500000, abs=1e-3) and north == pytest.approx(0, abs=1e-3)
+
+
+def copies_in(df) -> bool:
+    """Whether the plan makes rows of stores for each simulation."""
+    return "sequence(0" in (text := df._jdf.queryExecution().optimizedPlan().toString()) or "Generate" in text
+
+
+def test_simulated_dataset_counts_no_copies_of_stores(spark):
+    df = DATASETS["simulation"].make(spark, DATA)
+    assert not copies_in(df) and df.count() == 4
