@@ -3,7 +3,7 @@
 import pytest
 
 from sparkwarden.operators import spatial as S
-from sparkwarden.plans.chartspec import DATASETS, ChartSpec, SpecError, aggregate, prepare, validate
+from sparkwarden.plans.chartspec import DATASETS, ChartSpec, SpecError, aggregate, figure_table, prepare, validate
 from tests.conftest import DATA
 
 
@@ -113,3 +113,7 @@ def copies_in(df) -> bool:
 def test_simulated_dataset_counts_no_copies_of_stores(spark):
     df = DATASETS["simulation"].make(spark, DATA)
     assert not copies_in(df) and df.count() == 4
+
+
+def test_figure_of_second_passes_counts_no_copies_of_stores(spark):
+    assert not copies_in(figure_table("second_pass", spark, DATA))
