@@ -3,7 +3,7 @@
 import pytest
 
 from sparkwarden.operators import spatial as S
-from sparkwarden.plans.chartspec import DATASETS, ChartSpec, SpecError, aggregate, figure_table, prepare, validate
+from sparkwarden.plans.chartspec import DATASETS, ChartSpec, SpecError, aggregate, figure_table, prepare, roles, validate
 from tests.conftest import DATA
 
 
@@ -117,3 +117,8 @@ def test_simulated_dataset_counts_no_copies_of_stores(spark):
 
 def test_figure_of_second_passes_counts_no_copies_of_stores(spark):
     assert not copies_in(figure_table("second_pass", spark, DATA))
+
+
+def test_roles_of_the_simulated_dataset_read_no_copies_of_stores(spark):
+    df = DATASETS["simulation"].make(spark, DATA)
+    assert roles(df) == {"rule": "category", **dict.fromkeys(("events", "repeats", "fresh", "se"), "number")} and not copies_in(df)
